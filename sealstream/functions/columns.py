@@ -286,11 +286,11 @@ def compact_target(bits) -> Column:
     bits = _c(bits).cast("bigint")
     exponent = F.shiftright(bits, 24)
     mantissa = bits.bitwiseAND(F.lit(0x7FFFFF))
-    small = F.lpad(F.hex(F.expr("1") * F.floor(mantissa / F.pow(F.lit(256), 3 - exponent))
-                         .cast("bigint")), 64, "0")
-    zeros = F.repeat(F.lit("00"), (exponent - 3).cast("int"))
-    wide = F.concat(F.hex(mantissa), zeros)
-    body = F.when(exponent <= 3, small).when(F.length(F.ltrim(wide)) <= 64, F.lpad(wide, 64, "0"))
+    small = F.lpad(F.hex(F.floor(mantissa / F.pow(F.lit(256), 3 - exponent)).cast("bigint")), 64, "0")
+    wide = F.concat(F.hex(mantissa), F.repeat(F.lit("00"), (exponent - 3).cast("int")))
+    # A target past 256 bits admits every hash.
+    body = (F.when(exponent <= 3, small).when(F.length(wide) <= 64, F.lpad(wide, 64, "0"))
+            .otherwise(F.lit("f" * 64)))
     bad = (mantissa == 0) | (bits.bitwiseAND(F.lit(0x800000)) != 0)
     return F.when(~bad, F.lower(body))
 

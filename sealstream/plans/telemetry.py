@@ -25,6 +25,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
     df = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", micros.alias("us"))
+    site = F.concat(F.lit("site-"), F.pmod("user_id", F.lit(4)))
     hour = F.expr(f"us div 3600000000 - {FIRST_HOUR} + 1")
     kinds = F.create_map(*[F.lit(x) for kv in zip(
         ["click", "error", "purchase", "signup", "view"], range(1, 6)) for x in kv])
@@ -39,9 +40,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("cents"), "value",
         F.expr("us div 1000000").alias("ingest_time"),
         F.expr("us div 1000").alias("t_ms"),
-        F.concat(F.lit("site-"), F.pmod("user_id", F.lit(4))).alias("site_id"),
-        F.md5(F.concat(F.lit("site-"), F.pmod("user_id", F.lit(4))).cast("binary")).alias("ledger_id"),
-        C.utc_day(F.expr("us div 1000000")).alias("day"),
+        F.coalesce(site, F.lit("")).alias("site_id"),
+        F.coalesce(F.md5(site.cast("binary")), F.lit("")).alias("ledger_id"),
+        F.coalesce(C.utc_day(F.expr("us div 1000000")), F.lit("")).alias("day"),
     )
 
 
