@@ -59,7 +59,8 @@ def b64_or_null(col) -> Column:
     col = _c(col)
     shape = "^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
     raw = F.when(col.rlike(shape), F.unbase64(col))
-    return F.when(F.base64(raw) == col, raw)
+    # Some sessions break base64() text into lines; compare without line ends.
+    return F.when(F.translate(F.base64(raw), "\r\n", "") == col, raw)
 
 
 def line_hash(col) -> Column:

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sealstream.functions import codecs as K
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
+from sealstream.operators.plan import pinned
 
 
 def reject(df: DataFrame, case: Column) -> DataFrame:
@@ -40,7 +42,8 @@ def classify_frames(lines: DataFrame, raw: str = "raw") -> DataFrame:
                    ("invalid_frame_types", F.col(f"_{n}t") != "STRING"),
                    ("invalid_base64", F.col(n).isNull())]
     out = top.withColumn("reason", C.first_failure(checks))
-    return out.drop("_v", "_t", "_h", *[f"_{n}t" for n in blobs])
+    fields = [*(n for n, _ in limits), *blobs, "reason"]
+    return pinned(out.select(*lines.columns, *fields), {n: F.col(n) for n in fields})
 
 
 def check_profile(frames: DataFrame, col: str = "ingest_profile") -> DataFrame:
@@ -93,41 +96,42 @@ def with_aad(frames: DataFrame) -> DataFrame:
     return frames.withColumn("aad", C.frame_aad("dev_id", "msg_type", "flags"))
 
 
-FACT = ("struct<pod_id:string,fc:decimal(20,0),ingest_time:bigint,pod_time:bigint,kind:int,"
-        "custom:binary,sample_type:int,start:bigint,end:bigint,value:float,min:float,max:float,"
-        "mean:float,count:bigint,quality:float,sensor_channel:int>")
+_L, _I, _F = T.LongType(), T.IntegerType(), T.FloatType()
+FACT = T.StructType([T.StructField(n, t) for n, t in zip(K.FACT_FIELDS, [
+    T.StringType(), T.DecimalType(20, 0), _L, _L, _I, T.BinaryType(), _I, _L, _L,
+    _F, _F, _F, _F, _L, _F, _I])])
 SAMPLE_CODES = frozenset(code for code, _, _ in V.SAMPLE_TYPES)
 
 
 @F.pandas_udf(FACT)
-def open_frames(it: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-    """Authenticate, decrypt and decode; ``pod_id`` is NULL where any step failed."""
+def open_frames(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """Authenticate, decrypt and decode; ``pod_id`` is NULL where any step failed.
+
+    Frames with a NULL key were rejected before and are passed over.
+    """
     from decimal import Decimal
+    nothing = (None,) * len(K.FACT_FIELDS)
     for cols in it:
-        frames = pd.concat(cols, axis=1)
-        parts = []
-        for pdf in K.batches(iter([frames])):
-            keys, nonces, aads, cts, tags = ([bytes(x) for x in pdf.iloc[:, i]] for i in range(5))
-            rows = []
-            for plain in K.unseal(keys, nonces, aads, cts, tags):
+        rows = [nothing] * len(cols[0])
+        todo = [i for i, key in enumerate(cols[0]) if key is not None]
+        for at in range(0, len(todo), K.BATCH):
+            part = todo[at:at + K.BATCH]
+            args = ([bytes(c.iat[i]) for i in part] for c in cols)
+            for i, plain in zip(part, K.unseal(*args)):
                 try:
                     fact = K.read_fact(plain or b"", SAMPLE_CODES)
-                    rows.append((fact[0], Decimal(fact[1]), *fact[2:]))
+                    rows[i] = (fact[0], Decimal(fact[1]), *fact[2:])
                 except ValueError:
-                    rows.append((None,) * len(K.FACT_FIELDS))
-            parts.append(pd.DataFrame(rows, columns=K.FACT_FIELDS, dtype=object))
-        yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
-            columns=K.FACT_FIELDS, dtype=object)
+                    pass
+        yield pd.DataFrame(rows, columns=K.FACT_FIELDS, dtype=object)
 
 
 def decrypt_frames(frames: DataFrame) -> DataFrame:
-    """Adds ``fact``; failures are ``decrypt_failed``. Rejected frames skip Python."""
+    """Adds ``fact``; failures are ``decrypt_failed``. Rejected frames send no bytes to Python."""
     ready = with_aad(frames)
-    opened = (ready.filter("reason is null")
-              .withColumn("fact", open_frames("ck_up", "nonce", "aad", "ct", "tag")))
-    opened = reject(opened, F.when(F.col("fact.pod_id").isNull(), F.lit("decrypt_failed")))
-    closed = ready.filter("reason is not null").withColumn("fact", F.lit(None).cast(FACT))
-    return opened.unionByName(closed)
+    args = [F.when(F.col("reason").isNull(), F.col(c)) for c in ("ck_up", "nonce", "aad", "ct", "tag")]
+    opened = ready.withColumn("fact", open_frames(*args))
+    return reject(opened, F.when(F.col("fact.pod_id").isNull(), F.lit("decrypt_failed")))
 
 
 def check_binding(decoded: DataFrame, pod_id="fact.pod_id", fact_fc="fact.fc") -> DataFrame:
@@ -219,7 +223,7 @@ def make_fixture_frames(readings: DataFrame) -> DataFrame:
     """Deterministic sealed frames for readings (dev_id, fc, msg_type, pod_time, sample_type,
     value, salt8, ck_up as bytes): a test-data job, encrypted per Arrow batch."""
     @F.pandas_udf("struct<ct:binary,tag:binary>")
-    def seal(cols: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    def seal(cols: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for c in cols:
             keys, nonces, aads = ([bytes(x) for x in c[i]] for i in range(3))
             plains = [K.instant_plaintext(int(d).to_bytes(8, "big"), int(f), int(t), int(s), float(v))
