@@ -11,3 +11,9 @@ from sealstream.functions import values as V
 def rejection_report(rejections: DataFrame, dims: list[str]) -> DataFrame:
     """Counts by every prefix of ``dims`` (rollup)."""
     return rejections.rollup(*dims).agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_batches(facts: DataFrame) -> DataFrame:
+    """Facts with the UTC day that batches them, from unix ``ingest_time``."""
+    from sealstream.functions.columns import utc_day
+    return facts.withColumn("day", utc_day("ingest_time"))

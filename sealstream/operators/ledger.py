@@ -50,3 +50,188 @@ def provisioning_cbor() -> Column:
         C.cbor_head(4, F.lit(8)), C.cbor_uint(F.lit(1)), C.cbor_bytes("device_id"),
         C.cbor_text("firmware_version"), C.cbor_bytes("firmware_hash"), C.cbor_bytes("identity_pubkey"),
         C.cbor_bytes("birth_cert_sig"), C.cbor_int("provisioned_at"), C.cbor_nullable("site_id", C.cbor_text))
+
+
+def build_block_headers(leaves: DataFrame, version: int = 1) -> DataFrame:
+    """Block per (site_id, day): count and root. Leaf lists stay a table, see ``block_leaves``."""
+    roots = M.roots_of(M.sort_leaves(leaves, ["site_id", "day"]), ["site_id", "day"], version)
+    return roots.select(
+        F.lit(1).alias("version"), "site_id", "day",
+        F.concat("site_id", F.lit("-"), "day", F.lit("-00")).alias("batch_id"),
+        C.hex_lower("root").alias("merkle_root"), F.col("leaf_count").alias("count"))
+
+
+def block_leaves(leaves: DataFrame) -> DataFrame:
+    """Sorted leaves of each block: hex digest, first position and copies."""
+    return M.sort_leaves(leaves, ["site_id", "day"]).select(
+        "site_id", "day", F.col("start").alias("position"), "copies", C.hex_lower("leaf").alias("leaf"))
+
+
+def link_days(blocks: DataFrame) -> DataFrame:
+    """``prev_day_root`` of each day: the root of the site's previous day, zeros at the start."""
+    w = Window.partitionBy("site_id").orderBy("day")
+    return blocks.withColumn("prev_day_root", F.lag("merkle_root", 1, V.ZERO_SHA256).over(w))
+
+
+def build_day_records(blocks: DataFrame) -> DataFrame:
+    """Day records with a single batch: ``day_root`` equals the batch root."""
+    return link_days(blocks).select(
+        F.lit(1).alias("version"), "site_id", F.col("day").alias("date"), "prev_day_root",
+        "batch_id", "count", F.col("merkle_root").alias("day_root"))
+
+
+def _hash_items(nodes: str) -> Column:
+    items = F.transform(nodes, lambda b: F.concat(F.lit("7840"), F.hex(C.text_bytes(F.lower(F.hex(b))))))
+    return F.unhex(F.array_join(items, ""))
+
+
+def day_parts(leaves: DataFrame) -> DataFrame:
+    """Day record bytes as ordered parts (site_id, day, part, bytes).
+
+    Map keys in order: date, batches, site_id, version, day_root, prev_day_root; batch keys:
+    day, count, site_id, version, batch_id, leaf_hashes, merkle_root. The leaf list is cut
+    into blocks, so a day of any size is never one row.
+    """
+    group = ["site_id", "day"]
+    runs = M.sort_leaves(leaves, group)
+    days = build_day_records(M.roots_of(runs, group, 1).select(
+        "site_id", "day", F.concat("site_id", F.lit("-"), "day", F.lit("-00")).alias("batch_id"),
+        C.hex_lower("root").alias("merkle_root"), F.col("leaf_count").alias("count")))
+    t, u = C.cbor_text, C.cbor_uint
+    first = F.concat(
+        C.cbor_head(5, F.lit(6)), C.cbor_lit("date"), t("date"), C.cbor_lit("batches"),
+        C.cbor_head(4, F.lit(1)), C.cbor_head(5, F.lit(7)), C.cbor_lit("day"), t("date"),
+        C.cbor_lit("count"), u("count"), C.cbor_lit("site_id"), t("site_id"), C.cbor_lit("version"),
+        u(F.lit(1)), C.cbor_lit("batch_id"), t("batch_id"), C.cbor_lit("leaf_hashes"),
+        C.cbor_head(4, F.col("count")))
+    last = F.concat(
+        C.cbor_lit("merkle_root"), t("day_root"), C.cbor_lit("site_id"), t("site_id"),
+        C.cbor_lit("version"), u(F.lit(1)), C.cbor_lit("day_root"), t("day_root"),
+        C.cbor_lit("prev_day_root"), t("prev_day_root"))
+    ends = days.select("site_id", F.col("date").alias("day"), F.explode(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("part"), first.alias("bytes")),
+        F.struct(F.lit(1 << 40).alias("part"), last.alias("bytes")))).alias("x")).select(*group, "x.*")
+    middle = M._blocks(runs, group).select(*group, "part", _hash_items("nodes").alias("bytes"))
+    return ends.unionByName(middle)
+
+
+def digest_parts(parts: DataFrame, keys: list[str], part: str = "part") -> DataFrame:
+    """SHA-256 and size of artifacts given as ordered parts; reads parts as a stream."""
+    import hashlib
+    types = dict(parts.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sha256 string, size bigint"
+
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, digest, size = None, None, 0
+        for pdf in it:
+            done = []
+            for key, raw in zip(zip(*(pdf[k] for k in keys)), pdf["bytes"]):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, digest.hexdigest(), size))
+                    current, digest, size = key, hashlib.sha256(), 0
+                digest.update(raw)
+                size += len(raw)
+            yield pd.DataFrame(done, columns=[*keys, "sha256", "size"])
+        if current is not None:
+            yield pd.DataFrame([(*current, digest.hexdigest(), size)], columns=[*keys, "sha256", "size"])
+
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys, part).select(*keys, "bytes")
+    return ordered.mapInPandas(fold, schema)
+
+
+SEG = ["ledger_id", "segment_number"]
+
+
+def segment_parts(segments: DataFrame, batches: DataFrame) -> DataFrame:
+    """Segment bytes around the predecessor digest: head, one part per batch, tail.
+
+    ``segments``: SEG, site_id, close_reason, segment_root and the policy columns interval_ms,
+    batch_record_limit, record_limit, size_limit_bytes, empty_mode. ``batches``: SEG,
+    batch_number, count, leaf_hashes, merkle_root. The chain inserts the digest after ``tail``
+    and the profile id after that.
+    """
+    t, u = C.cbor_text, C.cbor_uint
+    counts = batches.groupBy(*SEG).agg(F.count(F.lit(1)).alias("_n"))
+    full = segments.join(counts, SEG, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    head = F.concat(C.cbor_head(5, F.lit(10)), C.cbor_lit("batches"), C.cbor_head(4, F.col("_n")))
+    policy = C.cbor_map([
+        ("version", u(F.lit(1))), ("empty_mode", t("empty_mode")), ("interval_ms", u("interval_ms")),
+        ("record_limit", C.cbor_nullable("record_limit")),
+        ("size_limit_bytes", C.cbor_nullable("size_limit_bytes")),
+        ("batch_record_limit", u("batch_record_limit"))])
+    tail = F.concat(
+        C.cbor_lit("site_id"), t("site_id"), C.cbor_lit("version"), u(F.lit(2)), C.cbor_lit("ledger_id"),
+        t("ledger_id"), C.cbor_lit("close_reason"), t("close_reason"), C.cbor_lit("segment_root"),
+        t("segment_root"), C.cbor_lit("closure_policy"), policy, C.cbor_lit("segment_number"),
+        u("segment_number"), C.cbor_lit("prev_segment_sha256"))
+    ends = full.select(*SEG, F.explode(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("part"), head.alias("bytes"), F.lit(False).alias("last")),
+        F.struct(F.lit(1 << 40).alias("part"), tail.alias("bytes"), F.lit(True).alias("last")))).alias("x"))
+    sites = segments.select(*SEG, "site_id")
+    body = batches.join(sites, SEG).select(
+        *SEG, F.col("batch_number").cast("bigint").alias("part"), C.cbor_map([
+            ("count", u("count")), ("site_id", t("site_id")), ("version", u(F.lit(2))),
+            ("ledger_id", t("ledger_id")), ("leaf_hashes", C.cbor_text_array("leaf_hashes")),
+            ("merkle_root", t("merkle_root")), ("batch_number", u("batch_number")),
+            ("segment_number", u("segment_number"))]).alias("bytes"), F.lit(False).alias("last"))
+    return ends.select(*SEG, "x.*").unionByName(body)
+
+
+def segment_end(prev: Column) -> Column:
+    return F.concat(C.cbor_text(prev), C.cbor_lit("commitment_profile_id"), C.cbor_lit(V.PROFILE_V2))
+
+
+def chain_segments(parts: DataFrame) -> DataFrame:
+    """Chain digests per ledger: SEG, prev_segment_sha256, artifact_sha256, artifact_size.
+
+    Each digest enters the next artifact, so a ledger is read in order; the read is a stream
+    over sorted parts that keeps one running hash.
+    """
+    import hashlib
+    types = dict(parts.dtypes)
+    schema = (f"ledger_id string, segment_number {types['segment_number']}, "
+              "prev_segment_sha256 string, artifact_sha256 string, artifact_size bigint")
+    profile = K.to_cbor("commitment_profile_id") + K.to_cbor(V.PROFILE_V2)
+    zero = V.ZERO_SHA256
+
+    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ledger, prev, digest, size = None, zero, hashlib.sha256(), 0
+        for pdf in it:
+            done = []
+            for lid, number, raw, last in zip(pdf["ledger_id"], pdf["segment_number"],
+                                              pdf["bytes"], pdf["last"]):
+                if lid != ledger:
+                    ledger, prev = lid, zero
+                digest.update(raw)
+                size += len(raw)
+                if last:
+                    end = K.to_cbor(prev) + profile
+                    digest.update(end)
+                    done.append((lid, number, prev, digest.hexdigest(), size + len(end)))
+                    prev, digest, size = done[-1][3], hashlib.sha256(), 0
+            yield pd.DataFrame(done, columns=["ledger_id", "segment_number", "prev_segment_sha256",
+                                              "artifact_sha256", "artifact_size"])
+
+    ordered = parts.repartition("ledger_id").sortWithinPartitions("ledger_id", "segment_number", "part")
+    return ordered.select("ledger_id", "segment_number", "bytes", "last").mapInPandas(fold, schema)
+
+
+def segment_artifacts(parts: DataFrame, chain: DataFrame) -> DataFrame:
+    """Whole artifact bytes per segment, for segments whose policy bounds their size."""
+    body = parts.groupBy(*SEG).agg(F.array_sort(F.collect_list(F.struct("part", "bytes"))).alias("_p"))
+    return body.join(chain, SEG).select(
+        *SEG, "prev_segment_sha256", "artifact_sha256",
+        F.concat(C.concat_binary(F.transform("_p", lambda x: x["bytes"])),
+                 segment_end(F.col("prev_segment_sha256"))).alias("artifact_cbor"))
+
+
+def seal(records: DataFrame, segments: DataFrame, batch_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(segments with root, batches) of records (SEG, record). Empty segments keep the empty root."""
+    leaves = records.select(*SEG, M.leaf_hash_v2("record").alias("leaf"))
+    runs = M.sort_leaves(leaves, SEG)
+    batches = M.batch_lists(runs, SEG, batch_limit)
+    roots = M.roots_of(runs, SEG, 2).select(*SEG, C.hex_lower("root").alias("_r"))
+    rooted = segments.join(roots, SEG, "left").withColumn(
+        "segment_root", F.coalesce("_r", F.lit(V.EMPTY_SHA256))).drop("_r")
+    return rooted, batches

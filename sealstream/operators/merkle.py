@@ -207,3 +207,16 @@ def inclusion_proofs(leaves: DataFrame, group: list[str], version: int,
         out = out.withColumn("_k", F.shiftright("start", shift)).join(keyed, [*group, "_k"]).drop("_k")
     return out.select(*group, "leaf", F.col("start").alias("position"), F.col("total").alias("leaf_count"),
                       F.concat(*[F.col(f"_s{r}") for r in range(ROUNDS)]).alias("siblings"))
+
+
+def fold_proof(version: int, leaf: str = "leaf", position: str = "position",
+               count: str = "leaf_count", siblings: str = "siblings") -> Column:
+    """Root implied by an inclusion proof. State: node, index, nodes on the level, next sibling."""
+    lift = ("s.m > 1 and not (s.i = s.m - 1 and s.i % 2 = 0)" if version == 2 else "s.m > 1")
+    pre = "X'01', " if version == 2 else ""
+    left = f"unhex(sha2(concat({pre}{siblings}[s.k], s.h), 256))"
+    right = f"unhex(sha2(concat({pre}s.h, {siblings}[s.k]), 256))"
+    start = (f"named_struct('h', {leaf}, 'i', cast({position} as bigint), 'm', cast({count} as bigint), 'k', 0)")
+    step = (f"named_struct('h', if({lift}, if(s.i % 2 = 1, {left}, {right}), s.h), 'i', s.i div 2, "
+            f"'m', (s.m + 1) div 2, 'k', if({lift}, s.k + 1, s.k))")
+    return F.expr(f"aggregate(sequence(1, {BLOCK_BITS * ROUNDS}), {start}, (s, x) -> {step}, s -> s.h)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,22 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_totals(df: DataFrame, group: list[str], order: str, sums: dict[str, Column],
+                   span: int = 65536) -> DataFrame:
+    """Inclusive running sums per group in ``order``, without a window over a whole group.
+
+    ``order`` is unique within a group, so a bucket of ``span`` consecutive values holds at
+    most that many rows; bucket totals give each bucket its offset.
+    """
+    rows = df.withColumn("_b", F.coalesce(F.expr(f"{order} div {span}"), F.lit(0)))
+    rows = rows.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    totals = rows.groupBy(*group, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, "_b", *[
+        F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_v_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
+    rows = rows.join(offsets, [*group, "_b"])
+    return rows.select(*df.columns, *[(F.col(f"_v_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
