@@ -197,45 +197,39 @@ def disclosure_label(col) -> Column:
 
 # --- time ---------------------------------------------------------------------------
 
-_RFC3339 = (r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(\.\d+)?"
-            r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$")
+_RFC3339 = (r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
+            r"(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z")
+
+
+def _epoch() -> Column:
+    # Zone-free: results do not depend on the session time zone.
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def parse_rfc3339(col) -> Column:
     """Unix seconds, or NULL when the text is not a valid RFC 3339 timestamp."""
     col = _c(col)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(col, _RFC3339, i)
-
-    shaped = col.rlike(_RFC3339) & ~col.rlike(r"[\r\n]")
-    date = F.when(shaped, F.substring(col, 1, 10))
-    days = F.datediff(F.try_to_date(date, "yyyy-MM-dd"), F.lit("1970-01-01").cast("date"))
-    hh, mm, ss = (part(i).try_cast("bigint") for i in (4, 5, 6))
-    zone = part(8)
+    shaped = F.when(col.rlike(_RFC3339), col)
+    local = F.timestamp_diff("SECOND", _epoch(), F.substring(shaped, 1, 19).try_cast("timestamp_ntz"))
+    zone = F.substring(col, -6, 6)
     off = (F.substring(zone, 2, 2).try_cast("bigint") * 3600
            + F.substring(zone, 5, 2).try_cast("bigint") * 60)
-    offset = F.when(zone == "Z", F.lit(0)).when(zone.startswith("-"), -off).otherwise(off)
-    valid = shaped & (hh <= 23) & (mm <= 59) & (ss <= 59)
-    return F.when(valid, days.cast("bigint") * 86400 + hh * 3600 + mm * 60 + ss - offset)
+    return local - (F.when(col.endswith("Z"), F.lit(0)).when(zone.startswith("-"), -off).otherwise(off))
+
+
+def utc_text(col) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of unix seconds."""
+    return F.timestamp_add("SECOND", _c(col).cast("bigint"), _epoch()).cast("string")
 
 
 def format_rfc3339(col) -> Column:
     """UTC text with second precision, independent of the session time zone."""
-    n = _c(col).cast("bigint")
-    day = F.floor(n / F.lit(86400)).cast("bigint")
-    rest = n - day * 86400
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
-    hms = [F.lpad((x).cast("string"), 2, "0") for x in (
-        F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60)))]
-    return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T"), hms[0], F.lit(":"), hms[1],
-                    F.lit(":"), hms[2], F.lit("Z"))
+    return F.concat(F.translate(utc_text(col), " ", "T"), F.lit("Z"))
 
 
 def utc_day(col) -> Column:
     """``yyyy-MM-dd`` of unix seconds."""
-    day = F.floor(_c(col) / F.lit(86400)).cast("int")
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
+    return F.substring(utc_text(col), 1, 10)
 
 
 # --- JSON guards, paths, text checks ---------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealstream.functions import values as V
+from sealstream.operators.plan import previous_row
 
 
 def rejection_report(rejections: DataFrame, dims: list[str]) -> DataFrame:
@@ -17,3 +17,132 @@ def daily_batches(facts: DataFrame) -> DataFrame:
     """Facts with the UTC day that batches them, from unix ``ingest_time``."""
     from sealstream.functions.columns import utc_day
     return facts.withColumn("day", utc_day("ingest_time"))
+
+
+SERIES = ["pod_id", "sample_type", "sensor_channel"]
+
+
+def window_summary(facts: DataFrame, every_s: int = 86400, value: str = "value") -> DataFrame:
+    """min, max, mean and count per series and window of ``start`` seconds."""
+    begin = F.expr(f"start - pmod(start, {every_s})")
+    return (facts.groupBy(*SERIES, begin.alias("window_start"))
+            .agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
+                 F.count(value).alias("count"))
+            .withColumn("window_end", F.col("window_start") + (every_s - 1)))
+
+
+def merge_summaries(summaries: DataFrame, every_s: int = 86400) -> DataFrame:
+    """Summaries of finer windows to coarser ones; means are weighted by their counts."""
+    begin = F.expr(f"window_start - pmod(window_start, {every_s})")
+    return (summaries.groupBy(*SERIES, begin.alias("window_start"))
+            .agg(F.min("min").alias("min"), F.max("max").alias("max"),
+                 (F.sum(F.col("mean") * F.col("count")) / F.sum("count")).alias("mean"),
+                 F.sum("count").alias("count")))
+
+
+def quantiles(freq: DataFrame, group: list[str], points: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles from value frequencies (group, ``value``, ``n``)."""
+    w = Window.partitionBy(*group)
+    upto = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = freq.withColumn("_c", F.sum("n").over(upto)).withColumn("_t", F.sum("n").over(w))
+
+    def at(index):
+        hit = (F.col("_c") > index) & (F.col("_c") - F.col("n") <= index)
+        return F.max(F.when(hit, F.col("value")))
+
+    aggs = []
+    for name, q in points.items():
+        place = (F.col("_t") - 1) * F.lit(q)
+        aggs += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi"),
+                 F.max(place - F.floor(place)).alias(f"{name}_f")]
+    return ranked.groupBy(*group).agg(*aggs).select(*group, *[
+        (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")).alias(n)
+        for n in points])
+
+
+def derived_daily_metrics(facts: DataFrame, expected: int, ratio: float = 0.5,
+                          value: str = "value") -> DataFrame:
+    """Per series and day: spread, quartiles, change of the mean, stability, sufficiency and
+    values outside 1.5 interquartile ranges.
+
+    Values are counted first, so quartiles and outliers work on distinct values.
+    """
+    group = [*SERIES, "day"]
+    freq = facts.groupBy(*group, F.col(value).cast("double").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"))
+    base = facts.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"),
+                                     F.count(value).alias("count"))
+    quart = quantiles(freq, group, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    outside = (F.col("value") < F.col("q1") - fence) | (F.col("value") > F.col("q3") + fence)
+    outliers = freq.join(quart, group).groupBy(*group).agg(
+        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outliers"))
+    prev = F.lag("mean").over(Window.partitionBy(*SERIES).orderBy("day"))
+    return (base.join(quart, group).join(outliers, group)
+            .withColumn("delta", F.col("mean") - prev)
+            .withColumn("stability", F.col("stddev") / F.abs("mean"))
+            .withColumn("sufficient", F.col("count") >= expected * ratio))
+
+
+def frame_counts(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("site_id", "day").agg(F.count(F.lit(1)).alias("frame_count"))
+
+
+def detect_gaps(accepted: DataFrame, cadence_s: int) -> DataFrame:
+    """Missing counters and silent periods per pod, one incident per gap, in counter order."""
+    seen = previous_row(accepted.select("pod_id", "fc", "ingest_time"), ["pod_id"], "fc",
+                        ["fc", "ingest_time"])
+    missed = F.col("fc") - F.col("prev_fc") - 1
+    silent = F.col("ingest_time") - F.col("prev_ingest_time")
+    return seen.filter((missed > 0) | (silent > cadence_s)).select(
+        "pod_id", (F.col("prev_fc") + 1).alias("first_missing"), (F.col("fc") - 1).alias("last_missing"),
+        missed.alias("missed_frames"), silent.alias("silent_s"),
+        F.when(missed > 0, "missed_frames").otherwise("silence").alias("kind"))
+
+
+def classify_absences(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Counters between a device's first and last admitted one that were not admitted:
+    ``observed_rejected`` or ``not_observed``. Admitted counters advance by at most the replay
+    window, so each gap expands to a bounded range."""
+    seen = previous_row(accepted.select("dev_id", "fc"), ["dev_id"], "fc", ["fc"])
+    holes = seen.filter("fc - prev_fc > 1").select(
+        "dev_id", F.explode(F.sequence(F.col("prev_fc") + 1, F.col("fc") - 1)).alias("fc"))
+    refused = rejected.groupBy("dev_id", "fc").agg(F.min("reason").alias("reason"))
+    return holes.join(refused, ["dev_id", "fc"], "left").withColumn(
+        "status", F.when(F.col("reason").isNull(), "not_observed").otherwise("observed_rejected"))
+
+
+def reduce_channels(channels: DataFrame, group: list[str], mode: str = "strict") -> DataFrame:
+    """``overall`` per bundle from rows (channel, enabled, status)."""
+    on = F.coalesce(F.col("enabled"), F.lit(False))
+    if mode == "strict":
+        bad = on & ~F.coalesce(F.col("status") == "verified", F.lit(False))
+    else:
+        bad = on & (F.col("channel") == "ots") & F.col("status").isin("failed", "missing")
+    return channels.groupBy(*group).agg(
+        F.when(F.bool_or(F.coalesce(bad, F.lit(False))), "failed").otherwise("success").alias("overall"))
+
+
+CHANNELS = ["ots", "tsa", "peers"]
+
+
+def anchoring_matrix(channels: DataFrame) -> DataFrame:
+    """Status per channel and (site_id, day) as columns, with the flags of the day report."""
+    wide = channels.groupBy("site_id", "day").pivot("channel", CHANNELS).agg(F.max("status"))
+    return wide.withColumns({
+        "ots_verified": F.coalesce(F.col("ots") == "verified", F.lit(False)),
+        "tsa_verified": F.coalesce(F.col("tsa") == "verified", F.lit(False))})
+
+
+def peer_quorum(attestations: DataFrame, k: int) -> DataFrame:
+    """Distinct peers per attested root; repeated signatures are merged before the shuffle."""
+    one = attestations.groupBy("site_id", "day", "day_root", "peer_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (one.groupBy("site_id", "day", "day_root").agg(F.count(F.lit(1)).alias("peers"))
+            .withColumn("quorum", F.col("peers") >= k))
+
+
+def anchor_index(receipts: DataFrame) -> DataFrame:
+    """Totals over anchor receipts: anchors, changed ones and liveness warnings."""
+    return receipts.agg(F.count(F.lit(1)).alias("anchors"),
+                        F.sum(F.col("changed").cast("bigint")).alias("changed"),
+                        F.sum(F.size("warnings")).alias("warnings"))

@@ -60,3 +60,21 @@ def running_totals(df: DataFrame, group: list[str], order: str, sums: dict[str,
     rows = rows.withColumns({f"_v_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
     rows = rows.join(offsets, [*group, "_b"])
     return rows.select(*df.columns, *[(F.col(f"_v_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def previous_row(df: DataFrame, key: list[str], order: str, cols: list[str],
+                 span: int = 65536) -> DataFrame:
+    """``prev_<col>`` from the preceding row of the same key, NULL on the first.
+
+    Inside a bucket of ``span`` order values this is a lag; the first row of a bucket takes
+    the last row of the nearest bucket before it. No window spans a whole key's rows.
+    """
+    rows = df.withColumn("_b", F.coalesce(F.expr(f"{order} div {span}"), F.lit(0)))
+    packed = F.struct(*cols)
+    tails = rows.groupBy(*key, "_b").agg(F.max_by(packed, order).alias("_tail"))
+    tails = tails.select(*key, "_b", F.lag("_tail").over(
+        Window.partitionBy(*key).orderBy("_b")).alias("_before"))
+    inside = F.lag(packed).over(Window.partitionBy(*key, "_b").orderBy(order))
+    rows = rows.withColumn("_p", inside).join(tails, [*key, "_b"])
+    prev = F.coalesce("_p", "_before")
+    return rows.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in cols])
