@@ -78,3 +78,15 @@ def previous_row(df: DataFrame, key: list[str], order: str, cols: list[str],
     rows = rows.withColumn("_p", inside).join(tails, [*key, "_b"])
     prev = F.coalesce("_p", "_before")
     return rows.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in cols])
+
+
+def running_max_before(df: DataFrame, key: list[str], order: str, col: str, name: str,
+                       span: int = 65536) -> DataFrame:
+    """Largest ``col`` among earlier rows of the key, by bucket maxima; NULL on the first row."""
+    rows = df.withColumn("_b", F.coalesce(F.expr(f"{order} div {span}"), F.lit(0)))
+    tops = rows.groupBy(*key, "_b").agg(F.max(col).alias("_m"))
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*key, "_b", F.max("_m").over(before).alias("_p"))
+    inside = Window.partitionBy(*key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_q", F.max(col).over(inside)).join(tops, [*key, "_b"])
+    return rows.select(*df.columns, F.greatest("_p", "_q").alias(name))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.functions import values as V
-from sealstream.operators.plan import running_totals
+from sealstream.operators.plan import running_max_before, running_totals
 
 
 @dataclass
@@ -218,15 +218,8 @@ def interval_counters(records: DataFrame, interval_ms: int, origin_ms: int = 0)
 
 def clock_discontinuities(records: DataFrame) -> DataFrame:
     """Records whose tick lies before one already seen in their ledger (refused until recovery)."""
-    span = 65536
-    rows = records.withColumn("_b", F.coalesce(F.expr(f"seq div {span}"), F.lit(0)))
-    tops = rows.groupBy("ledger_id", "_b").agg(F.max("t_ms").alias("_m"))
-    before = Window.partitionBy("ledger_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("ledger_id", "_b", F.max("_m").over(before).alias("_p"))
-    inside = Window.partitionBy("ledger_id", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_q", F.max("t_ms").over(inside)).join(tops, ["ledger_id", "_b"])
-    return rows.withColumn("highest_before", F.greatest("_p", "_q")).filter(
-        F.col("t_ms") < F.col("highest_before")).drop("_b", "_p", "_q")
+    seen = running_max_before(records, ["ledger_id"], "seq", "t_ms", "highest_before")
+    return seen.filter("t_ms < highest_before")
 
 
 def assign_late(records: DataFrame, interval_ms: int, origin_ms: int = 0) -> DataFrame:
