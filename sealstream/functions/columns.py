@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sealstream.functions import values as V
+from sealstream.functions.codecs import head, to_cbor
 
 
 def _c(col) -> Column:
@@ -69,57 +70,59 @@ def line_hash(col) -> Column:
 
 
 # --- deterministic CBOR over fixed shapes ---------------------------------------
+#
+# Arguments are SQL text (a column name or expression), so each item is one parsed
+# expression; Python integers and texts become constant bytes.
 
-def cbor_head(major: int, col) -> Column:
-    """CBOR head for a non-negative integer of up to DECIMAL(20,0), shortest form."""
-    n = _c(col)
+def _head_sql(major: int, e: str) -> str:
     base = major << 5
+    n = f"cast({e} as bigint)"
+    # Past 2**63 the two's complement of value - 2**64 has the right bytes.
+    wide = f"cast(if({e} > 9223372036854775807BD, {e} - 18446744073709551616BD, {e}) as bigint)"
+    return (f"unhex(CASE WHEN {e} < 24 THEN lpad(hex({n} + {base}), 2, '0') "
+            f"WHEN {e} < 256 THEN concat('{base + 24:02X}', lpad(hex({n}), 2, '0')) "
+            f"WHEN {e} < 65536 THEN concat('{base + 25:02X}', lpad(hex({n}), 4, '0')) "
+            f"WHEN {e} < 4294967296 THEN concat('{base + 26:02X}', lpad(hex({n}), 8, '0')) "
+            f"ELSE concat('{base + 27:02X}', lpad(hex({wide}), 16, '0')) END)")
 
-    def tail(code: int, width: int) -> Column:
-        return F.concat(F.lit(f"{base + code:02X}"), F.lpad(F.hex(n.cast("bigint")), width, "0"))
-
-    high = n.cast("decimal(20,0)")
-    # hex() of a bigint is two's complement, so values past 2^63 wrap to the right bytes.
-    wrapped = F.when(high > F.expr("9223372036854775807BD"),
-                     high - F.expr("18446744073709551616BD")).otherwise(high).cast("bigint")
-    return F.unhex(
-        F.when(n < 24, F.lpad(F.hex(n.cast("bigint") + base), 2, "0"))
-        .when(n < 256, tail(24, 2))
-        .when(n < 65536, tail(25, 4))
-        .when(n < 4294967296, tail(26, 8))
-        .otherwise(F.concat(F.lit(f"{base + 27:02X}"), F.lpad(F.hex(wrapped), 16, "0")))
-    )
+
+def _lit_sql(value) -> str:
+    return f"X'{to_cbor(value).hex()}'"
 
 
-def cbor_uint(col) -> Column:
-    return cbor_head(0, col)
+def _text_sql(e: str) -> str:
+    raw = f"encode({e}, 'UTF-8')"
+    return f"concat({_head_sql(3, f'octet_length({raw})')}, {raw})"
 
 
-def cbor_int(col) -> Column:
-    n = _c(col)
-    return F.when(n >= 0, cbor_head(0, n)).otherwise(cbor_head(1, -1 - n))
+def cbor_head(major: int, e: str | int) -> Column:
+    """CBOR head for a non-negative integer of up to DECIMAL(20,0), shortest form."""
+    return F.lit(head(major, e)) if isinstance(e, int) else F.expr(_head_sql(major, e))
+
 
+def cbor_uint(e: str) -> Column:
+    return cbor_head(0, e)
 
-def cbor_text(col) -> Column:
-    raw = text_bytes(col)
-    return F.concat(cbor_head(3, F.octet_length(raw)), raw)
 
+def cbor_int(e: str) -> Column:
+    return F.expr(f"CASE WHEN {e} >= 0 THEN {_head_sql(0, e)} ELSE {_head_sql(1, f'(-1 - {e})')} END")
 
-def cbor_bytes(col) -> Column:
-    return F.concat(cbor_head(2, F.octet_length(_c(col))), _c(col))
+
+def cbor_text(e: str) -> Column:
+    return F.expr(_text_sql(e))
+
+
+def cbor_bytes(e: str) -> Column:
+    return F.expr(f"concat({_head_sql(2, f'octet_length({e})')}, {e})")
 
 
 def cbor_lit(value) -> Column:
-    """Constant text, non-negative integer or null."""
-    if value is None:
-        return F.lit(b"\xf6")
-    if isinstance(value, str):
-        return cbor_text(F.lit(value))
-    return cbor_uint(F.lit(value))
+    """Constant text, integer or null."""
+    return F.lit(to_cbor(value))
 
 
-def cbor_nullable(col, encoder=cbor_uint) -> Column:
-    return F.when(_c(col).isNull(), F.lit(b"\xf6")).otherwise(encoder(col))
+def cbor_nullable(e: str, encoder=cbor_uint) -> Column:
+    return F.coalesce(encoder(e), F.lit(b"\xf6"))
 
 
 def concat_binary(col) -> Column:
@@ -130,24 +133,24 @@ def concat_binary(col) -> Column:
 def cbor_map(entries) -> Column:
     """Map of ``(key, already encoded value)`` in length-then-bytes key order."""
     ordered = sorted(entries, key=lambda kv: (len(kv[0].encode()), kv[0].encode()))
-    parts = [cbor_head(5, F.lit(len(ordered)))]
+    parts = [cbor_head(5, len(ordered))]
     for key, value in ordered:
         parts += [cbor_lit(key), value]
     return F.concat(*parts)
 
 
-def cbor_text_array(col) -> Column:
+def cbor_text_array(e: str) -> Column:
     """Array of equal-length hex digests encoded as CBOR text items."""
-    items = F.transform(_c(col), lambda h: F.concat(F.lit("7840"), F.hex(text_bytes(h))))
-    return F.concat(cbor_head(4, F.size(_c(col))), F.unhex(F.array_join(items, "")))
+    return F.expr(f"concat({_head_sql(4, f'size({e})')}, unhex(array_join("
+                  f"transform({e}, h -> concat('7840', hex(encode(h, 'UTF-8')))), '')))")
 
 
-def record_v2(pod_id, fc, ingest_time, device_time, kind, payload) -> Column:
-    """Seven-element canonical record; ``payload`` is already encoded."""
-    return F.concat(
-        F.lit(b"\x87\x01"), cbor_bytes(pod_id), cbor_uint(fc), cbor_uint(ingest_time),
-        cbor_nullable(device_time), cbor_uint(kind), payload,
-    )
+def record_v2(pod_id: str, fc: str, ingest_time: str, device_time: str | None, kind: str,
+              payload: Column) -> Column:
+    """Seven-element canonical record; ``pod_id`` is bytes, ``payload`` already encoded."""
+    at = F.lit(b"\xf6") if device_time is None else cbor_nullable(device_time)
+    return F.concat(F.lit(b"\x87\x01"), cbor_bytes(pod_id), cbor_uint(fc), cbor_uint(ingest_time),
+                    at, cbor_uint(kind), payload)
 
 
 # --- identifiers ------------------------------------------------------------------

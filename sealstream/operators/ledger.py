@@ -32,22 +32,22 @@ def positional_cbor(custom: str | None = None) -> Column:
     def real(name):
         return F.when(F.col(name).isNull(), F.lit(b"\xf6")).otherwise(f[name])
 
-    env = F.concat(C.cbor_head(4, F.lit(11)), C.cbor_uint(F.lit(1)), C.cbor_uint("sample_type"),
+    env = F.concat(C.cbor_head(4, 11), C.cbor_lit(1), C.cbor_uint("sample_type"),
                    C.cbor_int("start"), C.cbor_int("end"), real("value"), real("min"), real("max"),
                    real("mean"), C.cbor_nullable("count"), real("quality"), C.cbor_nullable("sensor_channel"))
-    payload = F.concat(C.cbor_uint(F.lit(0)), env)
+    payload = F.concat(C.cbor_lit(0), env)
     if custom is not None:
         payload = F.when(F.col(custom).isNull(), payload).otherwise(
-            F.concat(C.cbor_uint(F.lit(1)), C.cbor_bytes(custom)))
-    return F.concat(C.cbor_head(4, F.lit(7)), C.cbor_uint(F.lit(1)), C.cbor_bytes("pod_id"),
+            F.concat(C.cbor_lit(1), C.cbor_bytes(custom)))
+    return F.concat(C.cbor_head(4, 7), C.cbor_lit(1), C.cbor_bytes("pod_id"),
                     C.cbor_uint("fc"), C.cbor_int("ingest_time"), C.cbor_nullable("pod_time", C.cbor_int),
-                    C.cbor_uint("kind"), C.cbor_head(4, F.lit(2)), payload)
+                    C.cbor_uint("kind"), C.cbor_head(4, 2), payload)
 
 
 def provisioning_cbor() -> Column:
     """Positional bytes of a provisioning record (bytes columns except texts and times)."""
     return F.concat(
-        C.cbor_head(4, F.lit(8)), C.cbor_uint(F.lit(1)), C.cbor_bytes("device_id"),
+        C.cbor_head(4, 8), C.cbor_lit(1), C.cbor_bytes("device_id"),
         C.cbor_text("firmware_version"), C.cbor_bytes("firmware_hash"), C.cbor_bytes("identity_pubkey"),
         C.cbor_bytes("birth_cert_sig"), C.cbor_int("provisioned_at"), C.cbor_nullable("site_id", C.cbor_text))
 
@@ -81,8 +81,8 @@ def build_day_records(blocks: DataFrame) -> DataFrame:
 
 
 def _hash_items(nodes: str) -> Column:
-    items = F.transform(nodes, lambda b: F.concat(F.lit("7840"), F.hex(C.text_bytes(F.lower(F.hex(b))))))
-    return F.unhex(F.array_join(items, ""))
+    return F.expr(f"unhex(array_join(transform({nodes}, b -> concat('7840', "
+                  "hex(encode(lower(hex(b)), 'UTF-8')))), ''))")
 
 
 def day_parts(leaves: DataFrame) -> DataFrame:
@@ -99,14 +99,14 @@ def day_parts(leaves: DataFrame) -> DataFrame:
         C.hex_lower("root").alias("merkle_root"), F.col("leaf_count").alias("count")))
     t, u = C.cbor_text, C.cbor_uint
     first = F.concat(
-        C.cbor_head(5, F.lit(6)), C.cbor_lit("date"), t("date"), C.cbor_lit("batches"),
-        C.cbor_head(4, F.lit(1)), C.cbor_head(5, F.lit(7)), C.cbor_lit("day"), t("date"),
+        C.cbor_head(5, 6), C.cbor_lit("date"), t("date"), C.cbor_lit("batches"),
+        C.cbor_head(4, 1), C.cbor_head(5, 7), C.cbor_lit("day"), t("date"),
         C.cbor_lit("count"), u("count"), C.cbor_lit("site_id"), t("site_id"), C.cbor_lit("version"),
-        u(F.lit(1)), C.cbor_lit("batch_id"), t("batch_id"), C.cbor_lit("leaf_hashes"),
-        C.cbor_head(4, F.col("count")))
+        C.cbor_lit(1), C.cbor_lit("batch_id"), t("batch_id"), C.cbor_lit("leaf_hashes"),
+        C.cbor_head(4, "count"))
     last = F.concat(
         C.cbor_lit("merkle_root"), t("day_root"), C.cbor_lit("site_id"), t("site_id"),
-        C.cbor_lit("version"), u(F.lit(1)), C.cbor_lit("day_root"), t("day_root"),
+        C.cbor_lit("version"), C.cbor_lit(1), C.cbor_lit("day_root"), t("day_root"),
         C.cbor_lit("prev_day_root"), t("prev_day_root"))
     ends = days.select("site_id", F.col("date").alias("day"), F.explode(F.array(
         F.struct(F.lit(-1).cast("bigint").alias("part"), first.alias("bytes")),
@@ -154,14 +154,14 @@ def segment_parts(segments: DataFrame, batches: DataFrame) -> DataFrame:
     t, u = C.cbor_text, C.cbor_uint
     counts = batches.groupBy(*SEG).agg(F.count(F.lit(1)).alias("_n"))
     full = segments.join(counts, SEG, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    head = F.concat(C.cbor_head(5, F.lit(10)), C.cbor_lit("batches"), C.cbor_head(4, F.col("_n")))
+    head = F.concat(C.cbor_head(5, 10), C.cbor_lit("batches"), C.cbor_head(4, "_n"))
     policy = C.cbor_map([
-        ("version", u(F.lit(1))), ("empty_mode", t("empty_mode")), ("interval_ms", u("interval_ms")),
+        ("version", C.cbor_lit(1)), ("empty_mode", t("empty_mode")), ("interval_ms", u("interval_ms")),
         ("record_limit", C.cbor_nullable("record_limit")),
         ("size_limit_bytes", C.cbor_nullable("size_limit_bytes")),
         ("batch_record_limit", u("batch_record_limit"))])
     tail = F.concat(
-        C.cbor_lit("site_id"), t("site_id"), C.cbor_lit("version"), u(F.lit(2)), C.cbor_lit("ledger_id"),
+        C.cbor_lit("site_id"), t("site_id"), C.cbor_lit("version"), C.cbor_lit(2), C.cbor_lit("ledger_id"),
         t("ledger_id"), C.cbor_lit("close_reason"), t("close_reason"), C.cbor_lit("segment_root"),
         t("segment_root"), C.cbor_lit("closure_policy"), policy, C.cbor_lit("segment_number"),
         u("segment_number"), C.cbor_lit("prev_segment_sha256"))
@@ -171,14 +171,14 @@ def segment_parts(segments: DataFrame, batches: DataFrame) -> DataFrame:
     sites = segments.select(*SEG, "site_id")
     body = batches.join(sites, SEG).select(
         *SEG, F.col("batch_number").cast("bigint").alias("part"), C.cbor_map([
-            ("count", u("count")), ("site_id", t("site_id")), ("version", u(F.lit(2))),
+            ("count", u("count")), ("site_id", t("site_id")), ("version", C.cbor_lit(2)),
             ("ledger_id", t("ledger_id")), ("leaf_hashes", C.cbor_text_array("leaf_hashes")),
             ("merkle_root", t("merkle_root")), ("batch_number", u("batch_number")),
             ("segment_number", u("segment_number"))]).alias("bytes"), F.lit(False).alias("last"))
     return ends.select(*SEG, "x.*").unionByName(body)
 
 
-def segment_end(prev: Column) -> Column:
+def segment_end(prev: str) -> Column:
     return F.concat(C.cbor_text(prev), C.cbor_lit("commitment_profile_id"), C.cbor_lit(V.PROFILE_V2))
 
 
@@ -223,7 +223,7 @@ def segment_artifacts(parts: DataFrame, chain: DataFrame) -> DataFrame:
     return body.join(chain, SEG).select(
         *SEG, "prev_segment_sha256", "artifact_sha256",
         F.concat(C.concat_binary(F.transform("_p", lambda x: x["bytes"])),
-                 segment_end(F.col("prev_segment_sha256"))).alias("artifact_cbor"))
+                 segment_end("prev_segment_sha256")).alias("artifact_cbor"))
 
 
 def seal(records: DataFrame, segments: DataFrame, batch_limit: int) -> tuple[DataFrame, DataFrame]:

@@ -37,8 +37,8 @@ def located(runs: DataFrame, group: list[str]) -> DataFrame:
     """Add ``start`` (0-based position of the first copy) and ``total`` leaves of the group."""
     # coalesce makes the bucket non-nullable, so the join below infers no null filter that
     # would evaluate the whole leaf expression a second time at the scan.
-    runs = runs.withColumn("_b", F.coalesce(
-        F.conv(F.substring(F.hex("leaf"), 1, 4), 16, 10).cast("int"), F.lit(0)))
+    runs = runs.withColumn("_b", F.expr(
+        "coalesce(cast(conv(substring(hex(leaf), 1, 4), 16, 10) as int), 0)"))
     in_bucket = Window.partitionBy(*group, "_b").orderBy("leaf")
     before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("_in", F.coalesce(F.sum("copies").over(before), F.lit(0)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators import evidence as E
+from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
 from sealstream.plans import ledger as G
 from sealstream.plans import scalars as X
@@ -130,14 +131,10 @@ def w02(spark, sf):
 # --- sealed segments as rows ---
 
 def chain_rows(spark, sf):
-    segs, batches = G.sealed(spark, sf)
-    chain = L.chain_segments(L.segment_parts(segs, batches))
+    segs, _, _, chain = G.chained(spark, sf)
     return segs.join(chain, L.SEG).withColumn("segment_number", F.col("segment_number").cast("bigint"))
 
 
-from sealstream.operators import ledger as L  # noqa: E402
-
-
 @query("j07_segment_links", f"""{G.CW} SELECT ledger_id, segment_number, CASE WHEN segment_number = 0 THEN 'epoch' WHEN segment_number % 10 = 4 THEN 'undisclosed'
   WHEN segment_number % 10 = 7 THEN 'broken' ELSE 'linked' END AS link FROM chn WHERE segment_number % 10 <> 3""")
 def j07(spark, sf):
@@ -267,9 +264,9 @@ def j12(spark, sf):
 
 
 @query("j13_cert_paths", """WITH RECURSIVE i AS (SELECT 'p' || p_partkey AS subject, 'p' || (p_partkey // 2) AS issuer FROM part UNION ALL SELECT 'p' || p_partkey, 'x' FROM part WHERE p_partkey % 37 = 0),
-  a AS (SELECT 'p0' AS subject), st AS (SELECT subject, count(*) AS n, max(anc) AS anc, min(issuer) AS nxt FROM (SELECT subject, issuer, 0 AS anc FROM i UNION ALL SELECT subject, NULL, 1 FROM a) GROUP BY 1),
-  w AS (SELECT s_suppkey AS cert_id, 'p' || s_suppkey * 3 AS at, CAST(NULL AS VARCHAR) AS state, 0 AS length FROM supplier
-   UNION ALL SELECT cert_id, nxt, CASE WHEN coalesce(n, 0) <> 1 THEN 'ambiguous' WHEN anc = 1 THEN 'anchored' END, length + 1 FROM w LEFT JOIN st ON subject = at WHERE state IS NULL AND length < 8)
+  a AS (SELECT 'p0' AS subject), st AS (SELECT subject, count(*) AS n, max(anc) AS anc, min(issuer) AS nxt FROM (SELECT subject, issuer, 0 AS anc FROM i WHERE subject <> 'p0' UNION ALL SELECT subject, NULL, 1 FROM a) GROUP BY 1),
+  w AS (SELECT s_suppkey AS cert_id, 'p' || s_suppkey * 3 AS cur, CAST(NULL AS VARCHAR) AS state, 0 AS length FROM supplier
+   UNION ALL SELECT cert_id, nxt, CASE WHEN coalesce(n, 0) <> 1 THEN 'ambiguous' WHEN anc = 1 THEN 'anchored' END, length + 1 FROM w LEFT JOIN st ON subject = cur WHERE state IS NULL AND length < 8)
   SELECT cert_id, coalesce(max(state), 'too_deep') AS state, CAST(max(length) AS BIGINT) AS length FROM w GROUP BY 1""")
 def j13(spark, sf):
     p = T.table(spark, sf, "part").select("p_partkey")

@@ -7,6 +7,7 @@ from sealstream.functions import values as V
 from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
 from sealstream.operators import producer as S
+from sealstream.operators.plan import staged
 from sealstream.plans import commitment as Q
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
@@ -183,17 +184,22 @@ CHAIN = f"""ls AS (SELECT ledger_id, segment_number, batch_number, string_agg('7
 CW = f"{Q.RWITH}, {SEGS}, {SROOT}, {BROOT}, {CHAIN}"
 
 
+def chained(spark, sf):
+    """(segments, batches, parts, chain); the sealed tables are written once, as a ledger does."""
+    segs, batches = (staged(df) for df in sealed(spark, sf))
+    parts = L.segment_parts(segs, batches)
+    return segs, batches, parts, L.chain_segments(parts)
+
+
 @query("c11_segment_chain", f"{CW} SELECT ledger_id, segment_number, prev AS prev_segment_sha256, sha AS artifact_sha256 FROM chn")
 def c11(spark, sf):
-    segs, batches = sealed(spark, sf)
-    return L.chain_segments(L.segment_parts(segs, batches)).drop("artifact_size")
+    return chained(spark, sf)[3].drop("artifact_size")
 
 
 @query("c10_segment_bytes", f"{CW} SELECT c.ledger_id, c.segment_number, length(h) // 2 + 66 + (SELECT length(tail) // 2 FROM fin) AS size, sha AS sha256 FROM chn c JOIN sg USING (ledger_id, segment_number)")
 def c10(spark, sf):
-    segs, batches = sealed(spark, sf)
-    parts = L.segment_parts(segs, batches)
-    art = L.segment_artifacts(parts, L.chain_segments(parts))
+    _, _, parts, chain = chained(spark, sf)
+    art = L.segment_artifacts(parts, chain)
     return T.big(art.select("ledger_id", "segment_number", F.octet_length("artifact_cbor").alias("size"),
                             C.sha256_hex("artifact_cbor").alias("sha256")))
 

@@ -55,7 +55,7 @@ def f05(spark, sf):
     return T.events(spark, sf).select(
         "event_id", C.hex_lower(C.cbor_head(0, "event_id")).alias("a"),
         C.hex_lower(C.cbor_head(3, "ingest_time")).alias("b"),
-        C.hex_lower(C.cbor_head(4, F.col("t_ms") * 1000)).alias("c"))
+        C.hex_lower(C.cbor_head(4, "(t_ms * 1000)")).alias("c"))
 
 
 _BASE = "strftime(to_timestamp(ingest_time), '%Y-%m-%dT%H:%M:%S')"

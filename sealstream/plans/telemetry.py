@@ -20,30 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    # Not cast to TIMESTAMP: the difference of two NTZ values ignores the session zone.
-    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
-    df = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", "value", micros.alias("us"))
-    site = F.concat(F.lit("site-"), F.pmod("user_id", F.lit(4)))
-    hour = F.expr(f"us div 3600000000 - {FIRST_HOUR} + 1")
-    kinds = F.create_map(*[F.lit(x) for kv in zip(
-        ["click", "error", "purchase", "signup", "view"], range(1, 6)) for x in kv])
-    return df.select(
-        F.col("event_id"), F.col("event_id").alias("arrival_seq"),
-        F.pmod("user_id", F.lit(65536)).cast("int").alias("dev_id"),
-        C.pod_id_hex("user_id").alias("pod_id"),
-        hour.alias("hour"),
-        F.when(F.col("event_id") % 17 == 0, F.greatest(hour - 3, F.lit(1)))
-        .when(F.col("event_id") % 53 == 0, hour + 500).otherwise(hour).alias("fc"),
-        F.coalesce(kinds[F.col("event_type")], F.lit(250)).alias("sample_type"),
-        F.round(F.col("value") * 100).cast("bigint").alias("cents"), "value",
-        F.expr("us div 1000000").alias("ingest_time"),
-        F.expr("us div 1000").alias("t_ms"),
-        F.coalesce(site, F.lit("")).alias("site_id"),
-        F.coalesce(F.md5(site.cast("binary")), F.lit("")).alias("ledger_id"),
-        F.coalesce(C.utc_day(F.expr("us div 1000000")), F.lit("")).alias("day"),
-    )
+    # timestampdiff over NTZ values ignores the session zone.
+    raw = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "value",
+        "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS us")
+    mid = raw.selectExpr(
+        "*", f"us div 3600000000 - {FIRST_HOUR} + 1 AS hour",
+        "coalesce(concat('site-', pmod(user_id, 4)), '') AS site_id")
+    return mid.selectExpr(
+        "event_id", "event_id AS arrival_seq", "cast(pmod(user_id, 65536) as int) AS dev_id",
+        "lower(lpad(hex(user_id), 16, '0')) AS pod_id", "hour",
+        "CASE WHEN event_id % 17 = 0 THEN greatest(hour - 3, 1) "
+        "WHEN event_id % 53 = 0 THEN hour + 500 ELSE hour END AS fc",
+        "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 "
+        "WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 250 END AS sample_type",
+        "cast(round(value * 100) as bigint) AS cents", "value", "us div 1000000 AS ingest_time",
+        "us div 1000 AS t_ms", "site_id", "coalesce(md5(cast(site_id as binary)), '') AS ledger_id",
+        "coalesce(substring(cast(timestampadd(SECOND, us div 1000000, "
+        "timestamp_ntz'1970-01-01 00:00:00') as string), 1, 10), '') AS day")
 
 
 EV = f"""ev AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN greatest(hour - 3, 1)
@@ -77,8 +71,7 @@ def duck_text(s: str) -> str:
 def records(ev: DataFrame) -> DataFrame:
     """Canonical v2 record bytes of each reading."""
     return ev.withColumn("record", C.record_v2(
-        F.unhex("pod_id"), F.col("fc"), F.col("ingest_time"), F.lit(None).cast("bigint"),
-        F.lit(1), C.cbor_uint("cents")))
+        "unhex(pod_id)", "fc", "ingest_time", None, "1", C.cbor_uint("cents")))
 
 
 REC = f"""rec AS (SELECT *, lower('870148' || pod_id || {duck_head(0, 'fc')} ||
