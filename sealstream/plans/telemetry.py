@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_events(table(spark, sf_dir, "events"))
+
+
+def from_events(table_or_stream: DataFrame) -> DataFrame:
     # timestampdiff over NTZ values ignores the session zone.
-    raw = table(spark, sf_dir, "events").selectExpr(
+    raw = table_or_stream.selectExpr(
         "event_id", "user_id", "event_type", "value",
         "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS us")
     mid = raw.selectExpr(
