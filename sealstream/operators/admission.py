@@ -26,24 +26,28 @@ def reject(df: DataFrame, case: Column) -> DataFrame:
 
 def classify_frames(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Parse frame lines; ``reason`` names the first failing field check."""
-    df = lines.withColumn("_v", F.try_parse_json(raw))
-    top = df.select("*", C.json_type("_v", "$").alias("_t"), C.json_type("_v", "$.hdr").alias("_h"))
     limits = [("dev_id", 65535), ("msg_type", 255), ("fc", 2**32 - 1), ("flags", 255)]
-    top = top.withColumns({n: C.json_uint("_v", f"$.hdr.{n}", m) for n, m in limits})
     blobs = ["nonce", "ct", "tag"]
-    top = top.withColumns({f"_{n}t": C.json_type("_v", f"$.{n}") for n in blobs})
-    top = top.withColumns({n: C.b64_or_null(C.json_text("_v", f"$.{n}")) for n in blobs})
-    checks = [("invalid_json", F.col("_v").isNull()),
-              ("missing_frame_fields", (F.col("_t") != "OBJECT") | F.col("_h").isNull()),
-              ("invalid_hdr", F.col("_h") != "OBJECT")]
+    # One step per attribute, so every item is taken out of the document once.
+    df = lines.withColumn("_v", F.try_parse_json(raw))
+    df = df.withColumns({"_hdr": C.json_item("_v", "$.hdr"), **{f"_{n}": C.json_item("_v", f"$.{n}") for n in blobs}})
+    df = df.withColumns({"_hdr_t": F.schema_of_variant("_hdr"), **{f"_{n}_t": F.schema_of_variant(f"_{n}") for n in blobs}})
+    df = df.withColumns({
+        **{n: C.json_uint("_hdr", f"$.{n}", m) for n, m in limits},
+        **{f"_{n}_s": F.when(F.col(f"_{n}_t") == "STRING", F.try_variant_get(f"_{n}", "$", "string")) for n in blobs}})
+    df = df.withColumns({f"_{n}_b": F.try_to_binary(f"_{n}_s", F.lit("base64")) for n in blobs})
+    df = df.withColumns({n: F.when(F.translate(F.base64(f"_{n}_b"), "\r\n", "") == F.col(f"_{n}_s"), F.col(f"_{n}_b"))
+                         for n in blobs})
+    checks = [("invalid_json", F.col("_v").isNull()), ("missing_frame_fields", F.col("_hdr").isNull()),
+              ("invalid_hdr", ~F.col("_hdr_t").startswith("OBJECT"))]
     checks += [("invalid_hdr_types", F.col(n).isNull()) for n, _ in limits]
     for n in blobs:
-        checks += [("missing_frame_fields", F.col(f"_{n}t").isNull()),
-                   ("invalid_frame_types", F.col(f"_{n}t") != "STRING"),
+        checks += [("missing_frame_fields", F.col(f"_{n}_t").isNull()),
+                   ("invalid_frame_types", F.col(f"_{n}_t") != "STRING"),
                    ("invalid_base64", F.col(n).isNull())]
-    out = top.withColumn("reason", C.first_failure(checks))
-    fields = [*(n for n, _ in limits), *blobs, "reason"]
-    return pinned(out.select(*lines.columns, *fields), {n: F.col(n) for n in fields})
+    fields = [*(n for n, _ in limits), *blobs]
+    return pinned(df.select(*lines.columns, *fields, C.first_failure(checks).alias("reason")),
+                  {n: F.col(n) for n in [*fields, "reason"]})
 
 
 def check_profile(frames: DataFrame, col: str = "ingest_profile") -> DataFrame:
