@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
-from sealstream.operators.plan import previous_row, running_max_before
+from sealstream.operators.plan import previous_row, running_max_before, salted_join
 
 
 # --- files and references -------------------------------------------------------
@@ -249,7 +249,7 @@ def applicable_revocations(certs: DataFrame, lists: DataFrame, revoked: DataFram
     """
     per_issuer = lists.groupBy("issuer").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("list_id", "this_update", "next_update")).alias("_l"))
-    joined = certs.join(per_issuer, "issuer", "left").withColumn("list_id", F.col("_l.list_id"))
+    joined = salted_join(certs, per_issuer, ["issuer"], ["cert_id"]).withColumn("list_id", F.col("_l.list_id"))
     entries = revoked.groupBy("list_id", "serial").agg(F.min("revoked_at").alias("_r"))
     joined = joined.join(entries, ["list_id", "serial"], "left")
     t = F.col("gen_time")
@@ -281,7 +281,7 @@ def walk_cert_paths(signers: DataFrame, intermediates: DataFrame, anchors: DataF
                            F.when(open_, state).otherwise(F.col("state")).alias("state"),
                            F.when(open_, F.lit(level)).otherwise(F.col("length")).alias("length"))
     walk = walk.select(F.col("start").alias("issuer"), F.coalesce("state", F.lit("too_deep")).alias("state"), "length")
-    return signers.join(walk, "issuer", "left")
+    return salted_join(signers, walk, ["issuer"], ["cert_id"])
 
 
 def check_tokens(tokens: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
 from sealstream.operators.admission import sample_types
-from sealstream.operators.plan import pinned
+from sealstream.operators.plan import pinned, salted_join
 
 TIMES = ["phenomenon_time_start", "phenomenon_time_end", "result_time"]
 
@@ -27,7 +27,8 @@ def resolve_sensor_identity(facts: DataFrame, provisioning: DataFrame) -> DataFr
     context = provisioning.select(
         "pod_id", F.col("site_id").alias("_site"), "sensor_key_override", "deployment_sensor_key",
         "provisioning_sensor_key", "provisioning_identity")
-    joined = facts.join(context, "pod_id", "left")
+    # A pod may hold a large share of all facts.
+    joined = salted_join(facts, context, ["pod_id"], ["ingest_time"])
     sensor = F.coalesce(
         "sensor_key_override", "deployment_sensor_key", "provisioning_sensor_key",
         C.derived_sensor_key("provisioning_identity", "observed_property_key", "sensor_channel"))

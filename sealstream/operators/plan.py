@@ -90,3 +90,13 @@ def running_max_before(df: DataFrame, key: list[str], order: str, col: str, name
     inside = Window.partitionBy(*key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_q", F.max(col).over(inside)).join(tops, [*key, "_b"])
     return rows.select(*df.columns, F.greatest("_p", "_q").alias(name))
+
+
+def salted_join(rows: DataFrame, dim: DataFrame, keys: list[str], spread: list[str],
+                salts: int = 16) -> DataFrame:
+    """Left join of many rows per key with one row per key: each key's rows are spread over
+    ``salts`` tasks by a hash of their ``spread`` columns, the dimension row is repeated."""
+    lane = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
+        "_salt", F.col("_salt").cast("bigint"))
+    return rows.withColumn("_salt", lane).join(copies, [*keys, "_salt"], "left").drop("_salt")

@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,87 @@ def produce_segments(events: DataFrame, policy: Policy, origin_ms: int | None =
     return ordered.mapInPandas(fold, OUTCOME)
 
 
+def _assign(policy: Policy, ledger: Ledger, t: np.ndarray, size: np.ndarray) -> tuple:
+    """Segment number, interval start and limit reason of consecutive records of one ledger.
+
+    Works a segment at a time: its end is the nearest of the interval boundary, the record
+    limit and the size limit, each found by search in sorted arrays.
+    """
+    n = len(t)
+    number, opened = np.empty(n, np.int64), np.empty(n, np.int64)
+    reason = np.full(n, None, object)
+    latest = np.maximum.accumulate(t)
+    total = np.concatenate([[0], np.cumsum(size)])
+    i = 0
+    while i < n:
+        ledger.expire(int(t[i]))
+        stops = [(int(np.searchsorted(latest, ledger.opened + policy.interval_ms)), None)]
+        if policy.size_limit_bytes is not None:
+            need = total[i] + policy.size_limit_bytes - ledger.size
+            stops.append((int(np.searchsorted(total, need)), "size_limit"))
+        if policy.record_limit is not None:
+            stops.append((i + policy.record_limit - ledger.records, "record_limit"))
+        # Ties go to the size limit, then the record limit; a boundary before i + 1 is past.
+        end, why = min((max(s, i + 1), k is None, k != "size_limit", k) if k else (max(s, i), True, True, k)
+                       for s, k in stops)[::3]
+        if why is not None and end > n or why is None and end >= n:
+            end, why = n, None
+        number[i:end], opened[i:end] = ledger.number, ledger.opened
+        ledger.records += end - i
+        ledger.size += int(total[end] - total[i])
+        if why is not None:
+            reason[end - 1] = why
+            ledger.seal(int(t[end - 1]), why)
+        i = end
+    return number, opened, reason
+
+
+def assign_segments(records: DataFrame, policy: Policy, origin_ms: int = 0) -> DataFrame:
+    """Segments of plain records (ledger_id, seq, t_ms, size) under mixed limits: number,
+    ``opened_at`` of their interval and ``limit_reason`` on a record that closed its segment.
+
+    Same rules as produce_segments without controls, on trusted clocks. Only three numbers
+    per record pass through the fold, a whole Arrow batch at a time.
+    """
+    def fold(it):
+        current, ledger = None, None
+        for batch in it:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            t, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)] if len(ids) else [0]
+            parts = []
+            for a, b in zip(cuts, cuts[1:]):
+                if ids[a] != current:
+                    current, ledger = ids[a], Ledger(policy, origin_ms)
+                if t[a:b].min() < ledger.opened:
+                    raise ValueError(f"clock of {current} runs back; use produce_segments")
+                parts.append(_assign(policy, ledger, t[a:b], size[a:b]))
+                ledger.sealed = []
+            if parts:
+                number, opened, reason = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(number), pa.array(opened),
+                     pa.array(reason, pa.string())],
+                    names=["ledger_id", "seq", "segment_number", "opened_at", "limit_reason"])
+
+    slim = records.selectExpr("ledger_id", "cast(seq as bigint) seq", "cast(t_ms as bigint) t_ms",
+                              "cast(size as bigint) size")
+    ordered = slim.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq")
+    return ordered.mapInArrow(
+        fold, "ledger_id string, seq bigint, segment_number bigint, opened_at bigint, limit_reason string")
+
+
+def segments_of(assigned: DataFrame) -> DataFrame:
+    """One row per occupied segment: records, opened_at, close_reason (NULL while open)."""
+    segs = assigned.groupBy("ledger_id", "segment_number").agg(
+        F.count(F.lit(1)).alias("records"), F.min("opened_at").alias("opened_at"),
+        F.max("limit_reason").alias("_r"))
+    last = segs.groupBy("ledger_id").agg(F.max("segment_number").alias("_last"))
+    return segs.join(last, "ledger_id").select(
+        "ledger_id", "segment_number", "records", "opened_at",
+        F.coalesce("_r", F.when(F.col("segment_number") < F.col("_last"), "interval")).alias("close_reason"))
+
+
 def sealed_segments(outcomes: DataFrame) -> DataFrame:
     """One row per sealed segment: number, reason, records, opened_at."""
     runs = outcomes.select("ledger_id", F.inline("sealed"))

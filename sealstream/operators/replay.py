@@ -192,12 +192,22 @@ def snapshot_replay(decisions: DataFrame, window: int = V.REPLAY_WINDOW, key: st
         old = initial.select(key, F.explode(F.array_union(
             F.col("seen").cast("array<bigint>"), F.array(F.col("highest").cast("bigint")))).alias("_fc"))
         admitted = admitted.unionByName(old).distinct()
-    # Highest per slice of counters first, so no device is gathered whole.
-    top = admitted.groupBy(key).agg(F.max("_fc").alias("highest"))
-    kept = admitted.join(top, key).filter(F.col("_fc") >= F.col("highest") - window)
-    return kept.groupBy(key).agg(
-        F.lit(1).alias("version"), F.lit(window).alias("window_size"), F.max("highest").alias("highest"),
-        F.sort_array(F.collect_list("_fc")).alias("seen"))
+    # Counters are unique, so a bucket of window + 1 of them is a bounded list, and the kept
+    # ones lie in a device's last two buckets. Both steps combine before their shuffle.
+    width = window + 1
+    lists = admitted.groupBy(key, F.expr(f"_fc div {width}").alias("_b")).agg(
+        F.collect_set("_fc").alias("_c"))
+    none = F.lit(None).cast("array<bigint>")
+    pairs = lists.select(key, "_b", F.col("_c").alias("cur"), none.alias("prev")).unionByName(
+        lists.select(key, (F.col("_b") + 1).alias("_b"), none.alias("cur"), F.col("_c").alias("prev")))
+    buckets = pairs.groupBy(key, "_b").agg(F.max("cur").alias("cur"), F.max("prev").alias("prev"))
+    last = buckets.filter("cur is not null").groupBy(key).agg(
+        F.max_by(F.struct("cur", "prev"), "_b").alias("_l"))
+    highest = F.array_max("_l.cur")
+    near = F.concat("_l.cur", F.coalesce("_l.prev", F.array().cast("array<bigint>")))
+    return last.select(
+        key, F.lit(1).alias("version"), F.lit(window).alias("window_size"), highest.alias("highest"),
+        F.sort_array(F.filter(near, lambda x: x >= highest - window)).alias("seen"))
 
 
 def restore_replay(snapshots: DataFrame) -> DataFrame:

@@ -227,20 +227,26 @@ STEP = f"""oo AS (SELECT ledger_id, t_ms, length(record_hex) // 2 AS size, event
    FROM st s JOIN oo o ON o.ledger_id = s.ledger_id AND o.i = s.i + 1)))"""
 
 
-def outcomes(spark, sf):
-    return S.produce_segments(S.as_events(records(spark, sf)), POL, ORIGIN)
+def assigned(spark, sf):
+    return S.assign_segments(records(spark, sf), POL, ORIGIN)
 
 
-@query("t06_producer", f"WITH RECURSIVE {T.EV}, {T.REC}, {STEP} SELECT event_id, seg AS segment_number, ledger_id FROM st WHERE i > 0")
+@query("t06_producer", f"""WITH RECURSIVE {T.EV}, {T.REC}, {STEP} SELECT event_id, seg AS segment_number, ledger_id, closed AS limit_reason FROM st WHERE i > 0""")
 def t06(spark, sf):
-    return outcomes(spark, sf).select(F.col("seq").alias("event_id"), "segment_number", "ledger_id")
+    return assigned(spark, sf).select(F.col("seq").alias("event_id"), "segment_number", "ledger_id", "limit_reason")
 
 
-@query("t05_limit_closes", f"""WITH RECURSIVE {T.EV}, {T.REC}, {STEP} SELECT ledger_id, closed AS close_reason, count(*) AS segments
-  FROM st WHERE closed IS NOT NULL GROUP BY ALL""")
+@query("t06_control_events", f"WITH RECURSIVE {T.EV}, {T.REC}, {STEP} SELECT event_id, seg AS segment_number, ledger_id FROM st WHERE i > 0")
+def t06c(spark, sf):
+    return S.produce_segments(S.as_events(records(spark, sf)), POL, ORIGIN).select(
+        F.col("seq").alias("event_id"), "segment_number", "ledger_id")
+
+
+@query("t05_limit_closes", f"""WITH RECURSIVE {T.EV}, {T.REC}, {STEP}, g AS (SELECT ledger_id, seg, max(closed) AS c FROM st WHERE i > 0 GROUP BY ALL),
+  m AS (SELECT ledger_id, max(seg) AS m FROM g GROUP BY 1) SELECT ledger_id, CASE WHEN c IS NULL AND seg < m THEN 'interval' ELSE c END AS close_reason, count(*) AS segments
+  FROM g JOIN m USING (ledger_id) GROUP BY ALL""")
 def t05(spark, sf):
-    segs = S.sealed_segments(outcomes(spark, sf)).filter("close_reason <> 'interval'")
-    return segs.groupBy("ledger_id", "close_reason").agg(F.count(F.lit(1)).alias("segments"))
+    return S.segments_of(assigned(spark, sf)).groupBy("ledger_id", "close_reason").agg(F.count(F.lit(1)).alias("segments"))
 
 
 @query("t05_record_limit", f"{Q.WITH} SELECT event_id, (row_number() OVER (PARTITION BY ledger_id ORDER BY event_id) - 1) // 25 AS segment_number FROM ev")
