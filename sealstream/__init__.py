@@ -1 +1,24 @@
 """Verifiable device telemetry on Spark: admission, commitment, projection, verification."""
+
+from __future__ import annotations
+
+import os
+import zipfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors, once per application, so Python workers can import
+    it wherever the session was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(context._temp_dir, "sealstream.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)

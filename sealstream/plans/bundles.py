@@ -165,7 +165,7 @@ def v08(spark, sf):
     return B.triage_proofs(B.parse_proofs(proofs(spark, sf)), True).select("event_id", "status", "reason", "own_status")
 
 
-@query("u04_describe_proof", f"""SELECT event_id, 0 AS step_no, CASE event_id % 9 WHEN 2 THEN 'append 11223344' ELSE 'sha256' END AS step FROM events WHERE event_id % 9 IN (2, 3)
+@query("u04_describe_proof", f"""SELECT event_id, CAST(0 AS BIGINT) AS step_no, CASE event_id % 9 WHEN 2 THEN 'append 11223344' ELSE 'sha256' END AS step FROM events WHERE event_id % 9 IN (2, 3)
   UNION ALL SELECT event_id, 1, CASE event_id % 9 WHEN 2 THEN 'sha256' ELSE 'verify BitcoinBlockHeaderAttestation(358391)' END FROM events WHERE event_id % 9 IN (2, 3)
   UNION ALL SELECT event_id, 2, 'verify PendingAttestation(a.b/c)' FROM events WHERE event_id % 9 = 2""")
 def u04(spark, sf):
@@ -195,7 +195,7 @@ def written(spark, sf):
     return root
 
 
-@query("s05_day_bundle_scan", f"""{W} SELECT bundle, site_id AS site, day, 1 AS version, k <> 12 AS canonical FROM bk""")
+@query("s05_day_bundle_scan", f"""{W} SELECT bundle, site_id AS site, day, CAST(1 AS BIGINT) AS version, k <> 12 AS canonical FROM bk""")
 def s05(spark, sf):
     rows = B.check_day_bytes(B.parse_bundles(A.scan_day_bundles(spark, written(spark, sf))))
     return T.big(rows.select("bundle", F.col("manifest.site").alias("site"), F.col("block.day").alias("day"),
@@ -207,7 +207,7 @@ def s04(spark, sf):
     return A.scan_fact_artifacts(spark, written(spark, sf)).select("bundle", "path")
 
 
-@query("s06_segment_bundle_scan", """SELECT 'seg-' || n_nationkey AS bundle, 2 AS version, sha256('segment' || n_name) AS sha256 FROM nation""")
+@query("s06_segment_bundle_scan", """SELECT 'seg-' || n_nationkey AS bundle, CAST(2 AS BIGINT) AS version, sha256('segment' || n_name) AS sha256 FROM nation""")
 def s06(spark, sf):
     n = T.table(spark, sf, "nation")
     name = F.concat(F.lit("seg-"), "n_nationkey", F.lit("/"))

@@ -84,7 +84,7 @@ def v22(spark, sf):
 
 # --- multisets over the leaves of orders ---
 
-@query("x01_multiset_diff", """WITH a AS (SELECT l_partkey % 50 AS k, l_linenumber AS n FROM lineitem), b AS (SELECT l_partkey % 50 AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey % 1000 > 0),
+@query("x01_multiset_diff", """WITH a AS (SELECT l_partkey % 50 AS k, CAST(l_linenumber AS BIGINT) AS n FROM lineitem), b AS (SELECT l_partkey % 50 AS k, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey % 1000 > 0),
   ca AS (SELECT k, n, count(*) AS c FROM a GROUP BY ALL), cb AS (SELECT k, n, count(*) AS c FROM b GROUP BY ALL)
   SELECT coalesce(ca.k, cb.k) AS k, coalesce(ca.n, cb.n) AS n, coalesce(ca.c, 0) AS left_copies, coalesce(cb.c, 0) AS right_copies
   FROM ca FULL JOIN cb ON ca.k = cb.k AND ca.n = cb.n WHERE coalesce(ca.c, 0) <> coalesce(cb.c, 0)""")

@@ -53,7 +53,7 @@ def u06(spark, sf):
 
 
 BLK = f"""{Q.LEAF1}, {T.duck_roots('r', 'l1', 'site_id, day', 1)},
- blk AS (SELECT 1 AS version, site_id, day, site_id || '-' || day || '-00' AS batch_id, root AS merkle_root, leaf_count AS count FROM r)"""
+ blk AS (SELECT CAST(1 AS BIGINT) AS version, site_id, day, site_id || '-' || day || '-00' AS batch_id, root AS merkle_root, leaf_count AS count FROM r)"""
 
 
 @query("c08_block_headers", f"{Q.RWITH}, {BLK} SELECT * FROM blk")
@@ -61,7 +61,7 @@ def c08(spark, sf):
     return T.big(L.build_block_headers(Q.leaves(spark, sf, 1)))
 
 
-DAYS = """dys AS (SELECT 1 AS version, site_id, day AS date, lag(merkle_root, 1, repeat('0', 64)) OVER (PARTITION BY site_id ORDER BY day)
+DAYS = """dys AS (SELECT CAST(1 AS BIGINT) AS version, site_id, day AS date, lag(merkle_root, 1, repeat('0', 64)) OVER (PARTITION BY site_id ORDER BY day)
   AS prev_day_root, batch_id, count, merkle_root AS day_root FROM blk)"""
 
 
@@ -269,7 +269,7 @@ def t08(spark, sf):
         "event_id", "t_ms", "highest_before")
 
 
-@query("t09_late_records", f"""{Q.WITH} SELECT event_id, (t_ms - {ORIGIN}) // {INTERVAL} AS interval_no, CASE WHEN event_id % 5 = 0 THEN 30000000 ELSE 0 END AS lateness_ms FROM ev""")
+@query("t09_late_records", f"""{Q.WITH} SELECT event_id, (t_ms - {ORIGIN}) // {INTERVAL} AS interval_no, CAST(CASE WHEN event_id % 5 = 0 THEN 30000000 ELSE 0 END AS BIGINT) AS lateness_ms FROM ev""")
 def t09(spark, sf):
     rec = records(spark, sf).withColumn("reading_ms", F.expr("t_ms - CASE WHEN event_id % 5 = 0 THEN 30000000 ELSE 0 END"))
     return S.assign_late(rec, INTERVAL, ORIGIN).select("event_id", "interval_no", "lateness_ms")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from sealstream import ship
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -10,7 +14,13 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -171,7 +171,7 @@ def broken(spark, sf):
 
 
 @query("p19_decode_records", f"""{W} SELECT event_id, ok, CASE WHEN ok THEN pod_id END AS device_id, CASE WHEN ok THEN fc END AS fc,
-  CASE WHEN ok THEN ingest_time END AS ingest_time, CASE WHEN ok THEN 1 END AS kind
+  CASE WHEN ok THEN ingest_time END AS ingest_time, CASE WHEN ok THEN CAST(1 AS BIGINT) END AS kind
   FROM (SELECT *, event_id % 10 NOT IN (1, 2, 3, 4, 5, 6, 7) AS ok FROM ev)""")
 def p19(spark, sf):
     df = broken(spark, sf).withColumn("m", K.record_meta("record"))

@@ -49,8 +49,8 @@ EV = f"""ev AS (SELECT *, CASE WHEN event_id % 17 = 0 THEN greatest(hour - 3, 1)
   SELECT event_id, event_id AS arrival_seq, user_id % 65536 AS dev_id,
    lpad(lower(to_hex(user_id)), 16, '0') AS pod_id,
    epoch_us(ts) // 3600000000 - {FIRST_HOUR} + 1 AS hour,
-   CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3
-     WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 250 END AS sample_type,
+   CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3
+     WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 250 END AS BIGINT) AS sample_type,
    CAST(round(value * 100) AS BIGINT) AS cents, value,
    epoch_us(ts) // 1000000 AS ingest_time, epoch_us(ts) // 1000 AS t_ms,
    'site-' || (user_id % 4) AS site_id, md5('site-' || (user_id % 4)) AS ledger_id,
