@@ -291,16 +291,22 @@ def a07(spark, sf):
     return S.top_close_reason(o, ["o_custkey"])
 
 
-IDEM = """req AS (SELECT event_id AS seq, ledger_id, 'k' || (event_id % 400) AS key, sha256('' || (event_id // 800 % 3)) AS digest FROM ev WHERE event_id >= 1000),
- sto AS (SELECT ledger_id, 'k' || (event_id % 400) AS key, sha256('' || (event_id // 800 % 3)) AS digest FROM ev WHERE event_id < 200),
+# Every reading is a request; the customers are the outcomes stored before.
+IDEM = """req AS (SELECT event_id AS seq, ledger_id, 'k' || (event_id % 400) AS key, sha256('' || (event_id // 800 % 3)) AS digest FROM ev),
+ sto AS (SELECT md5('site-' || (c_custkey % 4)) AS ledger_id, 'k' || (c_custkey % 1600) AS key, min(sha256('' || (c_custkey // 800 % 3))) AS digest FROM customer GROUP BY ALL),
  fst AS (SELECT ledger_id, key, arg_min(digest, o) AS d, min(o) AS o FROM (SELECT *, -1 AS o FROM sto UNION ALL SELECT ledger_id, key, digest, seq FROM req) GROUP BY ALL)"""
 
 
+def requests(ev):
+    return ev.selectExpr("event_id AS seq", "ledger_id", "concat('k', event_id % 400) AS key",
+                         "sha2(cast(event_id div 800 % 3 as string), 256) AS digest")
+
+
 def idempotency(spark, sf):
-    ev = T.events(spark, sf).select(
-        F.col("event_id").alias("seq"), "ledger_id", F.concat(F.lit("k"), F.col("event_id") % 400).alias("key"),
-        F.sha2(F.expr("cast(event_id div 800 % 3 as string)"), 256).alias("digest"))
-    return ev.filter("seq >= 1000"), ev.filter("seq < 200").drop("seq")
+    stored = T.table(spark, sf, "customer").selectExpr(
+        "md5(cast(concat('site-', c_custkey % 4) as binary)) AS ledger_id", "concat('k', c_custkey % 1600) AS key",
+        "sha2(cast(c_custkey div 800 % 3 as string), 256) AS digest")
+    return requests(T.events(spark, sf)), stored.groupBy("ledger_id", "key").agg(F.min("digest").alias("digest"))
 
 
 IDEMQ = """SELECT seq, CASE WHEN f.o = seq THEN 'new' WHEN f.d = r.digest THEN 'replay' ELSE 'conflict' END AS outcome

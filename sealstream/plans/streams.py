@@ -34,10 +34,8 @@ FIRST = "fst AS (SELECT ledger_id, key, arg_min(digest, seq) AS d, min(seq) AS o
 
 @query("t03_idempotency_stream", f"{G.Q.WITH}, {G.IDEM[:G.IDEM.index('fst AS')]} {FIRST} {G.IDEMQ}")
 def t03(spark, sf):
-    ev = event_stream(spark, sf).select(
-        F.col("event_id").alias("seq"), "ledger_id", F.concat(F.lit("k"), F.col("event_id") % 400).alias("key"),
-        F.sha2(F.expr("cast(event_id div 800 % 3 as string)"), 256).alias("digest"))
-    return J.run_available(ST.admit_idempotent_stream(ev.filter("seq >= 1000")), *paths(spark)).select("seq", "outcome")
+    out = ST.admit_idempotent_stream(G.requests(event_stream(spark, sf)))
+    return J.run_available(out, *paths(spark)).select("seq", "outcome")
 
 
 @query("t06_producer_stream", f"WITH RECURSIVE {T.EV}, {T.REC}, {G.STEP} SELECT event_id, seg AS segment_number, ledger_id FROM st WHERE i > 0")
