@@ -12,6 +12,7 @@ from sealstream.functions import codecs as K
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators import merkle as M
+from sealstream.operators.plan import staged
 
 
 def check_policy(policies: DataFrame) -> DataFrame:
@@ -226,10 +227,17 @@ def segment_artifacts(parts: DataFrame, chain: DataFrame) -> DataFrame:
                  segment_end("prev_segment_sha256")).alias("artifact_cbor"))
 
 
-def seal(records: DataFrame, segments: DataFrame, batch_limit: int) -> tuple[DataFrame, DataFrame]:
-    """(segments with root, batches) of records (SEG, record). Empty segments keep the empty root."""
+def seal(records: DataFrame, segments: DataFrame, batch_limit: int,
+         stage: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(segments with root, batches) of records (SEG, record). Empty segments keep the empty root.
+
+    One plan that uses both results sorts the leaves once; with ``stage`` the sorted leaves are
+    written first, for results that are written by separate jobs.
+    """
     leaves = records.select(*SEG, M.leaf_hash_v2("record").alias("leaf"))
     runs = M.sort_leaves(leaves, SEG)
+    if stage:
+        runs = staged(runs)
     batches = M.batch_lists(runs, SEG, batch_limit)
     roots = M.roots_of(runs, SEG, 2).select(*SEG, C.hex_lower("root").alias("_r"))
     rooted = segments.join(roots, SEG, "left").withColumn(

@@ -186,14 +186,13 @@ def inclusion_proofs(leaves: DataFrame, group: list[str], version: int,
         stacked = level.withColumn("_levels", F.expr(
             f"aggregate(slice(sequence(1, {BLOCK_BITS}), 1, {steps}), array(nodes), "
             f"(acc, s) -> concat(acc, array({_level(version, 'acc[s - 1]')})))"))
-        sibling = ("transform(slice(_levels, 1, size(_levels) - 1), (x, k) -> "
-                   "if(shiftright(p, k) ^ 1 < size(x), x[shiftright(p, k) ^ 1], "
-                   + ("x[shiftright(p, k)]" if version == 1 else "cast(null as binary)") + "))")
-        per_node = stacked.select(
-            *group, "part", "total",
-            F.expr("posexplode(nodes) as (p, node)"), "_levels",
-        ).select(*group, "part", "p", "total", F.expr(
-            f"filter({sibling}, y -> y is not null)").alias(f"_s{rnd}"))
+        own = "x[shiftright(p, k)]" if version == 1 else "cast(null as binary)"
+        sibling = (f"transform(slice(_levels, 1, size(_levels) - 1), (x, k) -> "
+                   f"if(shiftright(p, k) ^ 1 < size(x), x[shiftright(p, k) ^ 1], {own}))")
+        # Paths are built inside the block's row: exploding first would copy every level per leaf.
+        per_node = stacked.select(*group, "part", F.expr(
+            "inline(transform(sequence(0, size(nodes) - 1), p -> named_struct('p', p, "
+            f"'_s{rnd}', filter({sibling}, y -> y is not null))))"))
         paths.append(per_node)
         if rnd + 1 < ROUNDS:
             reduced = level.select(

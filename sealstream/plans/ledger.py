@@ -112,7 +112,7 @@ def records(spark, sf):
         F.octet_length("record").alias("size"), "event_id", "day")
 
 
-def sealed(spark, sf):
+def sealed(spark, sf, stage=False):
     rec = records(spark, sf)
     numbers = S.number_segments_suppress(rec, INTERVAL, ORIGIN)
     placed = S.close_intervals(rec, INTERVAL, ORIGIN).join(numbers, ["ledger_id", "interval_no"])
@@ -121,7 +121,7 @@ def sealed(spark, sf):
         "ledger_id", "segment_number", "site_id", "close_reason", F.lit(INTERVAL).cast("bigint").alias("interval_ms"),
         F.lit(BATCH).alias("batch_record_limit"), F.lit(None).cast("bigint").alias("record_limit"),
         F.lit(None).cast("bigint").alias("size_limit_bytes"), F.lit("suppress").alias("empty_mode"))
-    return L.seal(placed, segs, BATCH)
+    return L.seal(placed, segs, BATCH, stage)
 
 
 @query("c06_batches", f"""{Q.RWITH}, {SEGS}, {BROOT}, ls AS (SELECT ledger_id, segment_number, batch_number, string_agg(leaf, ',' ORDER BY leaf) AS leaves
@@ -186,7 +186,7 @@ CW = f"{Q.RWITH}, {SEGS}, {SROOT}, {BROOT}, {CHAIN}"
 
 def chained(spark, sf):
     """(segments, batches, parts, chain); the sealed tables are written once, as a ledger does."""
-    segs, batches = (staged(df) for df in sealed(spark, sf))
+    segs, batches = (staged(df) for df in sealed(spark, sf, stage=True))
     parts = L.segment_parts(segs, batches)
     return segs, batches, parts, L.chain_segments(parts)
 
