@@ -21,4 +21,8 @@ def ship(spark) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(target)
+    # Stateful streams first start a Python worker beside the driver, which sees the search
+    # path of the environment but not the added files.
+    paths = [context.environment.get("PYTHONPATH", ""), str(root.parent)]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     _shipped.add(context.applicationId)

@@ -206,25 +206,26 @@ _RFC3339 = (r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]
             r"(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z")
 
 
-def _epoch() -> Column:
-    # Zone-free: results do not depend on the session time zone.
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def parse_rfc3339(col) -> Column:
     """Unix seconds, or NULL when the text is not a valid RFC 3339 timestamp."""
     col = _c(col)
-    shaped = F.when(col.rlike(_RFC3339), col)
-    local = F.timestamp_diff("SECOND", _epoch(), F.substring(shaped, 1, 19).try_cast("timestamp_ntz"))
-    zone = F.substring(col, -6, 6)
+    text = F.when(col.rlike(_RFC3339), col)
+
+    def part(at: int) -> Column:
+        return F.substring(text, at, 2).try_cast("bigint")
+
+    days = F.datediff(F.substring(text, 1, 10).try_cast("date"), F.lit("1970-01-01").cast("date"))
+    local = days.cast("bigint") * 86400 + part(12) * 3600 + part(15) * 60 + part(18)
+    zone = F.substring(text, -6, 6)
     off = (F.substring(zone, 2, 2).try_cast("bigint") * 3600
            + F.substring(zone, 5, 2).try_cast("bigint") * 60)
-    return local - (F.when(col.endswith("Z"), F.lit(0)).when(zone.startswith("-"), -off).otherwise(off))
+    return local - (F.when(text.endswith("Z"), F.lit(0)).when(zone.startswith("-"), -off).otherwise(off))
 
 
 def utc_text(col) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` of unix seconds."""
-    return F.timestamp_add("SECOND", _c(col).cast("bigint"), _epoch()).cast("string")
+    """``yyyy-MM-dd HH:mm:ss`` of unix seconds; a zone-free timestamp ignores the session zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", _c(col).cast("bigint"), epoch).cast("string")
 
 
 def format_rfc3339(col) -> Column:

@@ -24,10 +24,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_events(table_or_stream: DataFrame) -> DataFrame:
-    # timestampdiff over NTZ values ignores the session zone.
+    # From the parts of the zone-free timestamp: no session zone takes part.
     raw = table_or_stream.selectExpr(
         "event_id", "user_id", "event_type", "value",
-        "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS us")
+        "datediff(cast(ts as date), date'1970-01-01') * 86400000000L + hour(ts) * 3600000000L "
+        "+ minute(ts) * 60000000L + cast(extract(SECOND FROM ts) * 1000000 as bigint) AS us")
     mid = raw.selectExpr(
         "*", f"us div 3600000000 - {FIRST_HOUR} + 1 AS hour",
         "coalesce(concat('site-', pmod(user_id, 4)), '') AS site_id")

@@ -141,10 +141,19 @@ def test_block_header_values(spark):
     ("2026-03-06T00:05:01Z", 1772755501), ("2026-03-06T01:05:01+01:00", 1772755501), ("2026-03-06T00:05:01.999Z", 1772755501),
     ("2024-02-29T00:00:00Z", 1709164800), ("2023-02-29T00:00:00Z", None), ("2026-03-06T24:00:00Z", None),
     ("2026-03-06 00:05:01Z", None), ("2026-03-06T00:05:01", None), ("2026-03-06T00:05:01.Z", None),
-    ("2026-03-06T00:05:01Z\n", None), ("1969-12-31T23:59:59Z", -1), ("2026-03-06T00:05:01-23:59", 1772841841)])
+    ("2026-03-06T00:05:01Z\n", None), ("1969-12-31T23:59:59Z", -1),
+    ("2024-03-10T02:30:00Z", 1710037800), ("2024-07-01T12:00:00Z", 1719835200), ("2024-11-03T06:30:00Z", 1730615400), ("2026-03-06T00:05:01-23:59", 1772841841)])
 def test_times(spark, text, seconds):
     df = spark.createDataFrame([(text,)], "t string").select(C.parse_rfc3339("t").alias("s"))
     row = df.select("s", C.format_rfc3339("s").alias("f")).first()
     assert row.s == seconds
     if text.endswith("Z") and seconds is not None and "." not in text:
         assert row.f == text
+
+
+def test_table_times_ignore_the_session_zone(spark):
+    """02:30 does not exist in the session's zone on that day."""
+    from sealstream.plans import telemetry as T
+    df = spark.sql("SELECT 1L event_id, timestamp_ntz'2024-03-10 02:30:00.000007' ts, 3L user_id, 'view' event_type, 1.0D value")
+    row = T.from_events(df).first()
+    assert (row.ingest_time, row.t_ms, row.day) == (1710037800, 1710037800000, "2024-03-10")
