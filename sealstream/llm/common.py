@@ -10,6 +10,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text of a document; NULL counts as empty."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -7,8 +7,8 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import exact, lines
-from sealstream.llm.common import table
+from sealstream.llm import exact, lines, packing
+from sealstream.llm.common import table, vocabulary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,10 @@ FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id"""
 def op6_line_dedup(spark, sf_dir):
     rows = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf_dir):
+    pieces = packing.document_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2,
+                                     keep_ids=False)
+    return packing.pack(pieces, capacity=1024)
