@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import exact, lines, packing
+from sealstream.llm import exact, lines, packing, tokens
 from sealstream.llm.common import table, vocabulary
+from sealstream.operators.plan import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +72,24 @@ def op3_best_fit_packing(spark, sf_dir):
     pieces = packing.document_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2,
                                      keep_ids=False)
     return packing.pack(pieces, capacity=1024)
+
+
+def ids_crc32(batches):
+    """Digest of each row's ids as little-endian unsigned 32-bit integers."""
+    for batch in batches:
+        lists = batch["ids"]
+        flat, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], batch["n_tokens"], pa.array(crc, pa.int64()), batch["file"], batch["row"]],
+            ["doc_id", "n_tokens", "ids_crc32", "file", "row"])
+
+
+@query("op7_token_output")
+def op7_token_output(spark, sf_dir):
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    rows = tokens.in_order(table(spark, sf_dir, "documents"))
+    tokens.write_tokens(tokens.encode_documents(rows, vocabulary("word_bpe_49k.json"), end_id=1), path)
+    read = tokens.read_tokens(spark, path).mapInArrow(
+        ids_crc32, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, row bigint")
+    return tokens.token_index(read).select("doc_id", "start", "n_tokens", "ids_crc32")
