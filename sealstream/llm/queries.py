@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import exact, lines, packing, tokens
+from sealstream.llm import exact, lines, packing, pieces, tokens
 from sealstream.llm.common import table, vocabulary
 from sealstream.operators.plan import shared_folder
 
@@ -93,3 +93,9 @@ def op7_token_output(spark, sf_dir):
     read = tokens.read_tokens(spark, path).mapInArrow(
         ids_crc32, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, row bigint")
     return tokens.token_index(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+                                   emit=pieces.digests, schema=pieces.DIGESTS)
