@@ -22,6 +22,13 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def carried(docs: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under plain inner names, and the inner name of each column to keep; columns named in
+    ``replaced`` are left out, so that new columns of those names cannot clash."""
+    back = {c: f"c_{i}" for i, c in enumerate(docs.columns) if c not in replaced}
+    return docs.select(*[F.col(f"`{c}`").alias(v) for c, v in back.items()]), back
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

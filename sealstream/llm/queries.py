@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import exact, lines, packing, pieces, tokens
+from sealstream.llm import exact, langid, lines, packing, pieces, quality, tokens
 from sealstream.llm.common import table, vocabulary
 from sealstream.operators.plan import shared_folder
 
@@ -99,3 +99,19 @@ def op7_token_output(spark, sf_dir):
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
                                    emit=pieces.digests, schema=pieces.DIGESTS)
+
+
+@query("op2_quality_resampling")
+def op2_quality_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.resample(docs.withColumnRenamed("doc_id", "id"), table(spark, sf_dir, "labels"), id_col="id")
+    return rows.select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "key", "kept")
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = langid.fit(docs.filter(rest != 1).select("text", "lang"))
+    rows = langid.classify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "sure")
