@@ -53,3 +53,21 @@ def lookup(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, spread
             1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int")))
     met = met.join(light, [*keys, "_scatter"], "left")
     return met.select(*rows.columns, *[F.coalesce(c, f"_h_{c}").alias(c) for c in values])
+
+
+def spread_join(rows: DataFrame, counted: DataFrame, dim: DataFrame, key: str, spread: str,
+                parts: int = 1000) -> DataFrame:
+    """Inner join with a table of wide rows, whose hot keys are repeated instead of broadcast.
+
+    ``counted`` has the keys of ``rows``, and is cheap to count. A key with more than 1/``parts`` of all rows, and there are
+    fewer than ``parts`` of those, is split into lanes of that many rows by a hash of ``spread``, and its row
+    of ``dim`` is repeated for each lane: at most 2 * ``parts`` repeated rows in all.
+    """
+    sizes = counted.groupBy(key).agg(F.count("*").alias("_n"))
+    lane = max(1, (counted.count() + parts - 1) // parts)
+    hot = F.broadcast(sizes.filter(F.col("_n") > lane).select(key, F.ceil(F.col("_n") / lane).cast("int").alias("_lanes")))
+    rows = rows.join(hot, key, "left").withColumn(
+        "_lane", F.pmod(F.xxhash64(spread), F.coalesce("_lanes", F.lit(1))).cast("int")).drop("_lanes")
+    dim = dim.join(hot, key, "left").withColumn(
+        "_lane", F.explode(F.sequence(F.lit(0), F.coalesce("_lanes", F.lit(1)) - 1))).drop("_lanes")
+    return rows.join(dim, [key, "_lane"]).drop("_lane")

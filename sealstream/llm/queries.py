@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import exact, langid, lines, packing, pieces, quality, tokens
+from sealstream.llm import exact, langid, lines, minhash, packing, pieces, quality, tokens
 from sealstream.llm.common import table, vocabulary
 from sealstream.operators.plan import shared_folder
 
@@ -115,3 +115,8 @@ def op9_language_id(spark, sf_dir):
     model = langid.fit(docs.filter(rest != 1).select("text", "lang"))
     rows = langid.classify(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "sure")
+
+
+@query("op10_minhash")
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
