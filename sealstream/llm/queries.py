@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import exact, langid, lines, minhash, packing, pieces, quality, tokens
+from sealstream.llm import ann, exact, langid, lines, minhash, packing, pieces, quality, tokens, urls
 from sealstream.llm.common import table, vocabulary
 from sealstream.operators.plan import shared_folder
 
@@ -120,3 +120,18 @@ def op9_language_id(spark, sf_dir):
 @query("op10_minhash")
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query("op1_nearest_vectors")
+def op1_nearest_vectors(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
