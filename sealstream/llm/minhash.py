@@ -41,7 +41,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """The distinct shingles of ``size`` words, as sorted 64-bit hashes of their words' hashes in order; of
     fewer words, the whole sequence as one."""
     if len(words) == 0:
-        return words
+        return np.empty(0, np.uint64)
     size = min(size, len(words))
     found = np.full(len(words) - size + 1, np.uint64(size))
     for k in range(size):
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
             for found in _sets(batch, size):
                 number.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                keys.append(band_keys(signature(found, bands * rows), bands).view(np.int64) if len(found) else [])
+                keys.append(band_keys(signature(found, bands * rows), bands).view(np.int64) if len(found) else np.empty(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, keys)], dtype=np.int32))
             flat = np.concatenate([np.empty(0, np.int64), *keys])
             yield pa.RecordBatch.from_arrays(
