@@ -98,5 +98,5 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     fields = [f"{v} {docs.schema[c].dataType.simpleString()}" for c, v in back.items()]
     out = rows.withColumn("_whole", whole_text(back[text_col])).mapInArrow(
         run, ", ".join([*fields, "lang_pred string", "score double"]))
-    out = out.withColumnsRenamed({v: c for c, v in back.items()})
-    return out.withColumn("sure", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin))
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)
+    return out.select(*[F.col(v).alias(c) for c, v in back.items()], "lang_pred", "score", sure.alias("sure"))

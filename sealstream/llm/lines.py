@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import lookup, lower_ascii, whole_text
+from sealstream.llm.common import carried, lookup, lower_ascii, whole_text
 from sealstream.operators.plan import staged
 
 
@@ -29,9 +29,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     NULL or empty text is one empty line. Rows of one id are one document for the count;
     rows are told apart by id and a hash of the text, so an id may repeat. Rows with a NULL id
     together count as one document that never holds the largest id. A document that loses all
-    its lines stays, with empty text. Other columns pass through.
+    its lines stays, with empty text. Other columns pass through, except those named n_lines or n_dropped.
     """
-    names = [id_col, text_col]
     body = docs.select(F.col(f"`{id_col}`").alias("_id"), whole_text(text_col).alias("_text"))
     body = body.withColumn("_row", F.xxhash64("_text"))
     lines = body.select("_id", "_row", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
@@ -47,8 +46,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = drops.groupBy(F.col("_id").alias("_d_id"), F.col("_row").alias("_d_row")).agg(
         F.collect_set("_pos").alias("_drop"))
 
-    rows = docs.withColumnsRenamed({c: f"c_{i}" for i, c in enumerate(docs.columns)})
-    at = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
+    rows, at = carried(docs, tuple({"n_lines", "n_dropped"} - {id_col, text_col}))
     rows = rows.withColumn("_text", whole_text(at[text_col])).withColumn("_row", F.xxhash64("_text"))
     rows = rows.join(drops, F.col(at[id_col]).eqNullSafe(F.col("_d_id")) & (F.col("_row") == F.col("_d_row")), "left")
     rows = rows.withColumn("_lines", F.split("_text", "\n"))
@@ -56,6 +54,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     return rows.select(
-        *[(text if c == text_col else F.col(at[c])).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped") or c in names],
+        *[(text if c == text_col else F.col(inner)).alias(c) for c, inner in at.items()],
         F.size("_lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint").alias("n_dropped"))

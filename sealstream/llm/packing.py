@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import whole_text
+from sealstream.llm.common import carried, whole_text
 from sealstream.llm.encoding import encoder
 from sealstream.operators.plan import staged
 
@@ -118,9 +118,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 1024, open_b
     columns named sequence_id or offset, which are replaced.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
-    names = {c: f"c_{i}" for i, c in enumerate(pieces.columns)}
-    rows = pieces.withColumnsRenamed(names)
+    rows, names = carried(pieces, ("sequence_id", "offset"))
     size = names[length]
     first = staged(_placed(rows, size, list(names.values()), None, capacity, open_bins))
     ends = first.filter("_end").select(F.col("_bin").alias("_old"), F.col(size).cast("bigint").alias("_used"))

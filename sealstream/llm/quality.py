@@ -91,7 +91,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     fields = [f"{v} {docs.schema[c].dataType.simpleString()}" for c, v in back.items()]
     out = rows.select(*names, "_noise", "_hashes").mapInArrow(
         score, ", ".join([*fields, "n_grams bigint", "log_weight double", "key double"]))
-    return out.withColumnsRenamed({v: c for c, v in back.items()})
+    return out.select(*[F.col(v).alias(c) for c, v in back.items()], "n_grams", "log_weight", "key")
 
 
 def kth_largest(rows: DataFrame, col: str, k: int, few: int = 4096) -> float | None:
@@ -165,7 +165,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, id_col
     known = labelled(labels.select(F.col("doc_id").alias(id_col), "quality"), most_labels, id_col)
     unseen = (F.col("quality") <= 0) | (F.pmod(F.xxhash64(F.lit("unseen"), id_col), F.lit(4)) == 0)
     ratios = fit(docs, known.filter(~unseen), id_col, text_col)
-    rows = staged(weigh(docs, ratios, id_col, text_col, seed))
+    rows = staged(weigh(docs.drop("kept"), ratios, id_col, text_col, seed))
     if keep is None:
         judged = rows.select(id_col, "log_weight").join(F.broadcast(known.filter(unseen)), id_col)
         cut = cut_between([(r.log_weight, int(r.quality > 0)) for r in judged.select("log_weight", "quality").limit(4 * most_labels).collect()])
