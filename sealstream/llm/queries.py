@@ -90,9 +90,9 @@ def op7_token_output(spark, sf_dir):
     path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     rows = tokens.in_order(table(spark, sf_dir, "documents"))
     tokens.write_tokens(tokens.encode_documents(rows, vocabulary("word_bpe_49k.json"), end_id=1), path)
-    read = tokens.read_tokens(spark, path).mapInArrow(
-        ids_crc32, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, row bigint")
-    return tokens.token_index(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read = tokens.read_tokens(spark, path)
+    digests = read.mapInArrow(ids_crc32, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, row bigint")
+    return tokens.with_starts(digests, read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query("op4_sentencepiece")

@@ -76,15 +76,16 @@ def read_tokens(spark, path: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def token_index(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``read_tokens``, or narrower ones, with start: the number of ids of all rows before.
+def with_starts(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` of ``read_tokens``, or narrower ones with file, row and n_tokens, with start: the number of ids of
+    all rows before.
 
-    Totals per file give each file its offset (one row per file in one task), and a window inside
-    each file does the rest.
+    Totals per file come from ``index``, the files' narrow columns, and give each file its offset (one row
+    per file in one task); a window inside each file does the rest.
     """
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_total"))
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("_total"))
     files = files.select("file", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     start = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return rows.withColumn("start", start).join(files, "file").withColumn(
