@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_cases import CLASHES, documents, hard_rows, words
+from llm_cases import CLASHES, documents, expected_lines, hard_rows, words
 from pyspark.sql import functions as F
 
 from sealstream.llm import exact, langid, lines, quality
@@ -42,25 +42,6 @@ def test_exact_dedup(spark, weak):
     assert exact.exact_dedup(documents(spark, []), **how).count() == 0
 
 
-def strip(line):
-    return line.strip("\t\n\x0b\x0c\r ").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
-def expected_lines(rows, min_chars=40, min_docs=5):
-    holders = {}
-    for i, text in rows:
-        for line in (text or "").split("\n"):
-            if len(strip(line)) >= min_chars:
-                holders.setdefault(strip(line), set()).add(i)
-    out = []
-    for i, text in rows:
-        parts = (text or "").split("\n")
-        stay = [p for p in parts if len(holders.get(strip(p), ())) < min_docs or len(strip(p)) < min_chars
-                or i is not None and i == max(x for x in holders[strip(p)] if x is not None)]
-        out.append((i, len(parts), len(parts) - len(stay), "\n".join(stay)))
-    return out
-
-
 def test_line_dedup(spark):
     rng = random.Random(3)
     common = [" ".join(words(s, 9))[:60] for s in range(6)]
