@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealstream.operators.plan import previous_row
+from sealstream.operators.plan import count_up, previous_row
 
 
 def rejection_report(rejections: DataFrame, dims: list[str]) -> DataFrame:
@@ -102,11 +102,12 @@ def detect_gaps(accepted: DataFrame, cadence_s: int) -> DataFrame:
 
 def classify_absences(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     """Counters between a device's first and last admitted one that were not admitted:
-    ``observed_rejected`` or ``not_observed``. Admitted counters advance by at most the replay
-    window, so each gap expands to a bounded range."""
+    ``observed_rejected`` or ``not_observed``. A gap of any width becomes
+    rows in two bounded steps."""
     seen = previous_row(accepted.select("dev_id", "fc"), ["dev_id"], "fc", ["fc"])
     holes = seen.filter("fc - prev_fc > 1").select(
-        "dev_id", F.explode(F.sequence(F.col("prev_fc") + 1, F.col("fc") - 1)).alias("fc"))
+        "dev_id", (F.col("prev_fc") + 1).alias("_from"), (F.col("fc") - 1).alias("_to"))
+    holes = count_up(holes, F.col("_from"), F.col("_to"), "fc").select("dev_id", "fc")
     refused = rejected.groupBy("dev_id", "fc").agg(F.min("reason").alias("reason"))
     return holes.join(refused, ["dev_id", "fc"], "left").withColumn(
         "status", F.when(F.col("reason").isNull(), "not_observed").otherwise("observed_rejected"))

@@ -100,3 +100,13 @@ def salted_join(rows: DataFrame, dim: DataFrame, keys: list[str], spread: list[s
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
         "_salt", F.col("_salt").cast("bigint"))
     return rows.withColumn("_salt", lane).join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def count_up(df: DataFrame, first: Column, last: Column, name: str, step: int = 65536) -> DataFrame:
+    """A row for each number from ``first`` to ``last``, in two steps, so that no array of a whole range is made; none
+    if ``last`` is smaller."""
+    rows = df.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    rows = rows.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_last - _first) div {step})")))
+    low = f"_first + _block * {step}"
+    rows = rows.withColumn(name, F.explode(F.expr(f"sequence({low}, least(_last, {low} + {step - 1}))")))
+    return rows.drop("_first", "_last", "_block")

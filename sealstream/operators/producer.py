@@ -1,15 +1,16 @@
 """Segment closure: which records each ledger's segments hold and why they close.
 
-With an interval alone, closure is arithmetic on time and fully parallel. Record and size
-limits restart the interval at the closing record, so each closure depends on the one
-before; that case is a fold per ledger over (time, size) in arrival order which keeps a few
-numbers in memory and never gathers a ledger. Hashing stays parallel in both cases.
+Between two closures that restart the clock (a limit reached, a control), intervals tile time from the point of the
+restart: a record's interval is a division, and it is refused if it lies before the latest interval reached. With an
+interval alone, or a record limit alone, closure is therefore arithmetic and fully parallel. With size limits or
+controls each restart depends on the one before; that case goes through a ledger once in arrival order, over
+arrays of (time, size), and keeps a few numbers. Hashing stays parallel in both cases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.functions import values as V
-from sealstream.operators.plan import running_max_before, running_totals
+from sealstream.operators.plan import count_up, running_max_before, running_totals
+
+WINDOW = 4096  # records looked at together
 
 
 @dataclass
@@ -28,85 +31,124 @@ class Policy:
     size_limit_bytes: int | None = None
     empty_mode: str = "suppress"
 
+    def valid(self) -> bool:
+        limits = [n for n in (self.interval_ms, self.record_limit, self.size_limit_bytes) if n is not None]
+        return self.interval_ms is not None and min(limits) > 0 and self.empty_mode in ("suppress", "emit")
+
     @classmethod
     def of(cls, row: dict) -> Policy:
-        def opt(x):
-            return None if x is None or pd.isna(x) else int(x)
-        return cls(int(row["interval_ms"]), opt(row.get("record_limit")),
-                   opt(row.get("size_limit_bytes")), row.get("empty_mode") or "suppress")
+        numbers = [None if (n := row.get(k)) is None or pd.isna(n) else int(n)
+                   for k in ("interval_ms", "record_limit", "size_limit_bytes")]
+        return cls(*numbers, row.get("empty_mode") or "suppress")
 
 
 @dataclass
-class Ledger:
-    """Open interval of one ledger. ``sealed`` collects (first number, count of segments,
-    reason, records, opened_at) of the current event."""
+class Tiling:
+    """Intervals of one ledger since the last restart, up to the record before."""
 
     policy: Policy
-    opened: int
-    continuity: str | None = None
-    next_policy: Policy | None = None
-    number: int = 0
+    origin: int  # time of the restart
+    reached: int = 0  # latest interval with a record or a control, counted from the restart
+    number: int = 0  # segment number of that interval
     records: int = 0
     size: int = 0
-    sealed: list = field(default_factory=list)
+    then: Policy | None = None  # policy from the next interval on
+    continuity: str | None = None
 
-    def seal(self, reopened: int, reason: str) -> None:
+    def begins(self, interval: int) -> int:
+        return self.origin + interval * self.policy.interval_ms
+
+    def closed(self, interval: int) -> list[tuple]:
+        """Segments (first, count, reason, records, opened at) that end when ``interval`` is reached; it becomes the latest."""
+        out, skipped = [], interval - self.reached
+        if skipped and self.records:
+            out.append((self.number, 1, "interval", self.records, self.begins(self.reached)))
+            self.number, self.reached, skipped = self.number + 1, self.reached + 1, skipped - 1
+        if skipped and self.policy.empty_mode == "emit":
+            out.append((self.number, skipped, "interval", 0, self.begins(self.reached)))
+            self.number += skipped
+        if out or interval != self.reached:
+            self.reached, self.records, self.size = interval, 0, 0
+        return out
+
+    def restart(self, at: int, reason: str, policy: Policy | None = None) -> list[tuple]:
+        """Ends the latest interval at a point of time; the next ones are counted from there."""
+        out = []
         if self.records or self.policy.empty_mode == "emit":
-            self.sealed.append((self.number, 1, reason, self.records, self.opened))
+            out.append((self.number, 1, reason, self.records, self.begins(self.reached)))
             self.number += 1
-        self.records = self.size = 0
-        self.policy = self.next_policy or self.policy
-        self.opened = reopened
-
-    def expire(self, now: int) -> None:
-        while now - self.opened >= self.policy.interval_ms:
-            if self.records or (self.next_policy or self.policy) != self.policy:
-                self.seal(self.opened + self.policy.interval_ms, "interval")
-                continue
-            empties = (now - self.opened) // self.policy.interval_ms
-            if self.policy.empty_mode == "emit":
-                self.sealed.append((self.number, empties, "interval", 0, self.opened))
-                self.number += empties
-            self.opened += empties * self.policy.interval_ms
-
-    def trusted(self, now: int, continuity) -> bool:
-        return now >= self.opened and continuity == self.continuity
-
-    def admit(self, now: int, size: int) -> int:
-        self.expire(now)
-        number = self.number
-        self.records += 1
-        self.size += size
-        if self.policy.size_limit_bytes is not None and self.size >= self.policy.size_limit_bytes:
-            self.seal(now, "size_limit")
-        elif self.policy.record_limit is not None and self.records >= self.policy.record_limit:
-            self.seal(now, "record_limit")
-        return number
-
-    def close(self, now: int, reason: str, continuity, policy: Policy | None = None) -> None:
-        """Manual, shutdown, reconfigure and recovery: seal now and restart the interval."""
-        self.seal(now, reason)
-        if policy is not None:
-            self.next_policy = self.policy = policy
-        self.opened, self.continuity = now, continuity
-
-    def apply(self, kind: str, now: int, size: int, continuity, reason, policy) -> tuple:
-        """One event: (outcome, segment number or None, sealed)."""
-        self.sealed = []
-        number = None
+        self.policy, self.then = policy or self.then or self.policy, None
+        self.origin, self.reached, self.records, self.size = at, 0, 0, 0
+        return out
+
+    def elapse(self, now: int) -> list[tuple]:
+        """Interval closures up to a time that is not before the latest interval."""
+        out = []
+        if self.then is not None and now >= self.begins(self.reached + 1):
+            boundary = self.begins(self.reached + 1)
+            out += self.restart(boundary, "interval")
+        return out + self.closed((now - self.origin) // self.policy.interval_ms)
+
+    def place(self, t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+        """Segment number (-1: refused), opening and limit reason of records in arrival order, and the segments closed, each
+        after the index of the record that closed it."""
+        n, at = len(t), 0
+        number, opened, reason = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, None, object)
+        closures: list[tuple] = []
+        while at < n:
+            if self.then is not None and t[at] >= self.begins(self.reached + 1):
+                closures += [(at, *c) for c in self.elapse(int(t[at]))]
+            p, part = self.policy, slice(at, min(n, at + WINDOW))
+            interval = (t[part] - self.origin) // p.interval_ms
+            latest = np.maximum.accumulate(np.concatenate([[self.reached], interval]))
+            good = interval >= latest[:-1]
+            if self.then is not None and (late := good & (interval > self.reached)).any():
+                interval, good = interval[:late.argmax()], good[:late.argmax()]  # another policy rules from there on
+            stop = len(good)
+            where = np.flatnonzero(good)
+            tiles = interval[where]
+            fresh = np.concatenate([[True], tiles[1:] != tiles[:-1]]) if len(tiles) else np.empty(0, bool)
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(tiles)), 0))
+            here = tiles == self.reached
+            count = np.arange(len(tiles)) - head + 1 + np.where(here, self.records, 0)
+            total = np.cumsum(size[part][where])
+            before = np.concatenate([[0], total])[head]
+            volume = total - before + np.where(here, self.size, 0)
+            by_size = volume >= p.size_limit_bytes if p.size_limit_bytes else np.zeros(len(tiles), bool)
+            full = by_size | (count >= p.record_limit if p.record_limit else np.zeros(len(tiles), bool))
+            used = int(full.argmax()) + 1 if full.any() else len(tiles)
+            if full.any():
+                stop = int(where[used - 1]) + 1
+            for k in np.flatnonzero(fresh[:used]):
+                if k:
+                    self.records, self.size = int(count[k - 1]), int(volume[k - 1])
+                closures += [(at + int(where[k]), *c) for c in self.closed(int(tiles[k]))]
+                until = min(used, int(np.searchsorted(head, k, side="right")))
+                number[at + where[k:until]], opened[at + where[k:until]] = self.number, self.begins(int(tiles[k]))
+            if used:
+                self.records, self.size = int(count[used - 1]), int(volume[used - 1])
+            if full.any():
+                last = at + stop - 1
+                reason[last] = "size_limit" if by_size[used - 1] else "record_limit"
+                closures += [(last, *c) for c in self.restart(int(t[last]), reason[last])]
+            at += stop
+        return number, opened, reason, closures
+
+    def control(self, kind: str, now: int, reason: str | None, continuity: str | None, policy: Policy | None) -> tuple:
+        """A control event: (outcome, segments closed)."""
         if kind == "recover":
-            self.close(now, "recovery", continuity)
-        elif not self.trusted(now, continuity):
-            return "clock_discontinuity", None, []
-        elif kind == "record":
-            number = self.admit(now, size)
-        elif kind == "close":
-            self.close(now, reason, continuity)
-        elif kind == "policy_now":
-            self.close(now, "reconfigure", continuity, policy)
+            out = self.restart(now, "recovery")
+        elif now < self.begins(self.reached) or continuity != self.continuity:
+            return "clock_discontinuity", []
+        elif policy is not None and not policy.valid():
+            return "invalid_policy", []
         elif kind == "policy":
-            self.next_policy = policy
-        return "ok", number, self.sealed
+            self.then = policy
+            return "ok", []
+        else:
+            out = self.restart(now, "reconfigure" if kind == "policy_now" else reason, policy if kind == "policy_now" else None)
+        self.continuity = continuity
+        return "ok", out
 
 
 EVENT_COLUMNS = ["ledger_id", "seq", "kind", "t_ms", "size", "continuity", "reason", "policy"]
@@ -114,19 +156,33 @@ SEALED = "array<struct<first:bigint,segments:bigint,reason:string,records:bigint
 OUTCOME = f"ledger_id string, seq bigint, outcome string, segment_number bigint, sealed {SEALED}"
 
 
-def row_outcome(ledger: Ledger, row) -> tuple:
-    policy = None if row.policy is None else Policy.of(dict(row.policy))
-    size = 0 if pd.isna(row.size) else int(row.size)
-    outcome, number, sealed = ledger.apply(
-        row.kind, int(row.t_ms), size, row.continuity, row.reason, policy)
-    return row.ledger_id, int(row.seq), outcome, number, [tuple(s) for s in sealed]
-
-
-def outcome_frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["ledger_id", "seq", "outcome", "segment_number", "sealed"])
-    out["segment_number"] = out["segment_number"].astype("Int64")
-    out["sealed"] = [[dict(zip(("first", "segments", "reason", "records", "opened_at"), s))
-                      for s in cell] for cell in out["sealed"]]
+def segment_outcomes(state: Tiling, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Outcomes of one ledger's events in order: runs of records that share a continuity go through together."""
+    out = pd.DataFrame({"ledger_id": pdf["ledger_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "outcome": "ok"})
+    number, sealed = np.full(len(pdf), -1, np.int64), [[] for _ in range(len(pdf))]
+    t, size = pdf["t_ms"].to_numpy(np.int64), pdf["size"].fillna(0).to_numpy(np.int64)
+    outcome = np.full(len(pdf), "ok", object)
+    is_record = (pdf["kind"] == "record").to_numpy()
+    marks = [None if pd.isna(c) else c for c in pdf["continuity"]]
+    edges = [0, *(k for k in range(1, len(pdf)) if not (is_record[k] and is_record[k - 1] and marks[k] == marks[k - 1])), len(pdf)]
+    for a, b in zip(edges, edges[1:]):
+        if not is_record[a]:
+            row = pdf.iloc[a]
+            policy = None if row["policy"] is None else Policy.of(dict(row["policy"]))
+            outcome[a], closed = state.control(row["kind"], int(t[a]), row["reason"], marks[a], policy)
+            sealed[a] += closed
+        elif marks[a] != state.continuity:
+            outcome[a:b] = "clock_discontinuity"
+        else:
+            number[a:b], _, _, closures = state.place(t[a:b], size[a:b])
+            outcome[a:b][number[a:b] < 0] = "clock_discontinuity"
+            for k, *segment in closures:
+                sealed[a + k].append(tuple(segment))
+    out["outcome"] = outcome
+    out["segment_number"] = pd.array(np.where(number < 0, 0, number), dtype="Int64")
+    out.loc[number < 0, "segment_number"] = pd.NA
+    names = ("first", "segments", "reason", "records", "opened_at")
+    out["sealed"] = [[dict(zip(names, segment)) for segment in cell] for cell in sealed]
     return out
 
 
@@ -139,73 +195,47 @@ def as_events(records: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("reason"), F.lit(None).cast(policy).alias("policy"))
 
 
+def _checked(policy: Policy) -> Policy:
+    if not policy.valid():
+        raise ValueError(f"not a policy: {policy}")
+    return policy
+
+
 def produce_segments(events: DataFrame, policy: Policy, origin_ms: int | None = 0,
                      continuity: str | None = None) -> DataFrame:
-    """Outcome per event, in ``seq`` order per ledger, with the segments sealed by it.
+    """Outcome per event, in ``seq`` order per ledger, with the segments closed by it.
 
-    Events are records and controls (see EVENT_COLUMNS). Each partition is read once, sorted;
-    only the open interval of one ledger is held.
+    Events are records and controls (see EVENT_COLUMNS). A record before the latest interval, or of another clock
+    continuity, is refused as ``clock_discontinuity`` until a ``recover`` event; a control with a bad policy is refused as
+    ``invalid_policy``. Each partition is read once, sorted; only the tiling of one ledger is held.
     """
+    _checked(policy)
+
     def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, ledger = None, None
+        current, state = None, None
         for pdf in it:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                if row.ledger_id != current:
-                    start = int(row.t_ms) if origin_ms is None else origin_ms
-                    current, ledger = row.ledger_id, Ledger(policy, start, continuity)
-                rows.append(row_outcome(ledger, row))
-            yield outcome_frame(rows)
+            for ledger, part in pdf.groupby("ledger_id", sort=False):
+                if ledger != current:
+                    start = int(part["t_ms"].iloc[0]) if origin_ms is None else origin_ms
+                    current, state = ledger, Tiling(policy, start, continuity=continuity)
+                yield segment_outcomes(state, part)
 
     ordered = (events.select(*EVENT_COLUMNS).repartition("ledger_id")
                .sortWithinPartitions("ledger_id", "seq"))
     return ordered.mapInPandas(fold, OUTCOME)
 
 
-def _assign(policy: Policy, ledger: Ledger, t: np.ndarray, size: np.ndarray) -> tuple:
-    """Segment number, interval start and limit reason of consecutive records of one ledger.
-
-    Works a segment at a time: its end is the nearest of the interval boundary, the record
-    limit and the size limit, each found by search in sorted arrays.
-    """
-    n = len(t)
-    number, opened = np.empty(n, np.int64), np.empty(n, np.int64)
-    reason = np.full(n, None, object)
-    latest = np.maximum.accumulate(t)
-    total = np.concatenate([[0], np.cumsum(size)])
-    i = 0
-    while i < n:
-        ledger.expire(int(t[i]))
-        stops = [(int(np.searchsorted(latest, ledger.opened + policy.interval_ms)), None)]
-        if policy.size_limit_bytes is not None:
-            need = total[i] + policy.size_limit_bytes - ledger.size
-            stops.append((int(np.searchsorted(total, need)), "size_limit"))
-        if policy.record_limit is not None:
-            stops.append((i + policy.record_limit - ledger.records, "record_limit"))
-        # Ties go to the size limit, then the record limit; a boundary before i + 1 is past.
-        end, why = min((max(s, i + 1), k is None, k != "size_limit", k) if k else (max(s, i), True, True, k)
-                       for s, k in stops)[::3]
-        if why is not None and end > n or why is None and end >= n:
-            end, why = n, None
-        number[i:end], opened[i:end] = ledger.number, ledger.opened
-        ledger.records += end - i
-        ledger.size += int(total[end] - total[i])
-        if why is not None:
-            reason[end - 1] = why
-            ledger.seal(int(t[end - 1]), why)
-        i = end
-    return number, opened, reason
-
-
 def assign_segments(records: DataFrame, policy: Policy, origin_ms: int = 0) -> DataFrame:
-    """Segments of plain records (ledger_id, seq, t_ms, size) under mixed limits: number,
-    ``opened_at`` of their interval and ``limit_reason`` on a record that closed its segment.
+    """Segments of plain records (ledger_id, seq, t_ms, size) under mixed limits: number, ``opened_at`` of their interval,
+    ``limit_reason`` on a record that closed its segment, and ``outcome``.
 
-    Same rules as produce_segments without controls, on trusted clocks. Only three numbers
-    per record pass through the fold, a whole Arrow batch at a time.
+    Same rules as produce_segments without controls: a record before the latest interval is refused, with
+    no segment number, whatever Arrow batch it is in. Only three numbers per record pass through.
     """
+    _checked(policy)
+
     def fold(it):
-        current, ledger = None, None
+        current, state = None, None
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             t, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -213,28 +243,26 @@ def assign_segments(records: DataFrame, policy: Policy, origin_ms: int = 0) -> D
             parts = []
             for a, b in zip(cuts, cuts[1:]):
                 if ids[a] != current:
-                    current, ledger = ids[a], Ledger(policy, origin_ms)
-                if t[a:b].min() < ledger.opened:
-                    raise ValueError(f"clock of {current} runs back; use produce_segments")
-                parts.append(_assign(policy, ledger, t[a:b], size[a:b]))
-                ledger.sealed = []
+                    current, state = ids[a], Tiling(policy, origin_ms)
+                parts.append(state.place(t[a:b], size[a:b])[:3])
             if parts:
                 number, opened, reason = (np.concatenate(x) for x in zip(*parts))
+                bad = number < 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(number), pa.array(opened),
-                     pa.array(reason, pa.string())],
-                    names=["ledger_id", "seq", "segment_number", "opened_at", "limit_reason"])
+                    [batch.column(0), batch.column(1), pa.array(number, mask=bad), pa.array(opened, mask=bad),
+                     pa.array(reason, pa.string()), pa.array(np.where(bad, "clock_discontinuity", "ok"))],
+                    names=["ledger_id", "seq", "segment_number", "opened_at", "limit_reason", "outcome"])
 
     slim = records.selectExpr("ledger_id", "cast(seq as bigint) seq", "cast(t_ms as bigint) t_ms",
                               "cast(size as bigint) size")
     ordered = slim.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq")
     return ordered.mapInArrow(
-        fold, "ledger_id string, seq bigint, segment_number bigint, opened_at bigint, limit_reason string")
+        fold, "ledger_id string, seq bigint, segment_number bigint, opened_at bigint, limit_reason string, outcome string")
 
 
 def segments_of(assigned: DataFrame) -> DataFrame:
     """One row per occupied segment: records, opened_at, close_reason (NULL while open)."""
-    segs = assigned.groupBy("ledger_id", "segment_number").agg(
+    segs = assigned.filter("segment_number IS NOT NULL").groupBy("ledger_id", "segment_number").agg(
         F.count(F.lit(1)).alias("records"), F.min("opened_at").alias("opened_at"),
         F.max("limit_reason").alias("_r"))
     last = segs.groupBy("ledger_id").agg(F.max("segment_number").alias("_last"))
@@ -246,18 +274,22 @@ def segments_of(assigned: DataFrame) -> DataFrame:
 def sealed_segments(outcomes: DataFrame) -> DataFrame:
     """One row per sealed segment: number, reason, records, opened_at."""
     runs = outcomes.select("ledger_id", F.inline("sealed"))
-    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("segments") - 1))
-    return runs.select("ledger_id", each.alias("segment_number"), F.col("reason").alias("close_reason"),
-                       "records", "opened_at")
+    return count_up(runs, F.col("first"), F.col("first") + F.col("segments") - 1, "segment_number").select(
+        "ledger_id", "segment_number", F.col("reason").alias("close_reason"), "records", "opened_at")
 
 
 def close_intervals(records: DataFrame, interval_ms: int, origin_ms: int = 0) -> DataFrame:
-    """Pure interval closure: a record exactly on a boundary belongs to the next interval."""
-    return records.withColumn("interval_no", F.expr(f"(t_ms - {origin_ms}) div {interval_ms}"))
+    """Pure interval closure: a record exactly on a boundary belongs to the next interval. Intervals before the
+    origin have negative numbers; ``clock_discontinuities`` refuses their records."""
+    since = f"(cast(t_ms as bigint) - {origin_ms})"
+    return records.withColumn("interval_no", F.expr(f"({since} - pmod({since}, {interval_ms}L)) div {interval_ms}"))
 
 
 def _occupied(records: DataFrame, interval_ms: int, origin_ms: int) -> DataFrame:
-    return (close_intervals(records, interval_ms, origin_ms).groupBy("ledger_id", "interval_no")
+    """Intervals with records. Records before the origin are refused; others that ``clock_discontinuities`` finds are to be
+    taken out before."""
+    placed = close_intervals(records, interval_ms, origin_ms).filter("interval_no >= 0")
+    return (placed.groupBy("ledger_id", "interval_no")
             .agg(F.count(F.lit(1)).alias("records")))
 
 
@@ -274,7 +306,7 @@ def number_segments_emit(records: DataFrame, interval_ms: int, origin_ms: int =
     """One segment per elapsed interval, empty ones with 0 records."""
     occupied = _occupied(records, interval_ms, origin_ms)
     last = occupied.groupBy("ledger_id").agg(F.max("interval_no").alias("last"))
-    every = last.select("ledger_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("interval_no"))
+    every = count_up(last, F.lit(0).cast("bigint"), F.col("last"), "interval_no")
     return every.join(occupied, ["ledger_id", "interval_no"], "left").select(
         "ledger_id", "interval_no", F.col("interval_no").alias("segment_number"),
         F.coalesce("records", F.lit(0)).alias("records"),
@@ -299,10 +331,13 @@ def interval_counters(records: DataFrame, interval_ms: int, origin_ms: int = 0)
                           {"record_count": F.lit(1), "byte_count": F.col("size")})
 
 
-def clock_discontinuities(records: DataFrame) -> DataFrame:
-    """Records whose tick lies before one already seen in their ledger (refused until recovery)."""
-    seen = running_max_before(records, ["ledger_id"], "seq", "t_ms", "highest_before")
-    return seen.filter("t_ms < highest_before")
+def clock_discontinuities(records: DataFrame, interval_ms: int, origin_ms: int = 0) -> DataFrame:
+    """Records that lie before the opening of the interval their ledger has reached (refused until recovery). ``open_interval``
+    is that interval; a time that runs back inside it is no discontinuity."""
+    placed = close_intervals(records, interval_ms, origin_ms)
+    seen = running_max_before(placed, ["ledger_id"], "seq", "interval_no", "_open")
+    return seen.withColumn("open_interval", F.greatest(F.lit(0).cast("bigint"), F.coalesce("_open", F.lit(0)))).drop(
+        "_open").filter("interval_no < open_interval")
 
 
 def assign_late(records: DataFrame, interval_ms: int, origin_ms: int = 0) -> DataFrame:

@@ -260,13 +260,16 @@ def a08(spark, sf):
     return S.interval_counters(records(spark, sf), INTERVAL, ORIGIN).select("event_id", "record_count", "byte_count")
 
 
-@query("t08_clock_discontinuity", f"""{Q.WITH}, tk AS (SELECT ledger_id, event_id, t_ms - CASE WHEN event_id % 97 = 0 THEN 7200000 ELSE 0 END AS t_ms FROM ev)
-  SELECT event_id, t_ms, hb AS highest_before FROM (SELECT *, max(t_ms) OVER (PARTITION BY ledger_id ORDER BY event_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hb FROM tk) WHERE t_ms < hb""")
+@query("t08_clock_discontinuity", f"""{Q.WITH}, tk AS (SELECT ledger_id, event_id, CAST(floor((t_ms - CASE WHEN event_id % 97 = 0 THEN 7200000
+    WHEN event_id % 89 = 0 THEN 100000000000 WHEN event_id % 5 = 0 THEN 60000 ELSE 0 END - {ORIGIN}) / {INTERVAL}) AS BIGINT) AS interval_no FROM ev)
+  SELECT event_id, interval_no, greatest(0, coalesce(hb, 0)) AS open_interval FROM (SELECT *, max(interval_no) OVER (PARTITION BY ledger_id ORDER BY event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hb FROM tk) WHERE interval_no < greatest(0, coalesce(hb, 0))""")
 def t08(spark, sf):
-    back = F.when(F.col("event_id") % 97 == 0, 7200000).otherwise(0)
-    return S.clock_discontinuities(records(spark, sf).withColumn("t_ms", F.col("t_ms") - back)).select(
-        "event_id", "t_ms", "highest_before")
+    """Clocks run back by two hours, by three years (before the origin), and by a minute, which mostly stays inside the interval."""
+    back = (F.when(F.col("event_id") % 97 == 0, 7200000).when(F.col("event_id") % 89 == 0, 100000000000)
+            .when(F.col("event_id") % 5 == 0, 60000).otherwise(0))
+    moved = records(spark, sf).withColumn("t_ms", F.col("t_ms") - back)
+    return S.clock_discontinuities(moved, INTERVAL, ORIGIN).select("event_id", "interval_no", "open_interval")
 
 
 @query("t09_late_records", f"""{Q.WITH} SELECT event_id, (t_ms - {ORIGIN}) // {INTERVAL} AS interval_no, CAST(CASE WHEN event_id % 5 = 0 THEN 30000000 ELSE 0 END AS BIGINT) AS lateness_ms FROM ev""")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sealstream.functions import values as V
-from sealstream.operators.producer import EVENT_COLUMNS, OUTCOME, Ledger, Policy, outcome_frame, row_outcome
+from sealstream.operators.producer import EVENT_COLUMNS, OUTCOME, Policy, Tiling, segment_outcomes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -116,20 +116,18 @@ class ProducerProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "ledger string")
 
-    def _load(self, first_ms: int) -> Ledger:
+    def _load(self, first_ms: int) -> Tiling:
         if not self.state.exists():
-            return Ledger(self.policy, first_ms if self.origin is None else self.origin, self.continuity)
+            return Tiling(self.policy, first_ms if self.origin is None else self.origin, continuity=self.continuity)
         raw = json.loads(self.state.get()[0])
-        policies = {k: Policy(**raw[k]) if raw[k] else None for k in ("policy", "next_policy")}
-        return Ledger(**{**raw, **policies})
+        return Tiling(**raw | {k: Policy(**raw[k]) if raw[k] else None for k in ("policy", "then")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, "seq")
-        ledger = self._load(int(pdf["t_ms"].iloc[0]))
-        out = [row_outcome(ledger, row) for row in pdf.itertuples(index=False)]
-        ledger.sealed = []
-        self.state.update((json.dumps(asdict(ledger)),))
-        yield outcome_frame(out)
+        tiling = self._load(int(pdf["t_ms"].iloc[0]))
+        out = segment_outcomes(tiling, pdf)
+        self.state.update((json.dumps(asdict(tiling)),))
+        yield out
 
     def close(self) -> None:
         pass

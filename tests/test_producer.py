@@ -48,7 +48,11 @@ def test_size_beats_record(spark):
 
 
 def test_policy_updates(spark):
-    new = (50, None, None, "suppress")
+    new, bad = (50, None, None, "suppress"), (0, None, None, "suppress")
+    got, _ = run(spark, [event(0, 10), event(1, 20, "policy_now", policy=bad), event(2, 30, "policy", policy=(9, -1, None, "emit"))], S.Policy(100))
+    assert [o for o, _ in got] == ["ok", "invalid_policy", "invalid_policy"]
+    with pytest.raises(ValueError):
+        S.assign_segments(spark.range(0), S.Policy(0))
     got, sealed = run(spark, [event(0, 10), event(1, 20, "policy_now", policy=new), event(2, 69), event(3, 70)], S.Policy(100))
     assert sealed == [(0, 1, "reconfigure", 1, 0), (1, 1, "interval", 1, 20)]
     assert got[2:] == [("ok", 1), ("ok", 2)]
@@ -94,25 +98,75 @@ def test_idempotency(spark):
     assert got == {1: "new", 2: "replay", 3: "conflict", 4: "replay", 5: "conflict"}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_batch_fold_equals_event_fold(spark, seed):
-    """The array fold and the event state machine agree, with ties, gaps and every limit."""
+def by_event(events, policy, origin):
+    """Closure told record by record: (number, opening, limit reason) or None for a refused one; and the closed segments."""
+    opened, number, held, volume, out, segments = origin, 0, 0, 0, [], []
+    for t, size in events:
+        if t < opened:
+            out.append(None)
+            continue
+        while t >= opened + policy.interval_ms:
+            if held or policy.empty_mode == "emit":
+                segments.append((number, held, opened, "interval"))
+                number += 1
+            opened, held, volume = opened + policy.interval_ms, 0, 0
+        held, volume = held + 1, volume + size
+        why = ("size_limit" if policy.size_limit_bytes and volume >= policy.size_limit_bytes else
+               "record_limit" if policy.record_limit and held >= policy.record_limit else None)
+        out.append((number, opened, why))
+        if why:
+            segments.append((number, held, opened, why))
+            opened, number, held, volume = t, number + 1, 0, 0
+    return out, segments
+
+
+POLICIES = (S.Policy(100), S.Policy(100, record_limit=3), S.Policy(1000, size_limit_bytes=48), S.Policy(1, record_limit=1),
+            S.Policy(250, 5, 64, "emit"), S.Policy(100, empty_mode="emit"), S.Policy(10**9, 4, 64))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_place_equals_record_by_record(seed, monkeypatch):
+    """Ties, gaps, every limit, clocks that run back by a little and before the origin, and any cut into batches."""
     import random
+
+    import numpy as np
     rnd = random.Random(seed)
-    rows, t = [], 0
-    for i in range(3000):
-        t += rnd.choice([0, 0, 1, 3, 10, 99, 100, 101, 350])
-        rows.append((f"L{rnd.randrange(3)}", i, t, rnd.choice([1, 8, 16, 40])))
+    events, t = [], -300
+    for _ in range(2500):
+        t += rnd.choice([0, 0, 1, 3, 10, 99, 100, 101, 350, -1, -60, -400])
+        events.append((t, rnd.choice([1, 8, 16, 40])))
+    monkeypatch.setattr(S, "WINDOW", 64)
+    for policy in POLICIES:
+        want, closed = by_event(events, policy, 0)
+        for cut in (1, 7, 10_000):
+            state, got, segments = S.Tiling(policy, 0), [], []
+            for k in range(0, len(events), cut):
+                times, sizes = (np.array(x, np.int64) for x in zip(*events[k:k + cut]))
+                number, opened, reason, closures = state.place(times, sizes)
+                got += [None if n < 0 else (n, o, r) for n, o, r in zip(number.tolist(), opened.tolist(), reason)]
+                segments += [c[1:] for c in closures]
+            assert got == want
+            each = [(first + k, records, opened + k * policy.interval_ms, why)
+                    for first, count, why, records, opened in segments for k in range(count)]
+            assert each == closed
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_refused_rows_do_not_depend_on_batches(spark, batch):
+    rows = [("L", k, t, 8) for k, t in enumerate([0, 100, 50, -5, 120, 260, 130])]
     df = spark.createDataFrame(rows, "ledger_id string, seq long, t_ms long, size long")
-    for policy in (S.Policy(100), S.Policy(100, record_limit=3), S.Policy(1000, size_limit_bytes=48), S.Policy(1, record_limit=1),
-                   S.Policy(250, 5, 64, "emit"), S.Policy(10**9, 4, 64)):
-        fold = S.produce_segments(S.as_events(df), policy)
-        want = {r.seq: r.segment_number for r in fold.collect()}
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-        fast = S.assign_segments(df, policy)
-        got = fast.collect()
-        segs = {(r.ledger_id, r.segment_number): (r.records, r.opened_at, r.close_reason) for r in S.segments_of(fast).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        fast = {r.seq: (r.segment_number, r.outcome) for r in S.assign_segments(df, S.Policy(1000, record_limit=2)).collect()}
+        slow = {r.seq: (r.segment_number, r.outcome) for r in S.produce_segments(S.as_events(df), S.Policy(1000, record_limit=2)).collect()}
+    finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-        assert {r.seq: r.segment_number for r in got} == want
-        for s in S.sealed_segments(fold).filter("records > 0").collect():
-            assert segs[s.ledger_id, s.segment_number] == (s.records, s.opened_at, s.close_reason)
+    no = (None, "clock_discontinuity")
+    assert fast == slow == {0: (0, "ok"), 1: (0, "ok"), 2: no, 3: no, 4: (1, "ok"), 5: (1, "ok"), 6: no}
+
+
+def test_records_before_the_origin(spark):
+    df = spark.createDataFrame([("L", 0, -1, 8), ("L", 1, 5, 8), ("L", 2, 250, 8)], "ledger_id string, seq long, t_ms long, size long")
+    assert [r.event for r in S.clock_discontinuities(df, 100).selectExpr("seq AS event").collect()] == [0]
+    emitted = S.number_segments_emit(df, 100).orderBy("segment_number").collect()
+    assert [(r.segment_number, r.records) for r in emitted] == [(0, 1), (1, 0), (2, 1)]

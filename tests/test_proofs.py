@@ -50,6 +50,8 @@ def test_errors():
     assert err(proof(b"\x00" + P.PENDING_TAG + b"\x03\x02a?")) == ("ots-pending-uri-invalid", True)
     assert err(proof(b"\xf0\x01a\x00" + P.HEIGHT_TAG + b"\x01\x05")) == ("ots-bitcoin-digest-invalid", True)
     assert err(proof(b"\xf0" + b"\x81\x20" + b"a" * 4097)) == ("ots-proof-parse-failed", True)
+    huge = b"\xff" * 9 + b"\x01"
+    assert err(proof(b"\x00" + P.HEIGHT_TAG + b"\x0a" + huge)) == ("ots-proof-parse-failed", True)  # past any bigint
     assert err(proof(b"\xff\x00" + PENDING + b"\x08\x00" + P.HEIGHT_TAG + b"\x01\x05")) == (None, True)
 
 
