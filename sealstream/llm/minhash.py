@@ -131,6 +131,80 @@ def _alike_sizes(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Those rows whose key holds nodes of several components, with the component that has most of them."""
+    parts = rows.groupBy(key, "label").agg(F.count("*").alias("members"))
+    mixed = parts.groupBy(key).agg(F.max_by("label", F.struct("members", "label")).alias("major"),
+                                   F.sum("members").alias("weight"), F.count("*").alias("labels"))
+    mixed = staged(mixed.filter("labels > 1").select(key, "major", "weight"))
+    return lookup(rows, mixed, [key], "weight", ["node"]).filter("major IS NOT NULL")
+
+
+def _rare_first(sets: DataFrame, percent: int, slots: int = 1 << 17) -> DataFrame:
+    """node, n, label, and the first shingles of each set in an order common to all sets, with their positions.
+
+    Rare shingles come first: the order is by a count in a table of ``slots`` hashed counters, then by the shingle, so
+    it depends on the shingle alone. Two sets similar enough share a shingle among the first n - ceil(t n) + 1 of the
+    larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one (marked as short).
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(slots, np.int64)
+        for batch in batches:
+            sums += np.bincount(batch["shingles"].flatten().to_numpy() & (slots - 1), minlength=slots)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["slot", "number"])
+
+    sums = sets.select("shingles").mapInArrow(count, "slot bigint, number bigint").groupBy("slot").agg(
+        F.sum("number").alias("number")).toArrow()
+    counts = np.zeros(slots, np.int64)
+    counts[sums["slot"].to_numpy()] = sums["number"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, out = batch["shingles"], []
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for a, b in zip(ends, ends[1:]):
+                found, n = flat[a:b], int(b - a)
+                first = found[np.lexsort((found, shared.value[found & (slots - 1)]))][:n + percent * n // -100 + 1]
+                out.append((first, n + 2 * percent * n // -(100 + percent) + 1))
+            sizes = np.array([len(f) for f, _ in out], dtype=np.int64)
+            row = np.repeat(np.arange(len(out)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[c].take(pa.array(row)) for c in ("node", "n", "label")],
+                 pa.array(np.concatenate([np.empty(0, np.int64), *[f for f, _ in out]])), pa.array(place),
+                 pa.array(place < np.array([s for _, s in out], dtype=np.int64)[row])],
+                ["node", "n", "label", "shingle", "place", "short"])
+
+    return sets.mapInArrow(prefix, "node bigint, n bigint, label bigint, shingle bigint, place bigint, short boolean")
+
+
+def _across(full: DataFrame, groups: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that may still be similar enough: all such pairs of a bucket are among them.
+
+    Nodes of buckets with several components are compared by their rare shingles: a prefix of each set, and the
+    positions in it, bound the intersection. For a shingle only the nodes outside its largest component are paired.
+    """
+    labels = full.select("key", "node", "n").join(groups, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("label"))
+    nodes = _mixed(staged(labels), "key").select("node", "label").distinct()
+    nodes = nodes.join(sets, "node").select("node", F.size("shingles").cast("bigint").alias("n"), "label", "shingles")
+    rows = staged(_mixed(staged(_rare_first(staged(nodes), percent)), "shingle"))
+    minor = rows.filter("label <> major").select("shingle", *[F.col(c).alias(f"a_{c}") for c in (
+        "node", "n", "label", "place", "short")])
+    other = rows.select("shingle", (F.col("label") == F.col("major")).alias("main"), *[F.col(c).alias(f"b_{c}") for c in (
+        "node", "n", "label", "place", "short")])
+    a_first = F.struct("a_n", "a_node") < F.struct("b_n", "b_node")
+    most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))  # shingles from the match on
+    pairs = minor.join(other, "shingle").filter(
+        (F.col("a_label") != F.col("b_label")) & (F.col("main") | (F.col("a_node") > F.col("b_node")))
+        & _alike_sizes("a_n", "b_n", percent) & F.when(a_first, F.col("a_short")).otherwise(F.col("b_short"))
+        & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))))
+    pairs = pairs.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
+    return staged(pairs.join(known, ["a", "b"], "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
@@ -141,9 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one node from the start, so copies cost one narrow row each. Nodes meet in the buckets of
     ``bands`` bands of ``rows`` MinHash values (a pair at the threshold of 0.8 is missed with a probability of
     5e-7, a closer one with less). First each node is compared with the smallest node of each of
-    its buckets only. Where a bucket's nodes are then still in different components, each node outside the bucket's
-    largest component is compared with those of other components. So no link between components is
-    left out, and no pairs are made inside groups that already hang together. All links are confirmed on full sets.
+    its buckets only. Nodes of buckets that then still hold several components are compared across components,
+    where the prefix and position filters on rare shingles, which are exact, do not rule a pair
+    out. So no link between components is left out, and no pairs are made inside groups that
+    already hang together. All links are confirmed on full sets.
     Hot buckets and hot nodes are split by ``lookup`` and ``spread_join``.
 
     Texts without words, NULL ones too, have no shingles and are linked with nothing. Rows with a NULL id are
@@ -170,24 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(verified(stars, sets, percent).unionByName(shared))
     groups = connected(links)
 
-    rest = full.select("key", "node", "n").join(groups, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("label"))
-    rest = staged(rest)
-    parts = rest.groupBy("key", "label").agg(F.count("*").alias("members"))
-    mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("major"),
-                                     F.sum("members").alias("weight"), F.count("*").alias("labels"))
-    mixed = staged(mixed.filter("labels > 1"))
-    rest = staged(lookup(rest, mixed.select("key", "major", "weight"), ["key"], "weight", ["node"])
-                  .filter("major IS NOT NULL"))
-    minor = rest.filter("label <> major").select("key", F.col("node").alias("a"), F.col("n").alias("an"),
-                                                 F.col("label").alias("al"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"),
-                        (F.col("label") == F.col("major")).alias("main"))
-    cross = minor.join(other, "key").filter((F.col("al") != F.col("bl")) & (F.col("main") | (F.col("a") > F.col("b")))
-                                            & _alike_sizes("an", "bn", percent))
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    cross = staged(cross.join(stars, ["a", "b"], "left_anti"))
-    more = staged(verified(cross, sets, percent))
+    more = staged(verified(_across(full, groups, sets, stars, percent), sets, percent))
     if not more.isEmpty():
         groups = connected(links.unionByName(more))
 
