@@ -37,12 +37,12 @@ def text_bytes(col) -> Column:
 
 
 def is_hex(col, width: int) -> Column:
-    return F.coalesce(_c(col).rlike(f"^[0-9a-f]{{{width}}}$"), F.lit(False))
+    return F.coalesce(_c(col).rlike(f"^[0-9a-f]{{{width}}}\\z"), F.lit(False))
 
 
 def normalize_hex64(col) -> Column:
     col = _c(col)
-    return F.when(col.rlike("^[0-9a-fA-F]{64}$"), F.lower(col))
+    return F.when(col.rlike("^[0-9a-fA-F]{64}\\z"), F.lower(col))
 
 
 def hex64_error(col) -> Column:
@@ -264,9 +264,19 @@ def json_text(variant, path: str) -> Column:
 def portable_path(col, version: int = 1) -> Column:
     col = _c(col)
     if version == 1:
-        return ~col.rlike(r"^/|(^|/)\.\.(/|$)")
+        return ~col.rlike(r"^/|(^|/)\.\.(/|\z)")
     return (F.length(col) > 0) & ~col.rlike(
-        r"^/|\\|:|[\x00-\x1f\x7f-\x{9f}]|^\.(/|$)|(^|/)\.\.(/|$)")
+        r"^/|\\|:|[\x00-\x1f\x7f-\x{9f}]|^\.(/|\z)|(^|/)\.\.(/|\z)")
+
+
+def clean_path(col) -> Column:
+    """Path without empty and ``.`` parts, each ``..`` taking away the part before it, of any depth."""
+    col = _c(col)
+    none = F.array().cast("array<string>")
+    up = lambda done: (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+    parts = F.aggregate(F.split(col, "/"), none, lambda done, part: F.when(part.isin("", "."), done).when(
+        (part == "..") & up(done), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part))))
+    return F.concat(F.when(col.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
 
 
 def idempotency_key_ok(col) -> Column:

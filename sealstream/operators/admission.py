@@ -61,11 +61,12 @@ def join_devices(frames: DataFrame, devices: DataFrame) -> DataFrame:
     """Left join of device material (base64 ``salt8``, ``ck_up``).
 
     The key is 16 bits wide, so after one row per key the right side has at most 65,536
-    rows: a proven bound for the broadcast.
+    rows: a proven bound for the broadcast. Of a device's rows the first by (salt8, ck_up) counts, complete ones before others.
     """
-    bounded = (devices.filter(F.col("dev_id").between(0, 65535)).dropDuplicates(["dev_id"])
-               .select(F.col("dev_id").cast("bigint").alias("dev_id"),
-                       F.col("salt8").alias("_salt"), F.col("ck_up").alias("_key"),
+    order = F.struct(F.col("salt8").isNull(), F.col("ck_up").isNull(), "salt8", "ck_up")
+    bounded = (devices.filter(F.col("dev_id").between(0, 65535)).groupBy(F.col("dev_id").cast("bigint").alias("dev_id"))
+               .agg(F.min_by(F.struct("salt8", "ck_up"), order).alias("_m"))
+               .select("dev_id", F.col("_m.salt8").alias("_salt"), F.col("_m.ck_up").alias("_key"),
                        F.lit(True).alias("_known")))
     df = frames.withColumn("dev_id", F.col("dev_id").cast("bigint")).join(
         F.broadcast(bounded), "dev_id", "left")
@@ -131,10 +132,12 @@ def open_frames(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
 
 
 def decrypt_frames(frames: DataFrame) -> DataFrame:
-    """Adds ``fact``; failures are ``decrypt_failed``. Rejected frames send no bytes to Python."""
+    """Adds ``fact``; failures are ``decrypt_failed``. Rejected frames send no bytes to Python. Key material is left out of
+    the result, so no later table holds it."""
     ready = with_aad(frames)
     args = [F.when(F.col("reason").isNull(), F.col(c)) for c in ("ck_up", "nonce", "aad", "ct", "tag")]
     opened = ready.withColumn("fact", open_frames(*args))
+    opened = opened.drop("salt8", "ck_up", "nonce", "aad")
     return reject(opened, F.when(F.col("fact.pod_id").isNull(), F.lit("decrypt_failed")))
 
 

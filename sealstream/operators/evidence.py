@@ -192,11 +192,15 @@ def state_regressions(receipts: DataFrame) -> DataFrame:
 
 
 def derive_anchor_state(proofs: DataFrame, headers: DataFrame) -> DataFrame:
-    """State per proof (anchor_id, has_proof, pending_uris, heights): heights must all be covered
-    by headers that pass their proof of work."""
-    good = headers.filter(C.pow_ok("header")).select("height").distinct()
-    each = proofs.select("anchor_id", F.explode(F.array_distinct("heights")).alias("height"))
-    covered = each.join(good.withColumn("_c", F.lit(1)), "height", "left").groupBy("anchor_id").agg(
+    """State per proof (anchor_id, has_proof, pending_uris, heights, messages): every attested height needs a header that
+    passes its proof of work and whose root is the attested message. Headers with an ``anchor_id`` count for that
+    anchor only."""
+    keys = [c for c in ("anchor_id", "height") if c in headers.columns]
+    root = C.hex_lower(F.substring("header", 37, 32))
+    good = headers.filter(C.pow_ok("header")).select(*keys, root.alias("message")).distinct()
+    each = proofs.select("anchor_id", F.inline(F.arrays_zip("heights", "messages"))).select(
+        "anchor_id", F.col("heights").alias("height"), F.lower("messages").alias("message"))
+    covered = each.join(good.withColumn("_c", F.lit(1)), [*keys, "message"], "left").groupBy("anchor_id").agg(
         (F.count("_c") == F.count(F.lit(1))).alias("_all"))
     state = (F.when(~F.col("has_proof"), "stationary")
              .when((F.size("heights") > 0) & F.coalesce("_all", F.lit(False)), "bitcoin-header-quorum-verified")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,35 @@ def shared_folder(spark) -> str:
     return root
 
 
+_staged: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write once, read many: a Parquet table in the shared folder.
 
     For results that several later passes need and that are dear to compute (decryption).
-    Later passes read only their columns, and a lost executor costs no recomputation.
+    Later passes read only their columns, and a lost executor costs no recomputation. The table goes
+    with ``release_staged``, at the latest when the driver's program ends.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(release_staged)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_staged(spark=None) -> None:
+    """Delete the staged tables of the running application; results that still read them must be written before."""
+    context = spark.sparkContext if spark is not None else SparkContext._active_spark_context
+    if context is None or context._jsc is None:
+        return
+    for path in _staged.pop(context.applicationId, []):
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def running_totals(df: DataFrame, group: list[str], order: str, sums: dict[str, Column],
                    span: int = 65536) -> DataFrame:
     """Inclusive running sums per group in ``order``, without a window over a whole group.

@@ -44,7 +44,7 @@ def batch_flags(batches: DataFrame, segments: DataFrame) -> DataFrame:
     owner = segments.select(*SEG, "site_id", "batch_record_limit")
     last = batches.groupBy(*SEG).agg(F.max("position").alias("_last"))
     df = batches.join(owner, SEG).join(last, SEG)
-    leaves_ok = F.forall("leaf_hashes", lambda h: h.rlike("^[0-9a-f]{64}$"))
+    leaves_ok = F.forall("leaf_hashes", lambda h: h.rlike("^[0-9a-f]{64}\\z"))
     df = df.withColumn("_nodes", F.when(leaves_ok, F.transform("leaf_hashes", F.unhex)))
     return df.withColumn("code", C.first_failure([
         ("embedded-batch-identity-or-cardinality",
@@ -154,6 +154,8 @@ def decode_segments(artifacts: DataFrame, col: str = "artifact_cbor") -> DataFra
         if isinstance(v, bool) or not isinstance(v, (int, dict, list)):
             return v
         if isinstance(v, int):
+            if v >= 2**63:  # the tables hold these numbers as bigint
+                raise K.CborError("number out of range")
             return Decimal(v)
         if isinstance(v, list):
             return [plain(x) for x in v]
@@ -167,6 +169,8 @@ def decode_segments(artifacts: DataFrame, col: str = "artifact_cbor") -> DataFra
                 rows.append({"error": None, **plain(_read_segment(bytes(x)))})
             except K.CborError as exc:
                 rows.append({"error": str(exc)})
+            except RecursionError:
+                rows.append({"error": "nested too deeply"})
         return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     return artifacts.withColumn("seg", read(col))
@@ -208,7 +212,7 @@ def check_manifest_v2(manifests: DataFrame) -> DataFrame:
          | ~C.is_hex("ledger_id", 32) | (F.col("site_id") == "") | ~F.coalesce(canonical, F.lit(False))
          | ~F.col("disclosure_class").isin("A", "B", "C")),
         ("path", F.exists("refs", lambda r: ~C.portable_path(r["path"], 2))),
-        ("digest", F.exists("refs", lambda r: ~r["sha256"].rlike("^[0-9a-f]{64}$"))),
+        ("digest", F.exists("refs", lambda r: ~r["sha256"].rlike("^[0-9a-f]{64}\\z"))),
         ("claim", bad_claim)]))
 
 

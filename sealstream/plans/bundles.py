@@ -50,12 +50,12 @@ def day_bundles(spark, sf):
     b = b.selectExpr(
         "*", "sha2(day_cbor, 256) AS day_sha", "concat('day/', day, '.cbor') AS day_path",
         "concat('blocks/', day, '-00.block.json') AS block_path", "concat('day/', day, '.ots.meta.json') AS meta_path",
-        "if(k = 8, 'facts/rejections.ndjson', concat('audit/rejections-', day, '.ndjson')) AS audit_path",
+        "if(k = 8, './/facts/rejections.ndjson', concat('audit/rejections-', day, '.ndjson')) AS audit_path",
         "CASE k WHEN 6 THEN 'B' WHEN 7 THEN 'C' ELSE 'A' END AS disclosure_class")
     ref = "named_struct('path', {p}, 'sha256', {s})".format
     manifest = f"""to_json(named_struct('version', 1, 'date', day, 'site', site_id, 'device_id', 'pod-1', 'frame_count', leaf_count,
       'facts_dir', if(k = 1, null, 'facts'), 'artifacts', map('block', {ref(p='block_path', s='sha2(block_json, 256)')},
-       'day_cbor', {ref(p="if(k = 2, '../day.cbor', day_path)", s="if(k = 3, sha2(day_sha, 256), day_sha)")},
+       'day_cbor', {ref(p="CASE k WHEN 2 THEN '../day.cbor' WHEN 0 THEN concat('./', day_path) ELSE day_path END", s="if(k = 3, sha2(day_sha, 256), day_sha)")},
        'rejection_audit', {ref(p='audit_path', s="sha2(bundle, 256)")}, 'day_ots_meta', {ref(p='meta_path', s="sha2('', 256)")}),
       'anchoring', named_struct('policy', named_struct('mode', 'warn'), 'channels', map('ots', named_struct('enabled', true, 'status', 'pending', 'reason', ''))),
       'verification_bundle', named_struct('disclosure_class', disclosure_class, 'commitment_profile_id', if(k = 4, 'other', '{V.PROFILE_V1}'),
@@ -63,10 +63,10 @@ def day_bundles(spark, sf):
     bundles = b.selectExpr("bundle", "site_id", "day", "k", "disclosure_class", f"'{V.PROFILE_V1}' AS commitment_profile_id",
                            f"{manifest} AS manifest_json", "block_json", "day_json",
                            "if(k = 12, concat(day_cbor, X'00'), day_cbor) AS day_cbor")
-    meta = """if(k = 5, to_json(named_struct('day', day)), to_json(named_struct('artifact', concat('./', day_path), 'day', if(k = 14, '1999-01-01', day),
+    meta = """if(k = 5, to_json(named_struct('day', day)), to_json(named_struct('artifact', concat(if(k = 0, 'a/b/c/d/e/../../../../../', './'), day_path), 'day', if(k = 14, '1999-01-01', day),
       'artifact_sha256', day_sha, 'ots_proof', concat('day/x/../', day, '.cbor.ots'))))"""
     sidecars = b.selectExpr("bundle", f"{meta} AS meta_json", "day_path AS artifact_path", "concat(day_path, '.ots') AS ots_path")
-    files = b.selectExpr("bundle", "explode(map(block_path, sha2(block_json, 256), day_path, day_sha, audit_path, sha2(bundle, 256), "
+    files = b.selectExpr("bundle", "explode(map(block_path, sha2(block_json, 256), day_path, day_sha, replace(audit_path, './/'), sha2(bundle, 256), "
                          "concat(day_path, '.ots'), sha2('p', 256))) AS (path, sha256)")
     proofs = b.selectExpr("bundle", f"cast(concat('{P.STATIONARY.decode()}', if(k = 15, sha2(day_sha, 256), day_sha), '\\n') as binary) AS proof",
                           "day_sha AS expected_sha256")
@@ -170,8 +170,7 @@ def v08(spark, sf):
   UNION ALL SELECT event_id, 2, 'verify PendingAttestation(a.b/c)' FROM events WHERE event_id % 9 = 2""")
 def u04(spark, sf):
     P.register_describe(spark)
-    proofs(spark, sf).filter("event_id % 9 IN (2, 3)").createOrReplaceTempView("proof_rows")
-    return T.big(spark.sql("SELECT event_id, step_no, step FROM proof_rows, LATERAL describe_proof(proof)"))
+    return T.big(spark.sql("SELECT event_id, step_no, step FROM {rows}, LATERAL describe_proof(proof)", rows=proofs(spark, sf)))
 
 
 # --- files written by Spark and scanned again ---
@@ -181,7 +180,7 @@ def folder(spark, name):
 
 
 def written(spark, sf):
-    """Day bundles as files: manifest, block, day JSON and CBOR, and the first fact of each day."""
+    """Day bundles as files: manifest, block, day JSON and CBOR, and every fact."""
     bundles, _, own, *_ = day_bundles(spark, sf)
     name = F.concat("bundle", F.lit("/"))
     day = F.element_at(F.split("bundle", "/"), 2)
@@ -189,9 +188,8 @@ def written(spark, sf):
         F.array(F.concat(name, F.lit("day/"), "day", F.lit(".verify.json")), F.concat(name, F.lit("blocks/"), "day", F.lit("-00.block.json")),
                 F.concat(name, F.lit("day/"), "day", F.lit(".json")), F.concat(name, F.lit("day/"), "day", F.lit(".cbor"))),
         F.array(C.text_bytes("manifest_json"), C.text_bytes("block_json"), C.text_bytes("day_json"), F.col("day_cbor")))).alias("path", "bytes"))
-    first = own.groupBy("bundle").agg(F.min_by("content", "path").alias("bytes"), F.min("path").alias("p"))
     root = folder(spark, "bundles")
-    A.write_files(docs.unionByName(first.select(F.concat(name, "p").alias("path"), "bytes")), root)
+    A.write_files(docs.unionByName(own.select(F.concat(name, "path").alias("path"), F.col("content").alias("bytes"))), root)
     return root
 
 
@@ -202,7 +200,7 @@ def s05(spark, sf):
                              F.col("manifest.version").alias("version"), F.col("bytes_error").isNull().alias("canonical")))
 
 
-@query("s04_fact_scan", f"""{W} SELECT site_id || '/' || day AS bundle, 'facts/' || min('' || event_id) || '.cbor' AS path FROM (SELECT * FROM ev WHERE {DCASE} <> 5) GROUP BY 1""")
+@query("s04_fact_scan", f"""{W} SELECT site_id || '/' || day AS bundle, 'facts/' || event_id || '.cbor' AS path FROM ev WHERE {DCASE} <> 5""")
 def s04(spark, sf):
     return A.scan_fact_artifacts(spark, written(spark, sf)).select("bundle", "path")
 
@@ -271,8 +269,8 @@ def s12(spark, sf):
 
 
 @query("s14_header_sidecars", """WITH h AS (SELECT o_custkey AS archive, o_orderkey AS height, sha256('' || o_orderkey) || sha256('x' || o_orderkey) || '00112233445566778899aabbccddee00' AS header FROM orders)
-  SELECT height, sha256(unhex(header)) AS header_sha256, CAST(NULL AS VARCHAR) AS error FROM h WHERE archive % 10 <> 3
-  UNION ALL SELECT NULL, NULL, 'truncated' FROM (SELECT DISTINCT archive FROM h WHERE archive % 10 = 3)""")
+  SELECT height, sha256(unhex(header)) AS header_sha256, CAST(NULL AS VARCHAR) AS error FROM h WHERE archive % 10 NOT IN (3, 4)
+  UNION ALL SELECT NULL, NULL, CASE archive % 10 WHEN 3 THEN 'truncated' ELSE 'repeated height' END FROM (SELECT DISTINCT archive FROM h WHERE archive % 10 IN (3, 4))""")
 def s14(spark, sf):
     o = T.table(spark, sf, "orders").selectExpr(
         "o_custkey AS archive", "o_orderkey AS height", "concat(sha2(cast(o_orderkey as string), 256), "
@@ -282,7 +280,7 @@ def s14(spark, sf):
     packed = o.groupBy("archive").agg(F.array_sort(F.collect_list(F.concat(le, "header"))).alias("r"))
     head = "4f545356" + "01000000" + "00" * 8
     files = packed.select(F.col("archive").cast("string").alias("path"), F.unhex(F.concat(
-        F.lit(head), F.array_join("r", ""), F.when(F.col("archive") % 10 == 3, "00").otherwise(""))).alias("content"))
+        F.lit(head), F.array_join("r", ""), F.when(F.col("archive") % 10 == 4, F.get("r", F.lit(0))).otherwise(""), F.when(F.col("archive") % 10 == 3, "00").otherwise(""))).alias("content"))
     return A.explode_headers(files).select("height", F.when(F.col("error").isNull(), F.col("header_sha256")).alias("header_sha256"), "error")
 
 

@@ -24,7 +24,7 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> Data
 def explode_device_map(texts: DataFrame, col: str = "value") -> DataFrame:
     """Object map (numeric key -> entry) to rows; ``_meta`` and other keys are left out."""
     entries = F.explode(F.from_json(F.col(col), f"map<string,{ENTRY}>")).alias("key", "e")
-    rows = texts.select(entries).filter(F.col("key").rlike(r"^[0-9]{1,5}$"))
+    rows = texts.select(entries).filter(F.col("key").rlike(r"^[0-9]{1,5}\z"))
     return rows.select(F.col("key").cast("int").alias("dev_id"), "e.*")
 
 
