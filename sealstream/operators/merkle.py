@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.functions.columns import sha256_bytes
+from sealstream.operators.plan import count_up
 
 BLOCK_BITS = 12
-ROUNDS = 3  # groups of up to 2**36 leaves; located() refuses more
+ROUNDS = 5  # 2**60 leaves; positions are bigint. A group leaves after the round that leaves it one node
 _SIZE = 1 << BLOCK_BITS
 
 
@@ -38,7 +39,7 @@ def located(runs: DataFrame, group: list[str]) -> DataFrame:
     # coalesce makes the bucket non-nullable, so the join below infers no null filter that
     # would evaluate the whole leaf expression a second time at the scan.
     runs = runs.withColumn("_b", F.expr(
-        "coalesce(cast(conv(substring(hex(leaf), 1, 4), 16, 10) as int), 0)"))
+        "coalesce(cast(conv(substring(hex(leaf), 1, 4), 16, 10) as int), 0)")).repartition(*group, "_b")
     in_bucket = Window.partitionBy(*group, "_b").orderBy("leaf")
     before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("_in", F.coalesce(F.sum("copies").over(before), F.lit(0)))
@@ -50,13 +51,9 @@ def located(runs: DataFrame, group: list[str]) -> DataFrame:
                    F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(*group)).alias("total"),
     )
-    limit = 1 << (BLOCK_BITS * ROUNDS)
     return placed.join(offsets, [*group, "_b"]).select(
         *group, "leaf", "copies", (F.col("_off") + F.col("_in")).alias("start"),
-        F.when(F.col("total") <= limit, F.col("total"))
-        .otherwise(F.raise_error(F.lit("Merkle group exceeds the supported leaf count")))
-        .alias("total"),
-    )
+        "total")
 
 
 def sort_leaves(leaves: DataFrame, group: list[str], leaf: str = "leaf") -> DataFrame:
@@ -69,8 +66,7 @@ def cut_runs(runs: DataFrame, width) -> DataFrame:
     width = F.lit(width).cast("bigint") if isinstance(width, int) else width
     start, end = F.col("start"), F.col("start") + F.col("copies")
 
-    parts = runs.withColumn("_w", width).withColumn(
-        "part", F.explode(F.sequence(F.expr("start div _w"), F.expr("(start + copies - 1) div _w"))))
+    parts = count_up(runs.withColumn("_w", width), F.expr("start div _w"), F.expr("(start + copies - 1) div _w"), "part")
     lo = F.greatest(start, F.col("part") * F.col("_w"))
     hi = F.least(end, (F.col("part") + 1) * F.col("_w"))
     return (parts.withColumn("pos", lo - F.col("part") * F.col("_w"))
@@ -131,16 +127,24 @@ def _next_round(roots: DataFrame, group: list[str]) -> DataFrame:
                     F.expr("transform(_p, x -> x.root)").alias("nodes")))
 
 
+def _reduced(level: DataFrame, group: list[str], version: int) -> DataFrame:
+    """Block roots of the groups of more than one block, and their number per group."""
+    return level.filter(F.col("_h") > _SIZE).select(
+        *group, "part", "total", _reduce(version, "nodes", _steps("_h")).alias("root"),
+        F.expr(f"(_h + {_SIZE - 1}) div {_SIZE}").alias("_h"))
+
+
 def roots_of(runs: DataFrame, group: list[str], version: int) -> DataFrame:
     """Roots of located runs (see ``sort_leaves``): group, ``leaf_count``, ``root``."""
-    level = _blocks(runs, group).withColumn("_h", F.col("total"))
+    level, done = _blocks(runs, group).withColumn("_h", F.col("total")), None
     for rnd in range(ROUNDS):
-        reduced = level.select(
-            *group, "part", "total", _reduce(version, "nodes", _steps("_h")).alias("root"),
-            F.expr(f"(_h + {_SIZE - 1}) div {_SIZE}").alias("_h"))
+        # Groups of one block are finished and leave; for the others a round divides the nodes by the block size.
+        ended = level.filter(F.col("_h") <= _SIZE).select(
+            *group, F.col("total").alias("leaf_count"), _reduce(version, "nodes", _steps("_h")).alias("root"))
+        done = ended if done is None else done.unionByName(ended)
         if rnd + 1 < ROUNDS:
-            level = _next_round(reduced, group)
-    return reduced.select(*group, F.col("total").alias("leaf_count"), "root")
+            level = _next_round(_reduced(level, group, version), group)
+    return done
 
 
 def merkle_root_v1(leaves: DataFrame, group: list[str], leaf: str = "leaf") -> DataFrame:
@@ -195,17 +199,15 @@ def inclusion_proofs(leaves: DataFrame, group: list[str], version: int,
             f"'_s{rnd}', filter({sibling}, y -> y is not null))))"))
         paths.append(per_node)
         if rnd + 1 < ROUNDS:
-            reduced = level.select(
-                *group, "part", "total", _reduce(version, "nodes", steps).alias("root"),
-                F.expr(f"(_h + {_SIZE - 1}) div {_SIZE}").alias("_h"))
-            level = _next_round(reduced, group)
+            level = _next_round(_reduced(level, group, version), group)
     out = runs.select(*group, "leaf", "start", "total")
     for rnd, path in enumerate(paths):
         shift = BLOCK_BITS * rnd
         keyed = path.select(*group, (F.col("part") * _SIZE + F.col("p")).alias("_k"), f"_s{rnd}")
-        out = out.withColumn("_k", F.shiftright("start", shift)).join(keyed, [*group, "_k"]).drop("_k")
+        out = out.withColumn("_k", F.shiftright("start", shift)).join(
+            keyed, [*group, "_k"], "left" if rnd else "inner").drop("_k")
     return out.select(*group, "leaf", F.col("start").alias("position"), F.col("total").alias("leaf_count"),
-                      F.concat(*[F.col(f"_s{r}") for r in range(ROUNDS)]).alias("siblings"))
+                      F.concat(*[F.coalesce(f"_s{r}", F.array().cast("array<binary>")) for r in range(ROUNDS)]).alias("siblings"))
 
 
 def fold_proof(version: int, leaf: str = "leaf", position: str = "position",
@@ -218,4 +220,5 @@ def fold_proof(version: int, leaf: str = "leaf", position: str = "position",
     start = (f"named_struct('h', {leaf}, 'i', cast({position} as bigint), 'm', cast({count} as bigint), 'k', 0)")
     step = (f"named_struct('h', if({lift}, if(s.i % 2 = 1, {left}, {right}), s.h), 'i', s.i div 2, "
             f"'m', (s.m + 1) div 2, 'k', if({lift}, s.k + 1, s.k))")
-    return F.expr(f"aggregate(sequence(1, {BLOCK_BITS * ROUNDS}), {start}, (s, x) -> {step}, s -> s.h)")
+    levels = f"sequence(1, greatest(1, cast(ceil(log2({count})) as int)))"
+    return F.expr(f"aggregate({levels}, {start}, (s, x) -> {step}, s -> s.h)")
