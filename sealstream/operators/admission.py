@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from sealstream.functions import codecs as K
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
-from sealstream.operators.plan import pinned
+from sealstream.operators.plan import pinned, staged
 
 
 def reject(df: DataFrame, case: Column) -> DataFrame:
@@ -194,16 +194,43 @@ def env_error(df: DataFrame) -> DataFrame:
          & ~(stats & F.coalesce(F.col("count") >= 1, F.lit(False))))]))
 
 
+def admit_frames(lines: DataFrame, devices: DataFrame, raw: str = "raw") -> DataFrame:
+    """From frame lines to decisions: one row per line, with ``reason`` and ``stage`` of a refused one and the decoded ``fact`` of
+    an admitted one (see ``split_admission`` and ``shape_facts``).
+
+    ``lines`` has the text, a unique ``arrival_seq`` and any other columns, which pass through. Checks come in the fixed order:
+    parsing, device lookup, lengths, nonce, authentication, binding of the payload to the header, replay. A frame that fails one
+    never reaches the next, so only authentic frames use up counters. Decryption happens once: its result is staged, without
+    key material, and read for the replay decision and again for the rows.
+    """
+    from sealstream.operators.replay import admit_replay
+
+    checked = check_nonce(check_lengths(join_devices(classify_frames(lines, raw), devices)))
+    checked = staged(check_binding(decrypt_frames(checked)))
+    replay = admit_replay(checked.filter("reason is null").select("dev_id", "arrival_seq", "fc"))
+    decided = checked.join(replay.select("arrival_seq", F.col("reason").alias("_r")), "arrival_seq", "left")
+    decided = reject(decided, F.col("_r")).drop("_r")
+    return decided.withColumns({"stage": stage_of("reason"), "fact": F.when(F.col("reason").isNull(), F.col("fact"))})
+
+
+PARSE_REASONS = ["invalid_json", "invalid_ingest_profile", "missing_frame_fields", "invalid_hdr",
+                 "invalid_hdr_types", "invalid_frame_types", "invalid_base64"]
+REPLAY_REASONS = ["duplicate", "out_of_window"]
+
+
+def stage_of(reason: str) -> Column:
+    """``replay``, ``parse`` or ``decrypt``; NULL for an admitted frame."""
+    col = F.col(reason)
+    return F.when(col.isNull(), F.lit(None).cast("string")).when(col.isin(REPLAY_REASONS), "replay").when(
+        col.isin(PARSE_REASONS), "parse").otherwise("decrypt")
+
+
 def split_admission(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected). ``source`` is ``replay`` or ``decrypt``; ``stage`` also tells
     parse failures apart."""
-    parse = ["invalid_json", "invalid_ingest_profile", "missing_frame_fields", "invalid_hdr",
-             "invalid_hdr_types", "invalid_frame_types", "invalid_base64"]
-    replay = ["duplicate", "out_of_window"]
     rejected = classified.filter("reason is not null").withColumns({
-        "source": F.when(F.col("reason").isin(replay), "replay").otherwise("decrypt"),
-        "stage": F.when(F.col("reason").isin(replay), "replay")
-        .when(F.col("reason").isin(parse), "parse").otherwise("decrypt")})
+        "source": F.when(F.col("reason").isin(REPLAY_REASONS), "replay").otherwise("decrypt"),
+        "stage": stage_of("reason")})
     return classified.filter("reason is null"), rejected
 
 

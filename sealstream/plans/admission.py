@@ -1,5 +1,7 @@
 """Registered queries: frame sources, checks, device lookup, replay, rejection audit."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sealstream.functions import codecs as K
@@ -7,7 +9,7 @@ from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators import admission as A
 from sealstream.operators import replay as R
-from sealstream.operators.plan import staged
+from sealstream.operators.plan import shared_folder, staged
 from sealstream.plans import frames as P
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
@@ -272,3 +274,40 @@ def a05(spark, sf):
     from sealstream.operators.analytics import rejection_report
     _, bad = A.split_admission(admitted(spark, sf))
     return rejection_report(bad.withColumn("day", C.utc_day("ingest_time")), ["reason", "day"])
+
+
+def written_lines(spark, sf):
+    """Sealed frames as files of JSON lines: some cut short, some with a wrong tag or a changed type byte."""
+    out = A.make_fixture_frames(P.fixture_readings(spark, sf))
+    b64 = lambda c: F.translate(F.base64(c), "\r\n", "")
+    turned = F.concat(F.substring("tag", 2, 15), F.substring("tag", 1, 1))
+    tag = F.when(F.col("event_id") % 13 == 0, turned).otherwise(F.col("tag"))
+    kind = F.when(F.col("event_id") % 19 == 0, 2).otherwise(F.col("msg_type"))
+    line = F.to_json(F.struct(
+        F.col("event_id").alias("event"), F.col("arrival_seq").alias("arrival"), F.col("ingest_time").alias("at"),
+        F.struct("dev_id", kind.alias("msg_type"), "fc", "flags").alias("hdr"),
+        b64("nonce").alias("nonce"), b64("ct").alias("ct"), b64(tag).alias("tag")))
+    root = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    lines = out.select("event_id", line.alias("line"))
+    lines.select(F.expr("if(event_id % 17 = 0, left(line, length(line) - 9), line)").alias("value")).write.text(root)
+    return root
+
+
+LINES_SRC = "pas AS (SELECT * FROM ev WHERE event_id % 17 <> 0 AND event_id % 13 <> 0 AND event_id % 19 <> 0 AND dev_id % 53 <> 7)"
+
+
+@query("u03_admit_lines", f"""WITH RECURSIVE {T.EV}, {LINES_SRC}, {REPLAY.format(src='pas')}, d AS (SELECT e.*, r.reason AS rr, CASE WHEN event_id % 17 = 0 THEN 'invalid_json'
+  WHEN dev_id % 53 = 7 THEN 'unknown_device' WHEN event_id % 13 = 0 OR event_id % 19 = 0 THEN 'decrypt_failed' END AS r0 FROM ev e LEFT JOIN (SELECT arrival_seq, reason FROM rpl) r USING (arrival_seq))
+  SELECT event_id, coalesce(r0, rr) AS reason, CASE WHEN r0 = 'invalid_json' THEN 'parse' WHEN r0 IS NOT NULL THEN 'decrypt' WHEN rr IS NOT NULL THEN 'replay' END AS stage,
+  CASE WHEN coalesce(r0, rr) IS NULL THEN fc END AS fc, CASE WHEN coalesce(r0, rr) IS NULL THEN ingest_time END AS pod_time, CASE WHEN coalesce(r0, rr) IS NULL THEN cents / 4.0 END AS value FROM d""")
+def u03_admit(spark, sf):
+    """Lines written as files, read back and admitted: each with its fact or the reason of its refusal."""
+    from sealstream.sources.tables import read_frames
+    lines = read_frames(spark, written_lines(spark, sf))
+    number = lambda name: F.regexp_extract("raw", f'"{name}":([0-9]+)', 1).cast("bigint")
+    lines = lines.select("raw", number("event").alias("event_id"), number("arrival").alias("arrival_seq"), number("at").alias("ingest_time"))
+    table = P.fixture_readings(spark, sf).filter("dev_id % 53 <> 7").select(
+        "dev_id", F.base64("salt8").alias("salt8"), F.base64("ck_up").alias("ck_up")).distinct()
+    out = A.admit_frames(lines, table)
+    return out.select("event_id", "reason", "stage", F.col("fact.fc").cast("bigint").alias("fc"),
+                      F.col("fact.pod_time").alias("pod_time"), F.col("fact.value").cast("double").alias("value"))

@@ -58,8 +58,8 @@ def v19(spark, sf):
 @query("u01_registered_codecs", f"""WITH {T.EV} SELECT event_id, sha256(unhex({FACT_CBOR})) AS cbor_sha256 FROM ev""")
 def u01(spark, sf):
     register_codecs(spark)
-    T.events(spark, sf).createOrReplaceTempView("codec_rows")
-    return spark.sql(f"SELECT event_id, sha2(json_to_cbor({FACT_JSON}), 256) AS cbor_sha256 FROM codec_rows")
+    text = T.events(spark, sf).select("event_id", F.expr(FACT_JSON).alias("fact_json"))
+    return spark.sql("SELECT event_id, sha2(json_to_cbor(fact_json), 256) AS cbor_sha256 FROM {rows}", rows=text)
 
 
 @query("u03_fixture_frames", f"""WITH {T.EV} SELECT event_id, substr(sha256('salt' || dev_id), 1, 16) || lower(lpad(to_hex(fc), 16, '0') || lpad(to_hex(dev_id), 4, '0') || lpad(to_hex(fc), 12, '0')) AS nonce,
