@@ -242,31 +242,10 @@ def check_rejections(records: DataFrame) -> DataFrame:
         ("invalid_frame_hash", ~C.is_hex("frame_sha256", 64))]))
 
 
-def conservation(frames: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row: input, accepted and rejected counts and whether they add up."""
-    tagged = [df.groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side))
-              for df, side in ((frames, "input"), (accepted, "accepted"), (rejected, "rejected"))]
-    union = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    sums = union.groupBy().agg(*[
-        F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s)
-        for s in ("input", "accepted", "rejected")])
+def conservation(frames: DataFrame, classified: DataFrame) -> DataFrame:
+    """One row: input, accepted and rejected counts and whether they add up. The decisions are read once."""
+    input_rows = frames.groupBy().agg(F.count(F.lit(1)).alias("input"), F.lit(0).alias("accepted"), F.lit(0).alias("rejected"))
+    decided = classified.groupBy().agg(F.lit(0).alias("input"), F.count_if(F.col("reason").isNull()).alias("accepted"),
+                                       F.count("reason").alias("rejected"))
+    sums = input_rows.unionByName(decided).groupBy().agg(*[F.sum(c).alias(c) for c in ("input", "accepted", "rejected")])
     return sums.withColumn("balanced", F.col("input") == F.col("accepted") + F.col("rejected"))
-
-
-def make_fixture_frames(readings: DataFrame) -> DataFrame:
-    """Deterministic sealed frames for readings (dev_id, fc, msg_type, pod_time, sample_type,
-    value, salt8, ck_up as bytes): a test-data job, encrypted per Arrow batch."""
-    @F.pandas_udf("struct<ct:binary,tag:binary>")
-    def seal(cols: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for c in cols:
-            keys, nonces, aads = ([bytes(x) for x in c[i]] for i in range(3))
-            plains = [K.instant_plaintext(int(d).to_bytes(8, "big"), int(f), int(t), int(s), float(v))
-                      for d, f, t, s, v in zip(*c[3:])]
-            yield pd.DataFrame(K.seal(keys, nonces, aads, plains), columns=["ct", "tag"])
-
-    tail = F.unhex(F.concat(F.lpad(F.hex("dev_id"), 4, "0"), F.lpad(F.hex("fc"), 12, "0")))
-    df = (readings.withColumn("flags", F.lit(0)).withColumn("nonce", C.framed_nonce("salt8", "fc", tail)))
-    df = with_aad(df)
-    sealed = df.withColumn("_s", seal("ck_up", "nonce", "aad", "dev_id", "fc", "pod_time",
-                                      "sample_type", "value"))
-    return sealed.select("*", "_s.ct", "_s.tag").drop("_s", "aad")

@@ -95,12 +95,19 @@ def dedup_entities(projected: DataFrame) -> dict[str, DataFrame]:
 
 
 def assemble_projection(projected: DataFrame) -> DataFrame:
-    """All entities as rows (section, id, body JSON)."""
-    parts = []
-    for section, df in dedup_entities(projected).items():
-        body = F.to_json(F.struct(*[c for c in df.columns]), {"ignoreNullFields": "false"})
-        parts.append(df.select(F.lit(section).alias("section"), "id", body.alias("body")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All entities as rows (section, id, body JSON), from one pass over the projected rows.
+
+    Each row yields its entities; copies of things, sensors, properties and datastreams merge before the shuffle, observations
+    are told apart by a row mark and all stay.
+    """
+    def entity(section, name, *cols, own=None):
+        body = F.to_json(F.struct(F.col(name).alias("id"), *cols), {"ignoreNullFields": "false"})
+        return F.struct(F.lit(section).alias("section"), F.col(name).alias("id"), body.alias("body"),
+                        (F.lit(-1).cast("bigint") if own is None else own).alias("_row"))
+    rows = projected.withColumn("_mark", F.monotonically_increasing_id())
+    each = rows.select(F.inline(F.array(
+        entity("things", "thing_id", "pod_id", "site_id"), entity("sensors", "sensor_id"),
+        entity("observed_properties", "observed_property_id", "observed_property_key"),
+        entity("datastreams", "datastream_id", "thing_id", "sensor_id", "observed_property_id", "stream_key"),
+        entity("observations", "observation_id", "datastream_id", *TIMES, "result_scalar", "result_structured", own=F.col("_mark")))))
+    return each.distinct().drop("_row")

@@ -79,7 +79,7 @@ def sealed(spark, sf):
     inner = r.withColumns({
         "dev_id": F.when(F.col("event_id") % 23 == 0, F.col("dev_id") + 1).otherwise(F.col("dev_id")),
         "_d": F.col("dev_id")})
-    out = A.make_fixture_frames(inner)
+    out = P.make_fixture_frames(inner)
     flipped = F.concat(F.substring("tag", 2, 15), F.substring("tag", 1, 1))
     # Frames with a foreign pod are authenticated under their own header.
     return out.withColumns({
@@ -193,8 +193,7 @@ def p10(spark, sf):
   count(*) FILTER (reason IS NOT NULL) AS rejected, true AS balanced FROM adm""")
 def x03(spark, sf):
     frames = sealed(spark, sf)
-    ok, bad = A.split_admission(admitted(spark, sf))
-    return A.conservation(frames, ok, bad)
+    return A.conservation(frames, admitted(spark, sf))
 
 
 @query("a06_device_state", f"""{ADMW} SELECT dev_id, max(fc) AS highest_fc_seen,
@@ -278,7 +277,7 @@ def a05(spark, sf):
 
 def written_lines(spark, sf):
     """Sealed frames as files of JSON lines: some cut short, some with a wrong tag or a changed type byte."""
-    out = A.make_fixture_frames(P.fixture_readings(spark, sf))
+    out = P.make_fixture_frames(P.fixture_readings(spark, sf))
     b64 = lambda c: F.translate(F.base64(c), "\r\n", "")
     turned = F.concat(F.substring("tag", 2, 15), F.substring("tag", 1, 1))
     tag = F.when(F.col("event_id") % 13 == 0, turned).otherwise(F.col("tag"))

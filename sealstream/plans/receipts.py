@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
 from sealstream.functions.register import register_codecs
-from sealstream.operators import admission as D
 from sealstream.operators import observe as O
 from sealstream.operators import receipts as R
 from sealstream.operators.plan import pinned
@@ -65,7 +64,7 @@ def u01(spark, sf):
 @query("u03_fixture_frames", f"""WITH {T.EV} SELECT event_id, substr(sha256('salt' || dev_id), 1, 16) || lower(lpad(to_hex(fc), 16, '0') || lpad(to_hex(dev_id), 4, '0') || lpad(to_hex(fc), 12, '0')) AS nonce,
   true AS sealed FROM ev""")
 def u03(spark, sf):
-    f = D.make_fixture_frames(P.fixture_readings(spark, sf))
+    f = P.make_fixture_frames(P.fixture_readings(spark, sf))
     return f.select("event_id", C.hex_lower("nonce").alias("nonce"),
                     ((F.octet_length("tag") == 16) & F.octet_length("ct").between(1, 256)).alias("sealed"))
 

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealstream.operators.evidence import upsert_index
 
 
-def write_rejections(rejected: DataFrame, path: str) -> None:
-    """Append audit lines under ``rejections/day=<day>``, apart from any fact folder."""
+def write_rejections(rejected: DataFrame, path: str, batch_id: int | str | None = None) -> None:
+    """Audit lines under ``rejections/day=<day>``, apart from any fact folder: appended, or under a ``batch_id=`` of their own,
+    which a repeated batch replaces."""
     cols = ["device_id", "fc", "reason", "observed_at_utc", "frame_sha256", "source"]
-    rejected.select(*cols, "day").write.mode("append").partitionBy("day").json(f"{path}/rejections")
+    own = "" if batch_id is None else f"/batch_id={batch_id}"
+    rejected.select(*cols, "day").write.mode("append" if batch_id is None else "overwrite").partitionBy("day").json(
+        f"{path}/rejections{own}")
 
 
 def write_sealed(segments: DataFrame, records: DataFrame, outcomes: DataFrame, path: str,
                  batch_id: int | str) -> None:
-    """Three tables of one transition under ``batch_id=``; the marker row in ``commits`` is
-    written last and readers join it, so a transition shows whole or not at all. A repeated
-    batch overwrites its own folders."""
-    spark = segments.sparkSession
+    """Three tables of one transition under ``batch_id=`` and an attempt of its own; the marker in ``commits`` names the
+    attempt, is written last, and readers join it, so a transition shows whole or not at all. A repeated
+    batch writes beside what is there and then moves the marker."""
+    spark, attempt = segments.sparkSession, uuid.uuid4().hex
     for name, df in (("segments", segments), ("records", records), ("outcomes", outcomes)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
-    spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(
+        df.write.parquet(f"{path}/{name}/batch_id={batch_id}/attempt=a{attempt}")
+    spark.range(1).select(F.lit(f"a{attempt}").alias("attempt")).coalesce(1).write.mode("overwrite").parquet(
         f"{path}/commits/batch_id={batch_id}")
 
 
 def read_sealed(spark, path: str, name: str) -> DataFrame:
     """A sealed table without transitions that were not committed."""
-    done = spark.read.parquet(f"{path}/commits").select("batch_id").distinct()
-    return spark.read.parquet(f"{path}/{name}").join(done, "batch_id", "left_semi")
+    done = spark.read.parquet(f"{path}/commits").select("batch_id", "attempt").distinct()
+    return spark.read.parquet(f"{path}/{name}").join(done, ["batch_id", "attempt"], "left_semi").drop("attempt")
 
 
 def flat_facts(facts: DataFrame) -> DataFrame:

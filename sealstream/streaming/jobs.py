@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealstream.operators import ledger as L
-from sealstream.operators import merkle as M
 from sealstream.sources.sinks import write_sealed
 
 
@@ -36,11 +35,14 @@ def commit_days(stream: DataFrame, path: str, checkpoint: str) -> None:
     touch are recomputed and replaced."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/leaves/batch_id={batch_id}")
-        new = spark.read.parquet(f"{path}/leaves/batch_id={batch_id}")
-        days = new.select("site_id", "day").distinct()
-        # A lost micro-batch is retried under its own id, so no later folder exists yet.
-        every = spark.read.parquet(f"{path}/leaves").join(days, ["site_id", "day"], "left_semi")
+        # Leaves lie by day, then batch: a retried batch replaces its own folders, and only touched days are read again.
+        keyed = batch.withColumn("batch_id", F.lit(batch_id))
+        (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id")
+         .parquet(f"{path}/leaves"))
+        leaves = spark.read.schema(keyed.schema).parquet(f"{path}/leaves")
+        touched = leaves.filter(F.col("batch_id") == batch_id).select("site_id", "day").distinct()
+        days = [r["day"] for r in touched.select("day").distinct().collect()]  # calendar days of one micro-batch
+        every = leaves.filter(F.col("day").isin(days)).join(touched, ["site_id", "day"], "left_semi")
         blocks = L.build_block_headers(every.select("site_id", "day", "leaf"))
         (blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("day", "site_id").parquet(f"{path}/blocks"))
@@ -54,7 +56,3 @@ def read_stream(spark: SparkSession, folder: str, file: str, max_files: int = 1)
     schema = spark.read.option("pathGlobFilter", file).parquet(folder).schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", file)
             .option("maxFilesPerTrigger", max_files).parquet(folder))
-
-
-def leaf_stream(facts: DataFrame, content: str = "content") -> DataFrame:
-    return facts.select("site_id", "day", M.leaf_hash_v1(F.col(content)).alias("leaf"))
