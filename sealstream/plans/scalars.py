@@ -36,7 +36,14 @@ def f03(spark, sf):
     return T.events(spark, sf).select("event_id", C.hex_lower(K.json_to_cbor(F.expr(FACT_JSON))).alias("cbor"))
 
 
-@query("f04_positional_cbor")
+# IEEE 754 single precision, by arithmetic on powers of two, of a value that is rounded to it already.
+F32 = """CASE WHEN v = 0 THEN '00000000' ELSE lpad(to_hex(CAST(CASE WHEN v < 0 THEN 2147483648 ELSE 0 END + (floor(log2(abs(v))) + 127) * 8388608
+  + (abs(v) / pow(2, floor(log2(abs(v)))) - 1) * 8388608 AS BIGINT)), 8, '0') END"""
+
+
+@query("f04_positional_cbor", f"""{W}, r AS (SELECT *, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM ev) SELECT event_id, lower('8701' || '48' || pod_id || {T.duck_head(0, 'fc')} ||
+  {T.duck_head(0, 'ingest_time')} || 'f6' || '01' || '82' || '00' || '8b' || '01' || {T.duck_head(0, 'sample_type')} || {T.duck_head(0, 'ingest_time')} ||
+  {T.duck_head(0, 'ingest_time')} || 'fa' || {F32} || 'f6f6f6' || '01' || 'f6f6') AS cbor FROM r""")
 def f04(spark, sf):
     from sealstream.operators.ledger import positional_cbor
     ev = T.events(spark, sf).select(
