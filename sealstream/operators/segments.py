@@ -13,6 +13,7 @@ from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators import merkle as M
 from sealstream.operators.evidence import multiset_diff
+from sealstream.operators.plan import staged
 
 SEG = ["ledger_id", "segment_number"]
 
@@ -304,3 +305,121 @@ def verdict_v2(checks: DataFrame) -> DataFrame:
     names = sorted(c for c in checks.columns if c.startswith("e") and c[1:].isdigit())
     first = F.coalesce(*[F.col(c) for c in names])
     return checks.withColumns({"failure": first, "overall": F.when(first.isNull(), "success").otherwise("failed")})
+
+
+REF = "struct<path:string,sha256:string>"
+SINGLE = ["segment_cbor", "predecessor_segment_cbor", "segment_json", "segment_sha256", "segment_ots", "segment_ots_meta",
+          "peer_attest", "tsa_info", "tsa_tsr"]
+LISTED = ["records", "batches"]
+MANIFEST_T = ("struct<version:int,ledger_id:string,site_id:string,segment_number:string,commitment_profile_id:string,"
+              f"disclosure_class:string,artifacts:struct<{','.join(f'{n}:{REF}' for n in SINGLE)},"
+              f"{','.join(f'{n}:array<{REF}>' for n in LISTED)},extensions:map<string,{REF}>>,"
+              "anchoring:struct<tsa:struct<status:string>,ots:struct<status:string>,peer:struct<status:string>>>")
+PROJECTION_T = ("struct<version:int,ledger_id:string,site_id:string,segment_number:string,batch_number:string,"
+                "merkle_root:string,count:string,leaf_hashes:array<string>>")
+
+
+def read_manifests(manifests: DataFrame) -> DataFrame:
+    """Manifest texts (bundle, manifest_json) to columns: identity, class, claims, ``refs`` of every artifact as
+    struct<role, place, path, sha256>, and which proofs are there. A text that is no manifest has NULLs."""
+    m, a = F.col("_m"), F.col("_m.artifacts")
+
+    def ref(role, r, place=F.lit(0)):
+        return F.struct(F.lit(role).alias("role"), place.cast("int").alias("place"), r["path"].alias("path"), r["sha256"].alias("sha256"))
+    empty = F.array().cast("array<struct<role:string,place:int,path:string,sha256:string>>")
+    single = F.array_compact(F.array(*[F.when(a[n].isNotNull(), ref(n, a[n])) for n in SINGLE]))
+    def places(role):
+        return lambda r, i: ref(role, r, i)
+    listed = [F.coalesce(F.transform(a[n], places(n)), empty) for n in LISTED]
+    more = F.coalesce(F.transform(F.map_values(a["extensions"]), places("extension")), empty)
+    return manifests.withColumn("_m", F.from_json("manifest_json", MANIFEST_T)).select(
+        "bundle", *[m[n].alias(n) for n in ("version", "ledger_id", "site_id", "segment_number", "commitment_profile_id",
+                                            "disclosure_class")],
+        *[m["anchoring"][n]["status"].alias(n) for n in ("tsa", "ots", "peer")],
+        F.coalesce(F.concat(single, *listed, more), empty).alias("refs"),
+        a["batches"].isNotNull().alias("has_batches"), a["records"].isNotNull().alias("has_records"),
+        *[F.coalesce(a[n].isNotNull(), F.lit(False)).alias(c) for n, c in (
+            ("tsa_tsr", "has_tsa"), ("segment_ots", "has_ots"), ("segment_ots_meta", "has_ots_meta"), ("peer_attest", "has_peer"))])
+
+
+def verify_segment_bundles(files: DataFrame, tsa_errors: DataFrame | None = None, enforce: bool = False,
+                           require_tsa: bool = False) -> DataFrame:
+    """One verdict per segment bundle from its files (bundle, path, content, sha256), see ``scan_segment_bundles``.
+
+    Columns: bundle, disclosure_class, verification_scope, artifact_sha256, record_multiset_root, checks_executed,
+    checks_skipped (check:reason), channel states, failure (the first failing step, NULL if none) and overall. Steps, in order:
+    manifest, references (each listed file there with its digest), segment artifact, identity, disclosure precondition, chain,
+    record recompute (class A) or batch projections (B), timestamp channels. ``tsa_errors`` (bundle, tsa_error) has
+    what an outside verifier found wrong with a timestamp response; responses it does not name count as verified.
+
+    Files are read once into a table of their references; contents are joined only where a step needs them. Segments
+    are told apart by bundle, so equal segments of different bundles do not meet.
+    """
+    at = files.withColumn("path", C.clean_path("path"))
+    manifests = at.filter("path = 'segment.verify.json'").select("bundle", F.decode("content", "UTF-8").alias("manifest_json"))
+    m = check_manifest_v2(read_manifests(manifests)).withColumnRenamed("error", "e01")
+    m = staged(m.withColumn("e01", F.when(F.col("version").isNull(), "manifest").otherwise(F.col("e01"))))
+    refs = m.select("bundle", F.inline("refs")).withColumn("path", C.clean_path("path"))
+    met = staged(refs.join(at.select("bundle", "path", F.col("sha256").alias("_is"), "content"), ["bundle", "path"], "left"))
+    missing = met.withColumn("e", C.first_failure([("artifact-missing", F.col("_is").isNull()),
+                                                  ("artifact-sha256", F.col("_is") != F.col("sha256"))]))
+    e02 = missing.filter("e IS NOT NULL").groupBy("bundle").agg(F.min_by("e", F.struct("role", "place")).alias("e02"))
+
+    def decoded(role):
+        return staged(decode_segments(met.filter(F.col("role") == role).select(
+            "bundle", F.col("content").alias("artifact_cbor"), F.col("_is").alias("artifact_sha256"))))
+    own = decoded("segment_cbor")
+    # A bundle is one segment: its name stands in for the ledger, so that equal segments of two bundles stay apart.
+    segs, batches = decoded_tables(own, "bundle", "artifact_sha256")
+    named = [segs.withColumn("_ledger", F.col("ledger_id")).withColumn("ledger_id", F.md5("bundle")),
+             batches.withColumn("batch_ledger_id", F.when(F.col("batch_ledger_id") == F.col("ledger_id"), F.md5("bundle"))
+                                .otherwise(F.col("batch_ledger_id")))
+             .withColumn("ledger_id", F.md5("bundle"))]
+    codes = check_segment_invariants(*named).select("bundle", F.col("code").alias("_code"))
+    e03 = own.select("bundle", F.col("seg.error").alias("_error")).join(codes, "bundle", "left").select(
+        "bundle", F.coalesce("_error", "_code").alias("e03"))
+    e04 = check_segment_identity(m.select("bundle", *MANIFEST_KEYS), segs).select("bundle", F.col("error").alias("e04"))
+    e05 = check_disclosure_precondition(m, enforce).select("bundle", F.col("error").alias("e05"))
+
+    before = decoded_tables(decoded("predecessor_segment_cbor"), "bundle", "artifact_sha256")[0].select("bundle", F.struct(
+        "ledger_id", "site_id", "segment_number", F.col("artifact_sha256").alias("sha256")).alias("pred"))
+    shown = refs.filter("role = 'predecessor_segment_cbor'").select("bundle", F.lit(True).alias("_shown"))
+    chain = check_chain(segs.join(before, "bundle", "left").join(shown, "bundle", "left")).select(
+        "bundle", "chain", F.when(F.col("_shown") & F.col("pred").isNull() & (F.col("segment_number") > 0),
+                                  "predecessor_artifact").otherwise(F.col("error")).alias("e06"))
+    classed = segs.join(m.select("bundle", "disclosure_class", "has_batches", "has_records"), "bundle")
+    records = met.filter("role = 'records'").select("bundle", F.col("content").alias("record"))
+    e07 = recompute_class_a(classed, records, batches).select(
+        "bundle", "record_multiset_root", F.when(~F.col("has_records"), "records_required").otherwise(F.col("error")).alias("e07"))
+
+    said = met.filter("role = 'batches'").select("bundle", "place", F.from_json(F.decode("content", "UTF-8"), PROJECTION_T).alias("p"))
+    held = batches.select("bundle", F.col("position").alias("place"), F.struct(
+        F.lit(2).alias("version"), F.col("batch_ledger_id").alias("ledger_id"), F.col("batch_site_id").alias("site_id"),
+        F.col("batch_segment_number").cast("string").alias("segment_number"), F.col("batch_number").cast("string").alias("batch_number"),
+        "merkle_root", F.col("count").cast("string").alias("count"), "leaf_hashes").alias("b"))
+    pairs = said.join(held, ["bundle", "place"], "full_outer").join(
+        m.filter("has_batches").select("bundle"), "bundle", "left_semi")
+    status = pairs.select("bundle", F.when(F.col("p").eqNullSafe(F.col("b").cast(PROJECTION_T)), "ok").otherwise("mismatch").alias("status"))
+    e08 = check_class_bc(classed, status).select("bundle", "batch_check", F.col("error").alias("e08"))
+    none = m.select("bundle", F.lit(None).cast("string").alias("tsa_error")).filter("false")
+    channels = timestamp_channels(m.join(none if tsa_errors is None else tsa_errors.select("bundle", "tsa_error"), "bundle", "left"),
+                                  require_tsa).select("bundle", "tsa_channel", "ots_channel", "peer_channel", F.col("error").alias("e09"))
+    out = m.select("bundle", "disclosure_class", "has_tsa", "e01")
+    for part in (e02, e03, e04, e05, chain, e07, e08, channels, segs.select("bundle", "artifact_sha256")):
+        out = out.join(part, "bundle", "left")
+    is_a, cls = F.col("disclosure_class") == "A", F.lower("disclosure_class")
+    executed = F.array_compact(F.array(
+        F.lit("bundle_disclosure_validation"), F.lit("verification_manifest_validation"), F.lit("segment_artifact_validation"),
+        F.when(F.col("chain") == "executed", "segment_chain_validation"), F.when(is_a, "record_level_recompute"),
+        F.when(is_a | (F.col("batch_check") == "executed"), "batch_metadata_validation"), F.lit("segment_digest_binding"),
+        F.when(F.col("tsa_channel") == "verified", "tsa_verification")))
+    skipped = F.array_compact(F.array(
+        F.when(F.col("chain") != "executed", F.concat(F.lit("segment_chain_validation:"), "chain")),
+        F.when(~is_a, F.concat(F.lit("record_level_recompute:disclosure-class-"), cls)),
+        F.when(~is_a & (F.col("batch_check") != "executed"), F.concat(F.lit("batch_metadata_validation:"), "batch_check"))))
+    good = F.col("failure").isNull()
+    scope = F.coalesce(*[F.when(F.col("disclosure_class") == k, v) for k, v in SCOPES.items()])
+    return verdict_v2(out).select(
+        "bundle", "disclosure_class", F.when(good, scope).alias("verification_scope"), "artifact_sha256",
+        F.when(good, F.col("record_multiset_root")).alias("record_multiset_root"), F.when(good, executed).alias("checks_executed"),
+        F.when(good, skipped).alias("checks_skipped"), "tsa_channel", "ots_channel", "peer_channel", "failure", "overall")

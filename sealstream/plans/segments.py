@@ -193,3 +193,76 @@ def v16(spark, sf):
                     (o == 1).alias("has_ots"), F.when(o == 0, "pending").alias("ots"), F.lit(False).alias("has_peer"),
                     F.lit(None).cast("string").alias("peer"))
     return S.timestamp_channels(b, False).select("bundle", "tsa_channel", "ots_channel", "error")
+
+
+def bundle_files(spark, sf):
+    """Files of one bundle per segment: classes A, B and C in turn, most with their predecessor, some damaged."""
+    segs, batches, parts, chain = G.chained(spark, sf)
+    key = F.concat("ledger_id", F.lit("/"), N)
+    cls = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col(N) % 3 + 1).cast("int"))
+    art = staged(L.segment_artifacts(parts, chain).select(*L.SEG, F.col("artifact_cbor").alias("content")))
+    own = art.select(*L.SEG, F.lit("segment_cbor").alias("role"), F.lit(0).alias("place"), F.lit("segments/s.cbor").alias("path"), "content")
+    before = art.withColumn(N, F.col(N) + 1).join(art.select(*L.SEG, F.col("content").alias("_own")), L.SEG)
+    before = before.filter(f"{N} % 4 <> 3").select(
+        *L.SEG, F.lit("predecessor_segment_cbor").alias("role"), F.lit(0).alias("place"), F.lit("segments/p.cbor").alias("path"),
+        F.when(F.col(N) % 11 == 8, F.col("_own")).otherwise(F.col("content")).alias("content"))
+    rec = G.records(spark, sf)
+    from sealstream.operators import producer as P
+    numbers = P.number_segments_suppress(rec, G.INTERVAL, G.ORIGIN).select("ledger_id", "interval_no", N)
+    rec = P.close_intervals(rec, G.INTERVAL, G.ORIGIN).join(numbers, ["ledger_id", "interval_no"]).filter(f"{N} % 3 = 0")
+    rec = rec.select(*L.SEG, F.lit("records").alias("role"), F.col("seq").cast("int").alias("place"),
+                     F.concat(F.lit("records/"), "seq", F.lit(".cbor")).alias("path"),
+                     F.when(F.col(N) % 11 == 7, F.concat("record", F.lit(b"\x00"))).otherwise(F.col("record")).alias("content"))
+    sites = segs.select(*L.SEG, "site_id")
+    text = F.to_json(F.struct(F.lit(2).alias("version"), "ledger_id", "site_id", F.col(N).cast("string").alias(N),
+                              F.col("batch_number").cast("string").alias("batch_number"), "merkle_root",
+                              F.col("count").cast("string").alias("count"), "leaf_hashes"))
+    shown = batches.join(sites, L.SEG).filter(f"{N} % 3 = 1 AND {N} % 4 <> 0").select(
+        *L.SEG, F.lit("batches").alias("role"), F.col("batch_number").cast("int").alias("place"),
+        F.concat(F.lit("batches/"), "batch_number", F.lit(".json")).alias("path"), C.text_bytes(text).alias("content"))
+    tsr = segs.filter(f"{N} % 2 = 1").select(*L.SEG, F.lit("tsa_tsr").alias("role"), F.lit(0).alias("place"),
+                                             F.lit("tsa/s.tsr").alias("path"), C.text_bytes("site_id").alias("content"))
+    files = own.unionByName(before).unionByName(rec).unionByName(shown).unionByName(tsr)
+    files = staged(files.withColumn("sha256", F.sha2("content", 256)))
+    said = F.when((F.col(N) % 11 == 5) & (F.col("role") == "segment_cbor"), F.sha2("sha256", 256)).otherwise(F.col("sha256"))
+    refs = files.groupBy(*L.SEG).agg(F.array_sort(F.collect_list(F.struct("role", "place", "path", said.alias("sha256")))).alias("r"))
+    one = lambda role: F.get(F.filter("r", lambda x: x["role"] == role), F.lit(0))
+    bare = lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"))
+    many = lambda role: F.transform(F.filter("r", lambda x: x["role"] == role), bare)
+    singles = [F.when(one(r).isNotNull(), bare(one(r))).alias(r) for r in ("segment_cbor", "predecessor_segment_cbor", "tsa_tsr")]
+    lists = [F.when(F.size(many(r)) > 0, many(r)).alias(r) for r in S.LISTED]
+    number = F.when(F.col(N) % 11 == 6, F.lit("77777")).otherwise(F.col(N).cast("string"))
+    manifest = F.to_json(F.struct(
+        F.lit(2).alias("version"), "ledger_id", "site_id", number.alias(N), F.lit(V.PROFILE_V2).alias("commitment_profile_id"),
+        cls.alias("disclosure_class"), F.struct(*singles, *lists).alias("artifacts"),
+        F.struct(F.struct(F.lit("pending").alias("status")).alias("ots")).alias("anchoring")))
+    manifests = refs.join(sites, L.SEG).select(key.alias("bundle"), F.lit("segment.verify.json").alias("path"),
+                                               C.text_bytes(manifest).alias("content"))
+    files = files.select(key.alias("bundle"), "path", "content")
+    return files.unionByName(manifests).withColumn("sha256", F.sha2("content", 256)), segs
+
+
+FAILS = """CASE WHEN n % 11 = 5 THEN 'artifact-sha256' WHEN n % 11 = 6 THEN 'identity' WHEN n % 11 = 8 AND n > 0 AND n % 4 <> 3 THEN 'predecessor_linkage'
+  WHEN n % 11 = 7 AND n % 3 = 0 THEN 'record_not_canonical' WHEN n % 2 = 1 AND n % 13 = 4 THEN 'tsa_failed' END"""
+
+
+@query("v23_segment_bundles", f"""{G.CW}, b AS (SELECT c.ledger_id, c.segment_number AS n, c.sha, s.root FROM chn c JOIN sr s USING (ledger_id, segment_number)),
+  f AS (SELECT *, {FAILS} AS failure, n = 0 OR n % 4 <> 3 AS linked FROM b)
+  SELECT ledger_id || '/' || n AS bundle, CASE n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS disclosure_class, sha AS artifact_sha256, failure,
+  CASE WHEN failure IS NULL THEN CASE n % 3 WHEN 0 THEN 'public_recompute' WHEN 1 THEN 'partial_verification' ELSE 'anchor_only' END END AS verification_scope,
+  CASE WHEN failure IS NULL AND n % 3 = 0 THEN root END AS record_multiset_root,
+  CASE WHEN failure IS NULL THEN 'bundle_disclosure_validation,verification_manifest_validation,segment_artifact_validation' ||
+   CASE WHEN linked THEN ',segment_chain_validation' ELSE '' END || CASE WHEN n % 3 = 0 THEN ',record_level_recompute' ELSE '' END ||
+   CASE WHEN n % 3 = 0 OR n % 3 = 1 AND n % 4 <> 0 THEN ',batch_metadata_validation' ELSE '' END || ',segment_digest_binding' ||
+   CASE WHEN n % 2 = 1 THEN ',tsa_verification' ELSE '' END END AS executed,
+  CASE WHEN failure IS NULL THEN concat_ws(',', CASE WHEN NOT linked THEN 'segment_chain_validation:predecessor-not-disclosed' END,
+   CASE n % 3 WHEN 1 THEN 'record_level_recompute:disclosure-class-b' WHEN 2 THEN 'record_level_recompute:disclosure-class-c' END,
+   CASE WHEN n % 3 = 2 THEN 'batch_metadata_validation:out_of_scope' WHEN n % 3 = 1 AND n % 4 = 0 THEN 'batch_metadata_validation:not_disclosed' END) END AS skipped,
+  CASE WHEN n % 2 = 1 THEN CASE WHEN n % 13 = 4 THEN 'failed' ELSE 'verified' END END AS tsa_channel, 'pending' AS ots_channel FROM f""")
+def v23(spark, sf):
+    files, segs = bundle_files(spark, sf)
+    wrong = segs.filter(f"{N} % 13 = 4").select(F.concat("ledger_id", F.lit("/"), N).alias("bundle"), F.lit("imprint").alias("tsa_error"))
+    out = S.verify_segment_bundles(files, wrong)
+    return out.select("bundle", "disclosure_class", "artifact_sha256", "failure", "verification_scope", "record_multiset_root",
+                      F.array_join("checks_executed", ",").alias("executed"), F.array_join("checks_skipped", ",").alias("skipped"),
+                      "tsa_channel", "ots_channel")
