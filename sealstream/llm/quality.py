@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import carried, whole_text
+from sealstream.llm.common import carried, kth_largest, whole_text
 from sealstream.operators.plan import staged
 
 #: Words and runs of other marks, as n-gram units.
@@ -21,9 +21,8 @@ REPEATED = np.int64(0x5EED)
 def _grams(batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the hashed unigrams and bigrams of a batch, and the row of each."""
     lists = batch["_hashes"]
-    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
     ends = lists.offsets.to_numpy()
-    flat, ends = flat[ends[0]:ends[-1]], ends - ends[0]
+    flat, ends = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]].astype(np.int64), ends - ends[0]
     rows = np.repeat(np.arange(batch.num_rows), np.diff(ends))
     inside = rows[1:] == rows[:-1]
     a, b = flat[:-1][inside], flat[1:][inside]
@@ -31,6 +30,13 @@ def _grams(batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([flat % buckets, pairs % buckets]), np.concatenate([rows, rows[1:][inside]])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut into fewer rows, which bounds the arrays of their n-grams."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _units(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with a hash of each unit of the lower-cased whole text."""
     units = F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(UNITS), F.lit(0))
@@ -51,7 +57,7 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, picked = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             grams, row = _grams(batch, buckets)
             raw += np.bincount(grams, minlength=buckets)
             picked += np.bincount(grams[batch["_good"].to_numpy(zero_copy_only=False)[row]], minlength=buckets)
@@ -79,7 +85,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     names, buckets = list(back.values()), len(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             grams, row = _grams(batch, buckets)
             number = np.bincount(row, minlength=batch.num_rows)
             weight = np.bincount(row, weights=ratios[grams], minlength=batch.num_rows)
@@ -94,35 +100,6 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     return out.select(*[F.col(v).alias(c) for c, v in back.items()], "n_grams", "log_weight", "key")
 
 
-def kth_largest(rows: DataFrame, col: str, k: int, few: int = 4096) -> float | None:
-    """The k-th largest value of a column, exactly: counts in ever narrower ranges, then the values of a last range.
-    The driver gets at most ``few`` rows or counts at a time."""
-    values = rows.select(F.col(col).alias("x")).filter("x IS NOT NULL")
-    low, high, n = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    if not n or k < 1:
-        return None
-    if k >= n:
-        return low
-    while True:
-        inside = values.filter((F.col("x") >= low) & (F.col("x") <= high))
-        if n <= few or low == high:
-            return sorted((r.x for r in inside.collect()), reverse=True)[k - 1] if low != high else low
-        step = (high - low) / 1024
-        if step <= 0 or low + step == low:  # neighbours that no range divides: the values are few and repeat
-            counts = sorted(inside.groupBy("x").count().collect(), reverse=True)
-            for x, c in counts:
-                if k <= c:
-                    return x
-                k -= c
-        slot = F.least(F.floor((F.col("x") - low) / step), F.lit(1023))
-        parts = inside.groupBy(slot.alias("s")).agg(F.count("*"), F.min("x"), F.max("x")).collect()
-        for _, c, least, most in sorted(parts, key=lambda r: -r[0]):
-            if k <= c:
-                low, high, n = least, most, c
-                break
-            k -= c
-
-
 def cut_between(scores: list[tuple[float, int]]) -> float:
     """The value that best parts good (1) from bad (0) scores: the middle of the best gap, where
     the share of good ones above less that of bad ones above is largest. Without bad ones: minus infinity."""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import carried, lower_ascii
+from sealstream.llm.common import carried, kth_largest, lower_ascii
 from sealstream.operators.plan import staged
 
 #: Words that mark a site as unwanted; a training page is one whose host or path holds one.
@@ -40,12 +40,14 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def word_counts(texts: Column, rows: DataFrame, most: int = 100_000) -> dict[str, int]:
-    """Unigram counts over the visible text of all rows; the ``most`` frequent words form the vocabulary, which is
-    sent to every task. Ties go by the alphabet."""
+    """Unigram counts over the visible text of all rows; at most the ``most`` frequent words form the vocabulary, which is
+    sent to every task. Words that tie at the last place are left out."""
     visible = F.regexp_replace(texts, "(?is)<(script|style)\\b.*?</\\1>|<!--.*?-->|<[^>]*>", " ")
     words = rows.select(F.explode(F.split(F.lower(visible), "[^\\p{L}]+")).alias("word"))
-    words = words.filter(F.col("word").rlike("^[a-z]{2,24}$")).groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(most).collect()}
+    words = staged(words.filter(F.col("word").rlike("^[a-z]{2,24}$")).groupBy("word").agg(F.count("*").alias("n")))
+    if words.count() > most:
+        words = words.filter(F.col("n") > kth_largest(words, "n", most + 1))
+    return {r["word"]: r["n"] for r in words.collect()}
 
 
 class Segmenter:

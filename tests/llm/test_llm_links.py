@@ -193,6 +193,14 @@ def test_url_filter(spark):
     assert urls.filter_urls(table.limit(0), RULES).count() == 0
 
 
+def test_vocabulary_is_bounded(spark):
+    rows = spark.createDataFrame([("aa " * 5 + "bb " * 3 + "cc " * 3 + "dd " * 2 + "e éé <b>xx</b>",)], "html string")
+    everything = {"aa": 5, "bb": 3, "cc": 3, "dd": 2, "xx": 1}
+    assert urls.word_counts(F.col("html"), rows) == everything
+    assert urls.word_counts(F.col("html"), rows, most=3) == {"aa": 5, "bb": 3, "cc": 3}
+    assert urls.word_counts(F.col("html"), rows, most=2) == {"aa": 5}
+
+
 def test_segmenter_against_all_cuts():
     cutter = urls.Segmenter({"a": 5, "ab": 9, "abc": 2, "c": 7, "bca": 3, "ca": 1})
 
