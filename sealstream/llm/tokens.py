@@ -83,7 +83,8 @@ def with_starts(rows: DataFrame, index: DataFrame) -> DataFrame:
     Totals per file come from ``index``, the files' narrow columns, and give each file its offset (one row
     per file in one task); a window inside each file does the rest.
     """
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint")  # names alone sort wrong from part 100,000 on
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("_total"))
     files = files.select("file", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

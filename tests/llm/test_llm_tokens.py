@@ -172,3 +172,10 @@ def test_token_files(spark, tmp_path):
     empty = tokens.encode_documents(tokens.in_order(documents(spark, [])), path, end_id=1)
     tokens.write_tokens(empty, f"file://{tmp_path}/e")
     assert tokens.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_files_follow_their_numbers(spark):
+    rows = [(f"part-{n:05d}-x.c000.zstd.parquet", k, 10 * n + k) for n in (7, 99_999, 100_000) for k in range(2)]
+    table = spark.createDataFrame(rows, "file string, row bigint, n_tokens bigint")
+    got = [r["n_tokens"] for r in tokens.with_starts(table, table).orderBy("start").collect()]
+    assert got == [r[2] for r in rows]
