@@ -249,20 +249,23 @@ def applicable_revocations(certs: DataFrame, lists: DataFrame, revoked: DataFram
     this_update, next_update) and entries (list_id, serial, revoked_at): ``error`` or NULL.
 
     Lists are counted per issuer before the join, so each certificate meets one row; the range
-    test follows on the single applicable list.
+    test follows on the single applicable list. Lists with a ``kind`` other than full (delta, indirect) are refused.
     """
+    kind = F.col("kind") if "kind" in lists.columns else F.lit("full")
     per_issuer = lists.groupBy("issuer").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct("list_id", "this_update", "next_update")).alias("_l"))
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("list_id", "this_update", "next_update")).alias("_l"),
+        F.bool_and(F.coalesce(kind == "full", F.lit(False))).alias("_full"))
     joined = salted_join(certs, per_issuer, ["issuer"], ["cert_id"]).withColumn("list_id", F.col("_l.list_id"))
     entries = revoked.groupBy("list_id", "serial").agg(F.min("revoked_at").alias("_r"))
     joined = joined.join(entries, ["list_id", "serial"], "left")
     t = F.col("gen_time")
     return joined.withColumn("error", C.first_failure([
         ("list_count", F.coalesce("_n", F.lit(0)) != 1),
+        ("list_kind", ~F.col("_full")),
         ("not_yet_valid", F.col("_l.this_update") > t),
         ("no_next_update", F.col("_l.next_update").isNull()),
         ("expired_list", F.col("_l.next_update") <= t),
-        ("revoked", F.col("_r") <= t)])).drop("_n", "_l", "_r", "list_id")
+        ("revoked", F.col("_r") <= t)])).drop("_n", "_l", "_r", "_full", "list_id")
 
 
 def walk_cert_paths(signers: DataFrame, intermediates: DataFrame, anchors: DataFrame,
@@ -288,6 +291,37 @@ def walk_cert_paths(signers: DataFrame, intermediates: DataFrame, anchors: DataF
     return salted_join(signers, walk, ["issuer"], ["cert_id"])
 
 
+def check_cert_paths(signers: DataFrame, intermediates: DataFrame, anchors: DataFrame, lists: DataFrame,
+                     revoked: DataFrame, depth: int = 8) -> DataFrame:
+    """State, length and first revocation error along the path of each signer (cert_id, issuer, serial, gen_time).
+
+    Intermediates have subject, issuer and serial. The signer and every intermediate up to the anchor are
+    tested against the list of their issuer at the signer's time; ``error_at`` is the place on the path, 0 for the signer.
+    The walk is over distinct issuers, and a path has at most ``depth`` certificates.
+    """
+    both = intermediates.select("subject", "issuer", "serial", F.lit(0).alias("_a")).unionByName(anchors.select(
+        "subject", F.lit(None).cast("string").alias("issuer"), F.lit(None).cast("bigint").alias("serial"), F.lit(1).alias("_a")))
+    step = both.groupBy(F.col("subject").alias("at")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_a").alias("_a"), F.min(F.struct("issuer", F.col("serial").cast("bigint").alias("serial"))).alias("_c"))
+    walk = signers.select(F.col("issuer").alias("start")).distinct().withColumns({
+        "at": F.col("start"), "path": F.array().cast("array<struct<issuer:string,serial:bigint>>")})
+    for _ in range(depth):
+        # An unknown, ambiguous or anchored place ends the path there; walk_cert_paths says which it was.
+        walk = walk.join(step, "at", "left").select("start", F.when((F.col("_n") == 1) & (F.col("_a") == 0), F.col("_c.issuer")).alias("at"), F.when(
+            (F.col("_n") == 1) & (F.col("_a") == 0), F.concat("path", F.array(F.col("_c")))).otherwise(
+            F.col("path")).alias("path"))
+    walk = walk.select(F.col("start").alias("issuer"), "path")
+    own = salted_join(signers, walk, ["issuer"], ["cert_id"])
+    each = own.select("cert_id", "gen_time", F.posexplode(F.concat(F.array(F.struct(
+        "issuer", F.col("serial").cast("bigint").alias("serial"))), F.coalesce("path", F.array().cast(
+            "array<struct<issuer:string,serial:bigint>>")))).alias("place", "c"))
+    tested = applicable_revocations(each.select("cert_id", "gen_time", "place", "c.issuer", "c.serial"), lists, revoked)
+    first = tested.filter("error IS NOT NULL").groupBy("cert_id").agg(F.min(F.struct("place", "error")).alias("_e"))
+    states = walk_cert_paths(signers, intermediates, anchors, depth).select("cert_id", "state", "length")
+    return states.join(first, "cert_id", "left").select(
+        "cert_id", "state", "length", F.col("_e.error").alias("error"), F.col("_e.place").alias("error_at"))
+
+
 def check_tokens(tokens: DataFrame) -> DataFrame:
     """Decoded timestamp tokens against expected columns; ``error`` names the first mismatch."""
     def part_bad(c):

@@ -288,6 +288,37 @@ def j13(spark, sf):
     return T.big(E.walk_cert_paths(signers, inter.filter("subject <> 'p0'"), anchors).select("cert_id", "state", "length"))
 
 
+@query("j13_path_revocations", """WITH RECURSIVE i AS (SELECT 'p' || p_partkey AS subject, 'p' || (p_partkey // 2) AS issuer, p_partkey % 97 AS serial FROM part WHERE p_partkey > 0),
+  st AS (SELECT subject, issuer, serial, 0 AS anc FROM i UNION ALL SELECT 'p0', NULL, NULL, 1),
+  w AS (SELECT s_suppkey AS cert_id, 0 AS place, 'p' || s_suppkey * 3 AS cur, s_suppkey % 97 AS serial FROM supplier
+   UNION ALL SELECT cert_id, place + 1, st.issuer, st.serial FROM w JOIN st ON subject = cur WHERE anc = 0 AND place < 8),
+  l AS (SELECT DISTINCT cur AS issuer FROM w), k AS (SELECT issuer, CAST(substr(issuer, 2) AS BIGINT) AS n FROM l),
+  e AS (SELECT cert_id, place, CASE WHEN n % 29 = 3 THEN 'list_count' WHEN n % 31 = 4 THEN 'list_kind' WHEN n % 37 = 5 THEN 'expired_list' WHEN (serial + n) % 41 = 6 THEN 'revoked' END AS error
+   FROM w JOIN k ON issuer = cur), f AS (SELECT cert_id, min(place) AS error_at, arg_min(error, place) AS error FROM e WHERE error IS NOT NULL GROUP BY 1),
+  s AS (SELECT cert_id, max(place) AS top, arg_max(cur, place) AS last FROM w GROUP BY 1)
+  SELECT s.cert_id, CASE WHEN last = 'p0' AND top < 8 THEN 'anchored' WHEN top >= 8 THEN 'too_deep' ELSE 'ambiguous' END AS state,
+   error, error_at FROM s LEFT JOIN f USING (cert_id)""")
+def j13_path(spark, sf):
+    """Parts as a tree of intermediates, suppliers as signers; some issuers lack a full, current list, some serials are revoked."""
+    p = T.table(spark, sf, "part").select("p_partkey").filter("p_partkey > 0")
+    name = F.concat(F.lit("p"), "p_partkey")
+    inter = p.select(name.alias("subject"), F.concat(F.lit("p"), F.expr("p_partkey div 2")).alias("issuer"),
+                     (F.col("p_partkey") % 97).alias("serial"))
+    signers = T.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("cert_id"), F.concat(F.lit("p"), F.col("s_suppkey") * 3).alias("issuer"),
+        (F.col("s_suppkey") % 97).alias("serial"), F.lit(500).alias("gen_time"))
+    anchors = inter.filter("issuer = 'p0'").select(F.col("issuer").alias("subject")).distinct()
+    names = inter.select("issuer").unionByName(inter.select(F.col("subject").alias("issuer"))).unionByName(signers.select("issuer")).distinct()
+    n = F.substring("issuer", 2, 20).cast("bigint")
+    lists = names.filter(n % 29 != 3).select(
+        n.alias("list_id"), "issuer", F.lit(0).alias("this_update"), F.when(n % 37 == 5, 400).otherwise(900).alias("next_update"),
+        F.when(n % 31 == 4, "delta").otherwise("full").alias("kind"))
+    serials = spark.range(97).select(F.col("id").alias("serial"))
+    revoked = lists.select("list_id").join(serials.withColumn("m", (47 - F.col("serial") % 41) % 41), F.col("list_id") % 41 == F.col("m"))
+    return T.big(E.check_cert_paths(signers, inter, anchors, lists, revoked.select("list_id", "serial", F.lit(100).alias("revoked_at"))).select(
+        "cert_id", "state", "error", F.col("error_at").cast("bigint").alias("error_at")))
+
+
 @query("v17_token_checks", """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 1 THEN 'accuracy' WHEN o_orderkey % 11 = 2 THEN 'status' WHEN o_orderkey % 11 = 3 THEN 'policy'
   WHEN o_orderkey % 11 IN (4, 5) THEN 'imprint' WHEN o_orderkey % 11 = 6 THEN 'signer' END AS error FROM orders""")
 def v17(spark, sf):
