@@ -34,6 +34,13 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into fewer rows, so that a task holds Python objects and results of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lookup(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, spread: list[str],
            parts: int = 10_000) -> DataFrame:
     """Left join with a table of one row per key, whatever share of the rows a key holds.

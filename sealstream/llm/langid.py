@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import carried, whole_text
+from sealstream.llm.common import carried, slices
 
 UNKNOWN = "und"
 #: Bytes compressed at a time, so that a long text is judged evenly by the dictionary.
@@ -84,19 +84,19 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     pass through, except those with a name of a new column.
     """
     rows, back = carried(docs, ("lang_pred", "score", "sure"))
-    names = list(back.values())
+    names, text = list(back.values()), back[text_col]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value)
-        for batch in batches:
-            found = [model.judge(t) for t in batch["_whole"].to_pylist()]
+        for batch in slices(batches):
+            found = [model.judge(t or "") for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch[n] for n in names], pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
 
     fields = [f"{v} {docs.schema[c].dataType.simpleString()}" for c, v in back.items()]
-    out = rows.withColumn("_whole", whole_text(back[text_col])).mapInArrow(
+    out = rows.mapInArrow(
         run, ", ".join([*fields, "lang_pred string", "score double"]))
     sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)
     return out.select(*[F.col(v).alias(c) for c, v in back.items()], "lang_pred", "score", sure.alias("sure"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import lookup, lower_ascii, spread_join, whole_text
+from sealstream.llm.common import lookup, lower_ascii, slices, spread_join, whole_text
 from sealstream.llm.components import connected
 from sealstream.operators.plan import staged
 
@@ -79,7 +79,7 @@ def _word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
     lists = batch["_words"]
-    flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lists.offsets.to_numpy()
+    flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64), lists.offsets.to_numpy()
     for a, b in zip(ends, ends[1:]):
         yield shingles(flat[a:b], size)
 
@@ -87,7 +87,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 def signed(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, the digest of the shingle set, and the band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             number, digest, keys = [], [], []
             for found in _sets(batch, size):
                 number.append(len(found))
@@ -106,7 +106,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """node and its whole shingle set, for the given nodes only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = list(_sets(batch, size))
             ends = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
             flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import carried, whole_text
+from sealstream.llm.common import carried, slices, whole_text
 from sealstream.llm.encoding import encoder
 from sealstream.operators.plan import staged
 
@@ -145,28 +145,26 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer)
-        for batch in batches:
-            texts = batch["_text"].to_pylist()
-            for at in range(0, len(texts), 256):
-                rows: list[list] = [[], [], [], [], []]
-                where, parts = [], []
-                for k, ids in enumerate(model.encode(texts[at:at + 256])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    first = (len(ids) - 1) % capacity + 1
-                    edges = [0, *range(first, len(ids) + 1, capacity)]
-                    for piece, (a, b) in enumerate(zip(edges, edges[1:])):
-                        where.append(at + k)
-                        parts.append(ids[a:b])
-                        for column, value in zip(rows, (piece, a, b - a, zlib.crc32(ids[a:b]))):
-                            column.append(value)
-                out = [batch["_id"].take(pa.array(where)), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()),
-                       pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    ends = np.cumsum([0, *rows[2]], dtype=np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names)
+        for batch in slices(batches):
+            rows: list[list] = [[], [], [], [], []]
+            where, parts = [], []
+            for k, ids in enumerate(model.encode(batch["_text"].to_pylist())):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                first = (len(ids) - 1) % capacity + 1
+                edges = [0, *range(first, len(ids) + 1, capacity)]
+                for piece, (a, b) in enumerate(zip(edges, edges[1:])):
+                    where.append(k)
+                    parts.append(ids[a:b])
+                    for column, value in zip(rows, (piece, a, b - a, zlib.crc32(ids[a:b]))):
+                        column.append(value)
+            out = [batch["_id"].take(pa.array(where)), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()),
+                   pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                ends = np.cumsum([0, *rows[2]], dtype=np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint"
     return docs.select(F.col(f"`{id_col}`").alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import whole_text
+from sealstream.llm.common import slices, whole_text
 
 SPACE = "▁".encode()  # what stands for a space inside pieces
 
@@ -206,11 +206,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_model(model)
-        for batch in batches:
-            texts = batch["_text"].to_pylist()
-            for at in range(0, len(texts), 64):
-                yield pa.RecordBatch.from_arrays(
-                    [batch["_id"].slice(at, 64), *emit(pieces, pieces.encode(texts[at:at + 64]))], names)
+        for batch in slices(batches, 64):
+            found = pieces.encode(batch["_text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["_id"], *emit(pieces, found)], names)
 
     return docs.select(F.col(f"`{id_col}`").alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(
         run, f"doc_id {id_type}, {schema}")

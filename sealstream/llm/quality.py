@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import carried, kth_largest, whole_text
+from sealstream.llm.common import carried, kth_largest, slices, whole_text
 from sealstream.operators.plan import staged
 
 #: Words and runs of other marks, as n-gram units.
@@ -30,13 +30,6 @@ def _grams(batch: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([flat % buckets, pairs % buckets]), np.concatenate([rows, rows[1:][inside]])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut into fewer rows, which bounds the arrays of their n-grams."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _units(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with a hash of each unit of the lower-cased whole text."""
     units = F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(UNITS), F.lit(0))
@@ -57,7 +50,7 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, picked = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in _parts(batches):
+        for batch in slices(batches):
             grams, row = _grams(batch, buckets)
             raw += np.bincount(grams, minlength=buckets)
             picked += np.bincount(grams[batch["_good"].to_numpy(zero_copy_only=False)[row]], minlength=buckets)
@@ -85,7 +78,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     names, buckets = list(back.values()), len(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in slices(batches):
             grams, row = _grams(batch, buckets)
             number = np.bincount(row, minlength=batch.num_rows)
             weight = np.bincount(row, weights=ratios[grams], minlength=batch.num_rows)

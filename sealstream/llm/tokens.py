@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealstream.llm.common import whole_text
+from sealstream.llm.common import slices, whole_text
 from sealstream.llm.encoding import encoder
 
 LAYOUT = {
@@ -41,13 +41,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer)
-        for batch in batches:
-            texts = batch["_text"].to_pylist()
-            for at in range(0, len(texts), 512):
-                found = [np.append(i, np.uint32(end_id)) for i in model.encode(texts[at:at + 512])]
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch["_id"].slice(at, 512), ids], ["doc_id", "ids"])
+        for batch in slices(batches):
+            found = [np.append(i, np.uint32(end_id)) for i in model.encode(batch["_text"].to_pylist())]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["_id"], ids], ["doc_id", "ids"])
 
     return docs.select(F.col(f"`{id_col}`").alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(
         run, f"doc_id {id_type}, ids array<int>")
