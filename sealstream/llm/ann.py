@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.operators.plan import staged
@@ -23,25 +23,17 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 class CrossPolytope:
     """Hash tables of one pseudo-rotation each: three rounds of random signs and a Hadamard transform. A vector
-    goes to the signed axis nearest to it, so a table has twice as many buckets as dimensions.
-
-    With ``largest`` (of lengths that differ) a vector gets one more coordinate that makes its length
-    equal to the largest, and a query a zero there: the nearest by angle is then the one of largest inner product.
+    goes to the signed axis nearest to it, whatever its length, so a table has twice as many buckets as dimensions.
     """
 
-    def __init__(self, width: int, tables: int, seed: int = 7, largest: float | None = None):
-        self.largest = largest
-        self.width = 1 << max(0, (width + (largest is not None) - 1).bit_length())
+    def __init__(self, width: int, tables: int, seed: int = 7):
+        self.width = 1 << max(0, (width - 1).bit_length())
         self.signs = np.random.default_rng(seed).choice(np.float32([-1, 1]), (tables, 3, self.width))
 
-    def _axes(self, vectors: np.ndarray, is_query: bool):
+    def _axes(self, vectors: np.ndarray):
         """For each table the signed coordinates after its rotation."""
         x = np.zeros((len(vectors), self.width), dtype=np.float32)
-        x[:, :vectors.shape[1]] = vectors
-        if self.largest is not None and not is_query:
-            lengths = np.square(vectors.astype(np.float64) / self.largest).sum(axis=1)
-            x[:, :vectors.shape[1]] /= self.largest
-            x[:, vectors.shape[1]] = np.sqrt(np.maximum(0, 1 - lengths))
+        x[:, :vectors.shape[1]] = vectors / np.abs(vectors).max(axis=1, keepdims=True)
         for signs in self.signs:
             turned = x
             for flip in signs:
@@ -50,14 +42,14 @@ class CrossPolytope:
 
     def buckets(self, vectors: np.ndarray) -> np.ndarray:
         """One bucket per table; buckets are numbered across tables."""
-        found = [axes.argmax(axis=1) + t * 2 * self.width for t, axes in enumerate(self._axes(vectors, False))]
+        found = [axes.argmax(axis=1) + t * 2 * self.width for t, axes in enumerate(self._axes(vectors))]
         return np.stack(found, axis=1)
 
     def probes(self, vectors: np.ndarray, number: int) -> np.ndarray:
         """The ``number`` nearest axes in each table."""
         number = min(number, 2 * self.width)
         found = [np.argpartition(-axes, number - 1, axis=1)[:, :number] + t * 2 * self.width
-                 for t, axes in enumerate(self._axes(vectors, True))]
+                 for t, axes in enumerate(self._axes(vectors))]
         return np.concatenate(found, axis=1)
 
 
@@ -67,8 +59,8 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _hashed(rows: DataFrame, hasher: CrossPolytope, probes: int | None) -> DataFrame:
-    """``rows`` with the buckets of their column ``vector``, one row per bucket."""
+def _hashed(rows: DataFrame, hasher: CrossPolytope, probes: int | None, buckets: Column) -> DataFrame:
+    """``rows`` with ``buckets``, made of ``_buckets``, those of their column ``vector``; one row per bucket."""
     names = rows.columns
 
     def run(batches):
@@ -83,7 +75,7 @@ def _hashed(rows: DataFrame, hasher: CrossPolytope, probes: int | None) -> DataF
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
     out = rows.mapInArrow(run, ", ".join([*fields, "_buckets array<int>"]))
-    return out.select(*names, F.explode("_buckets").alias("bucket"))
+    return out.select(*names, F.explode(buckets).alias("bucket"))
 
 
 def _rerank(k: int):
@@ -128,33 +120,44 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-           tables: int = 10, probes: int = 16, block: int = 4096) -> DataFrame:
+           tables: int = 10, probes: int = 16, block: int = 4096, whole: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest vectors found for each row for which ``is_query``, a column
     over vec_id, holds; the nearest has the largest inner product of the original vectors, ties go to the smaller id.
 
-    Every usable vector is indexed, in one bucket of each table; a query looks into ``probes`` buckets of each
-    table. All vectors of those buckets are scored exactly. Equal vectors are one entry with their ``k`` + 1
+    Lengths fall into ranges whose ends differ by a factor of sqrt(2). Every usable vector of a range with more than
+    ``whole`` distinct ones is indexed by direction, in one bucket of each table; a query looks into ``probes`` buckets of each
+    table, more by the factor to which the dimensions are padded. The vectors of smaller ranges, such as the few longest
+    that are near by length more than by angle, are one more bucket, which every query looks into.
+    All vectors of those buckets are scored exactly. Equal vectors are one entry with their ``k`` + 1
     smallest ids, which are all that can be among the nearest. A bucket's vectors and queries
     are dealt out in blocks of about ``block`` vectors and a quarter as many queries, however full it is, and each task
-    scores blocks against blocks. Counts of buckets, of which there are ``tables`` times twice the dimensions, are broadcast.
+    scores blocks against blocks. Counts of buckets, of which there are ``tables`` times twice the dimensions and one, are broadcast.
 
     NULL or zero vectors and those with NULL or non-finite components take no part, nor do NULL ids
     and vectors of another length than most. Of rows that share an id, one counts. A query finds fewer than ``k`` if
     there are fewer candidates; an empty table gives no rows. Other columns are ignored.
     """
     good = staged(usable(rows, id_col, vector_col))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
-    width, longest, shortest = good.agg(F.max(F.size("vector")), F.max(norm), F.min(norm)).first()
+    square = F.aggregate("vector", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    span = F.coalesce(F.floor(F.log2(square) + 0.5), F.lit(-(1 << 20)))  # as many as a double has exponents, at most
+    spans = good.groupBy(span.alias("span")).agg(F.max(F.size("vector")).alias("width"),
+                                                 F.count_distinct(F.xxhash64("vector")).alias("n")).collect()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if width is None:
+    if not spans:
         return rows.sparkSession.createDataFrame([], schema)
-    hasher = CrossPolytope(width, tables, largest=longest if longest - shortest > 1e-3 * longest else None)
+    width = spans[0]["width"]
+    hasher = CrossPolytope(width, tables)
+    probes = -(-probes * hasher.width // width)
+    last = tables * 2 * hasher.width
+    in_last = ~span.isin([s["span"] for s in spans if s["n"] > whole])
 
     few = Window.partitionBy("vector").orderBy("vec_id")  # ranks are limited before the shuffle
     distinct = good.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= k + 1)
     distinct = distinct.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    data = _hashed(distinct, hasher, None).withColumn("first", F.get("ids", F.lit(0)))
-    asked = _hashed(good.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector"), hasher, probes)
+    buckets = F.when(in_last, F.array(F.lit(last))).otherwise(F.col("_buckets"))
+    data = _hashed(distinct, hasher, None, buckets).withColumn("first", F.get("ids", F.lit(0)))
+    asked = good.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
+    asked = _hashed(asked, hasher, probes, F.array_append("_buckets", F.lit(last)))
     data, asked = staged(data), staged(asked)
 
     sizes = data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).join(

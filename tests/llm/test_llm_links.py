@@ -58,6 +58,28 @@ def test_nearest_vectors_of_few_or_none(spark):
     assert ann.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal", "uniform", "long ones"])
+def test_nearest_vectors_of_differing_lengths(spark, lengths):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "long ones":  # the nearest are all among 1,100 of one range
+        scale = np.where(np.arange(2400) % 24 < 11, 10, 1)
+    else:
+        scale = {"outlier": np.r_[100, np.ones(2399)], "lognormal": np.exp(rng.normal(size=2400)),
+                 "uniform": rng.uniform(0.5, 1.5, size=2400)}[lengths]
+    x = (x * scale[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x[::20].astype(float) @ x.astype(float).T
+    scores[np.arange(120), np.arange(0, 2400, 20)] = -np.inf
+    want = {i * 20: set(np.argsort(-s)[:20].tolist()) for i, s in enumerate(scores)}
+    assert all(len(got[i]) == 20 for i in want)
+    assert sum(len(got[i] & want[i]) for i in want) >= 0.95 * 20 * len(want)
+
+
 def test_hadamard_keeps_length():
     x = np.random.default_rng(1).normal(size=(5, 32)).astype(np.float32)
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
