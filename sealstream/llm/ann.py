@@ -119,6 +119,35 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.filter(F.size("vector") == (width or 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
+def _nearest(data: DataFrame, asked: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, rank, vec_id and score: the ``k`` nearest vectors that share a bucket with a query; ``data`` has bucket,
+    first, ids and vector, ``asked`` bucket, query_id and vector."""
+    sizes = data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).join(
+        asked.groupBy("bucket").agg(F.ceil(F.count("*") / (block // 4)).cast("int").alias("lots")), "bucket")
+    sizes = F.broadcast(staged(sizes))
+    one = F.lit(1)
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - one))
+
+    data = data.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
+    data = data.withColumn("lot", every("lots")).select("bucket", "part", "lot", "first", "ids", "vector")
+    asked = asked.join(sizes, "bucket").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
+    asked = asked.withColumn("part", every("parts")).select("bucket", "part", "lot", "query_id", "vector")
+    keys = ["bucket", "part", "lot"]
+    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(
+        _rerank(k + 1), "query_id bigint, ids array<bigint>, score double")
+
+    first = F.get("ids", F.lit(0))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
+    found = found.groupBy("query_id", first.alias("first")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
+    found = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
            tables: int = 10, probes: int = 16, block: int = 4096, whole: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest vectors found for each row for which ``is_query``, a column
@@ -128,7 +157,8 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
     ``whole`` distinct ones is indexed by direction, in one bucket of each table; a query looks into ``probes`` buckets of each
     table, more by the factor to which the dimensions are padded. The vectors of smaller ranges, such as the few longest
     that are near by length more than by angle, are one more bucket, which every query looks into.
-    All vectors of those buckets are scored exactly. Equal vectors are one entry with their ``k`` + 1
+    All vectors of those buckets are scored exactly. A query that finds fewer than ``k`` there, and fewer than there
+    are candidates, is scored against all vectors, block by block. Equal vectors are one entry with their ``k`` + 1
     smallest ids, which are all that can be among the nearest. A bucket's vectors and queries
     are dealt out in blocks of about ``block`` vectors and a quarter as many queries, however full it is, and each task
     scores blocks against blocks. Counts of buckets, of which there are ``tables`` times twice the dimensions and one, are broadcast.
@@ -141,7 +171,8 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
     square = F.aggregate("vector", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     span = F.coalesce(F.floor(F.log2(square) + 0.5), F.lit(-(1 << 20)))  # as many as a double has exponents, at most
     spans = good.groupBy(span.alias("span")).agg(F.max(F.size("vector")).alias("width"),
-                                                 F.count_distinct(F.xxhash64("vector")).alias("n")).collect()
+                                                 F.count_distinct(F.xxhash64("vector")).alias("n"),
+                                                 F.count("*").alias("rows")).collect()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not spans:
         return rows.sparkSession.createDataFrame([], schema)
@@ -159,28 +190,15 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
     asked = good.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
     asked = _hashed(asked, hasher, probes, F.array_append("_buckets", F.lit(last)))
     data, asked = staged(data), staged(asked)
-
-    sizes = data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).join(
-        asked.groupBy("bucket").agg(F.ceil(F.count("*") / (block // 4)).cast("int").alias("lots")), "bucket")
-    sizes = F.broadcast(staged(sizes))
-    one = F.lit(1)
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - one))
-
-    data = data.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
-    data = data.withColumn("lot", every("lots")).select("bucket", "part", "lot", "first", "ids", "vector")
-    asked = asked.join(sizes, "bucket").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
-    asked = asked.withColumn("part", every("parts")).select("bucket", "part", "lot", "query_id", "vector")
-    keys = ["bucket", "part", "lot"]
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(
-        _rerank(k + 1), "query_id bigint, ids array<bigint>, score double")
-
-    first = F.get("ids", F.lit(0))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
-    found = found.groupBy("query_id", first.alias("first")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
-    found = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    best = staged(_nearest(data, asked, k, block))
+
+    most = min(k, sum(s["rows"] for s in spans) - 1)
+    done = best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
+    short = asked.filter(F.col("bucket") == last).join(done, "query_id", "left_anti")
+    if short.isEmpty():
+        return best
+    short = staged(short.withColumn("bucket", F.lit(0)))
+    once = (F.col("bucket") < 2 * hasher.width) | (F.col("bucket") == last)  # the first table has all of the others
+    each = data.filter(once).withColumn("bucket", F.lit(0))
+    return best.join(short.select("query_id"), "query_id", "left_anti").select(*best.columns).unionByName(
+        _nearest(each, short, k, block))

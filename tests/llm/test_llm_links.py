@@ -80,6 +80,32 @@ def test_nearest_vectors_of_differing_lengths(spark, lengths):
     assert sum(len(got[i] & want[i]) for i in want) >= 0.95 * 20 * len(want)
 
 
+def test_nearest_vectors_beyond_the_probes(spark):
+    def search(x, probes=16, whole=1024):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+        got = {}
+        for r in ann.search(rows, F.col("vec_id") % 20 == 0, probes=probes, whole=whole).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        return got
+
+    def want(x, i):
+        scores = x.astype(float) @ x[i].astype(float)
+        return [j for j in np.argsort(-scores, kind="stable").tolist() if j != i][:20]
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    few = {i: want(x, i) for i in (0, 20)}
+    assert search(x) == few
+    assert all(len(found) == 20 for found in search(x, whole=0).values())
+    x = rng.normal(size=(1500, 64)).astype(np.float32) * np.float32(0.02)
+    x[:, 0] += 1
+    x[[0, 700]] *= -1  # queries turned away from all others
+    got = search(x)
+    assert len(got) == 75 and all(len(found) == 20 for found in got.values())
+    assert all(got[i] == want(x, i) for i in (0, 700))
+
+
 def test_hadamard_keeps_length():
     x = np.random.default_rng(1).normal(size=(5, 32)).astype(np.float32)
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
