@@ -27,19 +27,21 @@ def letters(text: str) -> str:
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", samples: int = 64,
         chars: int = 2048) -> dict[str, bytes]:
-    """A raw-content dictionary per language: the first ``chars`` characters of up to ``samples`` texts, chosen
-    by a hash of the text. That bounds a dictionary at 128 Ki characters and the driver's memory by the
-    number of languages. Rows without language or text teach nothing."""
+    """A raw-content dictionary per language: the first ``chars`` characters of up to ``samples`` distinct texts, chosen
+    by a hash of the text, however many copies a text has. That bounds a dictionary at 128 Ki characters and the driver's
+    memory by the number of languages. Rows without language or text teach nothing."""
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    rows = rows.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    numbers = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    hashes = rows.groupBy("lang", "_h").agg(F.count("*").alias("copies"))  # copies meet in their task
+    numbers = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not numbers:
         return {}
     # about four times as many as needed, spread evenly; the window then sees a few rows per language
     share = F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, min(1 << 40, (4 * samples << 40) // n))])
-    few = rows.filter(F.col("_h") < share[F.col("lang")]).select("lang", "_h", F.substring("text", 1, chars).alias("text"))
-    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(f"_k <= {samples}")
+    few = rows.filter(F.pmod("_h", F.lit(1 << 40)) < share[F.col("lang")])
+    few = few.select("lang", "_h", F.substring("text", 1, chars).alias("text")).distinct()
+    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h", "text"))).filter(f"_k <= {samples}")
     texts: dict[str, list] = {}
     for r in few.collect():
         texts.setdefault(r["lang"], []).append((r["_k"], letters(r["text"])))

@@ -146,6 +146,17 @@ def test_language_id(spark):
     assert langid.classify(documents(spark, []), known).count() == 0
 
 
+def test_language_learns_from_distinct_texts(spark):
+    rows = [(k, f"{text} {' '.join(words(k, 30))}", lang) for k, (_, text, lang) in enumerate(language_rows())]
+    hot = [(1000 + k, "boilerplate", "en") for k in range(20_000)]
+    hot += [(30_000 + k, text, lang) for _, text, lang in rows[:120] if lang == "de" for k in range(100)]
+    alone = langid.fit(documents(spark, [*rows, (1000, "boilerplate", "en")]), samples=8)
+    known = langid.fit(documents(spark, rows + hot), samples=8)
+    assert known == alone
+    for lang, content in known.items():
+        assert sum(langid.letters(t) in content.decode() for _, t, name in rows + hot[:1] if name == lang) == 8
+
+
 def test_lookup_and_spread_join(spark):
     rows = spark.createDataFrame([(k % 7 if k > 400 else 1, k) for k in range(600)] + [(None, -1)], "k int, v int")
     dim = rows.filter("k IS NOT NULL AND k <> 3").groupBy("k").agg(F.count("*").alias("n"))
