@@ -27,8 +27,9 @@ def letters(text: str) -> str:
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", samples: int = 64,
         chars: int = 2048) -> dict[str, bytes]:
-    """A raw-content dictionary per language: the first ``chars`` characters of up to ``samples`` distinct texts, chosen
-    by a hash of the text, however many copies a text has. That bounds a dictionary at 128 Ki characters and the driver's
+    """A raw-content dictionary per language: blocks of ``chars`` characters of distinct texts, however many copies a text
+    has, and at any place in them, ``samples`` blocks at most. Hashes choose the texts and one block of each; a language of
+    fewer texts goes on with their second blocks, and so forth. That bounds a dictionary at 128 Ki characters and the driver's
     memory by the number of languages. Rows without language or text teach nothing."""
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
@@ -40,8 +41,13 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", samples
     # about four times as many as needed, spread evenly; the window then sees a few rows per language
     share = F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, min(1 << 40, (4 * samples << 40) // n))])
     few = rows.filter(F.pmod("_h", F.lit(1 << 40)) < share[F.col("lang")])
-    few = few.select("lang", "_h", F.substring("text", 1, chars).alias("text")).distinct()
-    few = few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h", "text"))).filter(f"_k <= {samples}")
+    deep = F.when(F.col("lang").isin([lang for lang, n in numbers.items() if n < samples]), samples).otherwise(1)
+    places = F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {chars}").cast("int"))
+    places = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64("_h", i).alias("h"), i.alias("i"))))
+    blocks = F.transform(F.slice(places, 1, deep), lambda p: F.substring("text", p["i"] * chars + 1, F.lit(chars)))
+    few = few.select("lang", "_h", F.posexplode(blocks).alias("_r", "text")).distinct()
+    order = Window.partitionBy("lang").orderBy("_r", F.pmod("_h", F.lit(1 << 40)), "_h", "text")
+    few = few.withColumn("_k", F.row_number().over(order)).filter(f"_k <= {samples}")
     texts: dict[str, list] = {}
     for r in few.collect():
         texts.setdefault(r["lang"], []).append((r["_k"], letters(r["text"])))

@@ -157,6 +157,19 @@ def test_language_learns_from_distinct_texts(spark):
         assert sum(langid.letters(t) in content.decode() for _, t, name in rows + hot[:1] if name == lang) == 8
 
 
+def test_language_learns_beyond_a_common_header(spark):
+    header = " ".join(words(3, 600))
+    long = [(k, f"{header} {text} " * (k < 120) + " ".join([text] * 12), lang) for k, text, lang in language_rows()]
+    known = langid.fit(documents(spark, long[:120]), samples=20)
+    got = langid.classify(documents(spark, long[120:]), known)
+    assert got.filter("lang_pred = lang AND sure").count() >= 118
+    book = " ".join(words(4, 4000))
+    one = langid.fit(documents(spark, [(1, book, "xx"), (2, book, "xx")]), samples=64)["xx"].decode()
+    assert len(set(book.split()) - set(one.split())) <= len(book) // 2048  # words that blocks divide
+    some = langid.fit(documents(spark, [(1, book, "xx")]), samples=3)["xx"].decode()
+    assert len(some) <= 3 * 2049 and len(set(some.split()) - set(book[:3 * 2048].split())) > 100
+
+
 def test_lookup_and_spread_join(spark):
     rows = spark.createDataFrame([(k % 7 if k > 400 else 1, k) for k in range(600)] + [(None, -1)], "k int, v int")
     dim = rows.filter("k IS NOT NULL AND k <> 3").groupBy("k").agg(F.count("*").alias("n"))
