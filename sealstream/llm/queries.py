@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import ann, exact, langid, lines, minhash, packing, pieces, quality, tokens, urls
+from sealstream.llm import ann, exact, langid, lexical, lines, minhash, packing, pieces, quality, tokens, urls
 from sealstream.llm.common import table, vocabulary
-from sealstream.operators.plan import shared_folder
+from sealstream.operators.plan import shared_folder, staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,34 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 def op8_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+LEXICAL_SQL = r"""
+WITH term AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+posting AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY doc_id, term),
+sized AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM posting GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sized),
+weighted AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM posting, whole GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weighted USING (term) JOIN posting USING (term) JOIN sized USING (doc_id), whole
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""
+
+
+@query("op13_lexical_search", LEXICAL_SQL)
+def op13_lexical_search(spark, sf_dir):
+    index = staged(lexical.build_index(table(spark, sf_dir, "documents")))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
