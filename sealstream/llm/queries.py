@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealstream import ship
-from sealstream.llm import ann, exact, langid, lexical, lines, minhash, packing, pieces, quality, tokens, urls
+from sealstream.llm import ann, exact, langid, lexical, lines, minhash, negatives, packing, pieces, quality, suffixes, tokens, urls
 from sealstream.llm.common import table, vocabulary
 from sealstream.operators.plan import shared_folder, staged
 
@@ -166,3 +166,39 @@ SELECT * FROM ranked WHERE rank <= 50"""
 def op13_lexical_search(spark, sf_dir):
     index = staged(lexical.build_index(table(spark, sf_dir, "documents")))
     return lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
+NEGATIVES_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND vec_id NOT IN (SELECT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)
+                       WHERE x IS NULL OR NOT isfinite(x))),
+part AS (
+  SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos,
+         floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM good),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, sum(a.x * b.x)::BIGINT AS score
+  FROM part a JOIN part b ON a.pos = b.pos AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+  GROUP BY a.vec_id, b.vec_id, a.label, b.label),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positive JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark, sf_dir):
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"), length=200)
