@@ -36,6 +36,17 @@ def text_bytes(col) -> Column:
     return F.encode(_c(col), "UTF-8")
 
 
+def utf8(col) -> Column:
+    """Bytes as text; NULL where they are not UTF-8."""
+    return F.try_validate_utf8(_c(col).cast("string"))
+
+
+def json_quoted(col) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(_c(col).alias("a")))
+    return whole.substr(F.lit(6), F.length(whole) - 6)
+
+
 def is_hex(col, width: int) -> Column:
     return F.coalesce(_c(col).rlike(f"^[0-9a-f]{{{width}}}\\z"), F.lit(False))
 

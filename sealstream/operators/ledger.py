@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.functions import codecs as K
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
+from sealstream.functions.sha256 import Sha256, finished
 from sealstream.operators import merkle as M
 from sealstream.operators.plan import staged
 
@@ -81,23 +83,29 @@ def build_day_records(blocks: DataFrame) -> DataFrame:
         "batch_id", "count", F.col("merkle_root").alias("day_root"))
 
 
+DAY = ["site_id", "day"]
+
+
 def _hash_items(nodes: str) -> Column:
     return F.expr(f"unhex(array_join(transform({nodes}, b -> concat('7840', "
                   "hex(encode(lower(hex(b)), 'UTF-8')))), ''))")
 
 
-def day_parts(leaves: DataFrame) -> DataFrame:
-    """Day record bytes as ordered parts (site_id, day, part, bytes).
-
-    Map keys in order: date, batches, site_id, version, day_root, prev_day_root; batch keys:
-    day, count, site_id, version, batch_id, leaf_hashes, merkle_root. The leaf list is cut
-    into blocks, so a day of any size is never one row.
-    """
-    group = ["site_id", "day"]
-    runs = M.sort_leaves(leaves, group)
-    days = build_day_records(M.roots_of(runs, group, 1).select(
+def _days_of(runs: DataFrame) -> DataFrame:
+    """Day records of sorted leaves, one per (site_id, day)."""
+    return build_day_records(M.roots_of(runs, DAY, 1).select(
         "site_id", "day", F.concat("site_id", F.lit("-"), "day", F.lit("-00")).alias("batch_id"),
         C.hex_lower("root").alias("merkle_root"), F.col("leaf_count").alias("count")))
+
+
+def _around(rows: DataFrame, keys: list[str], first: Column, last: Column) -> DataFrame:
+    """Part -1 and the part after all others."""
+    return rows.select(*keys, F.explode(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("part"), first.alias("bytes")),
+        F.struct(F.lit(1 << 40).alias("part"), last.alias("bytes")))).alias("x")).select(*keys, "x.*")
+
+
+def _day_cbor(days: DataFrame, blocks: DataFrame) -> DataFrame:
     t, u = C.cbor_text, C.cbor_uint
     first = F.concat(
         C.cbor_head(5, 6), C.cbor_lit("date"), t("date"), C.cbor_lit("batches"),
@@ -109,11 +117,50 @@ def day_parts(leaves: DataFrame) -> DataFrame:
         C.cbor_lit("merkle_root"), t("day_root"), C.cbor_lit("site_id"), t("site_id"),
         C.cbor_lit("version"), C.cbor_lit(1), C.cbor_lit("day_root"), t("day_root"),
         C.cbor_lit("prev_day_root"), t("prev_day_root"))
-    ends = days.select("site_id", F.col("date").alias("day"), F.explode(F.array(
-        F.struct(F.lit(-1).cast("bigint").alias("part"), first.alias("bytes")),
-        F.struct(F.lit(1 << 40).alias("part"), last.alias("bytes")))).alias("x")).select(*group, "x.*")
-    middle = M._blocks(runs, group).select(*group, "part", _hash_items("nodes").alias("bytes"))
-    return ends.unionByName(middle)
+    ends = _around(days.withColumn("day", F.col("date")), DAY, first, last)
+    return ends.unionByName(blocks.select(*DAY, "part", _hash_items("nodes").alias("bytes")))
+
+
+def day_parts(leaves: DataFrame) -> DataFrame:
+    """Day record bytes as ordered parts (site_id, day, part, bytes).
+
+    Map keys in order: date, batches, site_id, version, day_root, prev_day_root; batch keys:
+    day, count, site_id, version, batch_id, leaf_hashes, merkle_root. The leaf list is cut
+    into blocks, so a day of any size is never one row.
+    """
+    runs = M.sort_leaves(leaves, DAY)
+    return _day_cbor(_days_of(runs), M._blocks(runs, DAY))
+
+
+def day_file_parts(leaves: DataFrame) -> DataFrame:
+    """The files of every day as ordered parts (path, part, bytes): ``<site>/blocks/<day>-00.block.json``, the block header with its
+    leaf list, ``<site>/day/<day>.cbor`` and ``.json``, the day record, and ``.cbor.sha256``, its digest line. JSON is
+    canonical: keys in order, no white space. Leaves are sorted once.
+    """
+    runs = staged(M.sort_leaves(leaves, DAY))
+    days, blocks = staged(_days_of(runs)), M._blocks(runs, DAY)
+    cbor = staged(_day_cbor(days, blocks))
+    named = days.withColumn("day", F.col("date"))
+    q, text = C.json_quoted, C.text_bytes
+    head = F.concat(F.lit('{"batch_id":'), q("batch_id"), F.lit(',"count":'), F.col("count").cast("string"), F.lit(',"day":'), q("day"),
+                    F.lit(',"leaf_hashes":['))
+    tail = F.concat(F.lit('],"merkle_root":'), q("day_root"), F.lit(',"site_id":'), q("site_id"), F.lit(',"version":1}'))
+    outer = F.concat(F.lit('],"date":'), q("day"), F.lit(',"day_root":'), q("day_root"), F.lit(',"prev_day_root":'), q("prev_day_root"),
+                     F.lit(',"site_id":'), q("site_id"), F.lit(',"version":1}'))
+    items = F.concat(F.when(F.col("part") == 0, "").otherwise(","), F.lit('"'), F.array_join(
+        F.transform("nodes", C.hex_lower), '","'), F.lit('"'))
+    leaf_lists = blocks.select(*DAY, "part", text(items).alias("bytes"))
+    site = F.concat("site_id", F.lit("/"))
+
+    def file(rows: DataFrame, *name) -> DataFrame:
+        return rows.select(F.concat(site, *name).alias("path"), "part", "bytes")
+    block = _around(named, DAY, text(head), text(tail)).unionByName(leaf_lists)
+    day = _around(named, DAY, text(F.concat(F.lit('{"batches":['), head)), text(F.concat(tail, outer))).unionByName(leaf_lists)
+    sums = digest_parts(cbor, DAY).select(*DAY, F.lit(0).cast("bigint").alias("part"), text(F.concat(
+        "sha256", F.lit("  "), "day", F.lit(".cbor\n"))).alias("bytes"))
+    return (file(block, F.lit("blocks/"), "day", F.lit("-00.block.json")).unionByName(file(day, F.lit("day/"), "day", F.lit(".json")))
+            .unionByName(file(cbor, F.lit("day/"), "day", F.lit(".cbor")))
+            .unionByName(file(sums, F.lit("day/"), "day", F.lit(".cbor.sha256"))))
 
 
 def digest_parts(parts: DataFrame, keys: list[str], part: str = "part") -> DataFrame:
@@ -183,39 +230,66 @@ def segment_end(prev: str) -> Column:
     return F.concat(C.cbor_text(prev), C.cbor_lit("commitment_profile_id"), C.cbor_lit(V.PROFILE_V2))
 
 
-def chain_segments(parts: DataFrame) -> DataFrame:
-    """Chain digests per ledger: SEG, prev_segment_sha256, artifact_sha256, artifact_size.
+def segment_states(parts: DataFrame) -> DataFrame:
+    """SEG, state, rest and length: how far the hash of each segment comes before the predecessor digest is needed.
 
-    Each digest enters the next artifact, so a ledger is read in order; the read is a stream
-    over sorted parts that keeps one running hash.
+    Segments are hashed apart from each other, however many a ledger has; parts are read as a stream.
     """
-    import hashlib
     types = dict(parts.dtypes)
+    schema = f"ledger_id string, segment_number {types['segment_number']}, state binary, rest binary, length bigint"
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = Sha256()
+        for batch in it:
+            done, rows = [], []
+            for k, (raw, last) in enumerate(zip(batch["bytes"], batch["last"].to_pylist())):
+                running.update(raw.as_py())
+                if last:
+                    done.append(running.saved())
+                    rows.append(k)
+                    running = Sha256()
+            ids = [batch[c].take(pa.array(rows, pa.int64())) for c in SEG]
+            saved = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*ids, *saved], [*SEG, "state", "rest", "length"])
+
+    ordered = parts.repartition(*SEG).sortWithinPartitions(*SEG, "part").select(*SEG, "bytes", "last")
+    return ordered.mapInArrow(fold, schema)
+
+
+def chain_states(states: DataFrame) -> DataFrame:
+    """Chain digests per ledger from ``segment_states``: SEG, prev_segment_sha256, artifact_sha256, artifact_size.
+
+    Each digest enters the next artifact, so a ledger is read in order; but the read is of some 150 bytes a segment, of any size.
+    """
+    types = dict(states.dtypes)
     schema = (f"ledger_id string, segment_number {types['segment_number']}, "
               "prev_segment_sha256 string, artifact_sha256 string, artifact_size bigint")
     profile = K.to_cbor("commitment_profile_id") + K.to_cbor(V.PROFILE_V2)
-    zero = V.ZERO_SHA256
 
-    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ledger, prev, digest, size = None, zero, hashlib.sha256(), 0
-        for pdf in it:
-            done = []
-            for lid, number, raw, last in zip(pdf["ledger_id"], pdf["segment_number"],
-                                              pdf["bytes"], pdf["last"]):
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, prev = None, V.ZERO_SHA256
+        for batch in it:
+            before, own, sizes = [], [], []
+            for lid, state, rest, length in zip(*(batch[c].to_pylist() for c in ("ledger_id", "state", "rest", "length"))):
                 if lid != ledger:
-                    ledger, prev = lid, zero
-                digest.update(raw)
-                size += len(raw)
-                if last:
-                    end = K.to_cbor(prev) + profile
-                    digest.update(end)
-                    done.append((lid, number, prev, digest.hexdigest(), size + len(end)))
-                    prev, digest, size = done[-1][3], hashlib.sha256(), 0
-            yield pd.DataFrame(done, columns=["ledger_id", "segment_number", "prev_segment_sha256",
-                                              "artifact_sha256", "artifact_size"])
-
-    ordered = parts.repartition("ledger_id").sortWithinPartitions("ledger_id", "segment_number", "part")
-    return ordered.select("ledger_id", "segment_number", "bytes", "last").mapInPandas(fold, schema)
+                    ledger, prev = lid, V.ZERO_SHA256
+                end = K.to_cbor(prev) + profile
+                before.append(prev)
+                prev = finished(state, rest, length, end).hex()
+                own.append(prev)
+                sizes.append(length + len(end))
+            yield pa.RecordBatch.from_arrays(
+                [batch["ledger_id"], batch["segment_number"], pa.array(before, pa.string()), pa.array(own, pa.string()),
+                 pa.array(sizes, pa.int64())],
+                ["ledger_id", "segment_number", "prev_segment_sha256", "artifact_sha256", "artifact_size"])
+
+    return states.repartition("ledger_id").sortWithinPartitions(*SEG).mapInArrow(fold, schema)
+
+
+def chain_segments(parts: DataFrame) -> DataFrame:
+    """Chain digests per ledger: SEG, prev_segment_sha256, artifact_sha256, artifact_size. All of a segment but its end is
+    hashed in parallel; only the ends are hashed in order."""
+    return chain_states(segment_states(parts))
 
 
 def segment_artifacts(parts: DataFrame, chain: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.functions.columns import sha256_bytes
-from sealstream.operators.plan import count_up
+from sealstream.operators.plan import count_up, staged
 
 BLOCK_BITS = 12
-ROUNDS = 5  # 2**60 leaves; positions are bigint. A group leaves after the round that leaves it one node
 _SIZE = 1 << BLOCK_BITS
 
 
@@ -56,9 +55,30 @@ def located(runs: DataFrame, group: list[str]) -> DataFrame:
         "total")
 
 
+def _located_small(runs: DataFrame, group: list[str]) -> DataFrame:
+    """``located`` for groups that one block holds: a window over a group has a bounded number of rows."""
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.select(*group, "leaf", "copies", F.coalesce(F.sum("copies").over(before), F.lit(0)).alias("start"),
+                       F.sum("copies").over(whole).alias("total"))
+
+
 def sort_leaves(leaves: DataFrame, group: list[str], leaf: str = "leaf") -> DataFrame:
-    """Distinct leaves with position range ``start`` .. ``start + copies - 1``."""
-    return located(leaf_runs(leaves, group, leaf), group)
+    """Distinct leaves with position range ``start`` .. ``start + copies - 1``.
+
+    Leaves are counted and written once; the largest group tells whether all fit one block each, which needs no split.
+    """
+    runs = staged(leaf_runs(leaves, group, leaf))
+    largest = runs.groupBy(*group).agg(F.sum("copies").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _located_small(runs, group) if largest <= _SIZE else staged(located(runs, group))
+
+
+def _rounds(runs: DataFrame) -> int:
+    """Rounds that the largest group takes."""
+    nodes, rounds = runs.agg(F.max("total")).first()[0] or 0, 1
+    while nodes > _SIZE:
+        nodes, rounds = -(-nodes // _SIZE), rounds + 1
+    return rounds
 
 
 def cut_runs(runs: DataFrame, width) -> DataFrame:
@@ -135,14 +155,15 @@ def _reduced(level: DataFrame, group: list[str], version: int) -> DataFrame:
 
 
 def roots_of(runs: DataFrame, group: list[str], version: int) -> DataFrame:
-    """Roots of located runs (see ``sort_leaves``): group, ``leaf_count``, ``root``."""
-    level, done = _blocks(runs, group).withColumn("_h", F.col("total")), None
-    for rnd in range(ROUNDS):
+    """Roots of located runs (see ``sort_leaves``): group, ``leaf_count``, ``root``. A round turns blocks into nodes; there are as
+    many rounds as the largest group needs, and other groups leave earlier."""
+    level, done, rounds = _blocks(runs, group).withColumn("_h", F.col("total")), None, _rounds(runs)
+    for rnd in range(rounds):
         # Groups of one block are finished and leave; for the others a round divides the nodes by the block size.
         ended = level.filter(F.col("_h") <= _SIZE).select(
             *group, F.col("total").alias("leaf_count"), _reduce(version, "nodes", _steps("_h")).alias("root"))
         done = ended if done is None else done.unionByName(ended)
-        if rnd + 1 < ROUNDS:
+        if rnd + 1 < rounds:
             level = _next_round(_reduced(level, group, version), group)
     return done
 
@@ -183,9 +204,9 @@ def inclusion_proofs(leaves: DataFrame, group: list[str], version: int,
                      leaf: str = "leaf") -> DataFrame:
     """Siblings from leaf to root for every distinct leaf (at its first position)."""
     runs = sort_leaves(leaves, group, leaf)
-    level = _blocks(runs, group).withColumn("_h", F.col("total"))
+    level, rounds = _blocks(runs, group).withColumn("_h", F.col("total")), _rounds(runs)
     paths = []
-    for rnd in range(ROUNDS):
+    for rnd in range(rounds):
         steps = _steps("_h")
         stacked = level.withColumn("_levels", F.expr(
             f"aggregate(slice(sequence(1, {BLOCK_BITS}), 1, {steps}), array(nodes), "
@@ -198,7 +219,7 @@ def inclusion_proofs(leaves: DataFrame, group: list[str], version: int,
             "inline(transform(sequence(0, size(nodes) - 1), p -> named_struct('p', p, "
             f"'_s{rnd}', filter({sibling}, y -> y is not null))))"))
         paths.append(per_node)
-        if rnd + 1 < ROUNDS:
+        if rnd + 1 < rounds:
             level = _next_round(_reduced(level, group, version), group)
     out = runs.select(*group, "leaf", "start", "total")
     for rnd, path in enumerate(paths):
@@ -207,7 +228,7 @@ def inclusion_proofs(leaves: DataFrame, group: list[str], version: int,
         out = out.withColumn("_k", F.shiftright("start", shift)).join(
             keyed, [*group, "_k"], "left" if rnd else "inner").drop("_k")
     return out.select(*group, "leaf", F.col("start").alias("position"), F.col("total").alias("leaf_count"),
-                      F.concat(*[F.coalesce(f"_s{r}", F.array().cast("array<binary>")) for r in range(ROUNDS)]).alias("siblings"))
+                      F.concat(*[F.coalesce(f"_s{r}", F.array().cast("array<binary>")) for r in range(rounds)]).alias("siblings"))
 
 
 def fold_proof(version: int, leaf: str = "leaf", position: str = "position",

@@ -2,9 +2,9 @@
 
 Between two closures that restart the clock (a limit reached, a control), intervals tile time from the point of the
 restart: a record's interval is a division, and it is refused if it lies before the latest interval reached. With an
-interval alone, or a record limit alone, closure is therefore arithmetic and fully parallel. With size limits or
-controls each restart depends on the one before; that case goes through a ledger once in arrival order, over
-arrays of (time, size), and keeps a few numbers. Hashing stays parallel in both cases.
+interval alone, or a record limit alone, closure is therefore arithmetic and fully parallel. With mixed limits each restart
+depends on the one before; a long ledger is cut into chunks whose maps from restart to restart are chained. Controls
+go through a ledger once in arrival order, over arrays of (time, size). Hashing stays parallel in all cases.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealstream.functions import values as V
-from sealstream.operators.plan import count_up, running_max_before, running_totals
+from sealstream.operators.plan import count_up, running_max_before, running_totals, staged
 
 WINDOW = 4096  # records looked at together
 
@@ -89,13 +89,38 @@ class Tiling:
             out += self.restart(boundary, "interval")
         return out + self.closed((now - self.origin) // self.policy.interval_ms)
 
+    def _one_by_one(self, t: list[int], size: list[int], at: int, number, opened, reason, closures: list[tuple]) -> int:
+        """``place`` for records that close segments after a few; returns how many of them did."""
+        p, closed = self.policy, 0
+        every, most, bytes_ = p.interval_ms, p.record_limit or float("inf"), p.size_limit_bytes or float("inf")
+        for k, (now, n) in enumerate(zip(t, size), at):
+            interval = (now - self.origin) // every
+            if interval != self.reached:
+                if interval < self.reached:
+                    continue
+                closures += [(k, *c) for c in self.closed(interval)]
+            self.records += 1
+            self.size += n
+            number[k], opened[k] = self.number, self.begins(interval)
+            if self.size >= bytes_ or self.records >= most:
+                reason[k] = "size_limit" if self.size >= bytes_ else "record_limit"
+                closures += [(k, *c) for c in self.restart(now, reason[k])]
+                closed += 1
+        return closed
+
     def place(self, t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
         """Segment number (-1: refused), opening and limit reason of records in arrival order, and the segments closed, each
         after the index of the record that closed it."""
         n, at = len(t), 0
         number, opened, reason = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, None, object)
         closures: list[tuple] = []
+        limited, often = self.policy.record_limit or self.policy.size_limit_bytes, True
         while at < n:
+            if limited and often and self.then is None:  # short segments: arrays would cost more than they save
+                stop = min(n, at + 512)
+                often = 16 * self._one_by_one(t[at:stop].tolist(), size[at:stop].tolist(), at, number, opened, reason, closures) >= stop - at
+                at = stop
+                continue
             if self.then is not None and t[at] >= self.begins(self.reached + 1):
                 closures += [(at, *c) for c in self.elapse(int(t[at]))]
             p, part = self.policy, slice(at, min(n, at + WINDOW))
@@ -131,6 +156,7 @@ class Tiling:
                 last = at + stop - 1
                 reason[last] = "size_limit" if by_size[used - 1] else "record_limit"
                 closures += [(last, *c) for c in self.restart(int(t[last]), reason[last])]
+                often = used < 64
             at += stop
         return number, opened, reason, closures
 
@@ -225,39 +251,199 @@ def produce_segments(events: DataFrame, policy: Policy, origin_ms: int | None =
     return ordered.mapInPandas(fold, OUTCOME)
 
 
-def assign_segments(records: DataFrame, policy: Policy, origin_ms: int = 0) -> DataFrame:
-    """Segments of plain records (ledger_id, seq, t_ms, size) under mixed limits: number, ``opened_at`` of their interval,
-    ``limit_reason`` on a record that closed its segment, and ``outcome``.
+RECORDS = "ledger_id string, seq bigint, segment_number bigint, opened_at bigint, limit_reason string, outcome string"
 
-    Same rules as produce_segments without controls: a record before the latest interval is refused, with
-    no segment number, whatever Arrow batch it is in. Only three numbers per record pass through.
-    """
-    _checked(policy)
 
+def _placed_batch(state: Tiling, ledger, seq, t: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Rows of RECORDS for records of one ledger in arrival order."""
+    number, opened, reason, _ = state.place(t, size)
+    bad = number < 0
+    return pa.RecordBatch.from_arrays(
+        [ledger, seq, pa.array(number, mask=bad), pa.array(opened, mask=bad), pa.array(reason, pa.string()),
+         pa.array(np.where(bad, "clock_discontinuity", "ok"))],
+        names=["ledger_id", "seq", "segment_number", "opened_at", "limit_reason", "outcome"])
+
+
+def _assign_in_order(slim: DataFrame, policy: Policy, origin_ms: int) -> DataFrame:
+    """Ledgers read one by one, each as a stream of three numbers per record."""
     def fold(it):
         current, state = None, None
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             t, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)] if len(ids) else [0]
-            parts = []
             for a, b in zip(cuts, cuts[1:]):
                 if ids[a] != current:
                     current, state = ids[a], Tiling(policy, origin_ms)
-                parts.append(state.place(t[a:b], size[a:b])[:3])
-            if parts:
-                number, opened, reason = (np.concatenate(x) for x in zip(*parts))
-                bad = number < 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(number, mask=bad), pa.array(opened, mask=bad),
-                     pa.array(reason, pa.string()), pa.array(np.where(bad, "clock_discontinuity", "ok"))],
-                    names=["ledger_id", "seq", "segment_number", "opened_at", "limit_reason", "outcome"])
+                yield _placed_batch(state, batch.column(0)[a:b], batch.column(1)[a:b], t[a:b], size[a:b])
+
+    ordered = slim.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq")
+    return ordered.mapInArrow(fold, RECORDS)
+
+
+def restart_map(policy: Policy, t: np.ndarray, size: np.ndarray, before: int) -> dict[int, int]:
+    """Where each possible state at record ``before`` leads: last restart before that record -> last restart among all records.
+
+    A restart at a record (its limit reached) fixes all that follows, so a state is named by its last restart. Every record
+    before ``before`` may be one; states that meet in one restart go on as one. All states take each record together.
+    """
+    size_limit, record_limit = policy.size_limit_bytes or (1 << 62), policy.record_limit or (1 << 62)
+    origin, reached, records, volume = (np.zeros(before + 1, np.int64) for _ in range(4))
+    last = np.zeros(before + 1, np.int64)  # the restart a state stands for
+    count, entry, moved = 0, None, {}
+    for k in range(len(t)):
+        if k == before:
+            entry = last[:count].copy()
+        if count:
+            o, r, n, v = origin[:count], reached[:count], records[:count], volume[:count]
+            interval = (t[k] - o) // policy.interval_ms
+            good, fresh = interval >= r, interval > r
+            n[fresh], v[fresh] = 0, 0
+            np.maximum(r, interval, out=r)
+            n += good
+            v += np.where(good, size[k], 0)
+            full = good & ((n >= record_limit) | (v >= size_limit))
+            if full.any():
+                if k >= before:
+                    moved[k] = last[:count][full].tolist()  # these go on as a restart at k
+                kept = np.flatnonzero(~full)
+                for x in (origin, reached, records, volume, last):
+                    x[:len(kept)] = x[kept]
+                count = len(kept)
+                if k >= before:
+                    origin[count], reached[count], records[count], volume[count], last[count] = t[k], 0, 0, 0, k
+                    count += 1
+        if k < before:
+            origin[count], reached[count], records[count], volume[count], last[count] = t[k], 0, 0, 0, k
+            count += 1
+        elif count == 1:  # all states have met
+            _, _, reason, _ = (state := Tiling(policy, int(origin[0]), int(reached[0]), 0, int(records[0]), int(volume[0]))).place(
+                t[k + 1:], size[k + 1:])
+            later = np.flatnonzero(reason != None)  # noqa: E711
+            if len(later):
+                moved[k + 1 + int(later[-1])] = [int(last[0])]
+            break
+    entry = last[:count].copy() if entry is None else entry
+    ends: dict[int, int] = {}
+    for k in sorted(moved, reverse=True):
+        for j in moved[k]:
+            ends[j] = ends.get(k, k)
+    return {int(j): ends.get(int(j), int(j)) for j in entry}
+
+
+def _assign_in_chunks(slim: DataFrame, policy: Policy, origin_ms: int, span: int, back: int) -> tuple[DataFrame, DataFrame]:
+    """(records of RECORDS, ledgers left over) of ledgers cut into chunks of ``span`` records.
+
+    Each chunk also sees the ``back`` records before it, and tells for every restart among these that may be the last one before the chunk
+    which restart is the last one in it (``restart_map``). These short maps are chained per ledger; then all chunks are placed
+    at once, each from its restart. A ledger with a chunk that no restart precedes within ``back`` records is left over.
+    """
+    numbered = running_totals(slim, ["ledger_id"], "seq", {"position": F.lit(1)}).withColumn("position", F.col("position") - 1)
+    chunk = F.expr(f"position div {span}")
+    ahead = F.when(F.expr(f"position % {span} >= {span - back}"), F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    dealt = staged(numbered.withColumn("chunk", F.explode(ahead)))
+    # the last records of a ledger may lead into a chunk without records of its own
+    has = dealt.filter(f"position div {span} = chunk").select("ledger_id", "chunk").distinct()
+    dealt = dealt.join(has, ["ledger_id", "chunk"], "left_semi")
+
+    def arrays(rows: pa.Table):
+        order = np.argsort(rows["position"].to_numpy(), kind="stable")
+        return [rows[c].to_numpy()[order] for c in ("position", "t_ms", "size")], rows["chunk"][0].as_py(), order
+
+    def mapped(rows: pa.Table) -> pa.Table:
+        (position, t, size), number, _ = arrays(rows)
+        if number == 0:
+            reason = Tiling(policy, origin_ms).place(t, size)[2]
+            later = np.flatnonzero(reason != None)  # noqa: E711
+            found = {-1: int(position[later[-1]]) if len(later) else -1}
+        else:
+            first = int(np.searchsorted(position, number * span))
+            found = {int(position[j]): int(position[k]) for j, k in restart_map(policy, t, size, first).items()}
+        return pa.table({"ledger_id": rows["ledger_id"].slice(0, 1).combine_chunks().take(pa.array([0] * len(found))),
+                         "chunk": pa.array([number] * len(found), pa.int64()), "entry": pa.array(list(found), pa.int64()),
+                         "exit": pa.array(list(found.values()), pa.int64())})
+
+    maps = dealt.groupBy("ledger_id", "chunk").applyInArrow(mapped, "ledger_id string, chunk bigint, entry bigint, exit bigint")
 
+    def chained(it):
+        ledger, number, at, stepped = None, None, None, True
+        for batch in it:
+            out: list[tuple] = []
+            for lid, k, entry, leads in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lid, k) != (ledger, number):
+                    if not stepped:  # no map for the state: the rest of the ledger is unknown
+                        out.append((ledger, number, None))
+                        at = None
+                    if lid != ledger:
+                        at = -1
+                    ledger, number, stepped = lid, k, False
+                    before = at
+                if not stepped and entry == before and before is not None:
+                    out.append((lid, k, before))
+                    at, stepped = leads, True
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(
+                (pa.string(), pa.int64(), pa.int64()))], ["ledger_id", "chunk", "entry"])
+        if not stepped:
+            yield pa.RecordBatch.from_arrays([pa.array([ledger]), pa.array([number], pa.int64()), pa.array([None], pa.int64())],
+                                             ["ledger_id", "chunk", "entry"])
+
+    entries = staged(maps.repartition("ledger_id").sortWithinPartitions("ledger_id", "chunk", "entry").mapInArrow(
+        chained, "ledger_id string, chunk bigint, entry bigint"))
+    rest = entries.filter("entry IS NULL").select("ledger_id").distinct()
+    known = entries.join(rest, "ledger_id", "left_anti")
+
+    def placed(rows: pa.Table) -> pa.Table:
+        (position, t, size), number, order = arrays(rows)
+        entry = rows["entry"][0].as_py()
+        first = int(np.searchsorted(position, number * span))
+        if number == 0:
+            state = Tiling(policy, origin_ms)
+        else:
+            j = int(np.searchsorted(position, entry))
+            state = Tiling(policy, int(t[j]))
+            state.place(t[j + 1:first], size[j + 1:first])
+            state.number = 0
+        own = rows.take(pa.array(order[first:]))
+        out = pa.Table.from_batches([_placed_batch(state, own["ledger_id"].combine_chunks(), own["seq"].combine_chunks(),
+                                                   t[first:], size[first:])])
+        end = pa.table({c: pa.array([v], out.schema.field(c).type) for c, v in (
+            ("ledger_id", own["ledger_id"][0].as_py()), ("seq", None), ("segment_number", state.number), ("opened_at", None),
+            ("limit_reason", None), ("outcome", "end"))})
+        both = pa.concat_tables([out, end])
+        return both.append_column("chunk", pa.array([number] * both.num_rows, pa.int64()))
+
+    done = staged(dealt.join(known, ["ledger_id", "chunk"]).groupBy("ledger_id", "chunk").applyInArrow(
+        placed, RECORDS + ", chunk bigint"))
+    before = Window.partitionBy("ledger_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = done.filter("outcome = 'end'").select(
+        "ledger_id", "chunk", F.coalesce(F.sum("segment_number").over(before), F.lit(0)).alias("_first"))
+    out = done.filter("outcome <> 'end'").join(ends, ["ledger_id", "chunk"])
+    return out.withColumn("segment_number", F.col("segment_number") + F.col("_first")).select(
+        "ledger_id", "seq", "segment_number", "opened_at", "limit_reason", "outcome"), rest
+
+
+def assign_segments(records: DataFrame, policy: Policy, origin_ms: int = 0, span: int = 65536, back: int = 4096) -> DataFrame:
+    """Segments of plain records (ledger_id, seq, t_ms, size) under mixed limits: number, ``opened_at`` of their interval,
+    ``limit_reason`` on a record that closed its segment, and ``outcome``.
+
+    Same rules as produce_segments without controls: a record before the latest interval is refused, with
+    no segment number, whatever Arrow batch it is in. Only three numbers per record pass through.
+
+    A ledger of more than ``span`` records is cut into chunks that are worked on at once, see ``_assign_in_chunks``; ``back`` is how many
+    records without a limit reached may lie between two chunks' states. Where limits are reached more rarely than that, the
+    ledger is read in order, with the same result.
+    """
+    _checked(policy)
     slim = records.selectExpr("ledger_id", "cast(seq as bigint) seq", "cast(t_ms as bigint) t_ms",
                               "cast(size as bigint) size")
-    ordered = slim.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq")
-    return ordered.mapInArrow(
-        fold, "ledger_id string, seq bigint, segment_number bigint, opened_at bigint, limit_reason string, outcome string")
+    limited = policy.record_limit is not None or policy.size_limit_bytes is not None
+    sizes = staged(slim.groupBy("ledger_id").agg(F.count(F.lit(1)).alias("n"))) if limited else None
+    if not limited or (long := sizes.filter(F.col("n") > span)).isEmpty():
+        return _assign_in_order(slim, policy, origin_ms)
+    many = slim.join(long.select("ledger_id"), "ledger_id", "left_semi")
+    chunked, rest = _assign_in_chunks(many, policy, origin_ms, span, min(back, span))
+    ordered = sizes.filter(F.col("n") <= span).select("ledger_id").unionByName(rest)
+    return _assign_in_order(slim.join(ordered, "ledger_id", "left_semi"), policy, origin_ms).unionByName(chunked)
 
 
 def segments_of(assigned: DataFrame) -> DataFrame:

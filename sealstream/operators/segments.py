@@ -254,7 +254,7 @@ def recompute_class_a(bundles: DataFrame, records: DataFrame, batches: DataFrame
     disclosed, canonical, and equal to the embedded leaves (bundle, leaf_hashes) and root."""
     a = bundles.filter("disclosure_class = 'A'")
     own = records.join(a.select("bundle"), "bundle").withColumn("_m", K.record_meta("record"))
-    leaves = own.select("bundle", "_m.error", M.leaf_hash_v2("record").alias("leaf"))
+    leaves = staged(own.select("bundle", "_m.error", M.leaf_hash_v2("record").alias("leaf")))  # records are read once
     stats = leaves.groupBy("bundle").agg(F.count(F.lit(1)).alias("_n"), F.count("error").alias("_bad"))
     embedded = batches.join(a.select("bundle"), "bundle").select(
         "bundle", F.explode(F.transform("leaf_hashes", F.unhex)).alias("leaf"))
@@ -356,7 +356,7 @@ def verify_segment_bundles(files: DataFrame, tsa_errors: DataFrame | None = None
     are told apart by bundle, so equal segments of different bundles do not meet.
     """
     at = files.withColumn("path", C.clean_path("path"))
-    manifests = at.filter("path = 'segment.verify.json'").select("bundle", F.decode("content", "UTF-8").alias("manifest_json"))
+    manifests = at.filter("path = 'segment.verify.json'").select("bundle", C.utf8("content").alias("manifest_json"))
     m = check_manifest_v2(read_manifests(manifests)).withColumnRenamed("error", "e01")
     m = staged(m.withColumn("e01", F.when(F.col("version").isNull(), "manifest").otherwise(F.col("e01"))))
     refs = m.select("bundle", F.inline("refs")).withColumn("path", C.clean_path("path"))
@@ -392,7 +392,7 @@ def verify_segment_bundles(files: DataFrame, tsa_errors: DataFrame | None = None
     e07 = recompute_class_a(classed, records, batches).select(
         "bundle", "record_multiset_root", F.when(~F.col("has_records"), "records_required").otherwise(F.col("error")).alias("e07"))
 
-    said = met.filter("role = 'batches'").select("bundle", "place", F.from_json(F.decode("content", "UTF-8"), PROJECTION_T).alias("p"))
+    said = met.filter("role = 'batches'").select("bundle", "place", F.from_json(C.utf8("content"), PROJECTION_T).alias("p"))
     held = batches.select("bundle", F.col("position").alias("place"), F.struct(
         F.lit(2).alias("version"), F.col("batch_ledger_id").alias("ledger_id"), F.col("batch_site_id").alias("site_id"),
         F.col("batch_segment_number").cast("string").alias("segment_number"), F.col("batch_number").cast("string").alias("batch_number"),

@@ -12,10 +12,12 @@ from sealstream.operators import bundles as B
 from sealstream.operators import merkle as M
 from sealstream.operators.plan import shared_folder, staged
 from sealstream.plans import admission as Q
+from sealstream.plans import ledger as G
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
 from sealstream.plans.scalars import FACT_JSON
 from sealstream.sources import artifacts as A
+from sealstream.sources import commits as KC
 from sealstream.sources import sinks as K2
 from sealstream.sources import tables as ST
 
@@ -83,11 +85,21 @@ ERR = """CASE k WHEN 1 THEN 'missing field facts_dir' WHEN 4 THEN 'manifest comm
   WHEN 11 THEN 'fact artifact is not canonical CBOR: not shortest form' END"""
 
 
-@query("v10_day_verdicts", f"""{W} SELECT bundle, {ERR} AS error, CASE WHEN k IN (0, 6, 7) THEN 'success' ELSE 'failed' END AS overall, k IN (0, 15) AS publicly_recomputable,
-  coalesce({ERR}, CASE WHEN k = 15 THEN 'overall-failed' END) AS export_refusal FROM bk""")
+@query("v10_day_verdicts", f"""{W}, v AS (SELECT *, {ERR} AS error FROM bk) SELECT bundle, error, CASE WHEN k IN (0, 6, 7) THEN 'success' ELSE 'failed' END AS overall,
+  k IN (0, 15) AS publicly_recomputable, coalesce(error, CASE WHEN k = 15 THEN 'overall-failed' END) AS export_refusal,
+  CASE WHEN error IS NULL THEN 'day_artifact_validation,verification_manifest_validation,batch_metadata_validation,rejection_audit_validation' ||
+   CASE WHEN k IN (6, 7) THEN '' ELSE ',fact_level_recompute' END || ',ots_verification' END AS executed,
+  CASE WHEN error IS NULL THEN CASE k WHEN 6 THEN 'fact_level_recompute:disclosure-class-b' WHEN 7 THEN 'fact_level_recompute:disclosure-class-c' ELSE '' END END AS skipped,
+  CASE WHEN k = 15 THEN 'true:failed:stationary-stub-hash-mismatch' ELSE 'true:pending:stationary-stub-accepted' END AS ots,
+  'false:skipped:disabled' AS tsa FROM v""")
 def v10(spark, sf):
+    def channel(name):
+        c = F.col(f"channels.{name}")
+        return F.concat_ws(":", c["enabled"].cast("string"), c["status"], c["reason"]).alias(name)
+    skipped = F.array_join(F.transform("checks_skipped", lambda c: F.concat(c["check"], F.lit(":"), c["reason"])), ",")
     return B.verify_day_bundles(*day_bundles(spark, sf)).select(
-        "bundle", "error", "overall", "publicly_recomputable", "export_refusal")
+        "bundle", "error", "overall", "publicly_recomputable", "export_refusal", F.array_join("checks_executed", ",").alias("executed"),
+        skipped.alias("skipped"), channel("ots"), channel("tsa"))
 
 
 @query("v01_manifest_identity", f"{W} SELECT bundle, CASE k WHEN 1 THEN 'missing field facts_dir' WHEN 4 THEN 'manifest commitment_profile_id mismatch' END AS identity_error FROM bk")
@@ -187,13 +199,15 @@ def written(spark, sf):
     docs = bundles.select(F.explode(F.map_from_arrays(
         F.array(F.concat(name, F.lit("day/"), "day", F.lit(".verify.json")), F.concat(name, F.lit("blocks/"), "day", F.lit("-00.block.json")),
                 F.concat(name, F.lit("day/"), "day", F.lit(".json")), F.concat(name, F.lit("day/"), "day", F.lit(".cbor"))),
-        F.array(C.text_bytes("manifest_json"), C.text_bytes("block_json"), C.text_bytes("day_json"), F.col("day_cbor")))).alias("path", "bytes"))
+        F.array(F.when(F.col("k") == 2, F.lit(b"{\xff}")).otherwise(C.text_bytes("manifest_json")), C.text_bytes("block_json"), C.text_bytes("day_json"), F.col("day_cbor")))).alias("path", "bytes"))
     root = folder(spark, "bundles")
     A.write_files(docs.unionByName(own.select(F.concat(name, "path").alias("path"), F.col("content").alias("bytes"))), root)
     return root
 
 
-@query("s05_day_bundle_scan", f"""{W} SELECT bundle, site_id AS site, day, CAST(1 AS BIGINT) AS version, k <> 12 AS canonical FROM bk""")
+# One manifest is not UTF-8 text.
+@query("s05_day_bundle_scan", f"""{W} SELECT bundle, CASE WHEN k <> 2 THEN site_id END AS site, day, CASE WHEN k <> 2 THEN CAST(1 AS BIGINT) END AS version,
+  k <> 12 AS canonical FROM bk""")
 def s05(spark, sf):
     rows = B.check_day_bytes(B.parse_bundles(A.scan_day_bundles(spark, written(spark, sf))))
     return T.big(rows.select("bundle", F.col("manifest.site").alias("site"), F.col("block.day").alias("day"),
@@ -205,19 +219,16 @@ def s04(spark, sf):
     return A.scan_fact_artifacts(spark, written(spark, sf)).select("bundle", "path")
 
 
-@query("s06_segment_bundle_scan", """SELECT 'seg-' || n_nationkey AS bundle, CAST(2 AS BIGINT) AS version, sha256('segment' || n_name) AS sha256 FROM nation""")
+@query("s06_segment_bundle_scan", f"""{G.CW} SELECT ledger_id || '/' || segment_number AS bundle,
+  CASE WHEN segment_number % 17 <> 9 THEN CAST(2 AS BIGINT) END AS version, sha AS sha256 FROM chn""")
 def s06(spark, sf):
-    n = T.table(spark, sf, "nation")
-    name = F.concat(F.lit("seg-"), "n_nationkey", F.lit("/"))
-    seg = C.text_bytes(F.concat(F.lit("segment"), "n_name"))
-    docs = n.select(F.explode(F.map_from_arrays(
-        F.array(F.concat(name, F.lit("segment.verify.json")), F.concat(name, F.lit("segments/s.cbor"))),
-        F.array(C.text_bytes(F.to_json(F.struct(F.lit(2).alias("version"), "n_name"))), seg))).alias("path", "bytes"))
+    from sealstream.plans.segments import bundle_files
+    files = bundle_files(spark, sf)[0].filter("path IN ('segment.verify.json', 'segments/s.cbor')")
     root = folder(spark, "segments")
-    A.write_files(docs, root)
-    manifests, files = A.scan_segment_bundles(spark, root)
+    A.write_files(files.select(F.concat("bundle", F.lit("/"), "path").alias("path"), F.col("content").alias("bytes")), root)
+    manifests, found = A.scan_segment_bundles(spark, root)
     return T.big(manifests.select("bundle", F.get_json_object("manifest_json", "$.version").cast("int").alias("version"))
-                 .join(files.filter("path = 'segments/s.cbor'").select("bundle", "sha256"), "bundle"))
+                 .join(found.filter("path = 'segments/s.cbor'").select("bundle", "sha256"), "bundle"))
 
 
 @query("s08_rejection_sink", f"""{Q.ADMW}, rej AS (SELECT reason, e.day FROM adm a JOIN ev e USING (event_id) WHERE reason IS NOT NULL) SELECT day, reason, count(*) AS n FROM rej GROUP BY ALL""")
@@ -232,17 +243,22 @@ def s08(spark, sf):
     return back.groupBy("day", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s10_sealed_sink", f"WITH {T.EV} SELECT ledger_id, count(*) AS records FROM ev GROUP BY 1")
+@query("s10_sealed_sink", f"""WITH {T.EV}, {T.REC} SELECT ledger_id, event_id AS seq, sha256(unhex(record_hex)) AS sha256, event_id % 2 + 1 AS revision,
+  CAST(2 AS BIGINT) AS refused FROM rec""")
 def s10(spark, sf):
-    from sealstream.plans import ledger as G
+    """Two transitions, and two writers that expect a revision which is gone: their rows do not show."""
     root = folder(spark, "sealed")
     rec = G.records(spark, sf)
-    for part in range(2):
+    refused = 0
+    for part, expected in ((0, None), (0, None), (1, 1), (0, 1)):
         half = rec.filter(F.col("seq") % 2 == part)
-        K2.write_sealed(half.select("ledger_id").distinct(), half.select("ledger_id", "seq", "record"),
-                        half.select("ledger_id", "seq"), root, part)
-    K2.write_sealed(rec.limit(0), rec.filter("seq % 2 = 0").select("ledger_id", "seq", "record"), rec.limit(0), root, 0)
-    return K2.read_sealed(spark, root, "records").groupBy("ledger_id").agg(F.count(F.lit(1)).alias("records"))
+        try:
+            KC.commit_transition(spark, root, expected, {"segments": half.select("ledger_id").distinct(), "outcomes": half.select("ledger_id", "seq"),
+                                                         "records": half.select("ledger_id", "seq", "record")})
+        except KC.StaleRevision:
+            refused += 1
+    return KC.read_committed(spark, root, "records").select(
+        "ledger_id", "seq", C.sha256_hex("record").alias("sha256"), "revision", F.lit(refused).cast("bigint").alias("refused"))
 
 
 @query("s11_fact_export", f"""{Q.ADMW} SELECT e.day, e.site_id, h.sample_type, count(*) AS n, CAST(sum(h.cents) AS BIGINT) AS cents FROM adm h JOIN ev e USING (event_id)
@@ -259,13 +275,37 @@ def s11(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum((F.col("value").cast("double") * 4).cast("bigint")).alias("cents")))
 
 
-@query("s12_verified_export", f"{W} SELECT site_id AS site, day, 'site/' || site_id || '/day/' || day AS bundle_root FROM bk WHERE k IN (0, 6, 7)")
+@query("s12_verified_export", f"""{W}, g AS (SELECT *, 'site/' || site_id || '/day/' || day || '/' AS root FROM bk WHERE k IN (0, 6, 7)),
+  f AS (SELECT root || 'facts/' || event_id || '.cbor' AS path FROM ev JOIN g USING (site_id, day)
+   UNION ALL SELECT root || unnest(['blocks/' || day || '-00.block.json', 'day/' || day || '.cbor', 'audit/rejections-' || day || '.ndjson',
+     'day/' || day || '.verify.json', 'day/' || day || '.ots.meta.json']) FROM g UNION ALL SELECT 'index.json')
+  SELECT path, true AS as_expected FROM f""")
 def s12(spark, sf):
-    d = day_bundles(spark, sf)
-    verdicts = B.verify_day_bundles(*d)
-    art = d[0].select("bundle", F.col("site_id").alias("site"), "day", F.concat(F.lit("day/"), "day", F.lit(".cbor")).alias("path"),
-                      F.col("day_cbor").alias("content"), F.sha2("day_cbor", 256).alias("sha256"))
-    return K2.export_verified(verdicts, art, folder(spark, "export")).select("site", "day", "bundle_root")
+    """Every file of the export, read back: copies against their sources, rewritten texts by their fields, the index by its entries."""
+    bundles, _, own, audits, sidecars, proofs = d = day_bundles(spark, sf)
+    verdicts = staged(B.verify_day_bundles(*d))
+    name, text = (lambda *p: F.concat(*[F.lit(x) if "/" in x or "." in x else F.col(x) for x in p])), C.text_bytes
+    files = staged(bundles.select("bundle", F.explode(F.map_from_arrays(
+        F.array(name("blocks/", "day", "-00.block.json"), name("day/", "day", ".cbor"), name("audit/rejections-", "day", ".ndjson")),
+        F.array(text("block_json"), F.col("day_cbor"), text("bundle")))).alias("path", "content")))
+    root = folder(spark, "export")
+    index = K2.export_bundles(verdicts, files, own.select("bundle", "path", "content"), sidecars.select("bundle", "meta_json"), root)
+    back = A.scan_files(spark, root).select(F.concat_ws("/", F.when(F.col("bundle") != "", F.col("bundle")), "path").alias("path"), "content", "sha256")
+    back = staged(back)
+    place = F.concat(F.lit("site/"), F.regexp_replace("bundle", "/", "/day/"), F.lit("/"), "path")
+    sources = files.unionByName(own.select("bundle", "path", "content")).select(
+        place.alias("path"), F.sha2("content", 256).alias("_source"))
+    side = back.filter("path LIKE '%.ots.meta.json'").select(
+        F.replace("path", F.lit(".ots.meta.json"), F.lit(".verify.json")).alias("path"), F.col("sha256").alias("_side"))
+    j = lambda p: F.get_json_object(C.utf8("content"), p)
+    day = F.regexp_extract("path", "day/([0-9-]+)/", 1)
+    kind = back.join(sources, "path", "left").join(side, "path", "left")
+    manifest = (j("$.frames_file").isNull() & (j("$.artifacts.day_ots_meta.sha256") == F.col("_side")) & (j("$.verifier.overall") == "success")
+                & (j("$.verification_bundle.checks_executed[0]") == "day_artifact_validation") & j("$.anchoring").isNotNull())
+    meta = (j("$.artifact") == F.concat(F.lit("day/"), day, F.lit(".cbor"))) & j("$.milestone").isNull() & (j("$.day") == day)
+    entries = F.size(F.from_json(j("$.exports"), "array<struct<site:string>>")) == index.count()
+    return kind.select("path", F.when(F.col("path").endswith(".verify.json"), manifest).when(F.col("path").endswith(".ots.meta.json"), meta)
+                       .when(F.col("path") == "index.json", entries).otherwise(F.col("sha256") == F.col("_source")).alias("as_expected"))
 
 
 @query("s14_header_sidecars", """WITH h AS (SELECT o_custkey AS archive, o_orderkey AS height, sha256('' || o_orderkey) || sha256('x' || o_orderkey) || '00112233445566778899aabbccddee00' AS header FROM orders)

@@ -1,16 +1,21 @@
 """Registered queries: blocks, days, batches, segments, closure and idempotency."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
+from sealstream.operators import outcomes as N
 from sealstream.operators import producer as S
-from sealstream.operators.plan import staged
+from sealstream.operators.plan import shared_folder, staged
 from sealstream.plans import commitment as Q
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
+from sealstream.sources.artifacts import scan_files
+from sealstream.sources.sinks import write_day_artifacts
 
 ORIGIN = T.FIRST_HOUR * 3600000
 INTERVAL = 6 * 3600000
@@ -86,11 +91,24 @@ DAY_HEX = f"""'A6' || {key('date')} || {T.duck_text('date')} || {key('batches')}
  {key('prev_day_root')} || {T.duck_text('prev_day_root')}"""
 
 
-@query("s09_day_artifacts", f"""{Q.RWITH}, {BLK}, {DAYS}, lv AS (SELECT site_id, day, string_agg('7840' || hex(encode(leaf)), '' ORDER BY leaf) AS leaves
-  FROM l1 GROUP BY ALL) SELECT site_id, day, sha256(unhex(h)) AS sha256, length(h) // 2 AS size FROM (
-  SELECT d.site_id, day, {DAY_HEX.replace('site_id', 'd.site_id').replace(chr(39) + 'd.site_id' + chr(39), chr(39) + 'site_id' + chr(39))} AS h FROM dys d JOIN lv ON d.site_id = lv.site_id AND d.date = lv.day)""")
+DAY_FILES = f"""lv AS (SELECT site_id, day, string_agg('7840' || hex(encode(leaf)), '' ORDER BY leaf) AS leaves, string_agg('"' || leaf || '"', ',' ORDER BY leaf) AS quoted
+  FROM l1 GROUP BY ALL), art AS (SELECT d.site_id, day, {DAY_HEX.replace('site_id', 'd.site_id').replace(chr(39) + 'd.site_id' + chr(39), chr(39) + 'site_id' + chr(39))} AS h, '{{"batch_id":"' || batch_id || '","count":' || count ||
+   ',"day":"' || day || '","leaf_hashes":[' || quoted || '],"merkle_root":"' || day_root || '","site_id":"' || d.site_id || '","version":1}}' AS block, d.*
+  FROM dys d JOIN lv ON d.site_id = lv.site_id AND d.date = lv.day),
+  file AS (SELECT site_id || '/blocks/' || day || '-00.block.json' AS path, hex(encode(block)) AS h FROM art
+   UNION ALL SELECT site_id || '/day/' || day || '.json', hex(encode('{{"batches":[' || block || '],"date":"' || day || '","day_root":"' || day_root ||
+    '","prev_day_root":"' || prev_day_root || '","site_id":"' || site_id || '","version":1}}')) FROM art
+   UNION ALL SELECT site_id || '/day/' || day || '.cbor', h FROM art
+   UNION ALL SELECT site_id || '/day/' || day || '.cbor.sha256', hex(encode(sha256(unhex(h)) || '  ' || day || '.cbor' || chr(10))) FROM art)"""
+
+
+@query("s09_day_artifacts", f"""{Q.RWITH}, {BLK}, {DAYS}, {DAY_FILES} SELECT path, sha256(unhex(h)) AS sha256, length(h) // 2 AS size FROM file""")
 def s09(spark, sf):
-    return L.digest_parts(L.day_parts(Q.leaves(spark, sf, 1)), ["site_id", "day"])
+    """Files of every day, written and read back."""
+    root = f"{shared_folder(spark).rstrip('/')}/days-{uuid.uuid4().hex}"
+    write_day_artifacts(Q.leaves(spark, sf, 1), root)
+    back = scan_files(spark, root)
+    return back.select(F.concat("bundle", F.lit("/"), "path").alias("path"), "sha256", F.octet_length("content").cast("bigint").alias("size"))
 
 
 # Segments of the interval policy: 6 hours, 10 records per batch, empty ones suppressed.
@@ -296,8 +314,10 @@ def a07(spark, sf):
 
 # Every reading is a request; the customers are the outcomes stored before.
 IDEM = """req AS (SELECT event_id AS seq, ledger_id, 'k' || (event_id % 400) AS key, sha256('' || (event_id // 800 % 3)) AS digest FROM ev),
- sto AS (SELECT md5('site-' || (c_custkey % 4)) AS ledger_id, 'k' || (c_custkey % 1600) AS key, min(sha256('' || (c_custkey // 800 % 3))) AS digest FROM customer GROUP BY ALL),
- fst AS (SELECT ledger_id, key, arg_min(digest, o) AS d, min(o) AS o FROM (SELECT *, -1 AS o FROM sto UNION ALL SELECT ledger_id, key, digest, seq FROM req) GROUP BY ALL)"""
+ sto AS (SELECT md5('site-' || (c_custkey % 4)) AS ledger_id, 'k' || (c_custkey % 1600) AS key, min(sha256('' || (c_custkey // 800 % 3))) AS digest,
+   max(c_custkey) AS segment_number, [max(c_custkey) - 1, max(c_custkey)] AS sealed, max(c_custkey) * 2 AS revision FROM customer GROUP BY ALL),
+ fst AS (SELECT ledger_id, key, arg_min(digest, o) AS d, min(o) AS o FROM (SELECT ledger_id, key, digest, -1 AS o FROM sto
+   UNION ALL SELECT ledger_id, key, digest, seq FROM req) GROUP BY ALL)"""
 
 
 def requests(ev):
@@ -305,22 +325,67 @@ def requests(ev):
                          "sha2(cast(event_id div 800 % 3 as string), 256) AS digest")
 
 
-def idempotency(spark, sf):
-    stored = T.table(spark, sf, "customer").selectExpr(
+def stored_outcomes(spark, sf):
+    rows = T.table(spark, sf, "customer").selectExpr(
         "md5(cast(concat('site-', c_custkey % 4) as binary)) AS ledger_id", "concat('k', c_custkey % 1600) AS key",
-        "sha2(cast(c_custkey div 800 % 3 as string), 256) AS digest")
-    return requests(T.events(spark, sf)), stored.groupBy("ledger_id", "key").agg(F.min("digest").alias("digest"))
+        "sha2(cast(c_custkey div 800 % 3 as string), 256) AS digest", "c_custkey")
+    return rows.groupBy("ledger_id", "key").agg(F.min("digest").alias("digest"), F.max("c_custkey").alias("segment_number")).selectExpr(
+        "*", "array(segment_number - 1, segment_number) AS sealed", "segment_number * 2 AS revision")
+
+
+def with_text(df):
+    return df.withColumn("sealed", F.array_join(F.transform("sealed", lambda n: n.cast("string")), ","))
+
+
+@query("j04_idempotency", f"""{Q.WITH}, {IDEM} SELECT seq, CASE WHEN s.key IS NULL THEN 'absent' WHEN s.digest = r.digest THEN 'replay' ELSE 'conflict' END AS outcome,
+  CASE WHEN s.digest = r.digest THEN segment_number END AS segment_number, CASE WHEN s.digest = r.digest THEN array_to_string(sealed, ',') END AS sealed,
+  CASE WHEN s.digest = r.digest THEN revision END AS revision FROM req r LEFT JOIN sto s USING (ledger_id, key)""")
+def j04(spark, sf):
+    found = N.lookup_outcomes(requests(T.events(spark, sf)), stored_outcomes(spark, sf))
+    return with_text(found).select("seq", "outcome", "segment_number", "sealed", "revision")
 
 
 IDEMQ = """SELECT seq, CASE WHEN f.o = seq THEN 'new' WHEN f.d = r.digest THEN 'replay' ELSE 'conflict' END AS outcome
   FROM req r JOIN fst f USING (ledger_id, key)"""
 
 
-@query("j04_idempotency", f"{Q.WITH}, {IDEM} {IDEMQ}")
-def j04(spark, sf):
-    return S.match_idempotency(*idempotency(spark, sf)).select("seq", "outcome")
+@query("j04_first_of_key", f"{Q.WITH}, {IDEM} {IDEMQ}")
+def j04b(spark, sf):
+    return S.match_idempotency(requests(T.events(spark, sf)), stored_outcomes(spark, sf).select("ledger_id", "key", "digest")).select("seq", "outcome")
+
+
+# Four readings in a row share a key, under two digests; every 23rd record is not canonical.
+ASK = """req AS (SELECT event_id AS seq, ledger_id, CASE WHEN event_id % 101 = 0 THEN '' ELSE 'k' || event_id // 4 END AS key, sha256('' || event_id % 3 // 2) AS digest,
+  event_id % 23 = 0 AS wrong FROM ev), sto AS (SELECT md5('site-' || (c_custkey % 4)) AS ledger_id, 'k' || c_custkey * 3 AS key, sha256('0') AS digest,
+  c_custkey AS segment_number, c_custkey - 1 || ',' || c_custkey AS sealed, c_custkey * 2 AS revision FROM customer),
+ bas AS (SELECT ledger_id, max(segment_number) + 1 AS n0, max(revision) AS r0 FROM sto GROUP BY 1),
+ acc AS (SELECT ledger_id, key, min(seq) AS event_id, arg_min(digest, seq) AS digest FROM req ANTI JOIN sto USING (ledger_id, key) WHERE NOT wrong AND key <> '' GROUP BY ALL)"""
+ADMITTED = """num AS (SELECT st.ledger_id, acc.key, event_id, digest, seg, closed, row_number() OVER w AS rk,
+   coalesce(lag(seg + CASE WHEN closed IS NULL THEN 0 ELSE 1 END) OVER w, 0) AS from_no FROM st JOIN acc USING (ledger_id, event_id) WHERE i > 0
+   WINDOW w AS (PARTITION BY st.ledger_id ORDER BY event_id)),
+ own AS (SELECT n.ledger_id, key, event_id, digest, seg + coalesce(n0, 0) AS segment_number, rk + coalesce(r0, 0) AS revision,
+   array_to_string(list_transform(range(from_no, seg + CASE WHEN closed IS NULL THEN 0 ELSE 1 END), lambda x: x + coalesce(n0, 0)), ',') AS sealed FROM num n LEFT JOIN bas USING (ledger_id)),
+ ans AS (SELECT r.seq, CASE WHEN r.key = '' THEN 'invalid_key' WHEN s.key IS NOT NULL THEN CASE WHEN s.digest = r.digest THEN 'replay' ELSE 'conflict' END
+   WHEN o.event_id = r.seq THEN 'new' WHEN o.event_id < r.seq THEN CASE WHEN o.digest = r.digest THEN 'replay' ELSE 'conflict' END ELSE 'invalid_record' END AS outcome,
+   coalesce(s.segment_number, o.segment_number) AS segment_number, coalesce(s.sealed, o.sealed) AS sealed, coalesce(s.revision, o.revision) AS revision
+  FROM req r LEFT JOIN sto s ON s.ledger_id = r.ledger_id AND s.key = r.key LEFT JOIN own o ON o.ledger_id = r.ledger_id AND o.key = r.key)"""
+ANSWER = """SELECT seq, outcome, CASE WHEN outcome IN ('new', 'replay') THEN segment_number END AS segment_number,
+  CASE WHEN outcome IN ('new', 'replay') THEN sealed END AS sealed, CASE WHEN outcome IN ('new', 'replay') THEN revision END AS revision FROM ans"""
 
 
-@query("t03_idempotent_admission", f"{Q.WITH}, {IDEM}, m AS ({IDEMQ}) SELECT outcome, count(*) AS n FROM m GROUP BY 1")
+def asked(ev):
+    return T.records(ev).selectExpr(
+        "ledger_id", "event_id AS seq", "CASE WHEN event_id % 101 = 0 THEN '' ELSE concat('k', event_id div 4) END AS key",
+        "sha2(cast(event_id % 3 div 2 as string), 256) AS digest", "t_ms", "octet_length(record) AS size",
+        "CASE WHEN event_id % 23 = 0 THEN 'not canonical' END AS record_error")
+
+
+@query("t03_idempotent_admission", f"""WITH RECURSIVE {T.EV}, {T.REC}, {ASK}, {STEP.replace('FROM rec)', 'FROM rec SEMI JOIN acc USING (ledger_id, event_id))')},
+  {ADMITTED} {ANSWER}""")
 def t03(spark, sf):
-    return S.match_idempotency(*idempotency(spark, sf)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Requests with stored outcomes: replays give back segment number, sealed numbers and revision; refused records leave their key free."""
+    stored = T.table(spark, sf, "customer").selectExpr(
+        "md5(cast(concat('site-', c_custkey % 4) as binary)) AS ledger_id", "concat('k', c_custkey * 3) AS key", "sha2('0', 256) AS digest",
+        "c_custkey AS segment_number", "array(c_custkey - 1, c_custkey) AS sealed", "c_custkey * 2 AS revision")
+    out = N.admit_requests(asked(T.events(spark, sf)), stored, POL, ORIGIN)
+    return with_text(out).select("seq", "outcome", "segment_number", "sealed", "revision")

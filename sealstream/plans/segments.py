@@ -236,19 +236,20 @@ def bundle_files(spark, sf):
         F.lit(2).alias("version"), "ledger_id", "site_id", number.alias(N), F.lit(V.PROFILE_V2).alias("commitment_profile_id"),
         cls.alias("disclosure_class"), F.struct(*singles, *lists).alias("artifacts"),
         F.struct(F.struct(F.lit("pending").alias("status")).alias("ots")).alias("anchoring")))
-    manifests = refs.join(sites, L.SEG).select(key.alias("bundle"), F.lit("segment.verify.json").alias("path"),
-                                               C.text_bytes(manifest).alias("content"))
+    content = F.when(F.col(N) % 17 == 9, F.lit(b"{\xff}")).otherwise(C.text_bytes(manifest))
+    manifests = refs.join(sites, L.SEG).select(key.alias("bundle"), F.lit("segment.verify.json").alias("path"), content.alias("content"))
     files = files.select(key.alias("bundle"), "path", "content")
     return files.unionByName(manifests).withColumn("sha256", F.sha2("content", 256)), segs
 
 
-FAILS = """CASE WHEN n % 11 = 5 THEN 'artifact-sha256' WHEN n % 11 = 6 THEN 'identity' WHEN n % 11 = 8 AND n > 0 AND n % 4 <> 3 THEN 'predecessor_linkage'
+FAILS = """CASE WHEN n % 17 = 9 THEN 'manifest' WHEN n % 11 = 5 THEN 'artifact-sha256' WHEN n % 11 = 6 THEN 'identity' WHEN n % 11 = 8 AND n > 0 AND n % 4 <> 3 THEN 'predecessor_linkage'
   WHEN n % 11 = 7 AND n % 3 = 0 THEN 'record_not_canonical' WHEN n % 2 = 1 AND n % 13 = 4 THEN 'tsa_failed' END"""
 
 
 @query("v23_segment_bundles", f"""{G.CW}, b AS (SELECT c.ledger_id, c.segment_number AS n, c.sha, s.root FROM chn c JOIN sr s USING (ledger_id, segment_number)),
   f AS (SELECT *, {FAILS} AS failure, n = 0 OR n % 4 <> 3 AS linked FROM b)
-  SELECT ledger_id || '/' || n AS bundle, CASE n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS disclosure_class, sha AS artifact_sha256, failure,
+  SELECT ledger_id || '/' || n AS bundle, CASE WHEN n % 17 <> 9 THEN CASE n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END END AS disclosure_class,
+  CASE WHEN n % 17 <> 9 THEN sha END AS artifact_sha256, failure,
   CASE WHEN failure IS NULL THEN CASE n % 3 WHEN 0 THEN 'public_recompute' WHEN 1 THEN 'partial_verification' ELSE 'anchor_only' END END AS verification_scope,
   CASE WHEN failure IS NULL AND n % 3 = 0 THEN root END AS record_multiset_root,
   CASE WHEN failure IS NULL THEN 'bundle_disclosure_validation,verification_manifest_validation,segment_artifact_validation' ||
@@ -258,7 +259,8 @@ FAILS = """CASE WHEN n % 11 = 5 THEN 'artifact-sha256' WHEN n % 11 = 6 THEN 'ide
   CASE WHEN failure IS NULL THEN concat_ws(',', CASE WHEN NOT linked THEN 'segment_chain_validation:predecessor-not-disclosed' END,
    CASE n % 3 WHEN 1 THEN 'record_level_recompute:disclosure-class-b' WHEN 2 THEN 'record_level_recompute:disclosure-class-c' END,
    CASE WHEN n % 3 = 2 THEN 'batch_metadata_validation:out_of_scope' WHEN n % 3 = 1 AND n % 4 = 0 THEN 'batch_metadata_validation:not_disclosed' END) END AS skipped,
-  CASE WHEN n % 2 = 1 THEN CASE WHEN n % 13 = 4 THEN 'failed' ELSE 'verified' END END AS tsa_channel, 'pending' AS ots_channel FROM f""")
+  CASE WHEN n % 2 = 1 AND n % 17 <> 9 THEN CASE WHEN n % 13 = 4 THEN 'failed' ELSE 'verified' END END AS tsa_channel,
+  CASE WHEN n % 17 <> 9 THEN 'pending' END AS ots_channel FROM f""")
 def v23(spark, sf):
     files, segs = bundle_files(spark, sf)
     wrong = segs.filter(f"{N} % 13 = 4").select(F.concat("ledger_id", F.lit("/"), N).alias("bundle"), F.lit("imprint").alias("tsa_error"))

@@ -32,12 +32,19 @@ def t01(spark, sf):
 FIRST = "fst AS (SELECT ledger_id, key, arg_min(digest, seq) AS d, min(seq) AS o FROM req GROUP BY ALL)"
 
 
-@query("t03_idempotency_stream", f"{G.Q.WITH}, {G.IDEM[:G.IDEM.index('fst AS')]} {FIRST} {G.IDEMQ}")
+@query("t03_idempotency_stream", f"{G.Q.WITH}, {G.IDEM[:G.IDEM.index("fst AS")]} {FIRST} {G.IDEMQ}")
 def t03(spark, sf):
     out = ST.admit_idempotent_stream(G.requests(event_stream(spark, sf)))
     return J.run_available(out, *paths(spark)).select("seq", "outcome")
 
 
+@query("t03_admission_stream", f"""WITH RECURSIVE {T.EV}, {T.REC}, {G.ASK.replace("c_custkey * 3 AS key", "'none' AS key").replace("FROM customer)", "FROM customer WHERE false)")},
+  {G.STEP.replace('FROM rec)', 'FROM rec SEMI JOIN acc USING (ledger_id, event_id))')}, {G.ADMITTED} {G.ANSWER}""")
+def t03b(spark, sf):
+    out = ST.admit_requests_stream(G.asked(event_stream(spark, sf)), G.POL, G.ORIGIN)
+    return G.with_text(J.run_available(out, *paths(spark))).select("seq", "outcome", "segment_number", "sealed", "revision")
+
+
 @query("t06_producer_stream", f"WITH RECURSIVE {T.EV}, {T.REC}, {G.STEP} SELECT event_id, seg AS segment_number, ledger_id FROM st WHERE i > 0")
 def t06(spark, sf):
     rec = T.records(event_stream(spark, sf)).select(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sealstream.operators.plan import staged
+
 ENTRY = ("struct<salt8:string,ck_up:string,highest_fc_seen:bigint,last_seen:string,"
          "msg_type:int,flags:int>")
 REJECTION = ("device_id string, fc bigint, reason string, observed_at_utc string, "
@@ -59,9 +61,21 @@ def parse_rejections(lines: DataFrame, col: str = "value", *keep: str) -> DataFr
     return full.select(*keep, F.from_json(F.col(col), REJECTION).alias("r")).select(*keep, "r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files with file and 1-based line number, blank ones too; a large file is read by many tasks.
+
+    Lines are numbered inside the split of the file that a task reads; the lines of the splits before it are added.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = staged(spark.read.option("lineSep", "\n").text(path).select("value", place.alias("p"), F.monotonically_increasing_id().alias("id")))
+    raw = raw.select("value", "p.file", "p.start", "id")
+    splits = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return raw.join(splits, ["file", "start"]).select(
+        "file", (F.col("_before") + F.col("id") - F.col("_first") + 1).alias("line_number"), F.col("value").alias("line"))
+
+
 def read_rejection_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Records with file and 1-based line number. Lines are numbered inside their own file,
-    one day's audit of one site, read whole per file."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return parse_rejections(files.withColumn("line_number", F.col("i") + 1), "line", "file", "line_number")
+    """Records with file and 1-based line number. Blank lines count but give no record."""
+    return parse_rejections(numbered_lines(spark, path), "line", "file", "line_number")

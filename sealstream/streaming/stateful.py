@@ -10,10 +10,13 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators.producer import EVENT_COLUMNS, OUTCOME, Policy, Tiling, segment_outcomes
 
@@ -107,36 +110,119 @@ def admit_idempotent_stream(requests: DataFrame, ttl_ms: int | None = None) -> D
         "None" if ttl_ms is None else "ProcessingTime")
 
 
+def _saved(tiling: Tiling) -> str:
+    return json.dumps(asdict(tiling))
+
+
+def _restored(text: str) -> Tiling:
+    raw = json.loads(text)
+    return Tiling(**raw | {k: Policy(**raw[k]) if raw[k] else None for k in ("policy", "then")})
+
+
+class AdmissionProcessor(StatefulProcessor):
+    """One ledger: its open interval and revision as one value, and the outcomes of its keys as a map beside it."""
+
+    def __init__(self, policy: Policy, origin_ms: int, ttl_ms: int | None):
+        self.policy, self.origin, self.ttl_ms = policy, origin_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("open", "ledger string, revision bigint")
+        self.outcomes = handle.getMapState("outcomes", "key string", "digest string, segment_number bigint, sealed string, revision bigint",
+                                           self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        text, revision = self.state.get() if self.state.exists() else (None, 0)
+        tiling = _restored(text) if text else Tiling(self.policy, self.origin)
+        out = []
+        columns = ["ledger_id", "seq", "key", "digest", "t_ms", "size", "key_ok", "record_error"]
+        for ledger, seq, name, digest, t, size, key_ok, wrong in _ordered(rows, "seq")[columns].itertuples(index=False):
+            outcome, number, sealed, own = "new", None, None, None
+            known = self.outcomes.getValue((name,)) if key_ok and self.outcomes.containsKey((name,)) else None
+            if not key_ok:
+                outcome = "invalid_key"
+            elif known is not None:  # looked up before the record is validated
+                outcome = "replay" if known[0] == digest else "conflict"
+                if outcome == "replay":
+                    number, sealed, own = int(known[1]), json.loads(known[2]), int(known[3])
+            elif wrong is not None and not pd.isna(wrong):
+                outcome = "invalid_record"
+            else:
+                numbers, _, _, closures = tiling.place(np.array([t], np.int64), np.array([size], np.int64))
+                if numbers[0] < 0:
+                    outcome = "clock_discontinuity"
+                else:
+                    revision += 1
+                    number, own = int(numbers[0]), revision
+                    sealed = [int(first) + k for _, first, count, *_ in closures for k in range(count)]
+                    self.outcomes.updateValue((name,), (digest, number, json.dumps(sealed), own))
+            out.append((ledger, name, seq, outcome, number, sealed, own))
+        self.state.update((_saved(tiling), revision))
+        done = pd.DataFrame(out, columns=["ledger_id", "key", "seq", "outcome", "segment_number", "sealed", "revision"])
+        yield done.astype({"segment_number": "Int64", "revision": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def admit_requests_stream(requests: DataFrame, policy: Policy, origin_ms: int = 0, ttl_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``outcomes.admit_requests`` without earlier outcomes: same rules and columns. Outcomes stay in the state for ``ttl_ms``."""
+    use_state_store(requests.sparkSession)
+    rows = requests.select("ledger_id", "seq", "key", "digest", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("size").cast("bigint").alias("size"),
+                           F.coalesce(C.idempotency_key_ok("key"), F.lit(False)).alias("key_ok"), "record_error")
+    schema = ("ledger_id string, key string, seq bigint, outcome string, segment_number bigint, sealed array<bigint>, revision bigint")
+    return rows.groupBy("ledger_id").transformWithStateInPandas(
+        AdmissionProcessor(policy, origin_ms, ttl_ms), schema, "Append", "None" if ttl_ms is None else "ProcessingTime")
+
+
 class ProducerProcessor(StatefulProcessor):
-    """Open interval of one ledger, kept as one JSON value."""
+    """Open interval of one ledger, kept as one JSON value. With ``idle_close`` a timer stands at the end of the interval."""
 
-    def __init__(self, policy: Policy, origin_ms: int | None, continuity: str | None):
-        self.policy, self.origin, self.continuity = policy, origin_ms, continuity
+    def __init__(self, policy: Policy, origin_ms: int | None, continuity: str | None, idle_close: bool = False):
+        self.policy, self.origin, self.continuity, self.idle_close = policy, origin_ms, continuity, idle_close
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("open", "ledger string")
 
     def _load(self, first_ms: int) -> Tiling:
         if not self.state.exists():
             return Tiling(self.policy, first_ms if self.origin is None else self.origin, continuity=self.continuity)
-        raw = json.loads(self.state.get()[0])
-        return Tiling(**raw | {k: Policy(**raw[k]) if raw[k] else None for k in ("policy", "then")})
+        return _restored(self.state.get()[0])
+
+    def _keep(self, tiling: Tiling) -> None:
+        self.state.update((_saved(tiling),))
+        if self.idle_close and (tiling.records or tiling.policy.empty_mode == "emit"):
+            self.handle.registerTimer(tiling.begins(tiling.reached + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, "seq")
         tiling = self._load(int(pdf["t_ms"].iloc[0]))
         out = segment_outcomes(tiling, pdf)
-        self.state.update((json.dumps(asdict(tiling)),))
+        self._keep(tiling)
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Closes the interval that has ended, unless an event has closed it before."""
+        now, tiling = expiredTimerInfo.getExpiryTimeInMs(), _restored(self.state.get()[0])
+        closed = tiling.elapse(now) if now >= tiling.begins(tiling.reached + 1) else []
+        if closed:
+            self._keep(tiling)
+            names = ("first", "segments", "reason", "records", "opened_at")
+            yield pd.DataFrame({"ledger_id": [key[0]], "seq": pd.array([pd.NA], dtype="Int64"), "outcome": ["timer"],
+                                "segment_number": pd.array([pd.NA], dtype="Int64"), "sealed": [[dict(zip(names, c)) for c in closed]]})
+
     def close(self) -> None:
         pass
 
 
 def produce_segments_stream(events: DataFrame, policy: Policy, origin_ms: int | None = 0,
-                            continuity: str | None = None) -> DataFrame:
+                            continuity: str | None = None, idle_close: bool = False) -> DataFrame:
     """Streaming form of produce_segments. Intervals close when the next event of the ledger
-    arrives, like the admitting call does; a ``close`` control ends an idle ledger."""
+    arrives, like the admitting call does; a ``close`` control ends an idle ledger.
+
+    With ``idle_close`` the clock closes the interval of an idle ledger too: a row without ``seq`` and with the outcome ``timer`` has the
+    segments sealed. That is for live streams, whose times are those of the clock; old events read again would find their intervals closed.
+    """
     use_state_store(events.sparkSession)
     return events.select(*EVENT_COLUMNS).groupBy("ledger_id").transformWithStateInPandas(
-        ProducerProcessor(policy, origin_ms, continuity), OUTCOME, "Append", "None")
+        ProducerProcessor(policy, origin_ms, continuity, idle_close), OUTCOME, "Append", "ProcessingTime" if idle_close else "None")

@@ -105,6 +105,59 @@ def test_published_cipher_vector():
     assert K.unseal([key] * 2, [nonce] * 2, [aad, b"\x00" * 4], [ct] * 2, [tag] * 2) == [plain, None]
 
 
+def test_records_read_together_equal_records_read_alone(spark):
+    import random
+    rnd = random.Random(4)
+
+    def head(major, n):
+        k = next(k for k in (0, 1, 2, 3) if n < 1 << (8 << k))
+        return bytes([major << 5 | n]) if n < 24 else bytes([major << 5 | 24 + k]) + n.to_bytes(1 << k, "big")
+    payloads = [b"\xf6", b"\xf5", b"\xf7", b"\xf4", head(0, 300), head(1, 5), head(3, 3) + b"abc", head(3, 2) + "é".encode(), head(3, 1) + b"\xff",
+                head(2, 30) + bytes(30), b"\xa0", b"\x80", b"\xa1\x61a\x01", b"\xa2\x61b\x01\x61a\x01", b"\x18\x01", b"\xf9\x3c\x00", b"\xc0\x01", b"\x9f\xff"]
+    rows = []
+    for _ in range(3000):
+        number = lambda: head(0, rnd.choice([0, 23, 24, 255, 256, 65535, 65536, 2**32 - 1, 2**32, 2**63 - 1, 2**63, 2**64 - 1]))
+        raw = b"\x87\x01\x48" + rnd.randbytes(8) + number() + number() + rnd.choice([b"\xf6", number()]) + number() + rnd.choice(payloads)
+        if rnd.random() < 0.4:
+            k = rnd.randrange(len(raw) + 1)
+            raw = rnd.choice([raw[:k], raw + b"\0", raw[:k] + rnd.randbytes(1) + raw[k + 1:], raw[:k] + b"\x18" + raw[k:]])
+        rows.append(raw)
+    rows += [b"", b"\x87", None]
+
+    def alone(raw):
+        try:
+            return (None, *K.read_record(raw)[1:])
+        except K.CborError as exc:
+            return (str(exc), None, None, None, None, None)
+    df = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(rows)], "k int, record binary").repartition(3)
+    got = {r.k: tuple(r.m) for r in df.select("k", K.record_meta("record").alias("m")).collect()}
+    want = {k: ("truncated", None, None, None, None, None) if r is None else alone(r) for k, r in enumerate(rows)}
+    assert got == want
+    assert sum(w[0] is None for w in want.values()) > 500 and len({w[0] for w in want.values()}) > 8
+
+
+def test_poly1305_of_a_batch_equals_whole_numbers():
+    import os
+
+    import numpy as np
+
+    def whole(key, msg):
+        r = int.from_bytes(key[:16], "little") & 0x0FFFFFFC0FFFFFFC0FFFFFFC0FFFFFFF
+        acc = 0
+        for i in range(0, len(msg), 16):
+            acc = (acc + int.from_bytes(msg[i:i + 16] + b"\x01", "little")) * r % ((1 << 130) - 5)
+        return ((acc + int.from_bytes(key[16:], "little")) & ((1 << 128) - 1)).to_bytes(16, "little")
+    sizes = [0, 1, 15, 16, 17, 31, 32, 64, 100, 255] * 20
+    keys, msgs = [os.urandom(32) for _ in sizes], [os.urandom(n) for n in sizes]
+    for key in (b"\xff" * 32, b"\x01" + bytes(15) + b"\xff" * 16, b"\x02" + bytes(31)):  # sums at and beyond the modulus
+        for msg in (b"\xff" * 48, b"\xfb" + b"\xff" * 15, b"\xfb" + b"\xff" * 31, b"\xfa" + b"\xff" * 15, bytes(16)):
+            keys.append(key)
+            msgs.append(msg)
+    got = K.poly1305(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 32), msgs)
+    assert [g.tobytes() for g in got] == [whole(k, m) for k, m in zip(keys, msgs)]
+    assert K.poly1305(np.empty((0, 32), np.uint8), []).shape == (0, 16)
+
+
 @pytest.mark.parametrize("size", [1, 15, 16, 63, 64, 65, 128, 255, 256])
 def test_cipher_round_trip(size):
     keys = [hashlib.sha256(bytes([i])).digest() for i in range(5)]

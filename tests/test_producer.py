@@ -170,3 +170,49 @@ def test_records_before_the_origin(spark):
     assert [r.event for r in S.clock_discontinuities(df, 100).selectExpr("seq AS event").collect()] == [0]
     emitted = S.number_segments_emit(df, 100).orderBy("segment_number").collect()
     assert [(r.segment_number, r.records) for r in emitted] == [(0, 1), (1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("jump", [1, 30])
+def test_restart_map_equals_the_fold(jump):
+    """Every restart before the chunk leads where reading on from it leads."""
+    import random
+
+    import numpy as np
+    rnd = random.Random(jump)
+    for policy in (S.Policy(100, 3), S.Policy(1000, None, 48), S.Policy(250, 5, 64, "emit"), S.Policy(10**9, 4, 64), S.Policy(50, 40)):
+        t = np.cumsum([rnd.choice([0, 0, 1, 3, 10, 99, 100, -1, -60]) * jump for _ in range(400)]).astype(np.int64) + 500
+        size = np.array([rnd.choice([1, 8, 16, 40]) for _ in t], np.int64)
+        before = 60
+        found = S.restart_map(policy, t, size, before)
+        for j in range(before):
+            reason = S.Tiling(policy, int(t[j])).place(t[j + 1:], size[j + 1:])[2]
+            restarts = [j + 1 + int(k) for k in np.flatnonzero(reason != None)]  # noqa: E711
+            if any(k < before for k in restarts):
+                continue  # not the last one before the chunk
+            assert found[j] == (restarts[-1] if restarts else j)
+
+
+@pytest.mark.parametrize("policy", [p for p in POLICIES if p.record_limit or p.size_limit_bytes][1:4])
+def test_long_ledgers_in_chunks_equal_record_by_record(spark, policy):
+    import random
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for ledger, n in (("long", 1500), ("short", 90), ("sparse", 700)):
+        events, t = [], -300
+        for _ in range(n):
+            t += rnd.choice([0, 0, 1, 3, 10, 99, 100, 101, 350, -1, -60, -400]) if ledger != "sparse" else 5000
+            events.append((t, rnd.choice([1, 8, 16, 40]) if ledger != "sparse" else 1))
+        for k, (got, (t, size)) in enumerate(zip(by_event(events, policy, 0)[0], events)):
+            rows.append((ledger, 7 * k + 3, t, size))
+            want[ledger, 7 * k + 3] = (None, None, None) if got is None else got
+    df = spark.createDataFrame(rows, "ledger_id string, seq long, t_ms long, size long")
+    got = S.assign_segments(df.repartition(4), policy, 0, span=200, back=50).collect()
+    assert {(r.ledger_id, r.seq): (r.segment_number, r.opened_at, r.limit_reason) for r in got} == want
+    assert all((r.outcome == "ok") == (r.segment_number is not None) for r in got)
+
+
+def test_a_long_ledger_is_many_tasks(spark):
+    df = spark.range(4000).selectExpr("'L' ledger_id", "id seq", "id * 10 t_ms", "16L size")
+    chunked, rest = S._assign_in_chunks(df, S.Policy(10**6, 7), 0, 200, 50)
+    assert rest.count() == 0 and chunked.count() == 4000
+    assert [r.n for r in chunked.groupBy("segment_number").agg({"seq": "count"}).toDF("s", "n").filter("s < 571").select("n").distinct().collect()] == [7]

@@ -79,3 +79,103 @@ def test_device_and_audit_files(spark, tmp_path):
     assert [(r.line_number, r.reason) for r in got] == [(1, "duplicate"), (4, None)]
     (tmp_path / "f.ndjson").write_text('{"a":1}\n{"b":2}\n')
     assert [r.raw for r in ST.read_frames(spark, str(tmp_path / "f.ndjson")).orderBy("arrival_seq").collect()] == ['{"a":1}', '{"b":2}']
+
+
+def test_large_audit_files_are_read_by_many_tasks(spark, tmp_path):
+    lines = [json.dumps({"device_id": str(k), "fc": k, "reason": "duplicate", "observed_at_utc": "t", "frame_sha256": "0" * 64,
+                         "source": "replay"}) if k % 7 else "" for k in range(4000)]
+    lines[1234] = "{damaged"
+    (tmp_path / "a.ndjson").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.ndjson").write_text(lines[1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = ST.numbered_lines(spark, str(tmp_path)).collect()
+        got = ST.read_rejection_audit(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path / "a.ndjson")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.line_number: r.line for r in rows if r.file.endswith("a.ndjson")} == {k + 1: t for k, t in enumerate(lines)}
+    assert [r.line_number for r in got if r.reason is None] == [1235]
+    assert {(r.line_number, r.fc) for r in got if r.file.endswith("a.ndjson") and r.fc} == {
+        (k + 1, k) for k in range(4000) if k % 7 and k != 1234}
+    assert [(r.line_number, r.fc) for r in got if r.file.endswith("b.ndjson")] == [(1, 1)]
+
+
+def one_by_one(requests, stored, policy):
+    """Admission told request by request: outcome, segment number, sealed numbers and revision of each."""
+    out, ledgers = {}, {}
+    known = {(s[0], s[1]): s[2:] for s in stored}
+    for ledger, seq, key, digest, t, size, wrong in sorted(requests, key=lambda r: r[1]):
+        if ledger not in ledgers:
+            own = [s for (lid, _), s in known.items() if lid == ledger]
+            first = max((max([s[1], *s[2]]) for s in own), default=-1) + 1
+            ledgers[ledger] = [S.Tiling(policy, 0, number=first), max((s[3] for s in own), default=0)]
+        state = ledgers[ledger]
+        if not key or len(key) > 255 or "\t" in key:
+            got = ("invalid_key", None, None, None)
+        elif (ledger, key) in known:
+            d, *rest = known[ledger, key]
+            got = ("replay", *rest) if d == digest else ("conflict", None, None, None)
+        elif wrong:
+            got = ("invalid_record", None, None, None)
+        else:
+            import numpy as np
+            number, _, _, closed = state[0].place(np.array([t]), np.array([size]))
+            if number[0] < 0:
+                got = ("clock_discontinuity", None, None, None)
+            else:
+                state[1] += 1
+                got = ("new", int(number[0]), [int(f) + k for _, f, n, *_ in closed for k in range(n)], state[1])
+                known[ledger, key] = (digest, *got[1:])
+        out[ledger, seq] = got
+    return out
+
+
+@pytest.mark.parametrize("policy", [S.Policy(100, 3), S.Policy(250, 5, 64, "emit")])
+def test_admission_with_stored_outcomes(spark, tmp_path, policy):
+    """Clocks that run back, refused records whose key stays free, replays and conflicts; one batch, and a stream of several."""
+    import random
+
+    from sealstream.operators.outcomes import admit_requests
+    rnd = random.Random(3)
+    rows, t = [], 0
+    for seq in range(300):
+        t += rnd.choice([0, 1, 20, 99, 130]) if seq % 40 else -260
+        rows.append((rnd.choice("ab"), seq, rnd.choice(["", "bad\tkey", *[f"k{n}" for n in range(60)]]), rnd.choice(["d", "d", "e"]), t,
+                     rnd.choice([8, 16, 40]), rnd.choice([None, None, None, "not canonical"])))
+    stored = [("a", "k1", "d", 4, [3, 4], 9), ("a", "k2", "e", 6, [], 11), ("c", "k1", "d", 0, [0], 1)]
+    schema = "ledger_id string, seq long, key string, digest string, t_ms long, size long, record_error string"
+    df = spark.createDataFrame(rows, schema)
+    old = spark.createDataFrame(stored, "ledger_id string, key string, digest string, segment_number long, sealed array<long>, revision long")
+    see = lambda out: {(r.ledger_id, r.seq): (r.outcome, r.segment_number, r.sealed, r.revision) for r in out.collect()}
+    assert see(admit_requests(df, old, policy)) == one_by_one(rows, stored, policy)
+    for part in range(3):
+        df.filter(f"seq div 100 = {part}").coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = J.run_available(X.admit_requests_stream(frames, policy), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert see(got) == one_by_one(rows, [], policy)
+
+
+def test_an_idle_ledger_seals_by_the_clock(spark, tmp_path):
+    rows = [("idle", 0, 10, 8), ("idle", 1, 60, 8), ("busy", 0, 20, 8), ("busy", 1, 120, 8)]
+    schema = "ledger_id string, seq long, t_ms long, size long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    policy = S.Policy(100)
+    frames = S.as_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    live = X.produce_segments_stream(frames, policy, 0, idle_close=True)  # a live stream: it does not end by itself
+    running = live.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(60):
+            running.awaitTermination(1)
+            if (tmp_path / "o/_spark_metadata").exists() and spark.read.schema(live.schema).parquet(str(tmp_path / "o")).filter(
+                    "outcome = 'timer'").count() == 2:
+                break
+    finally:
+        running.stop()
+    out = spark.read.schema(live.schema).parquet(str(tmp_path / "o"))
+    got = {(r.ledger_id, r.segment_number, r.close_reason, r.records, r.opened_at) for r in S.sealed_segments(out).collect()}
+    later = [(ledger, 9, 10**6, 8) for ledger in ("idle", "busy")]  # in a batch a later event closes what is open
+    late = S.produce_segments(S.as_events(spark.createDataFrame(rows + later, schema)), policy, 0)
+    want = {(r.ledger_id, r.segment_number, r.close_reason, r.records, r.opened_at) for r in S.sealed_segments(late).collect()}
+    assert got == want == {("idle", 0, "interval", 2, 0), ("busy", 0, "interval", 1, 0), ("busy", 1, "interval", 1, 100)}
+    assert [r.outcome for r in out.filter("seq IS NULL").collect()] == ["timer", "timer"]
