@@ -126,7 +126,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, id_col
     ``keep`` largest stay, which is a sample without replacement by importance weight. By default
     ``keep`` is the estimated number of good documents: those with a log weight above the value
     that best parts good from bad ones among labels the target model has not seen, a quarter of
-    the good and all bad ones. At most about ``most_labels`` labels are used. Ties at the last place all stay.
+    the good and all bad ones; an id on several rows counts once, with its least weight. At most about ``most_labels`` labels are used. Ties at the last place all stay.
 
     NULL or empty text has log weight 0. NULL ids are scored and never labelled. Rows that repeat are scored
     alike. Without labels, or without bad ones, every document stays. Other columns pass
@@ -137,8 +137,10 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, id_col
     ratios = fit(docs, known.filter(~unseen), id_col, text_col)
     rows = staged(weigh(docs.drop("kept"), ratios, id_col, text_col, seed))
     if keep is None:
-        judged = rows.select(id_col, "log_weight").join(F.broadcast(known.filter(unseen)), id_col)
-        cut = cut_between([(r.log_weight, int(r.quality > 0)) for r in judged.select("log_weight", "quality").limit(4 * most_labels).collect()])
+        # One log weight per labelled id, however many rows it has: the labels bound what is collected.
+        judged = rows.select(id_col, "log_weight").join(F.broadcast(known.filter(unseen)), id_col).groupBy(id_col).agg(
+            F.min("log_weight").alias("log_weight"), F.min("quality").alias("quality"))
+        cut = cut_between([(r.log_weight, int(r.quality > 0)) for r in judged.select("log_weight", "quality").collect()])
         keep = rows.filter(F.col("log_weight") >= cut).count()
     last = kth_largest(rows, "key", keep)
     return rows.withColumn("kept", F.col("key") >= F.lit(last) if last is not None else F.lit(False))

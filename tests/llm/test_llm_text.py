@@ -103,6 +103,44 @@ def test_quality_ratio_is_that_of_the_counts(spark):
     assert np.isclose(ratios[bucket("cc")], np.log(1 / (target + 10_007)) - np.log((1 + 1) / (raw + 10_007)))
 
 
+def test_quality_equals_brute_force(spark):
+    """Weights, noise, cut and sample against plain Python over the units' hashes; labelled ids on many rows count once."""
+    import re
+
+    rows, labels = quality_rows()
+    rows = [(i, t) for i, t in rows[:120]] + [rows[3]] * 30 + [(900, None), (901, "!!"), (902, "one one one")]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    units = sorted({u for _, t in rows for u in re.findall(r"[^\W]+|[^\s\w]+", (t or "").lower())})
+    spread = spark.createDataFrame([(u,) for u in units], "u string").select("u", F.hash("u").alias("h")).collect()
+    code = {r["u"]: r["h"] for r in spread}
+
+    def grams(text):
+        found = [code[u] for u in re.findall(r"[^\W]+|[^\s\w]+", (text or "").lower())]
+        pairs = [int(quality.REPEATED) if a == b else (((a * 0x2545F491 + b * 0x9E3779B1) + 2**63) % 2**64 - 2**63) >> 7
+                 for a, b in zip(found, found[1:])]
+        return [g % 10_007 for g in found + pairs]
+    known = {r["doc_id"]: r["quality"] for r in quality.labelled(table, 50_000).collect()}
+    place = {r["doc_id"]: r["p"] for r in spark.createDataFrame([(i,) for i in known], "doc_id bigint").select(
+        "doc_id", F.pmod(F.xxhash64(F.lit("unseen"), "doc_id"), F.lit(4)).alias("p")).collect()}
+    unseen = {i for i, q in known.items() if q <= 0 or place[i] == 0}
+    raw, target = np.ones(10_007), np.ones(10_007)
+    for i, text in rows:
+        for g in grams(text):
+            raw[g] += 1
+            target[g] += i in known and i not in unseen
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = {i: sum(ratio[g] for g in grams(t)) * 100 / (len(grams(t)) + 10) for i, t in rows}
+    got = quality.resample(documents(spark, rows), table).select("doc_id", "n_grams", "log_weight", "key", "kept").collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        assert r["n_grams"] == len(grams(texts[r["doc_id"]])) and np.isclose(r["log_weight"], want[r["doc_id"]])
+    cut = quality.cut_between([(want[i], int(known[i] > 0)) for i in unseen if i in want])
+    keep = sum(want[i] >= cut - 1e-9 for i, _ in rows)
+    last = sorted((r["key"] for r in got), reverse=True)[keep - 1]
+    assert all(r["kept"] == (r["key"] >= last) for r in got)
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.gauss(0, 5) for _ in range(3000)] + [1.0] * 500 + [float("1e300"), 5e-324, 0.0]
@@ -170,6 +208,14 @@ def test_language_learns_beyond_a_common_header(spark):
     assert len(some) <= 3 * 2049 and len(set(some.split()) - set(book[:3 * 2048].split())) > 100
 
 
+def test_equal_code_lengths_go_to_the_first_language():
+    same = " ".join(words(3, 300)).encode()
+    model = langid.Classifier({"zz": same, "aa": same, "mm": " ".join(words(4, 300)).encode()})
+    assert model.judge(" ".join(words(3, 40))) == ("aa", 0.0)
+    lang, score = langid.Classifier({"aa": same, "mm": " ".join(words(4, 300)).encode()}).judge(" ".join(words(4, 60)))
+    assert lang == "mm" and 0 < score < 1
+
+
 def test_lookup_and_spread_join(spark):
     rows = spark.createDataFrame([(k % 7 if k > 400 else 1, k) for k in range(600)] + [(None, -1)], "k int, v int")
     dim = rows.filter("k IS NOT NULL AND k <> 3").groupBy("k").agg(F.count("*").alias("n"))
