@@ -188,6 +188,24 @@ def digest_parts(parts: DataFrame, keys: list[str], part: str = "part") -> DataF
     return ordered.mapInPandas(fold, schema)
 
 
+def batch_objects(frames: DataFrame, group: list[str], limit: int, version: int = 2) -> DataFrame:
+    """Batches with what they commit to: group, batch_number, count, merkle_root and the frames in the order of their leaves.
+
+    ``frames`` has the group and frame (bytes). A batch holds at most ``limit`` frames, so it fits a row; equal frames travel as
+    one row with a count.
+    """
+    hashed = M.leaf_hash_v2 if version == 2 else M.leaf_hash_v1
+    leaves = staged(frames.select(*group, "frame", hashed("frame").alias("leaf")).groupBy(*group, "leaf", "frame").agg(
+        F.count(F.lit(1)).alias("copies")))
+    runs = M.located_runs(leaves.select(*group, "leaf", "copies"), group)
+    cut = M.cut_runs(runs, limit).join(leaves.select(*group, "leaf", "frame"), [*group, "leaf"])
+    held = cut.groupBy(*group, F.col("part").alias("batch_number")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "n", "frame"))).alias("_p"))
+    held = held.select(*group, "batch_number", F.expr("flatten(transform(_p, x -> array_repeat(x.frame, cast(x.n as int))))").alias("frames"))
+    lists = M.batch_lists(runs, group, limit, version).drop("leaf_hashes")
+    return lists.join(held, [*group, "batch_number"])
+
+
 SEG = ["ledger_id", "segment_number"]
 
 

@@ -68,7 +68,11 @@ def sort_leaves(leaves: DataFrame, group: list[str], leaf: str = "leaf") -> Data
 
     Leaves are counted and written once; the largest group tells whether all fit one block each, which needs no split.
     """
-    runs = staged(leaf_runs(leaves, group, leaf))
+    return located_runs(staged(leaf_runs(leaves, group, leaf)), group)
+
+
+def located_runs(runs: DataFrame, group: list[str]) -> DataFrame:
+    """``sort_leaves`` for leaves that are counted already (group, leaf, copies); ``runs`` is read twice."""
     largest = runs.groupBy(*group).agg(F.sum("copies").alias("n")).agg(F.max("n")).first()[0] or 0
     return _located_small(runs, group) if largest <= _SIZE else staged(located(runs, group))
 

@@ -37,6 +37,15 @@ def shared_folder(spark) -> str:
 _staged: dict[str, list[str]] = {}
 
 
+def own_folder(spark, name: str) -> str:
+    """Path of a new folder in the shared folder, for a result that is written and read again. It goes as staged tables do."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(release_staged)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write once, read many: a Parquet table in the shared folder.
 
@@ -44,11 +53,7 @@ def staged(df: DataFrame) -> DataFrame:
     Later passes read only their columns, and a lost executor costs no recomputation. The table goes
     with ``release_staged``, at the latest when the driver's program ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(release_staged)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = own_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,5 @@
 """Registered queries: day bundles, proofs, artifact scans, sinks and export."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sealstream.functions import codecs as K
@@ -10,7 +8,7 @@ from sealstream.functions import proofs as P
 from sealstream.functions import values as V
 from sealstream.operators import bundles as B
 from sealstream.operators import merkle as M
-from sealstream.operators.plan import shared_folder, staged
+from sealstream.operators.plan import own_folder, staged
 from sealstream.plans import admission as Q
 from sealstream.plans import ledger as G
 from sealstream.plans import telemetry as T
@@ -187,8 +185,7 @@ def u04(spark, sf):
 
 # --- files written by Spark and scanned again ---
 
-def folder(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+folder = own_folder
 
 
 def written(spark, sf):

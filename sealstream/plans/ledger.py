@@ -1,7 +1,5 @@
 """Registered queries: blocks, days, batches, segments, closure and idempotency."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
@@ -10,7 +8,7 @@ from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
 from sealstream.operators import outcomes as N
 from sealstream.operators import producer as S
-from sealstream.operators.plan import shared_folder, staged
+from sealstream.operators.plan import own_folder, staged
 from sealstream.plans import commitment as Q
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
@@ -57,6 +55,18 @@ def u06(spark, sf):
     return M.merkle_root_v2(one, ["batch"]).select("leaf_count", C.hex_lower("root").alias("root"))
 
 
+# Frames of an order, three to a batch, in the order of their leaves.
+@query("u06_batch_objects", f"""WITH RECURSIVE fr AS (SELECT l_orderkey, l_partkey || '|' || l_suppkey || '|' || l_linenumber AS frame FROM lineitem),
+  pl AS (SELECT *, sha256('\\x00'::BLOB || encode(frame)) AS leaf FROM fr), ps AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY leaf, frame) - 1) // 3 AS batch_number FROM pl),
+  {T.duck_roots('r', 'ps', 'l_orderkey, batch_number', 2)} SELECT l_orderkey, batch_number, leaf_count AS count, root AS merkle_root, frames
+  FROM r JOIN (SELECT l_orderkey, batch_number, string_agg(frame, ',' ORDER BY leaf, frame) AS frames FROM ps GROUP BY ALL) USING (l_orderkey, batch_number)""")
+def u06b(spark, sf):
+    frames = T.table(spark, sf, "lineitem").select("l_orderkey", C.text_bytes(F.concat_ws(
+        "|", "l_partkey", "l_suppkey", "l_linenumber")).alias("frame"))
+    objects = L.batch_objects(frames, ["l_orderkey"], 3)
+    return objects.withColumn("frames", F.array_join(F.transform("frames", lambda f: F.decode(f, "UTF-8")), ","))
+
+
 BLK = f"""{Q.LEAF1}, {T.duck_roots('r', 'l1', 'site_id, day', 1)},
  blk AS (SELECT CAST(1 AS BIGINT) AS version, site_id, day, site_id || '-' || day || '-00' AS batch_id, root AS merkle_root, leaf_count AS count FROM r)"""
 
@@ -105,7 +115,7 @@ DAY_FILES = f"""lv AS (SELECT site_id, day, string_agg('7840' || hex(encode(leaf
 @query("s09_day_artifacts", f"""{Q.RWITH}, {BLK}, {DAYS}, {DAY_FILES} SELECT path, sha256(unhex(h)) AS sha256, length(h) // 2 AS size FROM file""")
 def s09(spark, sf):
     """Files of every day, written and read back."""
-    root = f"{shared_folder(spark).rstrip('/')}/days-{uuid.uuid4().hex}"
+    root = own_folder(spark, "days")
     write_day_artifacts(Q.leaves(spark, sf, 1), root)
     back = scan_files(spark, root)
     return back.select(F.concat("bundle", F.lit("/"), "path").alias("path"), "sha256", F.octet_length("content").cast("bigint").alias("size"))

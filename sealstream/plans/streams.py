@@ -1,12 +1,10 @@
 """Registered queries: the stream operators over the events table, run to completion."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sealstream.operators import merkle as M
 from sealstream.operators import producer as S
-from sealstream.operators.plan import shared_folder
+from sealstream.operators.plan import own_folder
 from sealstream.plans import admission as Q
 from sealstream.plans import ledger as G
 from sealstream.plans import telemetry as T
@@ -16,7 +14,7 @@ from sealstream.streaming import stateful as ST
 
 
 def paths(spark):
-    root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = own_folder(spark, "stream")
     return f"{root}/out", f"{root}/checkpoint"
 
 
