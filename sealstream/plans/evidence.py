@@ -1,13 +1,17 @@
 """Registered queries: files, references, sets, links, anchors and certificates."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
+from sealstream.functions.tokens import decode_tokens
 from sealstream.operators import evidence as E
 from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
 from sealstream.plans import ledger as G
+from sealstream.plans import responses as R
 from sealstream.plans import scalars as X
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
@@ -334,6 +338,31 @@ def v17(spark, sf):
     return E.check_tokens(t).select("o_orderkey", "error")
 
 
+# Encoded responses: good ones, one for each register check, and three that cannot be read.
+RESPONSES = [R.response(), R.response(accuracy={0x80: 1000}), R.response(status=2), R.response(policy="1.2.4"),
+             R.response(algorithm="1.3.14.3.2.26"), R.response(), R.response(signer=8), R.response(accuracy={0x02: 1, 0x80: 999, 0x81: 1}),
+             R.response()[:-1], R.response(certificates=(7, 7)), R.response(certificates=()), R.response() + b"\x00"]
+
+
+@query("v17_token_responses", """SELECT o_orderkey, CASE WHEN m >= 8 THEN 'malformed' WHEN m = 1 THEN 'accuracy' WHEN m = 2 THEN 'status' WHEN m = 3 THEN 'policy'
+  WHEN m IN (4, 5) THEN 'imprint' WHEN m = 6 THEN 'signer' END AS error, CASE WHEN m < 8 THEN CAST(1709251500 AS BIGINT) END AS gen_time,
+  CASE WHEN m < 8 THEN '12c' END AS serial_hex, CASE WHEN m < 8 THEN sha256(CASE WHEN m = 5 THEN 'x' ELSE '' END || o_orderkey) END AS imprint_sha256,
+  CAST(CASE m WHEN 1 THEN 1000 WHEN 7 THEN 999 END AS BIGINT) AS millis FROM (SELECT o_orderkey, o_orderkey % 12 AS m FROM orders)""")
+def v17b(spark, sf):
+    """From the bytes of a response to the first register check that fails."""
+    m, key = F.col("o_orderkey") % len(RESPONSES), F.col("o_orderkey").cast("string")
+    ends = [raw.split(R.HOLE) for raw in RESPONSES]
+    pick = lambda side: F.element_at(F.array(*[F.lit(e[side]) for e in ends]), (m + 1).cast("int"))
+    digest = F.unhex(F.sha2(F.concat(F.when(m == 5, "x").otherwise(""), key), 256))
+    pin = hashlib.sha256(R.certificate(7)).hexdigest()
+    t = T.table(spark, sf, "orders").select(
+        "o_orderkey", F.concat(pick(0), digest, pick(1)).alias("response"), F.sha2(key, 256).alias("artifact_sha256"),
+        F.lit("1.2.3").alias("expected_policy_oid"), F.lit(pin).alias("expected_signer_sha256"))
+    seen = E.check_tokens(decode_tokens(t))
+    return seen.select("o_orderkey", F.when(F.col("malformed").isNotNull(), "malformed").otherwise(F.col("error")).alias("error"),
+                       F.col("gen_time").cast("bigint").alias("gen_time"), "serial_hex", "imprint_sha256", F.col("millis").cast("bigint").alias("millis"))
+
+
 @query("v21_vector_sets", f"""SELECT l_orderkey AS set_id, CASE WHEN l_orderkey % 6 = 1 THEN 'leaf' WHEN l_orderkey % 6 = 2 THEN 'root' END AS error FROM lineitem GROUP BY 1""")
 def v21(spark, sf):
     from sealstream.operators.segments import check_vectors
