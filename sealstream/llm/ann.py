@@ -98,15 +98,19 @@ def _indexed(rows: DataFrame, hasher: CrossPolytope, groups: int) -> DataFrame:
     return out.select(*names, "code", (F.col("_t").cast("bigint") * groups + F.expr(f"code * {groups} div {hasher.buckets}")).alias("bucket"))
 
 
-def _probing(rows: DataFrame, hasher: CrossPolytope, groups: int, number: int) -> DataFrame:
-    """query_id and vector of ``rows`` for each group of buckets they look into, with the ``codes`` there and their ``ranks``."""
-    schema = f"query_id bigint, vector {rows.schema['vector'].dataType.simpleString()}, bucket bigint, codes array<bigint>, ranks array<int>"
+def _probing(rows: DataFrame, hasher: CrossPolytope, groups: int, number: int, tables: range) -> DataFrame:
+    """query_id, vector and least of ``rows`` for each group of buckets of some tables they look into, with the ``codes`` there and
+    their ``ranks``."""
+    schema = (f"query_id bigint, vector {rows.schema['vector'].dataType.simpleString()}, least double, bucket bigint, "
+              "codes array<bigint>, ranks array<int>")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, max(1, (1 << 18) // number)):
                 part = batch.slice(at, max(1, (1 << 18) // number))
                 for t, codes in enumerate(hasher.probes(_matrix(part["vector"]), number)):
+                    if t not in tables:
+                        continue
                     group = codes * groups // hasher.buckets
                     row, rank = np.divmod(np.arange(codes.size), codes.shape[1])
                     order = np.lexsort((rank, group.ravel(), row))
@@ -115,11 +119,11 @@ def _probing(rows: DataFrame, hasher: CrossPolytope, groups: int, number: int) -
                     ends = pa.array(np.append(begin, len(row)).astype(np.int32))
                     who = pa.array(row[begin])
                     yield pa.RecordBatch.from_arrays([
-                        part["query_id"].take(who), part["vector"].take(who), pa.array(t * groups + group[begin]),
+                        part["query_id"].take(who), part["vector"].take(who), part["least"].take(who), pa.array(t * groups + group[begin]),
                         pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(rank.astype(np.int32)))],
-                        ["query_id", "vector", "bucket", "codes", "ranks"])
+                        ["query_id", "vector", "least", "bucket", "codes", "ranks"])
 
-    return rows.select("query_id", "vector").mapInArrow(run, schema)
+    return rows.select("query_id", "vector", "least").mapInArrow(run, schema)
 
 
 def _best(k: int, row: np.ndarray, col: np.ndarray, score: np.ndarray, firsts: np.ndarray):
@@ -131,12 +135,14 @@ def _best(k: int, row: np.ndarray, col: np.ndarray, score: np.ndarray, firsts: n
 
 
 def _matched(k: int, pairs: int = 1 << 18):
-    """Best ``k`` vectors of a group of buckets for each query that looks into it, among those in its buckets alone."""
+    """Best ``k`` vectors of a group of buckets for each query that looks into it, among those in its buckets alone and of
+    the score ``least`` or more."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [np.empty(0, np.int64)], "at": [np.empty(0, np.int64)], "score": [np.empty(0)]}
         if left.num_rows and right.num_rows:
             q, x = _matrix(left["vector"]).astype(np.float64), _matrix(right["vector"]).astype(np.float64)
             firsts, ids, limit = right["first"].to_numpy(), left["query_id"].to_numpy(), right["limit"].to_numpy()
+            least = left["least"].to_numpy()
             by_code = np.argsort(right["code"].to_numpy(), kind="stable")
             held = right["code"].to_numpy()[by_code]
             lists = left["codes"].combine_chunks()
@@ -158,7 +164,8 @@ def _matched(k: int, pairs: int = 1 << 18):
                 score = np.empty(len(row))
                 for c in range(0, len(row), 1 << 16):
                     score[c:c + (1 << 16)] = (q[row[c:c + (1 << 16)]] * x[col[c:c + (1 << 16)]]).sum(axis=1)
-                row, col, score = _best(k, row, col, score, firsts)
+                able = score >= least[row]
+                row, col, score = _best(k, row[able], col[able], score[able], firsts)
                 for name, values in (("query_id", ids[row]), ("at", col), ("score", score)):
                     out[name].append(values)
                 a = b
@@ -211,9 +218,9 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _joined(data: DataFrame, asked: DataFrame, kernel, block: int) -> DataFrame:
     """Queries against the vectors of their buckets: ``data`` has bucket, first, ids and vector, ``asked`` bucket, query_id and vector. A
-    bucket's rows are dealt out in blocks of about ``block`` vectors and a quarter as many queries, however full it is."""
+    bucket's rows are dealt out in blocks of about ``block`` vectors and as many queries, however full it is."""
     sizes = data.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).join(
-        asked.groupBy("bucket").agg(F.ceil(F.count("*") / (block // 4)).cast("int").alias("lots")), "bucket")
+        asked.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("lots")), "bucket")
     sizes = staged(sizes)
     sizes = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
 
@@ -281,7 +288,8 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
     in each range; ``probes`` is the least. Few long vectors are near by length more than by angle; where half of all buckets would be needed, the
     range is scored whole. A query that finds fewer than ``k``, and fewer than there are candidates, is scored against all vectors.
 
-    Equal vectors are one entry with their ``k`` + 1 smallest ids, which are all that can be among the nearest. Neighbouring buckets of a
+    The first table is searched before the others, which then return only vectors that reach its k-th score. Equal vectors are one
+    entry with their ``k`` + 1 smallest ids, which are all that can be among the nearest. Neighbouring buckets of a
     table form groups of about ``block`` vectors, so the number of groups grows with the table, and a query's rows are bounded by its
     buckets, not by the table.
 
@@ -311,12 +319,23 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vecto
     for s, n in hashed.items():  # one entry per range of lengths
         limit = F.when(F.col("span") == s, F.lit(n)).otherwise(limit)
     inside = F.col("span").isin(whole) if whole else F.lit(False)
-    index = _indexed(data.filter(~inside).select("first", "ids", "vector", limit.cast("int").alias("limit")), hasher, groups)
-    found = _joined(staged(index), staged(_probing(asked, hasher, groups, max(hashed.values(), default=probes))), _matched(k + 1), block)
+    index = staged(_indexed(data.filter(~inside).select("first", "ids", "vector", limit.cast("int").alias("limit")), hasher, groups))
+    number, anything = max(hashed.values(), default=probes), F.lit(float("-inf")).alias("least")
+    probing = _probing(asked.select("*", anything), hasher, groups, number, range(1))
+    found = _joined(index.filter(F.col("bucket") < groups), staged(probing), _matched(k + 1), block)
     if whole:
         zero = F.lit(0).cast("bigint")
         found = found.unionByName(_joined(data.filter(inside).select("first", "ids", "vector", zero.alias("bucket")),
                                           asked.withColumn("bucket", zero), _rerank(k + 1), block))
+    found = staged(found)
+    # The first table gives a score that k others reach, so the other tables need not return less.
+    first = F.get("ids", F.lit(0)).alias("first")
+    ranked = found.groupBy("query_id", first).agg(F.max("score").alias("score")).withColumn(
+        "_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    bound = ranked.filter(F.col("_n") == k + 1).select("query_id", F.col("score").alias("least"))
+    later = asked.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    probing = _probing(later, hasher, groups, number, range(1, tables))
+    found = found.unionByName(_joined(index.filter(F.col("bucket") >= groups), staged(probing), _matched(k + 1), block))
     best = staged(_merged(found, k))
 
     most = min(k, good.count() - 1)
