@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
 from sealstream.functions import values as V
-from sealstream.operators.plan import previous_row, running_max_before, salted_join
+from sealstream.operators.plan import merged, previous_row, running_max_before, salted_join
 
 
 # --- files and references -------------------------------------------------------
@@ -169,7 +169,7 @@ def uncovered_heights(heights: DataFrame, headers: DataFrame) -> DataFrame:
     """Attested heights (anchor_id, height, message) without a header, or whose header root
     (internal byte order hex) is another message."""
     roots = headers.select("height", F.col("merkle_root").alias("_root"))
-    joined = heights.join(roots, "height", "left")
+    joined = heights.join(merged(roots), "height", "left")
     return joined.withColumn("problem", F.when(F.col("_root").isNull(), "uncovered").when(
         F.col("_root") != C.hex_lower(C.reverse_bytes(F.unhex("message"))), "root_mismatch")).drop(
             "_root").filter("problem is not null")
