@@ -200,13 +200,13 @@ def derive_anchor_state(proofs: DataFrame, headers: DataFrame) -> DataFrame:
     good = headers.filter(C.pow_ok("header")).select(*keys, root.alias("message")).distinct()
     each = proofs.select("anchor_id", F.inline(F.arrays_zip("heights", "messages"))).select(
         "anchor_id", F.col("heights").alias("height"), F.lower("messages").alias("message"))
-    covered = each.join(good.withColumn("_c", F.lit(1)), [*keys, "message"], "left").groupBy("anchor_id").agg(
+    covered = each.join(merged(good.withColumn("_c", F.lit(1))), [*keys, "message"], "left").groupBy("anchor_id").agg(
         (F.count("_c") == F.count(F.lit(1))).alias("_all"))
     state = (F.when(~F.col("has_proof"), "stationary")
              .when((F.size("heights") > 0) & F.coalesce("_all", F.lit(False)), "bitcoin-header-quorum-verified")
              .when(F.size("heights") > 0, "bitcoin-attested-structure")
              .when(F.size("pending_uris") > 0, "calendar-pending").otherwise("failed"))
-    return proofs.join(covered, "anchor_id", "left").withColumn("state", state).drop("_all")
+    return proofs.join(merged(covered), "anchor_id", "left").withColumn("state", state).drop("_all")
 
 
 MATERIAL = ["state", "heights", "pending", "proof_sha256"]

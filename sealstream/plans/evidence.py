@@ -10,6 +10,7 @@ from sealstream.functions.tokens import decode_tokens
 from sealstream.operators import evidence as E
 from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
+from sealstream.operators.plan import merged
 from sealstream.plans import ledger as G
 from sealstream.plans import responses as R
 from sealstream.plans import scalars as X
@@ -233,7 +234,7 @@ def v20(spark, sf):
     root = C.hex_lower(F.substring("header", 37, 32))
     after = h.select((F.col("height") - 1).alias("event_id"), root.alias("next_root"))
     own = F.when(e % 11 == 0, F.sha2(root, 256)).otherwise(root)
-    p = h.join(after, "event_id", "left").select(
+    p = h.join(merged(after), "event_id", "left").select(
         e.alias("anchor_id"), (m > 0).alias("has_proof"),
         F.when(m == 1, F.array(F.lit("https://calendar"))).otherwise(F.array().cast("array<string>")).alias("pending_uris"),
         F.when(m < 3, F.array().cast("array<bigint>")).when(m == 3, F.array(e, e + 1)).otherwise(F.array(e)).alias("heights"),
