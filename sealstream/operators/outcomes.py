@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealstream.functions import columns as C
-from sealstream.operators.plan import previous_row, running_totals, salted_join, staged
+from sealstream.operators.plan import merged, previous_row, running_totals, salted_join, staged
 from sealstream.operators.producer import Policy, assign_segments
 
 KEYS = ["ledger_id", "key"]
@@ -67,12 +67,12 @@ def admit_requests(requests: DataFrame, stored: DataFrame, policy: Policy, origi
     while True:
         out = assign_segments(tried, policy, origin_ms, **chunks).select(
             "ledger_id", "seq", "segment_number", "limit_reason", (F.col("outcome") == "ok").alias("_in"))
-        placed = staged(tried.join(out, ["ledger_id", "seq"]))
+        placed = staged(tried.join(merged(out), ["ledger_id", "seq"]))
         per_key = staged(placed.groupBy(*KEYS).agg(F.min(F.when(F.col("_in"), F.col("seq"))).alias("_first"), F.max("seq").alias("_last")))
         failed = per_key.filter("_first IS NULL").select(*KEYS, "_last")
-        failed = F.broadcast(failed) if failed.count() <= 10_000 else failed
+        failed = F.broadcast(failed) if failed.count() <= 10_000 else merged(failed)
         more = staged(valid.join(failed, KEYS).filter("seq > _last").groupBy(*KEYS).agg(first).select(*KEYS, "_r.*"))
-        kept = placed.join(per_key, KEYS).filter("_first IS NULL OR seq <= _first").select(*tried.columns)
+        kept = placed.join(merged(per_key), KEYS).filter("_first IS NULL OR seq <= _first").select(*tried.columns)
         if more.isEmpty() and per_key.filter("_first < _last").isEmpty():
             break
         tried = staged(kept.unionByName(more))

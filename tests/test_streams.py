@@ -179,3 +179,19 @@ def test_an_idle_ledger_seals_by_the_clock(spark, tmp_path):
     want = {(r.ledger_id, r.segment_number, r.close_reason, r.records, r.opened_at) for r in S.sealed_segments(late).collect()}
     assert got == want == {("idle", 0, "interval", 2, 0), ("busy", 0, "interval", 1, 0), ("busy", 1, "interval", 1, 100)}
     assert [r.outcome for r in out.filter("seq IS NULL").collect()] == ["timer", "timer"]
+
+
+def test_joins_of_derived_rows_are_not_broadcast(spark):
+    """Sizes estimated from files say nothing of digests and exploded rows, so these joins sort whatever the estimate is."""
+    from sealstream.operators import evidence as E
+    from sealstream.operators.plan import salted_join
+    a = spark.createDataFrame([(1, 7, "aa"), (2, 8, "bb")], "anchor_id bigint, height bigint, message string")
+    h = spark.createDataFrame([(7, "aa"), (9, "cc")], "height bigint, merkle_root string")
+    proofs = spark.createDataFrame([(1, True, [], [7], ["aa"])], "anchor_id bigint, has_proof boolean, pending_uris array<string>, heights array<bigint>, messages array<string>")
+    headers = spark.createDataFrame([(7, bytes(80))], "height bigint, header binary")
+    made = [E.uncovered_heights(a, h), E.derive_anchor_state(proofs, headers), salted_join(a, h, ["height"], ["anchor_id"])]
+    for df in made:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["height"], r["problem"]) for r in made[0].collect()} == {(8, "uncovered")}
+    assert made[1].first()["state"] == "bitcoin-attested-structure"
+    assert sorted((r["anchor_id"], r["merkle_root"]) for r in made[2].collect()) == [(1, "aa"), (2, None)]
