@@ -1,7 +1,7 @@
 """Stateful stream operators: replay windows, idempotent admission, segment closure.
 
 State is a few values per key in the RocksDB store. Within a micro-batch the rows of a key
-are put in arrival order; the source's rate limits bound a micro-batch.
+are put in arrival order; a micro-batch is at least one file, so ledgers hold its rows as Arrow columns and go through them in slices.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +32,17 @@ def _ordered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
+SLICE = 65536  # rows of a ledger taken together
+
+
+def _slices(rows: Iterator[pd.DataFrame], by: str, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """``_ordered`` in slices: the rows of a key lie in Arrow columns, without the key, and few at a time are Python objects."""
+    held = pa.concat_tables([pa.Table.from_pandas(part[columns], preserve_index=False) for part in rows], promote_options="permissive")
+    order = np.argsort(held[by].to_numpy(), kind="stable")
+    for at in range(0, len(order), SLICE):
+        yield held.take(order[at:at + SLICE]).to_pandas()
+
+
 class ReplayProcessor(StatefulProcessor):
     """Replay window of one device: highest admitted counter and the counters seen in reach."""
 
@@ -195,11 +207,11 @@ class ProducerProcessor(StatefulProcessor):
             self.handle.registerTimer(tiling.begins(tiling.reached + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, "seq")
-        tiling = self._load(int(pdf["t_ms"].iloc[0]))
-        out = segment_outcomes(tiling, pdf)
+        tiling = None
+        for pdf in _slices(rows, "seq", [c for c in EVENT_COLUMNS if c != "ledger_id"]):
+            tiling = tiling or self._load(int(pdf["t_ms"].iloc[0]))
+            yield segment_outcomes(tiling, pdf.assign(ledger_id=key[0]))
         self._keep(tiling)
-        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Closes the interval that has ended, unless an event has closed it before."""
