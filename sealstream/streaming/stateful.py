@@ -145,11 +145,20 @@ class AdmissionProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         text, revision = self.state.get() if self.state.exists() else (None, 0)
         tiling = _restored(text) if text else Tiling(self.policy, self.origin)
-        out = []
-        columns = ["ledger_id", "seq", "key", "digest", "t_ms", "size", "key_ok", "record_error"]
-        for ledger, seq, name, digest, t, size, key_ok, wrong in _ordered(rows, "seq")[columns].itertuples(index=False):
+        columns = ["seq", "key", "digest", "t_ms", "size", "key_ok", "record_error"]
+        for part in _slices(rows, "seq", columns):
+            done, revision = self._admit(key[0], part, tiling, revision)
+            yield done
+        self.state.update((_saved(tiling), revision))
+
+    def _admit(self, ledger: str, part: pd.DataFrame, tiling: Tiling, revision: int) -> tuple[pd.DataFrame, int]:
+        """Outcomes of the next rows of a ledger; the stored outcome of a key is asked for once, as each call goes to the store."""
+        out, met = [], {}
+        for seq, name, digest, t, size, key_ok, wrong in part.itertuples(index=False):
             outcome, number, sealed, own = "new", None, None, None
-            known = self.outcomes.getValue((name,)) if key_ok and self.outcomes.containsKey((name,)) else None
+            if key_ok and name not in met:
+                met[name] = self.outcomes.getValue((name,))
+            known = met[name] if key_ok else None
             if not key_ok:
                 outcome = "invalid_key"
             elif known is not None:  # looked up before the record is validated
@@ -166,11 +175,11 @@ class AdmissionProcessor(StatefulProcessor):
                     revision += 1
                     number, own = int(numbers[0]), revision
                     sealed = [int(first) + k for _, first, count, *_ in closures for k in range(count)]
-                    self.outcomes.updateValue((name,), (digest, number, json.dumps(sealed), own))
+                    met[name] = (digest, number, json.dumps(sealed), own)
+                    self.outcomes.updateValue((name,), met[name])
             out.append((ledger, name, seq, outcome, number, sealed, own))
-        self.state.update((_saved(tiling), revision))
         done = pd.DataFrame(out, columns=["ledger_id", "key", "seq", "outcome", "segment_number", "sealed", "revision"])
-        yield done.astype({"segment_number": "Int64", "revision": "Int64"})
+        return done.astype({"segment_number": "Int64", "revision": "Int64"}), revision
 
     def close(self) -> None:
         pass

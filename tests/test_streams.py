@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 
 from sealstream.operators import producer as S
@@ -195,3 +196,56 @@ def test_joins_of_derived_rows_are_not_broadcast(spark):
     assert {(r["height"], r["problem"]) for r in made[0].collect()} == {(8, "uncovered")}
     assert made[1].first()["state"] == "bitcoin-attested-structure"
     assert sorted((r["anchor_id"], r["merkle_root"]) for r in made[2].collect()) == [(1, "aa"), (2, None)]
+
+
+class Stored:
+    """A value or map state that counts its reads."""
+
+    def __init__(self):
+        self.held, self.reads = {}, 0
+
+    exists = lambda self: None in self.held
+    get = lambda self: self.held[None]
+
+    def update(self, value):
+        self.held[None] = value
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.held.get(key)
+
+    def containsKey(self, key):
+        self.reads += 1
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+
+def started(processor):
+    made = {}
+    make = lambda name, *a: made.setdefault(name, Stored())
+    processor.init(type("Handle", (), {"getValueState": staticmethod(make), "getMapState": staticmethod(make)}))
+    return made
+
+
+def test_large_ledgers_go_in_slices(monkeypatch):
+    """Outcomes do not depend on the slices, no slice is longer than the limit, and a key's outcome is read once a slice."""
+    n = 3000
+    rows = pd.DataFrame({"ledger_id": "a", "seq": range(n), "key": [f"k{i // 4}" for i in range(n)], "digest": [str(i % 3) for i in range(n)],
+                         "t_ms": [(i * 37) % 20011 + i for i in range(n)], "size": 10, "key_ok": [i % 101 > 0 for i in range(n)],
+                         "record_error": [None if i % 23 else "bad" for i in range(n)]})
+    events = rows.assign(kind="record", continuity=None, reason=None, policy=None)
+    mixed = lambda df: [p.copy() for _, p in df.sample(frac=1, random_state=5).groupby(df["seq"] % 7)]
+    policy, seen = X.Policy(1000, record_limit=40), {}
+    for limit in (65536, 256):
+        monkeypatch.setattr(X, "SLICE", limit, raising=False)
+        admit, produce = X.AdmissionProcessor(policy, 0, None), X.ProducerProcessor(policy, 0, None)
+        store, _ = started(admit), started(produce)
+        out = [list(admit.handleInputRows(("a",), iter(mixed(rows)), None)), list(produce.handleInputRows(("a",), iter(mixed(events)), None))]
+        assert all(len(part) <= limit for parts in out for part in parts)
+        assert store["outcomes"].reads <= n // 4 + 1 + n // limit + 1
+        seen[limit] = [pd.concat(parts, ignore_index=True) for parts in out]
+    for whole, cut in zip(seen[65536], seen[256]):
+        pd.testing.assert_frame_equal(whole, cut)
+    assert set(seen[256][0]["outcome"]) == {"new", "replay", "conflict", "invalid_key", "invalid_record", "clock_discontinuity"}
