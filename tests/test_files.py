@@ -105,3 +105,31 @@ def test_damaged_texts_are_rows_not_the_end(spark, tmp_path):
         spark.createDataFrame([("bad", "segment.verify.json", bytearray(b"\xff{}"), None)], "bundle string, path string, content binary, sha256 string"))
     assert [(r.bundle, r.failure) for r in S.verify_segment_bundles(files).collect()] == [("bad", "manifest")]
     assert L.build_block_headers(spark.createDataFrame([], "site_id string, day string, leaf binary")).count() == 0
+
+
+def test_tasks_list_and_read_the_files(spark, tmp_path, monkeypatch):
+    """No list of files in the driver: neither Spark's file reader, nor a row per file that comes back."""
+    want = {f"s/{d}/{part}/f{k}.cbor{end}": b"%d" % k for d in ("a", "b c") for part in ("facts", "day") for k in range(30) for end in ("", ".gz")}
+    want |= {"top.cbor": b"", "s/.hidden/x.cbor": b"h", "s/a/facts/_tmp.cbor": b"h", "s/a/facts/_k=1.cbor": b"k"}
+    for path, raw in want.items():
+        os.makedirs((tmp_path / path).parent, exist_ok=True)
+        (tmp_path / path).write_bytes(raw)
+
+    class Refused:
+        def __getattr__(self, name):
+            raise AssertionError("the driver lists the files")
+    monkeypatch.setattr(type(spark), "read", property(lambda self, read=type(spark).read.fget: _only_parquet(read(self), Refused())))
+    shown = {p: raw for p, raw in want.items() if "hidden" not in p and "_tmp" not in p}
+    rows = {"/".join(filter(None, (r.bundle, r.path))): (bytes(r.content), r.sha256) for r in A.scan_files(spark, str(tmp_path)).collect()}
+    assert rows == {p: (raw, hashlib.sha256(raw).hexdigest()) for p, raw in shown.items()}
+    facts = A.scan_fact_artifacts(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.bundle, r.path) for r in facts) == sorted(
+        (p.split("/facts/")[0], "facts/" + p.split("/facts/")[1]) for p in shown if "/facts/" in p and p.endswith(".cbor"))
+    with pytest.raises(Exception):
+        A.scan_files(spark, str(tmp_path / "none")).collect()
+
+
+def _only_parquet(reader, refused):
+    form = reader.format
+    reader.format = lambda name: refused if name == "binaryFile" else form(name)
+    return reader
