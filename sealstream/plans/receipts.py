@@ -6,7 +6,7 @@ from sealstream.functions import columns as C
 from sealstream.functions.register import register_codecs
 from sealstream.operators import observe as O
 from sealstream.operators import receipts as R
-from sealstream.operators.plan import pinned
+from sealstream.operators.plan import dealt, pinned
 from sealstream.plans import analytics as N
 from sealstream.plans import frames as P
 from sealstream.plans import telemetry as T
@@ -39,7 +39,8 @@ RECEIPT = f"""to_json(named_struct('schema', if({K} = 1, 'other', 'evidence-v1')
   WHEN 13 THEN 'header coverage' WHEN 14 THEN 'unknown proof state' WHEN 15 THEN 'proof binding' WHEN 16 THEN 'pending without calendar' WHEN 17 THEN 'consensus overclaim'
   WHEN 18 THEN 'header quorum' WHEN 19 THEN 'upstream client' END AS error FROM orders""")
 def v19(spark, sf):
-    o = T.table(spark, sf, "orders").select("o_orderkey")
+    # Dealt by key while a row is a number: a file of few row groups would make and parse all documents in few tasks.
+    o = dealt(T.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 16384)
     r = pinned(o, {"receipt": F.expr(RECEIPT), "subject": F.expr(SUBJECT)}).selectExpr(
         "o_orderkey AS anchor_id", "receipt", "subject",
         f"to_json(named_struct('repository', 'r', 'git_commit', if({K} = 5, 'x', concat('c', o_orderkey)), 'source_ci_run_id', 'run')) AS provenance",
