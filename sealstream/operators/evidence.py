@@ -75,28 +75,26 @@ def unresolved_schema_refs(schemas: DataFrame) -> DataFrame:
 
 # --- multisets and sets -----------------------------------------------------------
 
+def _copies(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of both tables with their copies in each. Copies are counted in the map tasks first, so heavy duplicates
+    shuffle as one row, and both tables go through one count."""
+    sides = [df.withColumns({"left_copies": F.lit(left), "right_copies": F.lit(1 - left)}) for df, left in ((a, 1), (b, 0))]
+    return sides[0].unionByName(sides[1]).groupBy(*a.columns).agg(
+        F.sum("left_copies").alias("left_copies"), F.sum("right_copies").alias("right_copies"))
+
+
 def multiset_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows whose copies differ between two tables, with both counts. Copies are counted on
-    each side first, so heavy duplicates shuffle as one row."""
-    cols = a.columns
-    counted = [df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.lit(s))
-               for df, s in ((a, "a"), (b, "b"))]
-    both = counted[0].unionByName(counted[1]).groupBy(*cols).agg(
-        F.sum(F.when(F.col("_s") == "a", F.col("_n")).otherwise(0)).alias("left_copies"),
-        F.sum(F.when(F.col("_s") == "b", F.col("_n")).otherwise(0)).alias("right_copies"))
-    return both.filter("left_copies <> right_copies")
+    """Rows whose copies differ between two tables, with both counts."""
+    return _copies(a, b).filter("left_copies <> right_copies")
 
 
 def compare_leaf_multisets(recomputed: DataFrame, embedded: DataFrame, group: list[str],
                            leaf: str = "leaf") -> DataFrame:
     """Per group, whether both sides hold the same leaves with the same copies."""
     cols = [*group, leaf]
-    diff = multiset_diff(recomputed.select(*cols), embedded.select(*cols))
-    broken = diff.groupBy(*group).agg(F.count(F.lit(1)).alias("differing"))
-    groups = recomputed.select(*group).unionByName(embedded.select(*group)).distinct()
-    return groups.join(broken, group, "left").select(
-        *group, F.coalesce("differing", F.lit(0)).alias("differing"),
-        F.col("differing").isNull().alias("equal"))
+    both = _copies(recomputed.select(*cols), embedded.select(*cols))
+    return both.groupBy(*group).agg(F.count_if(F.col("left_copies") != F.col("right_copies")).alias("differing")).select(
+        *group, "differing", (F.col("differing") == 0).alias("equal"))
 
 
 def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:

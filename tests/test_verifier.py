@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sealstream.functions import codecs as K
 from sealstream.functions import columns as C
-from sealstream.operators import admission, evidence, plan, segments
+from sealstream.operators import admission, evidence, plan, receipts, segments
 from sealstream.sources import artifacts
 
 
@@ -82,3 +82,30 @@ def test_staged_tables_are_released(spark):
     assert os.path.isdir(at)
     plan.release_staged(spark)
     assert not os.path.exists(at)
+
+
+def test_multisets_are_counted_in_one_pass(spark):
+    a = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 5), (3, 1), (None, 4)], "g long, leaf long")
+    b = spark.createDataFrame([(1, 7), (1, 8), (1, None), (2, 5), (4, 1), (None, 4)], "g long, leaf long")
+    got = evidence.compare_leaf_multisets(a, b, ["g"])
+    plan_text = got._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("Exchange hashpartitioning") == 2 and "Join" not in plan_text
+    assert {r.g: (r.differing, r.equal) for r in got.collect()} == {
+        1: (2, False), 2: (0, True), 3: (1, False), 4: (1, False), None: (0, True)}
+    assert {(r.g, r.leaf): (r.left_copies, r.right_copies) for r in evidence.multiset_diff(a, b).collect()} == {
+        (1, 7): (2, 1), (1, None): (0, 1), (3, 1): (1, 0), (4, 1): (0, 1)}
+
+
+def test_receipts_meet_their_files_without_broadcast(spark):
+    """Files and headers grow with the receipts, however small Spark takes them to be."""
+    docs = spark.createDataFrame([("a", *["{}"] * 6), ("b", *["{}"] * 6)], "anchor_id string, " + ", ".join(f"{d} string" for d in receipts.DOCS))
+    files = spark.createDataFrame([("a", "subject.json", "00" * 32)], "anchor_id string, path string, sha256 string")
+    headers = spark.createDataFrame([("a", 1, "b", "r", "h")], "anchor_id string, height long, block_hash string, merkle_root string, header_sha256 string")
+    got = receipts.check_anchor_receipts(docs, files, headers, "e", "s", "v")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.anchor_id: r.error for r in got.collect()} == {"a": "receipt version", "b": "receipt version"}
+
+
+def test_small_rows_are_dealt_into_many_tasks(spark):
+    rows = plan.dealt(spark.range(1000).repartition(1), ["id"], 20)
+    assert rows.rdd.getNumPartitions() == 50 and rows.count() == 1000
