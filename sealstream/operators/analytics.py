@@ -58,8 +58,9 @@ def _narrowed(freq: DataFrame, group: list[str], want: DataFrame, few: int) -> D
         ranges = want.select(*part, "d").distinct()
         ranges = F.broadcast(ranges) if ranges.count() <= 10_000 else ranges
         inside = freq.join(ranges, group).filter("value BETWEEN lo AND hi")
-        hit = _in_order(inside.filter(F.col("d") <= few), part).join(want.select(*part, "name", "left"), part).filter(
-            "_c > left AND _c - n <= left").select(*group, "name", "value")
+        # Staged, as the union of branches that adaptive execution deals differently fails on their numbers of partitions.
+        hit = staged(_in_order(inside.filter(F.col("d") <= few), part).join(want.select(*part, "name", "left"), part).filter(
+            "_c > left AND _c - n <= left").select(*group, "name", "value"))
         found = hit if found is None else found.unionByName(hit)
         wide = want.filter(F.col("d") > few)
         if wide.isEmpty():
@@ -103,7 +104,7 @@ def quantiles(freq: DataFrame, group: list[str], points: dict[str, float], few:
             *group, "lo", "hi", "d", "x.name", "x.left")
         values = _narrowed(freq, group, want, few).groupBy(*group).agg(*[
             F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
-        found = found.unionByName(values.join(sizes.select(*group, "_t"), group))
+        found = found.unionByName(staged(values.join(sizes.select(*group, "_t"), group)))
     return found.select(*group, *[
         (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (p - F.floor(p))).alias(n) for n, p in places.items()])
 
