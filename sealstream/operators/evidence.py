@@ -255,7 +255,7 @@ def applicable_revocations(certs: DataFrame, lists: DataFrame, revoked: DataFram
         F.bool_and(F.coalesce(kind == "full", F.lit(False))).alias("_full"))
     joined = salted_join(certs, per_issuer, ["issuer"], ["cert_id"]).withColumn("list_id", F.col("_l.list_id"))
     entries = revoked.groupBy("list_id", "serial").agg(F.min("revoked_at").alias("_r"))
-    joined = joined.join(entries, ["list_id", "serial"], "left")
+    joined = joined.join(merged(entries), ["list_id", "serial"], "left")
     t = F.col("gen_time")
     return joined.withColumn("error", C.first_failure([
         ("list_count", F.coalesce("_n", F.lit(0)) != 1),
@@ -279,7 +279,7 @@ def walk_cert_paths(signers: DataFrame, intermediates: DataFrame, anchors: DataF
     walk = signers.select(F.col("issuer").alias("start")).distinct().withColumns({
         "at": F.col("start"), "state": F.lit(None).cast("string"), "length": F.lit(0)})
     for level in range(1, depth + 1):
-        here = walk.join(step, "at", "left")
+        here = walk.join(merged(step), "at", "left")
         open_ = F.col("state").isNull()
         state = (F.when(F.coalesce("_n", F.lit(0)) != 1, "ambiguous").when(F.col("_a") == 1, "anchored"))
         walk = here.select("start", F.when(open_, F.col("_next")).alias("at"),
@@ -305,7 +305,7 @@ def check_cert_paths(signers: DataFrame, intermediates: DataFrame, anchors: Data
         "at": F.col("start"), "path": F.array().cast("array<struct<issuer:string,serial:bigint>>")})
     for _ in range(depth):
         # An unknown, ambiguous or anchored place ends the path there; walk_cert_paths says which it was.
-        walk = walk.join(step, "at", "left").select("start", F.when((F.col("_n") == 1) & (F.col("_a") == 0), F.col("_c.issuer")).alias("at"), F.when(
+        walk = walk.join(merged(step), "at", "left").select("start", F.when((F.col("_n") == 1) & (F.col("_a") == 0), F.col("_c.issuer")).alias("at"), F.when(
             (F.col("_n") == 1) & (F.col("_a") == 0), F.concat("path", F.array(F.col("_c")))).otherwise(
             F.col("path")).alias("path"))
     walk = walk.select(F.col("start").alias("issuer"), "path")
