@@ -13,7 +13,7 @@ from sealstream.functions import columns as C
 from sealstream.functions import values as V
 from sealstream.operators import merkle as M
 from sealstream.operators.evidence import multiset_diff
-from sealstream.operators.plan import staged
+from sealstream.operators.plan import merged, staged
 
 SEG = ["ledger_id", "segment_number"]
 
@@ -28,9 +28,13 @@ def adjacent_unsorted(rows: DataFrame, group: list[str], leaf: str, position: st
 def check_vectors(records: DataFrame, roots: DataFrame) -> DataFrame:
     """Vector sets: records (set_id, record, leaf_sha256) and claimed roots (set_id, root)."""
     own = records.withColumn("leaf", M.leaf_hash_v2("record"))
-    bad = own.groupBy("set_id").agg(F.bool_or(C.hex_lower("leaf") != F.col("leaf_sha256")).alias("_leaf"))
-    actual = M.merkle_root_v2(own, ["set_id"]).select("set_id", C.hex_lower("root").alias("_root"))
-    return bad.join(actual, "set_id").join(roots, "set_id").select("set_id", C.first_failure([
+    differs = F.bool_or(C.hex_lower("leaf") != F.col("leaf_sha256"))
+    if M.largest_group(own, ["set_id"]) <= M._SIZE:  # leaves are hashed and shuffled once for both checks
+        both = M.small_roots(own, ["set_id"], 2, _leaf=differs)
+    else:
+        both = own.groupBy("set_id").agg(differs.alias("_leaf")).join(M.merkle_root_v2(own, ["set_id"]), "set_id")
+    both = both.select("set_id", "_leaf", C.hex_lower("root").alias("_root"))
+    return both.join(merged(roots), "set_id").select("set_id", C.first_failure([
         ("leaf", F.col("_leaf")), ("root", F.col("_root") != F.col("root"))]).alias("error"))
 
 
