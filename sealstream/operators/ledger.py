@@ -192,9 +192,24 @@ def batch_objects(frames: DataFrame, group: list[str], limit: int, version: int
     """Batches with what they commit to: group, batch_number, count, merkle_root and the frames in the order of their leaves.
 
     ``frames`` has the group and frame (bytes). A batch holds at most ``limit`` frames, so it fits a row; equal frames travel as
-    one row with a count.
+    one row with a count. Groups are counted first: where one block holds each of them, frames are shuffled once, by group, and
+    hashed, placed and cut in the same tasks.
     """
     hashed = M.leaf_hash_v2 if version == 2 else M.leaf_hash_v1
+    frames = frames.select(*group, "frame")
+    if M.largest_group(frames, group) <= M._SIZE:
+        known = F.lit(True)
+        for g in group:  # a batch of no group is none
+            known = known & F.col(g).isNotNull()
+        runs = frames.filter(known).repartition(*group).groupBy(*group, "frame").agg(F.count(F.lit(1)).alias("copies"))
+        placed = M.located_small(runs.withColumn("leaf", hashed("frame")), group, "frame")
+        batches = M.cut_runs(placed, limit).groupBy(*group, F.col("part").alias("batch_number")).agg(
+            F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("pos", "n", "leaf", "frame"))).alias("_p"))
+        batches = batches.select(*group, "batch_number", "count", *[F.expr(
+            f"flatten(transform({runs}, x -> array_repeat(x.{c}, cast(x.n as int))))").alias(n) for runs, c, n in (
+                ("_p", "leaf", "nodes"), ("filter(_p, x -> x.frame IS NOT NULL)", "frame", "frames"))])
+        return batches.filter("size(frames) > 0").select(
+            *group, "batch_number", "count", C.hex_lower(M.reduce_array(version, "nodes")).alias("merkle_root"), "frames")
     leaves = staged(frames.select(*group, "frame", hashed("frame").alias("leaf")).groupBy(*group, "leaf", "frame").agg(
         F.count(F.lit(1)).alias("copies")))
     runs = M.located_runs(leaves.select(*group, "leaf", "copies"), group)

@@ -105,3 +105,35 @@ def test_published_v2_vector(spark):
     roots = M.batch_lists(M.sort_leaves(df, ["g"]), ["g"], 2).orderBy("batch_number").collect()
     assert [r.merkle_root for r in roots] == [
         "554491e4edf28061622396b83a870db4652211557127c664c6be1c4ad66471ff", leaves[0]]
+
+
+def frames(spark):
+    return spark.createDataFrame([(g, bytearray(b"%d" % (k % 3 if g == 2 else k))) for g in (1, 2, 3) for k in range(2 * g)]
+                                 + [(None, bytearray(b"x")), (3, None)], "g long, frame binary")
+
+
+def test_small_groups_are_not_staged(spark, monkeypatch):
+    """Roots, batches and vector sets of small groups take one shuffle of their rows, with the results of the path for large groups."""
+    from sealstream.operators import ledger as L
+    from sealstream.operators import segments as S
+    df = frames(spark)
+    leaves = df.select("g", M.leaf_hash_v2("frame").alias("leaf"))
+    records = df.filter("g IS NOT NULL AND frame IS NOT NULL").select(F.col("g").alias("set_id"), F.col("frame").alias("record"), C.hex_lower(
+        M.leaf_hash_v2(F.when(F.col("g") == 1, b"other").otherwise(F.col("frame")))).alias("leaf_sha256"))
+    claims = M.merkle_root_v2(records.withColumn("leaf", M.leaf_hash_v2("record")), ["set_id"]).select(
+        "set_id", F.when(F.col("set_id") == 3, "no").otherwise(C.hex_lower("root")).alias("root"))
+    key = lambda rows: sorted((tuple(map(str, r)) for r in rows))
+
+    def run():
+        return [key(x.collect()) for x in (M.merkle_root_v2(leaves, ["g"]), L.batch_objects(df, ["g"], 3), S.check_vectors(records, claims))]
+    with monkeypatch.context() as m:
+        def refused(df):
+            raise AssertionError("staged")
+        m.setattr(M, "staged", refused)
+        m.setattr(L, "staged", refused)
+        small = run()
+    monkeypatch.setattr(M, "BLOCK_BITS", 2)
+    monkeypatch.setattr(M, "_SIZE", 4)
+    large = run()
+    assert small[1:] == large[1:] and [r for r in small[0] if r[0] != "None"] == [r for r in large[0] if r[0] != "None"]
+    assert {r[0]: r[1] for r in small[2]} == {"1": "leaf", "2": "None", "3": "root"}
