@@ -8,7 +8,7 @@ from sealstream.functions import proofs as P
 from sealstream.functions import values as V
 from sealstream.operators import bundles as B
 from sealstream.operators import merkle as M
-from sealstream.operators.plan import own_folder, staged
+from sealstream.operators.plan import dealt, merged, own_folder, staged
 from sealstream.plans import admission as Q
 from sealstream.plans import ledger as G
 from sealstream.plans import telemetry as T
@@ -27,10 +27,11 @@ W = f"WITH {T.EV}, {BK}"
 
 
 def facts(spark, sf):
-    ev = T.events(spark, sf)
+    """Facts of all events as CBOR, encoded once: the events are dealt to tasks by number, as their file may be one split."""
+    ev = T.from_events(dealt(T.table(spark, sf, "events"), ["event_id"], 65536))
     rows = ev.select("site_id", "day", "event_id", F.concat("site_id", F.lit("/"), "day").alias("bundle"),
                      F.expr(CASE).alias("k"), K.json_to_cbor(F.expr(FACT_JSON)).alias("content"))
-    return rows.withColumn("path", F.concat(F.lit("facts/"), "event_id", F.lit(".cbor")))
+    return staged(rows).withColumn("path", F.concat(F.lit("facts/"), "event_id", F.lit(".cbor")))
 
 
 def day_bundles(spark, sf):
@@ -296,7 +297,7 @@ def s12(spark, sf):
         F.replace("path", F.lit(".ots.meta.json"), F.lit(".verify.json")).alias("path"), F.col("sha256").alias("_side"))
     j = lambda p: F.get_json_object(C.utf8("content"), p)
     day = F.regexp_extract("path", "day/([0-9-]+)/", 1)
-    kind = back.join(sources, "path", "left").join(side, "path", "left")
+    kind = back.join(merged(sources), "path", "left").join(side, "path", "left")
     manifest = (j("$.frames_file").isNull() & (j("$.artifacts.day_ots_meta.sha256") == F.col("_side")) & (j("$.verifier.overall") == "success")
                 & (j("$.verification_bundle.checks_executed[0]") == "day_artifact_validation") & j("$.anchoring").isNotNull())
     meta = (j("$.artifact") == F.concat(F.lit("day/"), day, F.lit(".cbor"))) & j("$.milestone").isNull() & (j("$.day") == day)
