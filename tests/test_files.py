@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sealstream.operators import ledger as L
 from sealstream.sources import artifacts as A
@@ -133,3 +134,19 @@ def _only_parquet(reader, refused):
     form = reader.format
     reader.format = lambda name: refused if name == "binaryFile" else form(name)
     return reader
+
+
+def test_small_files_are_dealt_to_many_tasks(spark):
+    """Adaptive execution would merge rows of a few bytes into one task, and a file takes its time whatever its size."""
+    df = spark.range(500).selectExpr("concat('d/', id) AS path", "cast('x' as binary) AS bytes")
+    assert W.many_tasks(df, "path").select(F.spark_partition_id()).distinct().count() == 8
+
+
+def test_facts_are_encoded_once(spark, tmp_path):
+    """What follows on the facts of day bundles reads their bytes; no plan of theirs encodes them again."""
+    from sealstream.plans import bundles
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, id % 8 AS user_id, 'view' AS event_type, 1.5D AS value, '{}' AS props "
+              "FROM range(64)").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    own = bundles.day_bundles(spark, str(tmp_path))[2]
+    assert "json" not in own._jdf.queryExecution().optimizedPlan().toString().lower().replace("manifest_json", "")
+    assert own.count() == len({r.path for r in own.collect()}) == 48  # one of four sites is a case without facts
