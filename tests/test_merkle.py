@@ -137,3 +137,11 @@ def test_small_groups_are_not_staged(spark, monkeypatch):
     large = run()
     assert small[1:] == large[1:] and [r for r in small[0] if r[0] != "None"] == [r for r in large[0] if r[0] != "None"]
     assert {r[0]: r[1] for r in small[2]} == {"1": "leaf", "2": "None", "3": "root"}
+
+
+def test_places_of_leaves_are_never_broadcast(spark):
+    """Leaves and buckets grow with the input; a file of copies is small for its rows."""
+    runs = spark.createDataFrame([(1, bytearray(sha(b"%d" % k)), 1) for k in range(40)], "g long, leaf binary, copies long")
+    placed = M.located(runs, ["g"])
+    assert "BroadcastHashJoin" not in placed._jdf.queryExecution().toString()
+    assert sorted(r.start for r in placed.collect()) == list(range(40))
