@@ -342,9 +342,7 @@ def seal(records: DataFrame, segments: DataFrame, batch_limit: int,
     written first, for results that are written by separate jobs.
     """
     leaves = records.select(*SEG, M.leaf_hash_v2("record").alias("leaf"))
-    runs = M.sort_leaves(leaves, SEG)
-    if stage:
-        runs = staged(runs)
+    runs = M.sort_leaves(leaves, SEG, stage=stage)
     batches = M.batch_lists(runs, SEG, batch_limit)
     roots = M.roots_of(runs, SEG, 2).select(*SEG, C.hex_lower("root").alias("_r"))
     rooted = segments.join(roots, SEG, "left").withColumn(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sealstream.functions import codecs as K
 from sealstream.functions import columns as C
@@ -88,8 +87,9 @@ def check_segment_invariants(segments: DataFrame, batches: DataFrame) -> DataFra
     per = flags.withColumn("_cross", F.coalesce(edge, F.lit(False))).groupBy(*SEG).agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or("_cross").alias("_cross"),
         F.min_by("code", F.when(F.col("code").isNotNull(), F.col("position"))).alias("_batch"))
-    leaves = batches.select(*SEG, F.explode("leaf_hashes").alias("h")).filter(C.is_hex("h", 64))
-    roots = M.merkle_root_v2(leaves.select(*SEG, F.unhex("h").alias("leaf")), SEG).select(
+    # The root counts only where all leaves are digests, in order in and across batches: they are taken as listed, not sorted again.
+    totals = batches.groupBy(*SEG).agg(F.sum(F.size("leaf_hashes")).alias("total"))
+    roots = M.listed_roots(batches.select(*SEG, "position", F.array_compact("leaf_hashes").alias("_nodes")), SEG, "position", "_nodes", totals).select(
         *SEG, C.hex_lower("root").alias("_root"))
     df = segments.join(per, SEG, "left").join(roots, SEG, "left")
     later = F.coalesce("_batch", C.first_failure([
@@ -153,30 +153,22 @@ def _read_segment(raw: bytes) -> dict:
 def decode_segments(artifacts: DataFrame, col: str = "artifact_cbor") -> DataFrame:
     """Strictly decode segment bytes: adds ``seg`` (``seg.error`` is NULL when readable)."""
     kind = artifacts.sparkSession.range(0).select(F.lit(None).cast(SEGMENT_T).alias("s")).schema["s"].dataType
-    names = kind.names
-
-    def plain(v):
-        if isinstance(v, bool) or not isinstance(v, (int, dict, list)):
-            return v
-        if isinstance(v, int):
-            if v >= 2**63:  # the tables hold these numbers as bigint
-                raise K.CborError("number out of range")
-            return Decimal(v)
-        if isinstance(v, list):
-            return [plain(x) for x in v]
-        return {k: plain(x) for k, x in v.items() if k != "version"}
-
-    @F.pandas_udf(kind)
-    def read(raw: pd.Series) -> pd.DataFrame:
-        rows = []
+    form = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def read(raw: pa.Array) -> pa.Array:
+        cells = []
         for x in raw:
             try:
-                rows.append({"error": None, **plain(_read_segment(bytes(x)))})
+                seg = _read_segment(x.as_py())
+                if any(type(v) is int and v >= 2**63 for part in (seg, seg["closure_policy"], *seg["batches"]) for v in part.values()):
+                    raise K.CborError("number out of range")  # the tables hold these numbers as bigint
+                cells.append(pa.array([{"error": None, **seg}], form))
             except K.CborError as exc:
-                rows.append({"error": str(exc)})
+                cells.append(pa.array([{"error": str(exc)}], form))
             except RecursionError:
-                rows.append({"error": "nested too deeply"})
-        return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+                cells.append(pa.array([{"error": "nested too deeply"}], form))
+        return pa.concat_arrays(cells) if cells else pa.array([], form)
 
     return artifacts.withColumn("seg", read(col))
 
@@ -370,9 +362,9 @@ def verify_segment_bundles(files: DataFrame, tsa_errors: DataFrame | None = None
     e02 = missing.filter("e IS NOT NULL").groupBy("bundle").agg(F.min_by("e", F.struct("role", "place")).alias("e02"))
 
     def decoded(role):
-        return staged(decode_segments(met.filter(F.col("role") == role).select(
-            "bundle", F.col("content").alias("artifact_cbor"), F.col("_is").alias("artifact_sha256"))))
-    own = decoded("segment_cbor")
+        return decode_segments(met.filter(F.col("role") == role).select(
+            "bundle", F.col("content").alias("artifact_cbor"), F.col("_is").alias("artifact_sha256"))).drop("artifact_cbor")
+    own = staged(decoded("segment_cbor"))
     # A bundle is one segment: its name stands in for the ledger, so that equal segments of two bundles stay apart.
     segs, batches = decoded_tables(own, "bundle", "artifact_sha256")
     named = [segs.withColumn("_ledger", F.col("ledger_id")).withColumn("ledger_id", F.md5("bundle")),
@@ -385,7 +377,10 @@ def verify_segment_bundles(files: DataFrame, tsa_errors: DataFrame | None = None
     e04 = check_segment_identity(m.select("bundle", *MANIFEST_KEYS), segs).select("bundle", F.col("error").alias("e04"))
     e05 = check_disclosure_precondition(m, enforce).select("bundle", F.col("error").alias("e05"))
 
-    before = decoded_tables(decoded("predecessor_segment_cbor"), "bundle", "artifact_sha256")[0].select("bundle", F.struct(
+    # Of predecessors, decoded as strictly, only the identity is kept.
+    named_only = F.col("seg").withField("batches", F.lit(None).cast(f"array<{BATCH_T}>"))
+    earlier = staged(decoded("predecessor_segment_cbor").withColumn("seg", named_only))
+    before = decoded_tables(earlier, "bundle", "artifact_sha256")[0].select("bundle", F.struct(
         "ledger_id", "site_id", "segment_number", F.col("artifact_sha256").alias("sha256")).alias("pred"))
     shown = refs.filter("role = 'predecessor_segment_cbor'").select("bundle", F.lit(True).alias("_shown"))
     chain = check_chain(segs.join(before, "bundle", "left").join(shown, "bundle", "left")).select(

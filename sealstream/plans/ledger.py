@@ -8,7 +8,7 @@ from sealstream.operators import ledger as L
 from sealstream.operators import merkle as M
 from sealstream.operators import outcomes as N
 from sealstream.operators import producer as S
-from sealstream.operators.plan import own_folder, staged
+from sealstream.operators.plan import dealt, own_folder, staged
 from sealstream.plans import commitment as Q
 from sealstream.plans import telemetry as T
 from sealstream.plans.registry import query
@@ -135,13 +135,23 @@ BROOT = T.duck_roots("br", "bl", "ledger_id, segment_number, batch_number", 2)
 
 
 def records(spark, sf):
-    return T.records(T.events(spark, sf)).select(
+    return record_columns(T.events(spark, sf))
+
+
+def record_columns(ev):
+    return T.records(ev).select(
         "ledger_id", "site_id", F.col("event_id").alias("seq"), "t_ms", "record",
         F.octet_length("record").alias("size"), "event_id", "day")
 
 
-def sealed(spark, sf, stage=False):
-    rec = records(spark, sf)
+def written_records(spark, sf):
+    """``records``, encoded once: in tasks of about 131,072 events, however few row groups the table has, and written."""
+    ev = dealt(T.table(spark, sf, "events"), ["event_id", "ts"], 1 << 17)
+    return staged(record_columns(T.from_events(ev)))
+
+
+def sealed(spark, sf, stage=False, rec=None):
+    rec = records(spark, sf) if rec is None else rec
     numbers = S.number_segments_suppress(rec, INTERVAL, ORIGIN)
     placed = S.close_intervals(rec, INTERVAL, ORIGIN).join(numbers, ["ledger_id", "interval_no"])
     sites = rec.groupBy("ledger_id").agg(F.min("site_id").alias("site_id"))
@@ -212,9 +222,10 @@ CHAIN = f"""ls AS (SELECT ledger_id, segment_number, batch_number, string_agg('7
 CW = f"{Q.RWITH}, {SEGS}, {SROOT}, {BROOT}, {CHAIN}"
 
 
-def chained(spark, sf):
-    """(segments, batches, parts, chain); the sealed tables are written once, as a ledger does."""
-    segs, batches = (staged(df) for df in sealed(spark, sf, stage=True))
+def chained(spark, sf, rec=None):
+    """(segments, batches, parts, chain); records and the sealed tables are written once, as a ledger does."""
+    rec = written_records(spark, sf) if rec is None else rec
+    segs, batches = (staged(df) for df in sealed(spark, sf, stage=True, rec=rec))
     parts = L.segment_parts(segs, batches)
     return segs, batches, parts, L.chain_segments(parts)
 

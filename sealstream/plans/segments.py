@@ -197,16 +197,21 @@ def v16(spark, sf):
 
 def bundle_files(spark, sf):
     """Files of one bundle per segment: classes A, B and C in turn, most with their predecessor, some damaged."""
-    segs, batches, parts, chain = G.chained(spark, sf)
+    rec = G.written_records(spark, sf)
+    segs, batches, parts, _ = G.chained(spark, sf, rec)
+    # Artifacts are whole rows here: all before the predecessor digest is joined once, for the chain and for the files.
+    body = parts.groupBy(*L.SEG).agg(F.sort_array(F.collect_list(F.struct("part", "bytes"))).alias("p"))
+    parts = staged(body.select(*L.SEG, F.lit(0).cast("bigint").alias("part"), C.concat_binary(F.transform(
+        "p", lambda x: x["bytes"])).alias("bytes"), F.lit(True).alias("last")))
+    chain = L.chain_segments(parts)
     key = F.concat("ledger_id", F.lit("/"), N)
     cls = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col(N) % 3 + 1).cast("int"))
     art = staged(L.segment_artifacts(parts, chain).select(*L.SEG, F.col("artifact_cbor").alias("content")))
     own = art.select(*L.SEG, F.lit("segment_cbor").alias("role"), F.lit(0).alias("place"), F.lit("segments/s.cbor").alias("path"), "content")
-    before = art.withColumn(N, F.col(N) + 1).join(art.select(*L.SEG, F.col("content").alias("_own")), L.SEG)
+    before = art.withColumn(N, F.col(N) + 1).join(art.select(*L.SEG, F.when(F.col(N) % 11 == 8, F.col("content")).alias("_own")), L.SEG)
     before = before.filter(f"{N} % 4 <> 3").select(
         *L.SEG, F.lit("predecessor_segment_cbor").alias("role"), F.lit(0).alias("place"), F.lit("segments/p.cbor").alias("path"),
         F.when(F.col(N) % 11 == 8, F.col("_own")).otherwise(F.col("content")).alias("content"))
-    rec = G.records(spark, sf)
     from sealstream.operators import producer as P
     numbers = P.number_segments_suppress(rec, G.INTERVAL, G.ORIGIN).select("ledger_id", "interval_no", N)
     rec = P.close_intervals(rec, G.INTERVAL, G.ORIGIN).join(numbers, ["ledger_id", "interval_no"]).filter(f"{N} % 3 = 0")
@@ -225,7 +230,7 @@ def bundle_files(spark, sf):
     files = own.unionByName(before).unionByName(rec).unionByName(shown).unionByName(tsr)
     files = staged(files.withColumn("sha256", F.sha2("content", 256)))
     said = F.when((F.col(N) % 11 == 5) & (F.col("role") == "segment_cbor"), F.sha2("sha256", 256)).otherwise(F.col("sha256"))
-    refs = files.groupBy(*L.SEG).agg(F.array_sort(F.collect_list(F.struct("role", "place", "path", said.alias("sha256")))).alias("r"))
+    refs = files.groupBy(*L.SEG).agg(F.sort_array(F.collect_list(F.struct("role", "place", "path", said.alias("sha256")))).alias("r"))
     one = lambda role: F.get(F.filter("r", lambda x: x["role"] == role), F.lit(0))
     bare = lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"))
     many = lambda role: F.transform(F.filter("r", lambda x: x["role"] == role), bare)
@@ -238,8 +243,8 @@ def bundle_files(spark, sf):
         F.struct(F.struct(F.lit("pending").alias("status")).alias("ots")).alias("anchoring")))
     content = F.when(F.col(N) % 17 == 9, F.lit(b"{\xff}")).otherwise(C.text_bytes(manifest))
     manifests = refs.join(sites, L.SEG).select(key.alias("bundle"), F.lit("segment.verify.json").alias("path"), content.alias("content"))
-    files = files.select(key.alias("bundle"), "path", "content")
-    return files.unionByName(manifests).withColumn("sha256", F.sha2("content", 256)), segs
+    manifests = staged(manifests.withColumn("sha256", F.sha2("content", 256)))
+    return files.select(key.alias("bundle"), "path", "content", "sha256").unionByName(manifests), segs
 
 
 FAILS = """CASE WHEN n % 17 = 9 THEN 'manifest' WHEN n % 11 = 5 THEN 'artifact-sha256' WHEN n % 11 = 6 THEN 'identity' WHEN n % 11 = 8 AND n > 0 AND n % 4 <> 3 THEN 'predecessor_linkage'

@@ -145,3 +145,28 @@ def test_places_of_leaves_are_never_broadcast(spark):
     placed = M.located(runs, ["g"])
     assert "BroadcastHashJoin" not in placed._jdf.queryExecution().toString()
     assert sorted(r.start for r in placed.collect()) == list(range(40))
+
+
+def test_listed_roots(spark):
+    """Lists in order have the root of sorted leaves, in groups of one block and of several; NULL lists and empty ones count nothing."""
+    from pyspark.sql import functions as F
+    from sealstream.operators import merkle as M
+    leaves = spark.range(9100).select(F.when(F.col("id") < 9000, "big").otherwise("small").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    leaves = leaves.unionByName(leaves.filter("h < '1'"))  # some twice
+    lists = leaves.groupBy("g").agg(F.sort_array(F.collect_list("h")).alias("h")).select("g", F.posexplode(
+        F.transform(F.sequence(F.lit(0), F.expr("size(h) div 7")), lambda k: F.slice("h", k * 7 + 1, 7))).alias("position", "nodes"))
+    lists = lists.unionByName(spark.createDataFrame([("big", -1, None), ("none", 0, [])], "g string, position int, nodes array<string>"))
+    totals = lists.groupBy("g").agg(F.sum(F.size("nodes")).alias("total"))
+    got = {(r.g, r.leaf_count, bytes(r.root)) for r in M.listed_roots(lists, ["g"], "position", "nodes", totals).collect()}
+    want = M.merkle_root_v2(leaves.select("g", F.unhex("h").alias("leaf")), ["g"])
+    assert got == {(r.g, r.leaf_count, bytes(r.root)) for r in want.collect()} and len(got) == 2
+
+
+def test_buckets_follow_the_largest_group(spark):
+    """The split of a group by leading bits gives the same places for any number of bits."""
+    from pyspark.sql import functions as F
+    from sealstream.operators import merkle as M
+    runs = M.leaf_runs(spark.range(6000).select((F.col("id") % 2).alias("g"), F.unhex(F.sha2((F.col("id") % 5500).cast("string"), 256)).alias("leaf")), ["g"])
+    places = [{(r.g, bytes(r.leaf), r.copies, r.start, r.total) for r in M.located(runs, ["g"], bits).collect()} for bits in (1, 5, 16)]
+    assert places[0] == places[1] == places[2] and len(places[0]) == 5500
+    assert places[0] == {(r.g, bytes(r.leaf), r.copies, r.start, r.total) for r in M.located_small(runs, ["g"]).collect()}

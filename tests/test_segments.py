@@ -93,3 +93,46 @@ def test_empty_segments(spark):
                                "batch_site_id": F.lit(SITE), "batch_segment_number": F.col("segment_number")})
     got = {r.segment_number: r.code for r in S.check_segment_invariants(segs, emb).collect()}
     assert got == {0: None, 1: "empty-segment"}
+
+
+def test_lists_of_digests_are_read_at_once(spark, monkeypatch):
+    """A bundle's artifact has tens of thousands of digests; heads are read one by one for all other items only."""
+    _, _, parts, links = chain(spark, (0,))
+    seg = K.decode(bytes(L.segment_artifacts(parts, links).first().artifact_cbor))[0]
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    seg["batches"][0]["leaf_hashes"] = digests
+    raw, heads, one = K.to_cbor(seg), [], K.read_head
+    monkeypatch.setattr(K, "read_head", lambda data, pos: heads.append(pos) or one(data, pos))
+    read = S._read_segment(raw)
+    assert read["batches"][0]["leaf_hashes"] == digests and read["segment_root"] == seg["segment_root"]
+    assert len(heads) < 1000
+    # Lists that are no digests throughout are still read item by item.
+    for odd in (digests[:5] + ["a" * 63], ["a" * 63] + digests[:5], digests[:3] + ["é" * 32], ["é" * 32] * 3, ["a" * 64, 5, None], [["a" * 64]] * 2):
+        both = K.to_cbor({"a": odd, "b": digests[:2]})
+        assert K.check_item(both, 0, "record") == len(both) and K.decode(both) == ({"a": odd, "b": digests[:2]}, len(both))
+    cut = K.to_cbor(digests[:4])
+    for bad in (cut[:-1], cut[:1] + b"\x78\x40" + b"\xff" * 64 + cut[67:]):
+        with pytest.raises(K.CborError):
+            K.check_item(bad, 0, "record")
+
+
+def test_predecessors_and_errors_decode(spark):
+    _, _, parts, links = chain(spark)
+    good = [bytes(r.artifact_cbor) for r in L.segment_artifacts(parts, links).orderBy("segment_number").collect()]
+    big = {**K.decode(good[0])[0], "segment_number": 2**63}
+    rows = [(0, bytearray(good[0])), (1, bytearray(b"\x80")), (2, bytearray(good[1])), (3, bytearray(K.to_cbor(big)))]
+    df = S.decode_segments(spark.createDataFrame(rows, "id int, artifact_cbor binary").coalesce(1))
+    got = {r.id: r.seg for r in df.select("id", "seg").collect()}
+    assert [got[k].error for k in range(4)] == [None, "segment is not a map", None, "number out of range"]
+    assert [got[k].segment_number for k in (0, 2)] == [0, 1] and [len(got[k].batches) for k in (0, 2)] == [2, 2]
+    assert got[0].record_limit is None and got[1].batches is None and got[0].batches[0]["count"] == 2
+
+
+def test_records_are_written_as_they_are_read(spark, tmp_path):
+    from sealstream.plans import ledger as G
+    rows = [(i, f"2024-01-01 0{i % 9}:00:0{i % 7}.25", i * 7, "view", i / 3) for i in range(40)] + [
+        (3, "2024-01-01 03:00:03", 21, "click", None), (41, None, 5, None, 1.0), (42, "2024-01-02 00:00:00", None, "error", 2.5)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    df.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "props": F.lit("{}")}).write.parquet(str(tmp_path / "events.parquet"))
+    want, got = (f(spark, str(tmp_path)).orderBy("event_id", "t_ms", "record").collect() for f in (G.records, G.written_records))
+    assert len(got) == 43 and got == want
