@@ -201,8 +201,8 @@ def bundle_files(spark, sf):
     segs, batches, parts, _ = G.chained(spark, sf, rec)
     # Artifacts are whole rows here: all before the predecessor digest is joined once, for the chain and for the files.
     body = parts.groupBy(*L.SEG).agg(F.sort_array(F.collect_list(F.struct("part", "bytes"))).alias("p"))
-    parts = staged(body.select(*L.SEG, F.lit(0).cast("bigint").alias("part"), C.concat_binary(F.transform(
-        "p", lambda x: x["bytes"])).alias("bytes"), F.lit(True).alias("last")))
+    whole = F.when(F.forall("p", lambda x: x["bytes"].isNotNull()), C.concat_binary(F.transform("p", lambda x: x["bytes"])))
+    parts = staged(body.select(*L.SEG, F.lit(0).cast("bigint").alias("part"), whole.alias("bytes"), F.lit(True).alias("last")))
     chain = L.chain_segments(parts)
     key = F.concat("ledger_id", F.lit("/"), N)
     cls = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col(N) % 3 + 1).cast("int"))
