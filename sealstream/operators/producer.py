@@ -108,6 +108,21 @@ class Tiling:
                 closed += 1
         return closed
 
+    def place_one(self, now: int, n: int) -> int:
+        """``place`` of a record where no other policy waits: its segment number or -1. Segments from the number before to that after are closed."""
+        interval = (now - self.origin) // self.policy.interval_ms
+        if interval < self.reached:
+            return -1
+        if interval != self.reached:
+            self.closed(interval)
+        self.records, self.size, number = self.records + 1, self.size + n, self.number
+        p = self.policy
+        if p.size_limit_bytes and self.size >= p.size_limit_bytes:
+            self.restart(now, "size_limit")
+        elif p.record_limit and self.records >= p.record_limit:
+            self.restart(now, "record_limit")
+        return number
+
     def place(self, t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
         """Segment number (-1: refused), opening and limit reason of records in arrival order, and the segments closed, each
         after the index of the record that closed it."""

@@ -249,3 +249,78 @@ def test_large_ledgers_go_in_slices(monkeypatch):
     for whole, cut in zip(seen[65536], seen[256]):
         pd.testing.assert_frame_equal(whole, cut)
     assert set(seen[256][0]["outcome"]) == {"new", "replay", "conflict", "invalid_key", "invalid_record", "clock_discontinuity"}
+
+
+class Counted(Stored):
+    """A state that counts all its calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return super().getValue(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        super().updateValue(key, value)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def counted(processor):
+    made = {}
+    make = lambda name, *a: made.setdefault(name, Counted())
+    processor.init(type("Handle", (), {"getValueState": staticmethod(make), "getMapState": staticmethod(make)}))
+    return made["outcomes"]
+
+
+@pytest.mark.parametrize("sizes", [(6000,), (10, 3000, 1, 2989), (500,) * 12])
+def test_new_keys_share_calls_to_the_store(sizes):
+    """Outcomes are those of a reading one by one whatever the micro-batches are; a call to the store is for many keys."""
+    n = 6000
+    rows = pd.DataFrame({"seq": range(n), "key": [None if i % 97 == 0 else f"k{i * 7919 % 4001}" for i in range(n)],
+                         "digest": [None if i % 11 == 0 else str(i // 3 % 2) for i in range(n)], "t_ms": [(i * 37) % 20011 + i for i in range(n)],
+                         "size": 10, "key_ok": [i % 97 > 0 for i in range(n)], "record_error": [None if i % 23 else "bad" for i in range(n)]})
+    policy = S.Policy(1000, record_limit=40)
+    admit = X.AdmissionProcessor(policy, 0, None)
+    store, at, got = counted(admit), 0, {}
+    for size in sizes:
+        for part in admit.handleInputRows(("a",), iter([rows[at:at + size]]), None):
+            for r in part.astype(object).where(part.notna(), None).itertuples(index=False):
+                got["a", r.seq] = (r.outcome, r.segment_number, r.sealed, r.revision)
+        at += size
+    plain = rows.assign(key=rows["key"].where(rows["key_ok"], "")).itertuples(index=False)
+    want = one_by_one([("a", r.seq, r.key, r.digest, r.t_ms, r.size, None if r.record_error is None else "bad") for r in plain], [], policy)
+    assert got == want and {o[0] for o in got.values()} == {"new", "replay", "conflict", "invalid_key", "invalid_record", "clock_discontinuity"}
+    assert store.calls < n / 4
+    assert max(len(json.loads(v[0])[0]) for v in store.held.values()) < 4 * X.BUCKET
+
+
+def test_stored_outcomes_expire_one_by_one():
+    """Keys that share a value of the state end by their own time."""
+    def ask(key, now):
+        row = pd.DataFrame({"seq": [now], "key": [key], "digest": ["d"], "t_ms": [now], "size": [1], "key_ok": [True], "record_error": [None]})
+        return [part["outcome"][0] for part in admit.handleInputRows(("a",), iter([row]), Clock(now))]
+    admit = X.AdmissionProcessor(S.Policy(10), 0, 100)
+    counted(admit)
+    assert [ask(k, now) for k, now in (("a", 0), ("b", 60), ("a", 99), ("a", 100), ("b", 159), ("b", 160), ("a", 161))] == [
+        ["new"], ["new"], ["replay"], ["new"], ["replay"], ["new"], ["replay"]]
+
+
+def test_place_one_is_place_of_one_record():
+    for policy in (S.Policy(100), S.Policy(100, 3), S.Policy(250, 5, 64, "emit")):
+        one, many, t = S.Tiling(policy, 50), S.Tiling(policy, 50), 0
+        for k in range(400):
+            t += (k * 7 % 5) * 40 if k % 30 else -230
+            first = one.number
+            number, _, _, closed = many.place(X.np.array([t]), X.np.array([k % 9 * 5]))
+            assert one.place_one(t, k % 9 * 5) == number[0]
+            assert list(range(first, one.number)) == [f + i for _, f, c, *_ in closed for i in range(c)] and one == many
