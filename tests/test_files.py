@@ -150,3 +150,42 @@ def test_facts_are_encoded_once(spark, tmp_path):
     own = bundles.day_bundles(spark, str(tmp_path))[2]
     assert "json" not in own._jdf.queryExecution().optimizedPlan().toString().lower().replace("manifest_json", "")
     assert own.count() == len({r.path for r in own.collect()}) == 48  # one of four sites is a case without facts
+
+
+def test_files_of_a_scan_lie_on_the_disk_in_parts(spark, monkeypatch):
+    """Scans find the same in parts as in one folder; no part holds many more files than allowed, and none is left."""
+    from sealstream.plans import bundles as P
+    days = [(f"s/2024-01-{d:02}", f"2024-01-{d:02}", 2 if d == 2 else 1, f'{{"m": {d}}}', f'{{"day": "2024-01-{d:02}"}}', f'{{"d": {d}}}', bytes([d]))
+            for d in range(1, 9)]
+    facts = [(days[n % 5 if n % 2 else 0][0], f"facts/{n}.cbor", bytes([n % 256])) for n in range(100)]
+    made = (spark.createDataFrame(days, "bundle string, day string, k int, manifest_json string, block_json string, day_json string, day_cbor binary"),
+            None, spark.createDataFrame(facts, "bundle string, path string, content binary"), None)
+    roots, written = [], []
+
+    def counted(rows, root):
+        keep(rows, root)
+        roots.append(root)
+        written.append([os.path.join(d, f) for d, _, names in os.walk(root) for f in names])
+        assert sum(os.path.exists(r) for r in roots) == 1
+    keep = A.write_files
+    monkeypatch.setattr(P, "day_bundles", lambda *_: made)
+    monkeypatch.setattr(A, "write_files", counted)
+    monkeypatch.setattr(P, "FILES", 70)
+    want = ({(b, None if k == 2 else m, block, doc, raw) for b, _, k, m, block, doc, raw in days}, {(b, p, raw) for b, p, raw in facts})
+    for scan, rows in zip((A.scan_day_bundles, lambda *a: A.scan_fact_artifacts(*a).drop("sha256")), want):
+        written.clear()
+        got = [tuple(bytes(c) if isinstance(c, bytearray) else c for c in r) for r in P.scanned(spark, None, scan).collect()]
+        assert len(got) == len(rows) and set(got) == rows
+        files = [f.split("/bundles-")[1].split("/", 1)[1] for part in written for f in part]
+        assert len(written) == 2 and max(map(len, written)) < 132 and len(files) == len(set(files)) == 132
+        assert not any(os.path.exists(r) for r in roots)
+
+
+def test_files_are_written_and_removed_below_a_uri(spark, tmp_path):
+    df = spark.createDataFrame([(f"{k % 3}/facts/{k}.cbor", bytes([k])) for k in range(20)], "path string, bytes binary")
+    A.write_files(df, f"file://{tmp_path}/in")
+    assert A.scan_fact_artifacts(spark, f"file://{tmp_path}/in").count() == 20
+    A.remove_files(spark, f"file://{tmp_path}/in")
+    with pytest.raises((ValueError, OSError)):
+        A.write_files(df, "s3://bucket/in")
+    assert not (tmp_path / "in").exists() and tmp_path.exists()
